@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from reposcope.llm import exact_dedup
+from reposcope.llm import chat_format, decontamination, exact_dedup, line_dedup
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
+    "op10_chat_formatting": chat_format.op10_chat_formatting,
 }
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op5_line_dedup": line_dedup.OP5_SQL,
+    "op6_benchmark_decontamination": decontamination.OP6_SQL,
+    "op10_chat_formatting": chat_format.OP10_SQL,
 }
