@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from reposcope.llm import chat_format, decontamination, exact_dedup, line_dedup
+from reposcope.llm import bpe, chat_format, decontamination, exact_dedup, line_dedup, substring_dedup
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_bpe": bpe.op2_bpe,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
     "op10_chat_formatting": chat_format.op10_chat_formatting,
 }
 ORACLE_SQL = {
+    "op1_substring_dedup": substring_dedup.OP1_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op6_benchmark_decontamination": decontamination.OP6_SQL,
