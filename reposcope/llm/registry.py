@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reposcope.llm import bpe, chat_format, decontamination, exact_dedup, line_dedup, substring_dedup
+from reposcope.llm import bpe, chat_format, decontamination, exact_dedup, line_dedup, minhash_dedup, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
+    "op8_minhash_near_dedup": minhash_dedup.op8_minhash_near_dedup,
     "op10_chat_formatting": chat_format.op10_chat_formatting,
 }
 ORACLE_SQL = {
@@ -17,5 +18,6 @@ ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op6_benchmark_decontamination": decontamination.OP6_SQL,
+    "op8_minhash_near_dedup": minhash_dedup.OP8_SQL,
     "op10_chat_formatting": chat_format.OP10_SQL,
 }
