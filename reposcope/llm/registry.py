@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reposcope.llm import bpe, chat_format, decontamination, exact_dedup, line_dedup, minhash_dedup, quality, substring_dedup, toxicity
+from reposcope.llm import bpe, chat_format, decontamination, exact_dedup, line_dedup, minhash_dedup, quality, secrets, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_benchmark_decontamination": decontamination.op6_benchmark_decontamination,
+    "op7_secret_scan": secrets.op7_secret_scan,
     "op8_minhash_near_dedup": minhash_dedup.op8_minhash_near_dedup,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_chat_formatting": chat_format.op10_chat_formatting,
