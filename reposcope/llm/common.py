@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +32,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` with its lineage cut by a reliable checkpoint in the shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
 
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where
-    none is named, as in tests on one machine, a temporary one is set.
+    Only where none is named, as in tests on one machine, a temporary one is set.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` with its lineage cut by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -67,6 +73,38 @@ def real_id(column: str | Column = "id") -> Column:
     return F.when(c != F.lit(NO_ID), c)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """`name`, lengthened until no column has it in any case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def keep_rows(docs: DataFrame, keys: dict[str, Column], stay: DataFrame) -> DataFrame:
+    """The rows of `docs` whose keys are in `stay`, one of each; its columns unchanged.
+
+    `keys` makes each key from the columns of `docs`; `stay` has the same keys,
+    each once, and times, how many rows of `docs` have them. Only rows that
+    repeat are compared with each other.
+    """
+    names = {k: fresh(f"key_{k}", docs.columns) for k in keys}
+    times = fresh("key_times", docs.columns)
+    tagged = docs.withColumns({names[k]: c for k, c in keys.items()})
+    found = tagged.join(stay.select(*[F.col(k).alias(names[k]) for k in keys], F.col("times").alias(times)), list(names.values()))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    single = found.filter(F.col(times) == 1).select(*own)
+    several = found.filter(F.col(times) > 1).dropDuplicates(list(names.values())).select(*own)
+    return single.unionByName(several)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, which cuts its lineage."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposcope.llm.common import ALNUM, LOWER, find_words, passes, read, text_buffers, word_hashes
+from reposcope.llm.common import ALNUM, LOWER, find_words, fresh, passes, read, text_buffers, word_hashes
 
 WINDOW = 10
 #: Words of a block of the shift table.
@@ -226,10 +226,7 @@ def with_hits(
     benchmark hits nothing, an empty table gives no rows. `names` names the new
     columns where the table has such columns already.
     """
-    taken = {c.lower() for c in docs.columns}
-    cover = "cover"
-    while cover in taken or cover in names:
-        cover += "_"
+    cover = fresh("cover", [*docs.columns, *names])
     n_words, n_hit, items = names
     text = docs.columns.index(text_col)
     out = docs.withColumns({n_words: F.lit(0).cast("long"), cover: F.lit(b""), items: F.array().cast("array<string>")})
@@ -250,18 +247,11 @@ def _bits(column: str):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The input's columns and rows without those that hold any window of an item."""
-    names = tuple(_fresh(c, docs.columns) for c in ("n_words", "n_hit", "items"))
+    names = tuple(fresh(c, docs.columns) for c in ("n_words", "n_hit", "items"))
     found = with_hits(docs, benchmark, text_col, window=window, names=names)
     return found.filter(F.col(names[1]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _fresh(name: str, taken: list[str]) -> str:
-    low = {c.lower() for c in taken}
-    while name in low:
-        name += "_"
-    return name
-
-
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = with_hits(docs, read(spark, sf_dir, "benchmark"))

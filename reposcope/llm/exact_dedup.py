@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposcope.llm.common import checkpointed, keyed_text, read, real_id
+from reposcope.llm.common import NO_ID, checkpointed, keep_rows, keyed_text, read, real_id
 
 #: Runs at the leaves of the tree, and how many of them one round merges.
 RUNS, FAN_IN = 64, 8
@@ -77,23 +77,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows that repeat both id and text are reduced to one of them.
     """
-    mine = ["__sha", "__keep", "__rows"]
-    while any(c.lower() in {d.lower() for d in docs.columns} for c in mine):
-        mine = [f"_{c}" for c in mine]
-    sha, keep, same = mine
     rows = checkpointed(digests(docs, id_col, text_col))
-    kept = merge_runs(rows).select("sha", "keep")
-    repeats = rows.groupBy("sha", "id").count().select(F.col("sha"), F.col("id"), F.col("count").alias("times"))
-    stay = kept.join(repeats, (kept["sha"] == repeats["sha"]) & (kept["keep"] == repeats["id"])).select(
-        kept["sha"].alias(sha), F.col("keep").alias(keep), F.col("times").alias(same)
-    )
-    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(2**63 - 1))
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    tagged = docs.withColumn(sha, F.sha2(normalised(text), 256)).withColumn(keep, key)
-    found = tagged.join(stay, [sha, keep]).select(*[F.col(f"`{c}`") for c in docs.columns], sha, keep, same)
-    single = found.filter(F.col(same) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
-    several = found.filter(F.col(same) > 1).dropDuplicates([sha, keep]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return single.unionByName(several)
+    kept = merge_runs(rows).select("sha", "proof", F.col("keep").alias("id"))
+    stay = kept.join(rows.groupBy("sha", "proof", "id").agg(F.count(F.lit(1)).alias("times")), ["sha", "proof", "id"])
+    text = normalised(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
+    return keep_rows(docs, {"sha": F.sha2(text, 256), "id": key}, stay.select("sha", "id", "times"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,9 +103,11 @@ def dedup_lines(
     for k in range(batches):
         batch = lines.filter(F.col("part") == k).select("id", "h1", "h2").distinct()
         index.add(batch.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")))
-    frequent = index.entries().filter(F.col("n") >= min_docs).select("h1", "h2", "last")
+    # keyed by ~h1, so that both sides of the join are dealt anew and a hot line can be split
+    frequent = index.entries().filter(F.col("n") >= min_docs).select(F.bitwise_not("h1").alias("key"), "h2", "last")
     drops = (
-        lines.join(frequent, ["h1", "h2"])
+        lines.withColumn("key", F.bitwise_not("h1"))
+        .join(frequent, ["key", "h2"])
         .filter(F.col("id") != F.col("last"))
         .groupBy("id", "fp")
         .agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))

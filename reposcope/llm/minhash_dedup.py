@@ -31,11 +31,13 @@ from pyspark.sql import functions as F
 
 from reposcope.llm.common import (
     LOWER,
+    NO_ID,
     UNBLANK,
     WORD_BASE,
     SpanHash,
     checkpointed,
     find_words,
+    keep_rows,
     keyed_text,
     passes,
     read,
@@ -215,7 +217,8 @@ def linked(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, simil
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: int = SIMILAR) -> DataFrame:
-    """Per input row: doc_id, n_shingles, component_id, kept, and the row's fingerprint fp.
+    """Per input row: doc_id, n_shingles, component_id, kept; and the row's
+    key (id, fp) and whether it is the first row of its component (first).
 
     Sets are the distinct shingles of `shingle` words, A to Z lower-cased.
     Documents are linked if 100 * intersection >= `similar` * union. Null and
@@ -239,22 +242,36 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if left.isEmpty():
             break
         checked = checkpointed(checked.unionByName(linked(left, nodes, rows, shingle, similar)))
-    named = nodes.select("digest", "node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("id").alias("component"))
+    named = nodes.select("digest", "node", "id", F.col("fp").alias("print")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = named.groupBy("label").agg(F.min(F.struct("id", "print")).alias("component"))
     found = named.withColumn("key", F.bitwise_not("label")).join(least.select(F.bitwise_not("label").alias("key"), "component"), "key").select("digest", "component")
-    out = documents.drop("sig").join(found, "digest", "left").withColumn("component", F.coalesce("component", "id"))
+    out = documents.drop("sig").join(found, "digest", "left")
+    out = out.withColumn("print", F.coalesce("component.print", "fp")).withColumn("component", F.coalesce("component.id", "id"))
     return out.select(
         real_id("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         real_id("component").alias("component_id"),
         (F.col("id") == F.col("component")).alias("kept"),
+        "id",
         "fp",
-        "digest",
+        (F.col("fp") == F.col("print")).alias("first"),
     )
 
 
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: int = SIMILAR) -> DataFrame:
+    """The input's columns and rows with one document of each group of near copies, that of the smallest id.
+
+    Documents without words stay, but rows that repeat both id and text are
+    reduced to one. Rows of one id and different texts of one group leave one.
+    """
+    stay = near_groups(docs, id_col, text_col, shingle, similar).filter("kept AND first").groupBy("id", "fp").agg(F.count(F.lit(1)).alias("times"))
+    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return keep_rows(docs, {"id": key, "fp": F.xxhash64(text)}, stay)
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(read(spark, sf_dir, "documents"), shingle=2).drop("fp", "digest")
+    return near_groups(read(spark, sf_dir, "documents"), shingle=2).drop("id", "fp", "first")
 
 
 OP8_SQL = """

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from reposcope.llm import bpe, chat_format, decontamination, exact_dedup, line_dedup, minhash_dedup, quality, secrets, substring_dedup, toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,

@@ -13,7 +13,7 @@ and a document's coordinates compact runs of nonbranching edges into paths: all
 occurrences of any edge of the path share the whole path, so every window
 within it repeats exactly where the edge repeats, and the smallest document of
 the edge is the source. Windows that reach over a branching end are verified
-one by one by a 128-bit hash of their words. A removed word is thus always
+one by one by a 96-bit hash of their words. A removed word is thus always
 covered by a window whose source coordinates lie in a smaller document.
 """
 
@@ -41,7 +41,6 @@ from reposcope.llm.common import (
     real_id,
     signed,
     text_buffers,
-    with_fingerprint,
     word_hashes,
 )
 
@@ -49,7 +48,7 @@ from reposcope.llm.common import (
 WINDOW, K = 50, 12
 
 EDGE = np.uint64(0x5851F42D4C957F2D)
-EDGES = "id long, fp long, pos int, lo int, hi int, h long, proof long, prev long, next long"
+EDGES = "id long, fp int, pos int, lo int, hi int, h long, prev long, next long"
 
 
 def leftmost_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -114,7 +113,6 @@ def edges(words: Words, window: int, k: int) -> dict[str, np.ndarray]:
         "lo": starts[fresh] - begin,
         "hi": starts[last] - begin,
         "h": kmers[pos],
-        "proof": words.proofs.of(pos, pos + k),
         "prev": prev,
         "next": after,
     }
@@ -132,8 +130,8 @@ def edge_table(rows: DataFrame, window: int, k: int) -> DataFrame:
                 if found:
                     text = found["text"] + a
                     small = [pa.array(found[c].astype(np.int32)) for c in ("pos", "lo", "hi")]
-                    wide = [signed(found[c]) for c in ("h", "proof", "prev", "next")]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(prints[text]), *small, *wide], ["id", "fp", "pos", "lo", "hi", "h", "proof", "prev", "next"])
+                    wide = [signed(found[c]) for c in ("h", "prev", "next")]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(prints[text]), *small, *wide], ["id", "fp", "pos", "lo", "hi", "h", "prev", "next"])
 
     return rows.select("id", "fp", "text").mapInArrow(run, EDGES)
 
@@ -141,18 +139,18 @@ def edge_table(rows: DataFrame, window: int, k: int) -> DataFrame:
 def repeated_edges(found: DataFrame) -> DataFrame:
     """Edges of two or more documents: ~h as key, the smallest document, and whether each side is nonbranching.
 
-    Two edges that share a 64-bit hash by chance differ in their proof; such an
-    edge counts as branching on both sides, so its windows are verified singly.
+    Two edges that share a 64-bit hash by chance differ in the hashes of the text
+    up to their neighbours, which holds the edge itself; they count as branching
+    on both sides, so their windows are verified singly.
     """
     low, high = F.min, F.max
     stats = found.groupBy("h").agg(
         low("id").alias("source"), high("id").alias("other"),
-        (low("proof") == high("proof")).alias("one"),
         (low("prev") == high("prev")).alias("one_prev"), (low("next") == high("next")).alias("one_next"),
     )
     # keyed by ~h, so that both sides of the join are dealt anew and a hot edge can be split
     return stats.filter("source < other").select(
-        F.bitwise_not("h").alias("key"), "source", (F.col("one") & F.col("one_prev")).alias("ln"), (F.col("one") & F.col("one_next")).alias("rn")
+        F.bitwise_not("h").alias("key"), "source", F.col("one_prev").alias("ln"), F.col("one_next").alias("rn")
     )
 
 
@@ -215,11 +213,11 @@ def _ranges(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarr
 
 
 def open_windows(marked: DataFrame, window: int, k: int) -> DataFrame:
-    """(id, fp, s, w1, w2): the 128-bit hash of each window that is verified singly."""
+    """(id, at, w, p): a 96-bit hash of each window that is verified singly; at packs fp and the window's start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
             data, offs = text_buffers(batch.column(2))
             for a, b in passes(offs):
                 text, s = Marks(batch.column(3).slice(a, b - a), ids[a:b], window, k).open()
@@ -227,20 +225,22 @@ def open_windows(marked: DataFrame, window: int, k: int) -> DataFrame:
                     continue
                 words = Words(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 at = words.first[text] + s
+                proof = (words.proofs.of(at, at + window) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a + text]), pa.array(prints[a + text]), pa.array(s.astype(np.int32)), signed(words.spans.of(at, at + window)), signed(words.proofs.of(at, at + window))],
-                    ["id", "fp", "s", "w1", "w2"],
+                    [pa.array(ids[a + text]), pa.array((prints[a + text] << 32) | s), signed(words.spans.of(at, at + window)), pa.array(proof)],
+                    ["id", "at", "w", "p"],
                 )
 
-    return marked.mapInArrow(run, "id long, fp long, s int, w1 long, w2 long")
+    return marked.mapInArrow(run, "id long, at long, w long, p int")
 
 
 def verified(windows: DataFrame) -> DataFrame:
     """Per document the starts of open windows that a smaller document has too."""
-    sources = windows.groupBy("w1", "w2").agg(F.min("id").alias("source"), F.max("id").alias("other")).filter("source < other")
-    sources = sources.select(F.bitwise_not("w1").alias("k1"), "w2", "source")
-    found = windows.withColumn("k1", F.bitwise_not("w1")).join(sources, ["k1", "w2"]).filter("source < id")
-    return found.groupBy("id", "fp").agg(F.collect_set("s").alias("starts"))
+    sources = windows.groupBy("w", "p").agg(F.min("id").alias("source"), F.max("id").alias("other")).filter("source < other")
+    sources = sources.select(F.bitwise_not("w").alias("key"), "p", "source")
+    found = windows.withColumn("key", F.bitwise_not("w")).drop("w").join(sources, ["key", "p"]).filter("source < id")
+    place = found.select("id", F.shiftright("at", 32).cast("int").alias("fp"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("s"))
+    return place.groupBy("id", "fp").agg(F.collect_set("s").alias("starts"))
 
 
 RESULT = "id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -304,7 +304,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     document, so they do not remove each other's words, and each gives a row.
     An empty table gives no rows.
     """
-    rows = with_fingerprint(keyed_text(docs, id_col, text_col)).select("id", "fp", "text")
+    rows = keyed_text(docs, id_col, text_col).select("id", F.hash("text").alias("fp"), "text")
     marks = checkpointed(path_marks(edge_table(rows, window, k)))
     singles = verified(open_windows(rows.join(marks, ["id", "fp"]).select("id", "fp", "text", "marks"), window, k))
     every = rows.join(marks, ["id", "fp"], "left").join(singles, ["id", "fp"], "left").select("id", "fp", "text", "marks", "starts")

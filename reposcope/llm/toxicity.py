@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposcope.llm.common import checkpointed, read
+from reposcope.llm.common import checkpointed, fresh, read
 from reposcope.llm.labelled import fit_logistic, held_out, labelled_sample, logistic, without_copies
 
 #: Bounds of the sample that lexicon and weights are learned from: clean and toxic rows, characters of a text.
@@ -277,9 +277,7 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", score_co
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The input's columns and rows that score below the threshold."""
-    score = "score"
-    while score in {c.lower() for c in docs.columns}:
-        score += "_"
+    score = fresh("score", docs.columns)
     return toxicity(docs, lexicon, text_col, score).filter(F.col(score) < threshold).drop(score)
 
 
