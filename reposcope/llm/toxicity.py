@@ -52,14 +52,14 @@ LOOKALIKES = {
     "а": "a", "в": "b", "г": "r", "е": "e", "ё": "e", "з": "3", "и": "u", "к": "k", "м": "m", "н": "h", "о": "o", "п": "n",
     "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w",
     "α": "a", "β": "b", "γ": "y", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
-    "ω": "w", "μ": "u", "ı": "i", "ɑ": "a", "ɡ": "g",
+    "ω": "w", "μ": "u", "ı": "i", "ɑ": "a", "ɡ": "g", "ӏ": "l",
 }
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
 
 _FOREIGN = re.compile("[ıɑ-ɡͰ-ԯ！-～]")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 _LETTERS = {ord(k): v for k, v in LOOKALIKES.items()} | {0xFF01 + i: chr(0x21 + i).lower() for i in range(94)}
-_INSIDE = re.compile(r"[0-9@$!](?<=[^\W\d_].)(?=[^\W\d_])")
+_INSIDE = re.compile(r"[0-9@$!](?<=[^\W\d_].)(?=[^\W\d_])|[0-9@$](?<!\w.)(?=[^\W\d_]{2})")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
