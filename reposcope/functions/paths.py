@@ -119,3 +119,86 @@ def route_prefixes(routes: DataFrame, route: str = "route") -> DataFrame:
     parts = routes.select(F.filter(F.split(F.col(route), "/"), lambda x: x != "").alias("p")).filter(F.size("p") > 0)
     prefix = F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.concat(F.lit("/"), F.array_join(F.slice("p", F.lit(1), i), "/")))
     return parts.select(F.explode(prefix).alias("folder")).groupBy("folder").agg(F.count(F.lit(1)).alias("routes"))
+
+
+# Display names of languages, words that tell UI, logic and database files, and role sections.
+LANGUAGE_NAMES = {
+    "ts": "TypeScript", "tsx": "TypeScript (React)", "js": "JavaScript", "jsx": "JavaScript (React)",
+    "py": "Python", "go": "Go", "rs": "Rust", "java": "Java",
+}
+UI_PATHS = ["app/", "pages/"]
+DB_WORDS = ["prisma", "schema", "model"]
+LOGIC_WORDS = ["controller", "handler", "api"]
+SECTIONS = {
+    "manager": r"dashboard/manager|manager/|admin/dashboard",
+    "customer": r"dashboard/customer|customer/|shop/|store/|account/",
+    "staff": r"dashboard/staff|staff/|employee/|worker/",
+    "admin": r"admin/|settings/|system/",
+}
+SHAPE_LAYERS = {"cylinder": "database", "pill": "view", "diamond": "validation", "rectangle": "controller"}
+
+
+def language_name_of(path: Column) -> Column:
+    """Display name by extension; an unknown extension in upper case."""
+    table = F.create_map(*[F.lit(x) for pair in LANGUAGE_NAMES.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, extension(path)), F.upper(extension(path)))
+
+
+def classify_file(path: Column, source: Column) -> Column:
+    """UI_NODE, LOGIC_NODE or DB_NODE: by path in this order, then DB and logic by text; null if none fits."""
+
+    def any_of(c: Column, words: list[str]) -> Column:
+        return F.lower(c).rlike("|".join(words))
+
+    return (
+        F.when(any_of(path, UI_PATHS), "UI_NODE").when(any_of(path, LOGIC_WORDS), "LOGIC_NODE").when(any_of(path, DB_WORDS), "DB_NODE")
+        .when(any_of(source, DB_WORDS), "DB_NODE").when(any_of(source, LOGIC_WORDS), "LOGIC_NODE")
+    )
+
+
+def engine_route(path: Column) -> Column:
+    """(route, method) of /app/**/page. (GET) and /api/**/route. (API); null for other files."""
+    page, api = F.regexp_extract(path, r"/app/(.+)/page\.", 1), F.regexp_extract(path, r"/api/(.+)/route\.", 1)
+    return F.when(page != "", F.struct(F.concat(F.lit("/"), page).alias("route"), F.lit("GET").alias("method"))).when(
+        api != "", F.struct(F.concat(F.lit("/api/"), api).alias("route"), F.lit("API").alias("method"))
+    )
+
+
+def section_role(path: Column) -> Column:
+    """manager, customer, staff or admin by the first pattern that the path fits, else null."""
+    return F.coalesce(*[F.when(F.lower(path).rlike(p), role) for role, p in SECTIONS.items()])
+
+
+def layer_of(shape: Column) -> Column:
+    """Architectural layer by a node's shape."""
+    table = F.create_map(*[F.lit(x) for pair in SHAPE_LAYERS.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, shape), F.lit("other"))
+
+
+def route_pattern(route: Column) -> Column:
+    """A regular expression for the URLs of a route: :x is a segment, :x? an optional one, :x* the rest."""
+    stars = F.regexp_replace(route, r"/:\w+\*", "(?:/.*)?")
+    maybe = F.regexp_replace(stars, r"/:\w+\?", "(?:/[^/]+)?")
+    return F.concat(F.lit("^"), F.regexp_replace(maybe, r":\w+", "[^/]+"), F.lit("$"))
+
+
+def route_params(route: Column) -> Column:
+    """The parameters of a route: name, position, optional, catch_all."""
+    parts = F.filter(F.split(route, "/"), lambda x: x != "")
+    each = F.transform(
+        parts,
+        lambda x, i: F.struct(F.regexp_extract(x, r"^:(\w+)", 1).alias("name"), i.alias("position"), x.endswith("?").alias("optional"), x.endswith("*").alias("catch_all")),
+    )
+    return F.filter(each, lambda p: p["name"] != "")
+
+
+def target_file(label: Column, shape: Column) -> Column:
+    """The file that a new node's code belongs in, by its label and shape."""
+    plain = F.regexp_replace(label, "[^a-zA-Z0-9]", "_")
+    api, page = F.regexp_replace(label, "^/api/+", ""), F.regexp_replace(label, "^/+", "")
+    return (
+        F.when(label.startswith("/api/"), F.concat(F.lit("app/api/"), api, F.lit("/route.ts")))
+        .when(label.startswith("/"), F.concat(F.lit("app/"), F.when(page == "", "page").otherwise(page), F.lit("/page.tsx")))
+        .when(shape == "cylinder", F.concat(F.lit("lib/models/"), plain, F.lit(".ts")))
+        .otherwise(F.concat(F.lit("lib/"), plain, F.lit(".ts")))
+    )

@@ -191,3 +191,134 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         low = low.join(above, [REPO, "component"], "left").withColumn("component", F.least("component", F.coalesce("up", "component")))
         labels = written(low.select(REPO, "node_id", "component", (F.col("old") != F.col("component")).alias("moved")))
     return labels.select(REPO, "node_id", "component")
+
+
+def flow_trace(origins: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 50) -> DataFrame:
+    """(repo_id, origin, node_id, depth, is_exit): what lies ahead of each origin, and which of it has no way out."""
+    ahead = reach(origins.select(REPO, F.col("node_id").alias("origin"), "node_id"), edges, depth)
+    ends_ = exit_points(nodes, edges).select(REPO, "node_id", F.lit(True).alias("is_exit"))
+    return ahead.join(ends_, [REPO, "node_id"], "left").select(REPO, "origin", "node_id", "depth", F.coalesce("is_exit", F.lit(False)).alias("is_exit"))
+
+
+def import_closure(pages: DataFrame, imports: DataFrame, depth: int = 5) -> DataFrame:
+    """(repo_id, origin, node_id, depth): files that each page (repo_id, path) reaches by resolved imports."""
+    edges = imports.filter("target IS NOT NULL").select(REPO, F.col("path").alias("src"), F.col("target").alias("dst"))
+    return reach(pages.select(REPO, F.col("path").alias("origin"), F.col("path").alias("node_id")), edges, depth)
+
+
+def shared_components(closure: DataFrame) -> DataFrame:
+    """(repo_id, node_id, usage_count): files that several pages reach."""
+    used = closure.filter("depth > 0").groupBy(REPO, "node_id").agg(F.countDistinct("origin").alias("usage_count"))
+    return used.filter("usage_count > 1")
+
+
+def bypass_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, src, dst): views that reach a database in two or three edges without a controller between, and not by one edge."""
+    typed = with_types(nodes, edges).select(REPO, "src", "dst", "src_type", "dst_type")
+    inner = typed.filter("dst_type <> 'controller'")
+    two = inner.filter("src_type = 'view'").select(REPO, "src", F.col("dst").alias("mid"))
+    step = typed.filter("src_type <> 'controller'").select(REPO, F.col("src").alias("mid"), F.col("dst").alias("end"), "dst_type")
+    second = two.join(step, [REPO, "mid"])
+    third = second.filter("dst_type <> 'controller'").select(REPO, "src", F.col("end").alias("mid")).distinct().join(step, [REPO, "mid"])
+    found = union([second.filter("dst_type = 'database'").select(REPO, "src", F.col("end").alias("dst")), third.filter("dst_type = 'database'").select(REPO, "src", F.col("end").alias("dst"))]).distinct()
+    return found.join(edges.select(REPO, "src", "dst"), [REPO, "src", "dst"], "left_anti")
+
+
+def cycle_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, node_id, cycle): nodes on a cycle, with the smallest node of their strongly connected component.
+
+    Nodes without a way in or out are peeled first. In the rest the smallest
+    node ahead and behind is spread until nothing changes; where both agree the
+    component is found and leaves, and the remaining nodes start again.
+    """
+    links = written(edges.filter("src <> dst").select(REPO, "src", "dst").distinct())
+    loops = edges.filter("src = dst").select(REPO, F.col("src").alias("node_id"), F.col("src").alias("cycle")).distinct()
+    done = [loops]
+    while True:
+        while True:
+            kept = links.join(links.select(REPO, F.col("dst").alias("src")).distinct(), [REPO, "src"], "left_semi")
+            kept = written(kept.join(links.select(REPO, F.col("src").alias("dst")).distinct(), [REPO, "dst"], "left_semi").select(REPO, "src", "dst"))
+            same = kept.count() == links.count()
+            links = kept
+            if same:
+                break
+        if links.isEmpty():
+            break
+        forward, backward = _spread(links, "src", "dst"), _spread(links, "dst", "src")
+        both = written(forward.join(backward.withColumnRenamed("least", "behind"), [REPO, "node_id"]))
+        done.append(both.filter("least = behind").select(REPO, "node_id", F.col("least").alias("cycle")))
+        out = both.filter("least = behind").select(REPO, "node_id")
+        links = links.join(out.withColumnRenamed("node_id", "src"), [REPO, "src"], "left_anti")
+        links = written(links.join(out.withColumnRenamed("node_id", "dst"), [REPO, "dst"], "left_anti").select(REPO, "src", "dst"))
+    every = union(done)
+    sizes = every.groupBy(REPO, "cycle").agg(F.count(F.lit(1)).alias("n"))
+    own = loops.select(REPO, "node_id", F.lit(True).alias("loop"))
+    found = every.join(sizes, [REPO, "cycle"]).join(own, [REPO, "node_id"], "left").filter("n > 1 OR loop")
+    return found.select(REPO, "node_id", "cycle").distinct()
+
+
+def _spread(links: DataFrame, a: str, b: str) -> DataFrame:
+    """(repo_id, node_id, least): the smallest node that each node reaches from a to b, itself included."""
+    nodes = links.select(REPO, F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    labels = written(nodes.withColumns({"least": F.col("node_id"), "moved": F.lit(True)}))
+    while not labels.filter("moved").isEmpty():
+        mine = labels.select(REPO, "node_id", "least")
+        ahead = links.select(REPO, F.col(a).alias("node_id"), F.col(b).alias("next")).join(mine.select(REPO, F.col("node_id").alias("next"), F.col("least").alias("far")), [REPO, "next"])
+        low = ahead.groupBy(REPO, "node_id").agg(F.min("far").alias("far"))
+        labels = written(mine.join(low, [REPO, "node_id"], "left").select(REPO, "node_id", F.least("least", F.coalesce("far", "least")).alias("least"), (F.coalesce("far", "least") < F.col("least")).alias("moved")))
+    return labels.select(REPO, "node_id", "least")
+
+
+def dag_share(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, share): the share of nodes that are neither on a cycle nor lead into one."""
+    cyclic = cycle_nodes(nodes, edges).select(REPO, F.lit("c").alias("origin"), "node_id")
+    led = reach(cyclic, edges, 1000, backward=True).groupBy(REPO).agg(F.countDistinct("node_id").alias("n"))
+    return nodes.groupBy(REPO).agg(F.count(F.lit(1)).alias("nodes")).join(led, REPO, "left").select(REPO, F.round(1 - F.coalesce("n", F.lit(0)) / F.col("nodes"), 6).alias("share"))
+
+
+def execution_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, node_id, depth): steps from the entry nodes; -1 where none leads to a node."""
+    seeds = entry_points(nodes, edges).select(REPO, F.lit("entry").alias("origin"), "node_id")
+    steps = reach(seeds, edges, 1000).select(REPO, "node_id", "depth")
+    return nodes.select(REPO, "node_id").join(steps, [REPO, "node_id"], "left").select(REPO, "node_id", F.coalesce("depth", F.lit(-1)).alias("depth"))
+
+
+def longest_path_rank(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, node_id, rank): longest path from a root; nodes on or behind cycles keep what their parents outside give them."""
+    layers = topo_layers(nodes, edges)
+    fixed = layers.filter("layer >= 0").withColumnRenamed("layer", "rank")
+    given = edges.join(fixed.withColumnRenamed("node_id", "src"), [REPO, "src"]).groupBy(REPO, F.col("dst").alias("node_id")).agg((F.max("rank") + 1).alias("rank"))
+    rest = layers.filter("layer < 0").select(REPO, "node_id").join(given, [REPO, "node_id"], "left").select(REPO, "node_id", F.coalesce("rank", F.lit(0)).alias("rank"))
+    return fixed.unionByName(rest)
+
+
+def cascade_delete(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """Edges without those that touch a deleted node (repo_id, node_id)."""
+    out = edges.join(gone.select(REPO, F.col("node_id").alias("src")), [REPO, "src"], "left_anti")
+    return out.join(gone.select(REPO, F.col("node_id").alias("dst")), [REPO, "dst"], "left_anti").select(REPO, "src", "dst", "kind")
+
+
+def remap_endpoints(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges with their ends replaced through (repo_id, label, node_id); those with an unknown end go."""
+    a = ids.select(REPO, F.col("label").alias("src"), F.col("node_id").alias("new_src"))
+    b = ids.select(REPO, F.col("label").alias("dst"), F.col("node_id").alias("new_dst"))
+    return edges.join(a, [REPO, "src"]).join(b, [REPO, "dst"]).select(REPO, F.col("new_src").alias("src"), F.col("new_dst").alias("dst"))
+
+
+def portal_links(edges: DataFrame, homes: DataFrame) -> DataFrame:
+    """(repo_id, src, dst, src_section, dst_section): edges between different sections (repo_id, node_id, section_id)."""
+    a = homes.select(REPO, F.col("node_id").alias("src"), F.col("section_id").alias("src_section"))
+    b = homes.select(REPO, F.col("node_id").alias("dst"), F.col("section_id").alias("dst_section"))
+    return edges.join(a, [REPO, "src"]).join(b, [REPO, "dst"]).filter("src_section <> dst_section").select(REPO, "src", "dst", "src_section", "dst_section")
+
+
+def issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, kind, severity, node_id): god classes, oversized files, bypasses, gaps and orphans as one table."""
+    parts = [
+        god_classes(nodes, edges).select(REPO, F.lit("god-class").alias("kind"), "severity", "node_id"),
+        oversized_files(nodes, edges).select(REPO, F.lit("oversized-file").alias("kind"), "severity", "node_id"),
+        view_db_bypass(nodes, edges).select(REPO, F.lit("view-to-db").alias("kind"), F.lit("high").alias("severity"), F.col("src").alias("node_id")),
+        missing_validation(nodes, edges).select(REPO, F.lit("missing-validation").alias("kind"), F.lit("medium").alias("severity"), F.col("src").alias("node_id")),
+        orphan_nodes(nodes, edges).select(REPO, F.lit("orphan").alias("kind"), F.lit("low").alias("severity"), "node_id"),
+    ]
+    return union(parts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reposcope.functions.paths import crawl_routes, normalize_route
+from reposcope.functions.paths import crawl_routes, normalize_route, route_pattern
 from reposcope.functions.text import keep_first, union
 from reposcope.operators.scan import controllers, scan_api_calls, scan_db_refs, scan_imports, validation_kind
 
@@ -142,3 +142,27 @@ def node_diff(base: DataFrame, head: DataFrame, keys: list[str], columns: list[s
 def route_of_link(pages: DataFrame) -> DataFrame:
     """(page_id, route): the routes that a page's quoted strings mean, normalised."""
     return pages.select("page_id", normalize_route(F.regexp_replace("route", "^/", "")).alias("route")).distinct()
+
+
+def match_routes(candidates: DataFrame, routes: DataFrame) -> DataFrame:
+    """(repo_id, candidate, route, rung): the route that a string means: itself (1), a pattern it fits (2), or its longest prefix (3).
+
+    Candidates meet patterns of their own segment count, and prefixes by an
+    explode of the candidate's folders, so no candidate meets all routes.
+    """
+    c = candidates.select("repo_id", "candidate").distinct()
+    r = routes.select("repo_id", "route").distinct().filter("route <> '/'")
+    exact = c.join(r.withColumn("candidate", F.col("route")), ["repo_id", "candidate"]).withColumn("rung", F.lit(1))
+    count = lambda x: F.size(F.split(x, "/"))
+    dynamic = r.filter(F.col("route").contains(":")).withColumn("n", count(F.col("route")))
+    fitting = c.withColumn("n", count(F.col("candidate"))).join(dynamic, ["repo_id", "n"]).filter(F.rlike("candidate", route_pattern(F.col("route")))).drop("n").withColumn("rung", F.lit(2))
+    parts = F.split("candidate", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    below = c.filter(F.size(parts) > 1).withColumn("route", F.explode(folders)).join(r, ["repo_id", "route"]).withColumn("rung", F.lit(3))
+    every = union([x.select("repo_id", "candidate", "route", "rung", (-F.length("route")).alias("short")) for x in (exact, fitting, below)])
+    return keep_first(every, ["repo_id", "candidate"], ["rung", "short", "route"]).select("repo_id", "candidate", "route", "rung")
+
+
+def unused_exports(exports: DataFrame, imported: DataFrame) -> DataFrame:
+    """Exported names that no file of the repository imports by name (repo_id, name)."""
+    return exports.select("repo_id", "path", "name").distinct().join(imported, ["repo_id", "name"], "left_anti").select("repo_id", "path", "name")

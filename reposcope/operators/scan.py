@@ -208,3 +208,36 @@ def token_stats(texts: DataFrame, key: str, text: str) -> DataFrame:
         count_matches(c, r"\b[0-9]+").cast("long").alias("numbers"),
         count_matches(c, r"[-+*/%=<>!&|^~?:]").cast("long").alias("operators"),
     )
+
+
+# Exports, any HTTP call, lines that declare something, validation schema fields.
+EXPORT = r"export\s+(?:async\s+)?(?:default\s+)?(?:function|class|const|let|var)\s+(\w+)"
+EXPORT_LIST = r"export\s*\{([^}\n]+)\}"
+ANY_FETCH = r"fetch\s*\(\s*['\"`]([^'\"`]+)['\"`]"
+SYMBOLS = {"function": r"\bfunction\s+(\w+)\s*\(", "class": r"\bclass\s+(\w+)", "arrow": r"\bconst\s+(\w+)\s*=\s*(?:async\s*)?\([^)\n]*\)\s*=>"}
+SCHEMA_FIELD = r"(\w+)\s*:\s*(?:z|yup)\.\s*(\w+)\s*\("
+
+
+def scan_exports(files: DataFrame) -> DataFrame:
+    """(repo_id, path, name, line): exported names; of a list the names before "as"."""
+    plain = findings(files, EXPORT).select(*KEYS, _found().alias("name"), "line")
+    listed = findings(files, EXPORT_LIST).select(*KEYS, F.explode(F.split(_found(), ",")).alias("item"), "line")
+    names = listed.select(*KEYS, F.regexp_extract(F.trim("item"), r"^(\w+)", 1).alias("name"), "line").filter("name <> ''")
+    return union([plain, names]).distinct()
+
+
+def scan_http_calls(files: DataFrame) -> DataFrame:
+    """(repo_id, path, method, endpoint): fetch and axios calls to any URL."""
+    parts = [findings(files, ANY_FETCH).select(*KEYS, F.lit("fetch").alias("method"), _found().alias("endpoint")), findings(files, AXIOS, 2).select(*KEYS, F.upper(_found()).alias("method"), _found(1).alias("endpoint"))]
+    return union(parts).distinct()
+
+
+def script_symbols(files: DataFrame) -> DataFrame:
+    """(repo_id, path, kind, name, line): functions, classes and arrow functions of script files, by line rules."""
+    every = [findings(files, p).select(*KEYS, F.lit(k).alias("kind"), _found().alias("name"), "line") for k, p in SYMBOLS.items()]
+    return union(every).distinct()
+
+
+def schema_fields(files: DataFrame) -> DataFrame:
+    """(repo_id, path, name, type): fields of validation schemas with their type's name."""
+    return findings(files, SCHEMA_FIELD, 2).select(*KEYS, _found().alias("name"), _found(1).alias("type")).distinct()

@@ -16,6 +16,8 @@ from reposcope.streaming import feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: The registered SQL before the derived tables are put in front, by the number of its operator.
+ORACLE_SQL_BODY: dict[str, str] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,7 @@ def register(name: str, tables: str, job: Callable[..., DataFrame], sql: str | N
     QUERIES[name] = lambda spark, sf_dir: job(*[_table(spark, sf_dir, t) for t in tables.split()])
     if sql:
         ORACLE_SQL[name] = stated(sql)
+        ORACLE_SQL_BODY[name.split("_")[0]] = sql
 
 
 def _files_once(files: DataFrame) -> DataFrame:
@@ -193,7 +196,6 @@ SELECT n.repo_id, n.node_id, count(*) AS fan_in FROM nodes n JOIN edges e ON e.r
 register("f3_graph_stats", "nodes edges", graph.graph_stats, """SELECT n.*, coalesce(e.edges, 0) AS edges FROM (SELECT repo_id, count(*) FILTER (type = 'view') AS views, count(*) FILTER (type = 'controller') AS controllers,
 count(*) FILTER (type = 'database') AS databases, count(*) FILTER (type = 'validation') AS validations FROM nodes GROUP BY ALL) n LEFT JOIN (SELECT repo_id, count(*) AS edges FROM edges GROUP BY ALL) e USING (repo_id)""")
 register("f18_node_counts", "nodes", lambda n: n.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")), "SELECT repo_id, count(*) AS n FROM nodes GROUP BY ALL")
-_ORPHANS = ORACLE_SQL["d14_orphan_nodes"]
 register("f6_health", "nodes edges", graph.health, """SELECT n.repo_id, n.nodes, coalesce(o.orphans, 0) AS orphans, coalesce(g.unchecked, 0) AS unchecked,
 CAST(greatest(0.0, round(100 - (coalesce(o.orphans, 0) + coalesce(g.unchecked, 0)) / n.nodes * 50)) AS BIGINT) AS score
 FROM (SELECT repo_id, count(*) AS nodes FROM nodes GROUP BY ALL) n
@@ -248,3 +250,76 @@ register("k3_presence", "changes", lambda c: feed.presence(c.select(F.col("repo_
 l AS (SELECT project_id, user_id, max(ts) AS ts, max_by(kind, ts) AS kind FROM p GROUP BY ALL), n AS (SELECT project_id, max(ts) AS newest FROM p GROUP BY ALL)
 SELECT project_id, user_id, kind FROM l JOIN n USING (project_id) WHERE kind <> 'leave' AND epoch(newest) - epoch(ts) <= 30000""")
 register("k5_touched_repositories", "changes", feed.touched_repositories, "SELECT repo_id, count(*) AS changes FROM changes GROUP BY ALL")
+
+
+# --- further paths and scans --------------------------------------------------
+
+_NAMES_CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in paths.LANGUAGE_NAMES.items())
+register("b2_language_name_of", "modules", lambda m: m.select("repo_id", "path", paths.language_name_of(F.col("path")).alias("language")), f"SELECT repo_id, path, CASE {_EXT} {_NAMES_CASE} ELSE upper({_EXT}) END AS language FROM modules")
+register("b9_engine_routes", "modules", lambda m: m.select("repo_id", "path", paths.engine_route(F.concat(F.lit("/"), F.col("path"))).alias("r")).filter("r IS NOT NULL").select("repo_id", "path", "r.route", "r.method").distinct(), """
+SELECT DISTINCT repo_id, path, CASE WHEN p <> '' THEN '/' || p ELSE '/api/' || a END AS route, CASE WHEN p <> '' THEN 'GET' ELSE 'API' END AS method
+FROM (SELECT repo_id, path, regexp_extract('/' || path, '/app/(.+)/page\\.', 1) AS p, regexp_extract('/' || path, '/api/(.+)/route\\.', 1) AS a FROM modules) WHERE p <> '' OR a <> ''""")
+register("b10_classify_file", "modules", lambda m: m.select("repo_id", "path", paths.classify_file(F.col("path"), F.col("source")).alias("category")).distinct(), """
+SELECT DISTINCT repo_id, path, CASE WHEN regexp_matches(lower(path), 'app/|pages/') THEN 'UI_NODE' WHEN regexp_matches(lower(path), 'controller|handler|api') THEN 'LOGIC_NODE' WHEN regexp_matches(lower(path), 'prisma|schema|model') THEN 'DB_NODE'
+  WHEN regexp_matches(lower(source), 'prisma|schema|model') THEN 'DB_NODE' WHEN regexp_matches(lower(source), 'controller|handler|api') THEN 'LOGIC_NODE' END AS category FROM modules""")
+_ROLE = " ".join(f"WHEN regexp_matches(lower(label), '{p}') THEN '{r}'" for r, p in paths.SECTIONS.items())
+register("b13_section_of_node", "nodes", lambda n: n.groupBy("repo_id", paths.section_role(F.regexp_replace("label", "machinery", "manager")).alias("role")).agg(F.count(F.lit(1)).alias("n")), f"SELECT repo_id, CASE {_ROLE} END AS role, count(*) AS n FROM (SELECT repo_id, regexp_replace(label, 'machinery', 'manager') AS label FROM nodes) GROUP BY ALL")
+register("b14_layer_of_node", "nodes", lambda n: n.select("repo_id", "node_id", paths.layer_of(F.col("shape")).alias("layer")), "SELECT repo_id, node_id, CASE shape WHEN 'cylinder' THEN 'database' WHEN 'pill' THEN 'view' WHEN 'diamond' THEN 'validation' WHEN 'rectangle' THEN 'controller' ELSE 'other' END AS layer FROM nodes")
+register("b5_route_params", "modules", lambda m: scan.scan_express_routes(m).select("repo_id", "route").distinct().select("repo_id", "route", F.explode(paths.route_params(F.col("route"))).alias("p")).select("repo_id", "route", "p.name", "p.position", "p.optional"), f"""
+SELECT repo_id, route, regexp_extract(x, '^:(\\w+)', 1) AS name, CAST(i - 1 AS INTEGER) AS position, x LIKE '%?' AS optional FROM (SELECT repo_id, route, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM (
+  SELECT repo_id, route, list_filter(string_split(route, '/'), lambda x: x <> '') AS a FROM (SELECT DISTINCT repo_id, found2 AS route FROM {findings_sql(scan.EXPRESS, 2)}))) WHERE regexp_extract(x, '^:(\\w+)', 1) <> ''""")
+register("c3_scan_exports", "modules", scan.scan_exports, f"""SELECT DISTINCT repo_id, path, found1 AS name, CAST(line AS INTEGER) AS line FROM {findings_sql(scan.EXPORT)}
+UNION SELECT DISTINCT repo_id, path, regexp_extract(trim(x), '^(\\w+)', 1), CAST(line AS INTEGER) FROM (SELECT repo_id, path, line, unnest(string_split(found1, ',')) AS x FROM {findings_sql(scan.EXPORT_LIST)}) WHERE regexp_extract(trim(x), '^(\\w+)', 1) <> ''""")
+register("c8_scan_http_calls", "modules", scan.scan_http_calls, f"SELECT DISTINCT repo_id, path, 'fetch' AS method, found1 AS endpoint FROM {findings_sql(scan.ANY_FETCH)} UNION SELECT DISTINCT repo_id, path, upper(found1), found2 FROM {findings_sql(scan.AXIOS, 2)}")
+register("c20_symbols", "modules", scan.script_symbols, " UNION ".join(f"SELECT DISTINCT repo_id, path, '{k}' AS kind, found1 AS name, CAST(line AS INTEGER) AS line FROM {findings_sql(p)}" for k, p in scan.SYMBOLS.items()))
+register("c31_schema_fields", "modules", scan.schema_fields, f"SELECT DISTINCT repo_id, path, found1 AS name, found2 AS type FROM {findings_sql(scan.SCHEMA_FIELD, 2)}")
+register("d17_unused_exports", "modules", lambda m: link.unused_exports(scan.scan_exports(m), scan.findings(m, r"import\s*\{\s*(\w+)").select("repo_id", F.get("found", F.lit(0)).alias("name")).distinct()), f"""
+SELECT DISTINCT e.repo_id, e.path, e.name FROM ({ORACLE_SQL_BODY['c3']}) e WHERE NOT EXISTS (SELECT 1 FROM {findings_sql(r"import\s*\{\s*(\w+)")} i WHERE i.repo_id = e.repo_id AND i.found1 = e.name)""")
+_STRINGS = f"SELECT DISTINCT repo_id, found1 AS candidate FROM {findings_sql(scan.ROUTE_STRING)} WHERE NOT regexp_matches(found1, '(?i)\\.[a-z0-9]{{2,5}}$') AND NOT starts_with(found1, '//') AND length(found1) <= 100"
+register("d6_match_routes", "modules", lambda m: link.match_routes(scan.scan_route_strings(m).withColumnRenamed("route", "candidate"), paths.crawl_routes(m).select("repo_id", "route").unionByName(scan.controllers(m).select("repo_id", "route")).unionByName(scan.scan_express_routes(m).select("repo_id", "route"))), f"""
+WITH c AS ({_STRINGS}), r AS (SELECT DISTINCT repo_id, route FROM (SELECT repo_id, route FROM ({_ROUTES}) UNION ALL SELECT repo_id, route FROM ({_SERVED}) UNION ALL SELECT repo_id, found2 FROM {findings_sql(scan.EXPRESS, 2)}) WHERE route <> '/'),
+m AS (SELECT c.repo_id, c.candidate, r.route, CASE WHEN r.route = c.candidate THEN 1 WHEN contains(r.route, ':') AND len(string_split(r.route, '/')) = len(string_split(c.candidate, '/')) AND regexp_matches(c.candidate, '^' || regexp_replace(r.route, ':\\w+', '[^/]+', 'g') || '$') THEN 2
+  WHEN starts_with(c.candidate, r.route || '/') THEN 3 END AS rung FROM c JOIN r USING (repo_id))
+SELECT repo_id, candidate, route, CAST(rung AS INTEGER) AS rung FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, candidate ORDER BY rung, length(route) DESC, route) AS k FROM m WHERE rung IS NOT NULL) WHERE k = 1""")
+register("d4_calls_to_controllers", "modules", lambda m: scan.scan_api_calls(m).withColumn("route", F.regexp_replace("endpoint", "(.)/+$", "$1")).join(scan.controllers(m).select("repo_id", "route", F.col("path").alias("controller")), ["repo_id", "route"], "left").select("repo_id", "path", "method", "endpoint", "controller"), f"""
+SELECT a.repo_id, a.path, a.method, a.endpoint, s.path AS controller FROM ({_CALLS}) a LEFT JOIN ({_SERVED}) s ON a.repo_id = s.repo_id AND regexp_replace(a.endpoint, '(.)/+$', '\\1') = s.route""")
+
+# --- further graphs -----------------------------------------------------------
+
+register("a3_cap_files", "modules", lambda m: _files_once(m).withColumn("k", F.expr("row_number() OVER (PARTITION BY repo_id ORDER BY path)")).filter("k <= 20").select("repo_id", "path"), "SELECT repo_id, path FROM (SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS k FROM (SELECT DISTINCT repo_id, path FROM modules)) WHERE k <= 20")
+register("a7_load_graph", "nodes", lambda n: n.withColumn("k", F.expr("row_number() OVER (PARTITION BY repo_id ORDER BY x, node_id)")).filter("k <= 500").select("repo_id", "node_id"), "SELECT repo_id, node_id FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY x, node_id) AS k FROM nodes) WHERE k <= 500")
+register("a10_remap_endpoints", "nodes edges", lambda n, e: graph.remap_endpoints(e, n.select("repo_id", F.col("node_id").alias("label"), F.concat("type", F.lit(":"), "node_id").alias("node_id"))), f"SELECT repo_id, a || ':' || src AS src, b || ':' || dst AS dst FROM ({_TYPED})")
+register("a11_cascade_delete", "nodes edges", lambda n, e: graph.cascade_delete(e, n.filter("y > 50")), "SELECT repo_id, src, dst, kind FROM edges e WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.y > 50 AND n.repo_id = e.repo_id AND n.node_id = e.src) AND NOT EXISTS (SELECT 1 FROM nodes n WHERE n.y > 50 AND n.repo_id = e.repo_id AND n.node_id = e.dst)")
+register("d20_portal_links", "nodes edges sections", lambda n, e, s: graph.portal_links(e, link.assign_section(n, s).filter("section_id IS NOT NULL")), """WITH h AS (SELECT n.repo_id, n.node_id, min(s.section_id) AS section_id FROM nodes n JOIN sections s ON n.repo_id = s.repo_id AND n.x BETWEEN s.x AND s.x + s.w AND n.y BETWEEN s.y AND s.y + s.h GROUP BY ALL)
+SELECT e.repo_id, e.src, e.dst, a.section_id AS src_section, b.section_id AS dst_section FROM edges e JOIN h a ON e.repo_id = a.repo_id AND e.src = a.node_id JOIN h b ON e.repo_id = b.repo_id AND e.dst = b.node_id WHERE a.section_id <> b.section_id""")
+register("d26_merge_reference_edges", "edges", lambda e: e.filter("kind <> 'reference'").select("repo_id", "src", "dst").unionByName(e.filter("kind = 'reference'").select("repo_id", "src", "dst").join(e.filter("kind <> 'reference'").select("repo_id", "src", "dst"), ["repo_id", "src", "dst"], "left_anti")), "SELECT repo_id, src, dst FROM edges WHERE kind <> 'reference' UNION ALL SELECT repo_id, src, dst FROM edges e WHERE kind = 'reference' AND NOT EXISTS (SELECT 1 FROM edges b WHERE b.kind <> 'reference' AND b.repo_id = e.repo_id AND b.src = e.src AND b.dst = e.dst)")
+register("e1_keep_first", "edges", lambda e: keep_first(e, ["repo_id", "src"], ["dst", "kind"]), "SELECT repo_id, src, dst, kind FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, src ORDER BY dst, kind) AS k FROM edges) WHERE k = 1")
+register("e4_lane_positions", "nodes", lambda n: n.select("repo_id", "type", "node_id", F.expr("row_number() OVER (PARTITION BY repo_id, type ORDER BY y, x, node_id)").alias("position")), "SELECT repo_id, type, node_id, CAST(row_number() OVER (PARTITION BY repo_id, type ORDER BY y, x, node_id) AS INTEGER) AS position FROM nodes")
+register("f9_issue_stats", "nodes edges", lambda n, e: graph.issues(n, e).groupBy("repo_id", "kind", "severity").agg(F.count(F.lit(1)).alias("n")), f"""SELECT repo_id, kind, severity, count(*) AS n FROM (
+SELECT repo_id, 'god-class' AS kind, severity FROM ({ORACLE_SQL_BODY['f4']}) UNION ALL SELECT repo_id, 'oversized-file', severity FROM ({ORACLE_SQL_BODY['f5']}) UNION ALL SELECT repo_id, 'view-to-db', 'high' FROM ({_TYPED}) WHERE a = 'view' AND b = 'database'
+UNION ALL SELECT repo_id, 'missing-validation', 'medium' FROM ({_GAPS}) UNION ALL SELECT repo_id, 'orphan', 'low' FROM ({ORACLE_SQL_BODY['d14']})) GROUP BY ALL""")
+register("f10_churn", "changes", lambda c: c.groupBy("repo_id", "change").agg(F.round(F.sum("value"), 2).alias("total"), F.count(F.lit(1)).alias("n")), "SELECT repo_id, change, round(sum(value), 2) AS total, count(*) AS n FROM changes GROUP BY ALL")
+register("g2_flow_trace", "nodes edges", lambda n, e: graph.flow_trace(n.filter("type = 'view' AND x > 9000"), n, e, 3), """WITH RECURSIVE t AS (SELECT repo_id, node_id AS origin, node_id, 0 AS d FROM nodes WHERE type = 'view' AND x > 9000 UNION SELECT t.repo_id, t.origin, e.dst, t.d + 1 FROM t JOIN edges e ON e.repo_id = t.repo_id AND e.src = t.node_id WHERE t.d < 3)
+SELECT t.repo_id, t.origin, t.node_id, min(t.d) AS depth, bool_and(s.src IS NULL) AS is_exit FROM t LEFT JOIN (SELECT DISTINCT repo_id, src FROM edges) s ON s.repo_id = t.repo_id AND s.src = t.node_id GROUP BY t.repo_id, t.origin, t.node_id""")
+register("g4_cycles", "nodes edges", graph.cycle_nodes, """WITH RECURSIVE r AS (SELECT DISTINCT repo_id, src AS a, dst AS b FROM edges WHERE kind = 'reference' UNION SELECT r.repo_id, r.a, e.dst FROM r JOIN edges e ON e.repo_id = r.repo_id AND e.src = r.b AND e.kind = 'reference')
+SELECT x.repo_id, x.a AS node_id, min(x.b) AS cycle FROM r x JOIN r y ON x.repo_id = y.repo_id AND x.a = y.b AND x.b = y.a GROUP BY ALL""")
+_CLOSURE = f"""t AS (SELECT repo_id, path AS origin, path AS node_id, 0 AS d FROM ({_ROUTES}) UNION SELECT t.repo_id, t.origin, i.target, t.d + 1 FROM t JOIN imp i ON i.repo_id = t.repo_id AND i.path = t.node_id WHERE i.target IS NOT NULL AND t.d < 5)"""
+register("g6_import_closure", "modules", lambda m: graph.import_closure(paths.crawl_routes(m), link.import_edges(m)))
+register("f7_shared_components", "modules", lambda m: graph.shared_components(graph.import_closure(m.filter("path LIKE 'src/components/%'").select("repo_id", "path").distinct(), link.import_edges(m))))
+register("g9_bypass_paths", "nodes edges", graph.bypass_paths, f"""WITH t AS ({_TYPED}), s2 AS (SELECT DISTINCT x.repo_id, x.src, y.dst, y.b FROM t x JOIN t y ON x.repo_id = y.repo_id AND x.dst = y.src WHERE x.a = 'view' AND x.b <> 'controller'),
+s3 AS (SELECT DISTINCT x.repo_id, x.src, y.dst, y.b FROM s2 x JOIN t y ON x.repo_id = y.repo_id AND x.dst = y.src WHERE x.b <> 'controller')
+SELECT DISTINCT repo_id, src, dst FROM (SELECT * FROM s2 UNION ALL SELECT * FROM s3) p WHERE b = 'database' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.repo_id = p.repo_id AND e.src = p.src AND e.dst = p.dst)""")
+register("g12_longest_path_rank", "nodes edges", graph.longest_path_rank)
+register("g14_dag_share", "nodes edges", graph.dag_share)
+register("g15_execution_order", "nodes edges", graph.execution_order, """WITH RECURSIVE t AS (SELECT repo_id, node_id, 0 AS d FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.repo_id = n.repo_id AND e.dst = n.node_id) UNION SELECT t.repo_id, e.dst, t.d + 1 FROM t JOIN edges e ON e.repo_id = t.repo_id AND e.src = t.node_id WHERE t.d < 200)
+SELECT n.repo_id, n.node_id, coalesce(min(t.d), -1) AS depth FROM nodes n LEFT JOIN t USING (repo_id, node_id) GROUP BY ALL""")
+register("f13_impact_counts", "nodes edges", lambda n, e: graph.blast_radius(n.filter("node_id LIKE 's%' OR node_id LIKE 'c%'").filter("x > 9000"), e).groupBy("repo_id", "origin", "category").agg(F.count(F.lit(1)).alias("n")), f"SELECT repo_id, origin, category, count(*) AS n FROM ({ORACLE_SQL_BODY['g1']}) GROUP BY ALL")
+register("f15_many_to_many", "modules", lambda m: schema.many_to_many(schema.schema_catalog(_ddl(m).withColumn("source", F.regexp_replace("source", "name VARCHAR", "post_id INTEGER REFERENCES posts(id), name VARCHAR")))), """WITH f AS (SELECT repo_id, path, min(source) AS source FROM modules WHERE path LIKE '%.sql' GROUP BY ALL), t AS (SELECT repo_id, path, regexp_extract(source, 'CREATE TABLE (\\w+)', 1) AS junction FROM f)
+SELECT repo_id, path, junction, 'posts' AS table_a, 'users' AS table_b FROM t WHERE junction NOT IN ('users', 'posts')""")
+register("h2_universal_type", "modules", lambda m: schema.schema_catalog(_ddl(m)).groupBy("repo_id", "raw_type", "type").agg(F.count(F.lit(1)).alias("n")), """WITH f AS (SELECT DISTINCT repo_id, path FROM modules WHERE path LIKE '%.sql')
+SELECT repo_id, raw_type, type, count(*) AS n FROM f CROSS JOIN (VALUES ('SERIAL', 'INTEGER'), ('VARCHAR(40)', 'TEXT'), ('NUMERIC(10, 2)', 'NUMERIC'), ('INTEGER', 'INTEGER')) AS c(raw_type, type) GROUP BY ALL""")
+register("h4_native_type", "modules", lambda m: schema.schema_catalog(_ddl(m)).groupBy("repo_id", "type", schema.native_type(F.col("type"), "sqlite").alias("native")).agg(F.count(F.lit(1)).alias("n")), """WITH f AS (SELECT DISTINCT repo_id, path FROM modules WHERE path LIKE '%.sql')
+SELECT repo_id, type, native, count(*) AS n FROM f CROSS JOIN (VALUES ('INTEGER', 'INTEGER'), ('TEXT', 'TEXT'), ('NUMERIC', 'REAL'), ('INTEGER', 'INTEGER')) AS c(type, native) GROUP BY ALL""")
+register("i3_required_names", "modules", lambda m: scan.env_variables(m).filter("required").select("repo_id", "name").distinct(), f"SELECT DISTINCT repo_id, name FROM ({_ENV}) WHERE required")
+register("k6_sync_actions", "nodes", lambda n: n.select("repo_id", "node_id", paths.target_file(F.col("label"), F.col("shape")).alias("file")), """SELECT repo_id, node_id, CASE WHEN starts_with(label, '/api/') THEN 'app/api/' || regexp_replace(label, '^/api/+', '') || '/route.ts' WHEN starts_with(label, '/') THEN 'app/' || regexp_replace(label, '^/+', '') || '/page.tsx'
+  WHEN shape = 'cylinder' THEN 'lib/models/' || regexp_replace(label, '[^a-zA-Z0-9]', '_', 'g') || '.ts' ELSE 'lib/' || regexp_replace(label, '[^a-zA-Z0-9]', '_', 'g') || '.ts' END AS file FROM nodes""")
