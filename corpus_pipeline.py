@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reposcope.llm.bpe import encoded, tokenizer_path
-from reposcope.llm.common import read, written
+from reposcope.llm.common import forget, read, written
 from reposcope.llm.decontamination import drop_contaminated
 from reposcope.llm.exact_dedup import drop_copies
 from reposcope.llm.minhash_dedup import drop_near_copies
@@ -56,6 +56,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of `sf_dir`; between stages the documents are a table in the shared folder."""
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        if k:
+            forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)

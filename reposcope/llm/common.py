@@ -99,10 +99,23 @@ def keep_rows(docs: DataFrame, keys: dict[str, Column], stay: DataFrame) -> Data
 
 
 def written(df: DataFrame) -> DataFrame:
-    """`df` as a Parquet table in the shared folder, which cuts its lineage."""
+    """`df` as a Parquet table in the shared folder, which cuts its lineage.
+
+    Loops use it rather than `checkpointed`: a checkpoint inherits the size that
+    Spark has estimated, and estimates of joins multiply from round to round.
+    """
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def forget(table: DataFrame) -> None:
+    """Deletes what `written` wrote; the table can't be read any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reposcope.llm.common import checkpointed
+from reposcope.llm.common import forget, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,18 +17,19 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     large group. Links with a null end are ignored.
     """
     one = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    both = checkpointed(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = checkpointed(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")))
-    while True:
+    both = written(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    step = written(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("u").alias("old"), F.least("u", "v").alias("label")))
+    while not step.filter("old <> label").isEmpty():
+        labels, last = step.select("node", "label"), step
         near = (
             both.join(labels.select(F.col("node").alias("v"), "label"), "v")
             .groupBy("u")
             .agg(F.min("label").alias("near"))
             .select(F.col("u").alias("node"), "near")
         )
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         above = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        step = checkpointed(step.join(above, "label").select("node", "old", F.least("label", "up").alias("label")))
-        labels = step.select("node", "label")
-        if step.filter("old <> label").isEmpty():
-            return labels
+        step = written(lower.join(above, "label").select("node", "old", F.least("label", "up").alias("label")))
+        forget(last)
+    forget(both)
+    return step.select("node", "label")

@@ -4,15 +4,15 @@ Documents with the same shingle set are one node. A node is posted under each
 (coordinate, value) pair of its MinHash signature. A pair of nodes is a
 candidate if it collides in MATCHES or more of the COORDINATES; at the
 similarity threshold a true pair has fewer collisions with a chance of about
-1e-8. Two bounds keep the join small without losing such a pair:
+1e-7. Two bounds keep the join small without losing such a pair:
 
 - prefix: of a node's pairs, ordered from rare to frequent, all but MATCHES - 1
   suffice, since any MATCHES collisions include one of them. Values that no
   other node has are counted in, so most nodes have no posting left at all;
 - skip: once a posting's members are known to be linked, they are not paired
-  any more. First every member meets a few pivots of its posting; only members
-  of different components are then paired, so a group of copies costs rows in
-  proportion to its size.
+  any more. In a few rounds every member meets only the pivot of its posting;
+  the members that are then still in different components are paired, so a
+  group of copies costs rows in proportion to its size.
 
 Collisions are counted on whole signatures and links confirmed on full sets.
 Because pairs are skipped only inside one component, components are exact.
@@ -45,14 +45,17 @@ from reposcope.llm.common import (
     text_buffers,
     with_fingerprint,
     word_hashes,
+    written,
 )
 from reposcope.llm.components import components
 
 #: Similarity from which documents are linked, in hundredths.
 SIMILAR = 80
-COORDINATES, MATCHES = 48, 20
-#: Collisions that let a pair count as linked before its sets are compared.
-LIKELY = 40
+COORDINATES, MATCHES = 32, 12
+#: Bits of the bitmap by which rows are chosen before their texts are dealt.
+BITS = 1 << 21
+#: Rounds in which the members of a posting meet only its pivot.
+STAR_ROUNDS = 5
 
 _rng = np.random.default_rng(8)
 _FACTORS = _rng.integers(0, 2**63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,12 +127,15 @@ def nodes_of(documents: DataFrame) -> DataFrame:
     """One row per different set: node (a number), id and fp of its smallest document, n, digest, sig."""
     rows = documents.filter("digest IS NOT NULL")
     found = rows.groupBy("digest").agg(F.min(F.struct("id", "fp")).alias("least"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"))
-    found = checkpointed(found.select("digest", "least.id", "least.fp", "n", "sig"))
-    return checkpointed(found.withColumn("node", F.monotonically_increasing_id()))
+    # numbers follow the checkpoint's partitions, so every read gives the same
+    return checkpointed(found.select("digest", "least.id", "least.fp", "n", "sig")).withColumn("node", F.monotonically_increasing_id())
 
 
 def postings(nodes: DataFrame, similar: int) -> DataFrame:
-    """(token, node, n): the prefix of each node's signature, from its rarest values.
+    """(token, node, n, weight): the prefix of each node's signature, from its rarest values.
+
+    weight adds up how often the node's values occur, which is most for the
+    text that others were copied from.
 
     A set so small that only an equal one is similar is not posted.
     """
@@ -138,14 +144,15 @@ def postings(nodes: DataFrame, similar: int) -> DataFrame:
     tokens = nodes.filter(F.col("n") >= least).select("node", "n", F.explode(values).alias("token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select(F.bitwise_not("token").alias("key"), "df")
     mine = (
-        tokens.withColumn("key", F.bitwise_not("token"))
+        tokens.select("node", "n", F.bitwise_not("token").alias("key"))
         .join(shared, "key")
         .groupBy("node")
-        .agg(F.any_value("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+        .agg(F.any_value("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", F.bitwise_not("key").alias("token")))).alias("tokens"))
         .filter(F.size("tokens") >= MATCHES)
     )
     prefix = F.slice("tokens", F.lit(1), F.size("tokens") - (MATCHES - 1))
-    return mine.select("node", "n", F.explode(prefix).alias("t")).select(F.col("t.token").alias("token"), "node", "n")
+    weight = F.aggregate("tokens", F.lit(0).cast("long"), lambda s, t: s + t["df"])
+    return mine.select("node", "n", weight.alias("weight"), F.explode(prefix).alias("t")).select(F.col("t.token").alias("token"), "node", "n", "weight")
 
 
 def _fits(similar: int) -> str:
@@ -153,28 +160,25 @@ def _fits(similar: int) -> str:
     return f"least(n, m) * 100 >= greatest(n, m) * {similar}"
 
 
-def pivot_pairs(posted: DataFrame, similar: int) -> DataFrame:
-    """(a, b): each posting's members with its pivots, four of its members."""
-    member = F.struct("node", "n")
-    pivots = posted.groupBy("token").agg(
-        F.array_distinct(
-            F.array(F.min(member), F.max(member), F.min_by(member, F.xxhash64("node")), F.max_by(member, F.xxhash64("node")))
-        ).alias("pivots")
-    )
-    met = posted.withColumn("key", F.bitwise_not("token")).join(pivots.select(F.bitwise_not("token").alias("key"), "pivots"), "key")
-    fitting = F.filter("pivots", lambda p: (p["node"] != F.col("node")) & (F.least(p["n"], F.col("n")) * 100 >= F.greatest(p["n"], F.col("n")) * similar))
-    per_node = met.select("node", F.transform(fitting, lambda p: p["node"]).alias("pivots"))
-    pairs = per_node.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots"))
-    pairs = pairs.select("node", F.explode("pivots").alias("pivot"))
-    return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+def mixed_postings(posted: DataFrame, labels: DataFrame) -> DataFrame:
+    """`posted` with label, the component of each member, without postings of one component."""
+    labelled = posted.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    keyed = labelled.withColumn("key", F.bitwise_not("token")).join(mixed.select(F.bitwise_not("token").alias("key")), "key")
+    return keyed.select("token", "node", "n", "weight", "label")
+
+
+def pivot_pairs(posted: DataFrame, similar: int, order: list) -> DataFrame:
+    """(a, b): each posting's members with its pivot, the last in `order`, unless one component holds both."""
+    pivot = F.max_by(F.struct("node", "n", "label"), F.struct(*order, F.col("node"))).alias("p")
+    pivots = posted.groupBy("token").agg(pivot).select(F.bitwise_not("token").alias("key"), F.col("p.node").alias("a"), F.col("p.n").alias("m"), F.col("p.label").alias("other"))
+    met = posted.withColumn("key", F.bitwise_not("token")).join(pivots, "key").filter(f"label <> other AND {_fits(similar)}")
+    return met.select("a", F.col("node").alias("b")).distinct()
 
 
-def crossing_pairs(posted: DataFrame, labels: DataFrame, similar: int) -> DataFrame:
+def crossing_pairs(posted: DataFrame, similar: int) -> DataFrame:
     """(a, b): members of one posting that belong to different components."""
-    labelled = posted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    mixed = mixed.select(F.bitwise_not("token").alias("key"))
-    left = checkpointed(labelled.withColumn("key", F.bitwise_not("token")).join(mixed, "key").select("key", "node", "n", "label"))
+    left = posted.select(F.bitwise_not("token").alias("key"), "node", "n", "label")
     right = left.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
     pairs = left.join(right, "key").filter(f"node < b AND label <> other AND {_fits(similar)}")
     return pairs.select(F.col("node").alias("a"), "b").distinct()
@@ -188,34 +192,94 @@ def colliding(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", hits.alias("hits")).filter(F.col("hits") >= MATCHES)
 
 
-def linked(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, similar: int) -> DataFrame:
-    """(a, b, linked): whether the full shingle sets of each pair are similar enough.
+def likely_among(rows: DataFrame, needs: DataFrame) -> DataFrame:
+    """Rows (id, fp, …) that may be in `needs`, by a bitmap of BITS bits; what it lets through wrongly is harmless.
+
+    The bitmap has the same size whatever the number of rows, so it can be
+    broadcast; with very many needs it is full and lets every row through.
+    """
+    at = F.pmod(F.xxhash64("id", "fp"), F.lit(BITS))
+    bitmaps = needs.select((F.shiftright(at, 15)).alias("bucket"), at.bitwiseAND(F.lit(32767)).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    placed = rows.withColumns({"bucket": F.shiftright(at, 15), "bit": at.bitwiseAND(F.lit(32767))})
+    byte = F.conv(F.hex(F.expr("substring(bitmap, cast(bit div 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    kept = placed.join(F.broadcast(bitmaps), "bucket").filter(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1)
+    return kept.select(*rows.columns)
+
+
+def node_sets(needs: DataFrame, documents: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """(node, shingles): the sets of the nodes in `needs` (id, fp, node).
 
-    The text of a node's smallest document is read again, its set made once and
-    sent to the partner of each of its pairs.
+    The text of a node's smallest document is read again.
     """
-    ends = pairs.select("a", "b", F.explode(F.array(F.col("a"), F.col("b"))).alias("node"))
-    needs = ends.groupBy("node").agg(F.collect_set(F.when(F.col("node") == F.col("b"), F.col("a"))).alias("firsts"))
-    needs = needs.join(nodes.select("node", "id", "fp"), "node")
-    sets = rows.join(needs, ["id", "fp"]).select("node", "firsts", "text")
+    times = documents.groupBy("id", "fp").agg(F.count(F.lit(1)).alias("times"))
+    wanted = checkpointed(needs.join(times, ["id", "fp"]))
+    found = likely_among(rows, wanted).join(wanted, ["id", "fp"]).select("node", "times", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offs = text_buffers(batch.column(2))
             for a, b in passes(offs):
-                found = shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], size)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))],
-                    ["node", "firsts", "shingles"],
-                )
-
-    made = checkpointed(sets.mapInArrow(run, "node long, firsts array<long>, shingles array<long>").dropDuplicates(["node"]))
-    of_a = made.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    of_b = made.select(F.explode("firsts").alias("a"), F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = of_b.join(of_a, "a").select("a", "b", F.size(F.array_intersect("x", "y")).alias("same"), (F.size("x") + F.size("y")).alias("all"))
+                made = shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], size)
+                columns = [*(batch.column(i).slice(a, b - a) for i in range(2)), pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "times", "shingles"])
+
+    made = checkpointed(found.mapInArrow(run, "node long, times long, shingles array<long>"))
+    return made.filter("times = 1").unionByName(made.filter("times > 1").dropDuplicates(["node"])).drop("times")
+
+
+def with_sets(sets: DataFrame | None, pairs: DataFrame, nodes: DataFrame, documents: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """`sets` and those of the nodes of `pairs` that it lacks."""
+    lacking = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if sets is not None:
+        lacking = written(lacking.join(sets.select("node"), "node", "left_anti"))
+        if lacking.isEmpty():
+            return sets
+    made = node_sets(lacking.join(nodes.select("node", "id", "fp"), "node"), documents, rows, size)
+    return made if sets is None else sets.unionByName(made)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """(a, b, linked): whether the full sets of each pair are similar enough; only the sets of the pairs travel."""
+    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).join(pairs.select("a").distinct(), "a", "left_semi")
+    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(pairs.select("a", "b"), "b")
+    both = y.join(x, "a").select("a", "b", F.size(F.array_intersect("x", "y")).alias("same"), (F.size("x") + F.size("y")).alias("all"))
     return both.select("a", "b", (F.col("same") * 100 >= (F.col("all") - F.col("same")) * similar).alias("linked"))
 
 
+def link_table(nodes: DataFrame, documents: DataFrame, rows: DataFrame, size: int, similar: int) -> DataFrame:
+    """(node, label): components of all links between nodes.
+
+    In the first round each posting's pivot is its heaviest member, in the next
+    ones a member in the order of a hash; a node is compared with the pivot of
+    most collisions. At the end every candidate that still joins two components
+    is compared, so none is left out.
+    """
+    posted = written(postings(nodes, similar))
+    sets = None
+    open_ = posted.withColumn("label", F.col("node"))
+    checked = None
+    for k in range(STAR_ROUNDS + 1):
+        if k < STAR_ROUNDS:
+            order = [F.col("weight")] if not k else [F.xxhash64("node", F.lit(k))]
+            found = colliding(pivot_pairs(open_, similar, order), nodes)
+            chosen = found.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a")).select("a", "b")
+        else:
+            chosen = colliding(crossing_pairs(open_, similar), nodes).select("a", "b")
+        if checked is not None:
+            done = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            chosen = chosen.join(done, ["a", "b"], "left_anti")
+        chosen = written(chosen)
+        sets = with_sets(sets, chosen, nodes, documents, rows, size)
+        new = written(confirmed(chosen, sets, similar))
+        checked = new if checked is None else written(checked.unionByName(new))
+        labels = components(checked.filter("linked"))
+        if k < STAR_ROUNDS:
+            open_ = written(mixed_postings(open_, labels))
+            if open_.isEmpty():
+                break
+    return labels
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: int = SIMILAR) -> DataFrame:
     """Per input row: doc_id, n_shingles, component_id, kept; and the row's
     key (id, fp) and whether it is the first row of its component (first).
@@ -230,18 +294,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = with_fingerprint(keyed_text(docs, id_col, text_col))
     documents = checkpointed(document_signatures(rows, shingle))
     nodes = nodes_of(documents)
-    posted = checkpointed(postings(nodes, similar))
-    likely = checkpointed(colliding(pivot_pairs(posted, similar), nodes))
-    labels = components(likely.filter(F.col("hits") >= LIKELY))
-    crossing = colliding(crossing_pairs(posted, labels, similar), nodes)
-    pairs = checkpointed(likely.unionByName(crossing).select("a", "b").distinct())
-    checked = checkpointed(linked(pairs, nodes, rows, shingle, similar))
-    while True:
-        labels = components(checked.filter("linked"))
-        left = checkpointed(colliding(crossing_pairs(posted, labels, similar), nodes).join(checked, ["a", "b"], "left_anti"))
-        if left.isEmpty():
-            break
-        checked = checkpointed(checked.unionByName(linked(left, nodes, rows, shingle, similar)))
+    labels = link_table(nodes, documents, rows, shingle, similar)
     named = nodes.select("digest", "node", "id", F.col("fp").alias("print")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min(F.struct("id", "print")).alias("component"))
     found = named.withColumn("key", F.bitwise_not("label")).join(least.select(F.bitwise_not("label").alias("key"), "component"), "key").select("digest", "component")
