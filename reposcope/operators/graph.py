@@ -7,6 +7,8 @@ spreads over the cluster. Loops write each round to the shared folder.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from reposcope.functions.text import union
 from reposcope.sources.tables import written
 
 REPO = "repo_id"
+#: Levels of a loop kept as tables of their own before they are written as one.
+LEVELS = 16
 
 
 def ends(edges: DataFrame) -> DataFrame:
@@ -115,23 +119,26 @@ def health(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select(REPO, "nodes", "orphans", "unchecked", score.cast("long").alias("score"))
 
 
-def reach(seeds: DataFrame, edges: DataFrame, depth: int, backward: bool = False) -> DataFrame:
-    """(repo_id, origin, node_id, depth): what each seed (repo_id, origin, node_id) reaches in up to `depth` edges.
+def reach(seeds: DataFrame, edges: DataFrame, depth: int | None = None, backward: bool = False) -> DataFrame:
+    """(repo_id, origin, node_id, depth): what each seed (repo_id, origin, node_id) reaches in up to `depth` edges, or in any number.
 
     Levels run one after the other; a level keeps only what no level before it
-    has, so cycles end. The seed itself has depth 0.
+    has, so cycles end. The seed itself has depth 0. Many levels are written as
+    one, so that plans don't grow with the depth.
     """
     a, b = ("dst", "src") if backward else ("src", "dst")
-    step = edges.select(REPO, F.col(a).alias("node_id"), F.col(b).alias("next")).distinct()
+    step = written(edges.select(REPO, F.col(a).alias("node_id"), F.col(b).alias("next")).distinct())
     key = [REPO, "origin", "node_id"]
     front = written(seeds.select(*key).distinct().withColumn("depth", F.lit(0)))
     levels = [front]
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
         near = front.join(step, [REPO, "node_id"]).select(REPO, "origin", F.col("next").alias("node_id")).distinct()
         front = written(near.join(union(levels), key, "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
             break
         levels.append(front)
+        if len(levels) > LEVELS:
+            levels = [written(union(levels))]
     return union(levels)
 
 
@@ -200,6 +207,18 @@ def flow_trace(origins: DataFrame, nodes: DataFrame, edges: DataFrame, depth: in
     return ahead.join(ends_, [REPO, "node_id"], "left").select(REPO, "origin", "node_id", "depth", F.coalesce("is_exit", F.lit(False)).alias("is_exit"))
 
 
+def flow_traces(origins: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 50) -> DataFrame:
+    """(repo_id, origin, direction, node_id, depth, is_exit): what lies ahead of and behind each origin, and which of it has no way on.
+
+    Ends that are no nodes are neither listed nor passed, but a node with an edge to one is no exit.
+    """
+    seeds = origins.select(REPO, F.col("node_id").alias("origin"), "node_id")
+    known = written(valid_edges(nodes, edges))
+    found = union([reach(seeds, known, depth, way == "backward").withColumn("direction", F.lit(way)) for way in ("forward", "backward")])
+    last = union([f(nodes, edges).select(REPO, "node_id", F.lit(way).alias("direction"), F.lit(True).alias("is_exit")) for f, way in ((exit_points, "forward"), (entry_points, "backward"))])
+    return found.join(last, [REPO, "node_id", "direction"], "left").select(REPO, "origin", "direction", "node_id", "depth", F.coalesce("is_exit", F.lit(False)).alias("is_exit"))
+
+
 def import_closure(pages: DataFrame, imports: DataFrame, depth: int = 5) -> DataFrame:
     """(repo_id, origin, node_id, depth): files that each page (repo_id, path) reaches by resolved imports."""
     edges = imports.filter("target IS NOT NULL").select(REPO, F.col("path").alias("src"), F.col("target").alias("dst"))

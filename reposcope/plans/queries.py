@@ -301,6 +301,8 @@ UNION ALL SELECT repo_id, 'missing-validation', 'medium' FROM ({_GAPS}) UNION AL
 register("f10_churn", "changes", lambda c: c.groupBy("repo_id", "change").agg(F.round(F.sum("value"), 2).alias("total"), F.count(F.lit(1)).alias("n")), "SELECT repo_id, change, round(sum(value), 2) AS total, count(*) AS n FROM changes GROUP BY ALL")
 register("g2_flow_trace", "nodes edges", lambda n, e: graph.flow_trace(n.filter("type = 'view' AND x > 9000"), n, e, 3), """WITH RECURSIVE t AS (SELECT repo_id, node_id AS origin, node_id, 0 AS d FROM nodes WHERE type = 'view' AND x > 9000 UNION SELECT t.repo_id, t.origin, e.dst, t.d + 1 FROM t JOIN edges e ON e.repo_id = t.repo_id AND e.src = t.node_id WHERE t.d < 3)
 SELECT t.repo_id, t.origin, t.node_id, min(t.d) AS depth, bool_and(s.src IS NULL) AS is_exit FROM t LEFT JOIN (SELECT DISTINCT repo_id, src FROM edges) s ON s.repo_id = t.repo_id AND s.src = t.node_id GROUP BY t.repo_id, t.origin, t.node_id""")
+# the SQL states only a sample of the trace; this is the whole of it
+register("g2_flow_trace_whole", "nodes edges", lambda n, e: graph.flow_traces(n, n, e))
 register("g4_cycles", "nodes edges", graph.cycle_nodes, """WITH RECURSIVE r AS (SELECT DISTINCT repo_id, src AS a, dst AS b FROM edges WHERE kind = 'reference' UNION SELECT r.repo_id, r.a, e.dst FROM r JOIN edges e ON e.repo_id = r.repo_id AND e.src = r.b AND e.kind = 'reference')
 SELECT x.repo_id, x.a AS node_id, min(x.b) AS cycle FROM r x JOIN r y ON x.repo_id = y.repo_id AND x.a = y.b AND x.b = y.a GROUP BY ALL""")
 _CLOSURE = f"""t AS (SELECT repo_id, path AS origin, path AS node_id, 0 AS d FROM ({_ROUTES}) UNION SELECT t.repo_id, t.origin, i.target, t.d + 1 FROM t JOIN imp i ON i.repo_id = t.repo_id AND i.path = t.node_id WHERE i.target IS NOT NULL AND t.d < 5)"""

@@ -1,0 +1,44 @@
+"""Operators over the whole job, against brute force."""
+
+import random
+
+from test_reference import edges, first, nodes, spark  # noqa: F401
+
+from reposcope.operators import graph
+
+
+def steps(pairs, start, most=None, backward=False):
+    """Node: edges from `start`, breadth first."""
+    found, front, d = {start: 0}, [start], 0
+    while front and (most is None or d < most):
+        d += 1
+        front = sorted({b for x, y in pairs for a, b in [(y, x) if backward else (x, y)] if a in front} - set(found))
+        found.update(dict.fromkeys(front, d))
+    return found
+
+
+def some_graph():
+    rng = random.Random(3)
+    kinds = {f"{k}{i}": t for k, t in (("c", "view"), ("o", "controller"), ("p", "database"), ("s", "validation")) for i in range(4)}
+    return kinds, sorted({(rng.choice(list(kinds)), rng.choice(list(kinds))) for _ in range(20)})
+
+
+def test_flow_traces_of_all_nodes_both_ways(spark):  # noqa: F811
+    kinds, pairs = some_graph()
+    chain = [(f"k{i:02}", f"k{i + 1:02}") for i in range(6)]
+    kinds |= dict.fromkeys(sorted({x for p in chain for x in p}), "controller")
+    pairs += chain
+    loose = [*pairs, ("o0", "nowhere"), ("nowhere", "o1")]
+    got = first(graph.flow_traces(nodes(spark, **kinds), nodes(spark, **kinds), edges(spark, *loose)), "origin", "direction", "node_id", "depth", "is_exit")
+    last = {"forward": {n for n in kinds if n not in {a for a, _ in loose}}, "backward": {n for n in kinds if n not in {b for _, b in loose}}}
+    want = [(o, way, n, d, n in last[way]) for o in kinds for way in last for n, d in steps(pairs, o, 50, way == "backward").items()]
+    assert got == sorted(want)
+    assert ("k00", "forward", "k06", 6, True) in got and ("p0", "backward") in {r[:2] for r in got}
+
+
+def test_whole_trace_is_registered(spark):  # noqa: F811
+    from reposcope.plans.queries import QUERIES
+
+    rows = QUERIES["g2_flow_trace_whole"](spark, "/root/testdata/sf0.001")
+    assert {r[0] for r in rows.selectExpr("substring(origin, 1, 1)").distinct().collect()} == set("cops")
+    assert {r[0] for r in rows.select("direction").distinct().collect()} == {"forward", "backward"}
