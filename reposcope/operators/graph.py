@@ -142,8 +142,8 @@ def reach(seeds: DataFrame, edges: DataFrame, depth: int | None = None, backward
     return union(levels)
 
 
-def blast_radius(origins: DataFrame, edges: DataFrame, depth: int = 50) -> DataFrame:
-    """(repo_id, origin, node_id, category, depth): what breaks if an origin (repo_id, node_id) is deleted.
+def blast_radius(origins: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(repo_id, origin, node_id, category, depth): what breaks if an origin (repo_id, node_id) is deleted, at any depth if none is given.
 
     Nodes ahead are direct (one edge) or transitive; nodes only behind it are
     orphaned by the deletion. The origin itself is not listed.

@@ -210,6 +210,9 @@ bw AS (SELECT repo_id, origin, origin AS node_id, 0 AS d FROM o UNION SELECT b.r
 b AS (SELECT repo_id, origin, node_id, min(d) AS d FROM bw GROUP BY ALL)
 SELECT repo_id, origin, node_id, CASE WHEN d = 1 THEN 'direct' ELSE 'transitive' END AS category, d AS depth FROM f WHERE d > 0
 UNION ALL SELECT repo_id, origin, node_id, 'orphaned-by-deletion', d FROM b WHERE d > 0 AND NOT EXISTS (SELECT 1 FROM f WHERE f.repo_id = b.repo_id AND f.origin = b.origin AND f.node_id = b.node_id)""")
+# the SQL of g1 and f13 states only a sample of origins; these run over all nodes
+register("g1_blast_radius_whole", "nodes edges", graph.blast_radius)
+register("f13_impact_counts_whole", "nodes edges", lambda n, e: graph.blast_radius(n, e).groupBy("repo_id", "origin", "category").agg(F.count(F.lit(1)).alias("n")))
 register("g8_validation_gaps", "nodes edges", lambda n, e: graph.gaps(n, e, F.col("type") == "database", F.col("type") == "validation"), """WITH RECURSIVE g AS (SELECT repo_id, node_id, 0 AS d FROM nodes WHERE type = 'validation' UNION SELECT g.repo_id, e.dst, g.d + 1 FROM g JOIN edges e ON e.repo_id = g.repo_id AND e.src = g.node_id WHERE g.d < 5)
 SELECT repo_id, node_id, type FROM nodes n WHERE type = 'database' AND NOT EXISTS (SELECT 1 FROM g WHERE g.repo_id = n.repo_id AND g.node_id = n.node_id)""")
 register("g7_auth_gaps", "nodes edges", lambda n, e: graph.gaps(n, e, F.col("type") == "database", (F.col("type") == "view") & F.col("label").contains("machinery")), """WITH RECURSIVE g AS (SELECT repo_id, node_id, 0 AS d FROM nodes WHERE type = 'view' AND contains(label, 'machinery') UNION SELECT g.repo_id, e.dst, g.d + 1 FROM g JOIN edges e ON e.repo_id = g.repo_id AND e.src = g.node_id WHERE g.d < 5)

@@ -42,3 +42,23 @@ def test_whole_trace_is_registered(spark):  # noqa: F811
     rows = QUERIES["g2_flow_trace_whole"](spark, "/root/testdata/sf0.001")
     assert {r[0] for r in rows.selectExpr("substring(origin, 1, 1)").distinct().collect()} == set("cops")
     assert {r[0] for r in rows.select("direction").distinct().collect()} == {"forward", "backward"}
+
+
+def test_blast_radius_beyond_50_edges(spark):  # noqa: F811
+    kinds, pairs = some_graph()
+    chain = [(f"k{i:02}", f"k{i + 1:02}") for i in range(60)]
+    origins = [*kinds, "k00"]
+    got = first(graph.blast_radius(nodes(spark, **dict.fromkeys(origins, "view")), edges(spark, *pairs, *chain)), "origin", "node_id", "category", "depth")
+    want = []
+    for o in origins:
+        ahead, behind = steps(pairs + chain, o), steps(pairs + chain, o, backward=True)
+        want += [(o, n, "direct" if d == 1 else "transitive", d) for n, d in ahead.items() if d]
+        want += [(o, n, "orphaned-by-deletion", d) for n, d in behind.items() if n not in ahead]
+    assert got == sorted(want) and ("k00", "k60", "transitive", 60) in got
+
+
+def test_whole_impacts_are_registered(spark):  # noqa: F811
+    from reposcope.plans.queries import QUERIES
+
+    rows = QUERIES["f13_impact_counts_whole"](spark, "/root/testdata/sf0.001")
+    assert {r[0] for r in rows.selectExpr("substring(origin, 1, 1)").distinct().collect()} == set("cops")
