@@ -2,7 +2,7 @@
 
 Texts are folded first: lower case, look-alike letters of other scripts to
 Latin ones, invisible characters away, and digits or signs that stand for
-letters inside a word back to letters. Lexicon entries match at the beginning
+letters, in a token with a letter, back to letters. Lexicon entries match at the beginning
 of a word (or as a whole word), and every word counts once, by its heaviest
 entry; a match inside an exception phrase does not count. The score is a
 logistic function of the summed weights and of their density, the sum
@@ -59,19 +59,43 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 _FOREIGN = re.compile("[ıɑ-ɡͰ-ԯ！-～]")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 _LETTERS = {ord(k): v for k, v in LOOKALIKES.items()} | {0xFF01 + i: chr(0x21 + i).lower() for i in range(94)}
-_INSIDE = re.compile(r"[0-9@$!](?<=[^\W\d_].)(?=[^\W\d_])|[0-9@$](?<!\w.)(?=[^\W\d_]{2})")
+_FOLDS = str.maketrans(SUBSTITUTES)
+_SIGNS = "".join(SUBSTITUTES)
+#: A token of letters and substitutes with both in it; several ! in a row end a token.
+_TOKEN = re.compile(r"(?<![^\W_])(?:[^\W\d_]++(?:[0-9@$]|!(?!!))|[0-9@$]++[^\W\d_])(?:[^\W_]|[@$]|(?<!!)!(?!!))*+")
+#: What is punctuation at a token's end.
+_TAIL = re.compile(r"(?:!|(?<!\$)\${3,})+$")
+_GOES_ON = re.compile(rf"[{_SIGNS}]?[^\W\d_]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def folded(text: str) -> str:
-    """`text` as it is matched."""
+def _plain(text: str) -> str:
+    """`text` in lower case, with Latin letters, before substitutes are folded."""
     text = text.lower()
     if not text.isascii():
         if _HIDDEN.search(text):
             text = _HIDDEN.sub("", text)
         if _FOREIGN.search(text):
             text = text.translate(_LETTERS)
-    return _INSIDE.sub(lambda m: SUBSTITUTES.get(m[0], m[0]), text)
+    return text
+
+
+def _fold(m: re.Match) -> str:
+    tail = _TAIL.search(m[0])
+    end = tail.start() if tail else len(m[0])
+    return m[0][:end].translate(_FOLDS) + m[0][end:]
+
+
+def folded(text: str) -> str:
+    """`text` as it is matched; every substitute in a token with a letter is folded, place by place."""
+    return _TOKEN.sub(_fold, _plain(text))
+
+
+def _begins(plain: str, start: int) -> bool:
+    """Whether a word may begin here: no letter before it, nor a single substitute behind a letter."""
+    if not start or plain[start - 1].isalpha():
+        return not start
+    return not (plain[start - 1] in _SIGNS and start > 1 and plain[start - 2].isalpha())
 
 
 @dataclass
@@ -98,16 +122,18 @@ class Matcher:
 
     def features(self, text: str) -> tuple[float, float]:
         """(log of the summed weights + 1, log of their density + 1) of one text."""
-        text = folded(text)
+        as_written = _plain(text)
+        text = _TOKEN.sub(_fold, as_written)
         best: dict[int, float] = {}
         excused: list[tuple[int, int]] = []
         if len(self.automaton):
             for end, (entry, weight) in self.automaton.iter(text):
                 plain = entry.rstrip(" ")
                 start = end + 1 - len(plain)
-                if start and text[start - 1].isalpha():
+                # a run of digits or signs beside a word may also be a number or punctuation
+                if not _begins(as_written, start):
                     continue
-                closed = end + 1 == len(text) or not text[end + 1].isalpha()
+                closed = not _GOES_ON.match(as_written, end + 1)
                 if plain in self.lexicon.exceptions and closed:
                     excused.append((start, end))
                 elif weight and (closed or not entry.endswith(" ")):

@@ -1,0 +1,18 @@
+"""Text operators over the whole job."""
+
+from reposcope.llm import toxicity
+
+
+def test_toxicity_folds_runs():
+    for asked, want in [("b00bs", "boobs"), ("id10t", "idiot"), ("1d10t", "idiot"), ("bitch3", "bitche"), ("a$$hole", "asshole"), ("a$$", "ass"), ("5narkfac3", "snarkface")]:
+        assert toxicity.folded(f"so {asked}, ok") == f"so {want}, ok"
+    for same in ("in 2010 or 100", "stop!!", "stop!!now", "much$$$", "cost $ 5", "@ 4!"):
+        assert toxicity.folded(same) == same
+
+
+def test_toxicity_matches_both_readings_of_a_run():
+    m = toxicity.Matcher(toxicity.Lexicon({"grum": 3.0, "rude ": 2.0, "idiot ": 2.0}))
+    for text in ("1d10t", "id10t", "an id10t!!", "rude55", "rude$$$", "rud3", "55grum", "10 grum", "5grum", "stop!!rude", "abc12grum", "gr00m grum5", "rude3"):
+        assert m.features(text)[0] > 0, text
+    for text in ("crude", "rudeness", "rude5ness", "c4grum", "1d10tic", "g2um"):
+        assert m.features(text)[0] == 0, text
