@@ -165,20 +165,78 @@ def gaps(nodes: DataFrame, edges: DataFrame, sensitive: Column, guard: Column, h
     return nodes.filter(sensitive).join(safe, [REPO, "node_id"], "left_anti").select(REPO, "node_id", "type")
 
 
-def topo_layers(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
-    """(repo_id, node_id, layer): Kahn layers; nodes on or behind cycles have layer -1."""
-    left = written(nodes.select(REPO, "node_id"))
-    links = written(edges.filter("src <> dst").select(REPO, "src", "dst").distinct())
-    layers = []
-    for layer in range(most):
-        blocked = links.select(REPO, F.col("dst").alias("node_id"))
-        free = written(left.join(blocked, [REPO, "node_id"], "left_anti"))
+def contracted(links: DataFrame, stops: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Runs of nodes with a single way in, shortened by pointer doubling.
+
+    Gives (repo_id, node_id, head, dist), the head and the distance to it of
+    every node on a run, and the links (repo_id, src, dst, nearest, farthest) between
+    heads, with their shortest and longest way. Heads are the nodes with no or several ways in and the `stops`. A
+    run that bites its own tail has no head; its nodes are on no run, and links
+    from them keep them as their source.
+    """
+    single = links.groupBy(REPO, F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("head")).filter("n = 1")
+    single = single if stops is None else single.join(stops, [REPO, "node_id"], "left_anti")
+    open_ = written(single.select(REPO, "node_id", "head", F.lit(1).cast("long").alias("dist")))
+    every, size, far = open_.select(REPO, F.col("node_id").alias("dst")), open_.count(), 1
+    table = open_
+    while far <= 2 * size:
+        # a head on a run is followed by its own pointer; the others stay
+        up = table.select(REPO, F.col("node_id").alias("head"), F.col("head").alias("up"), F.col("dist").alias("more"))
+        moved = table.join(up, [REPO, "head"], "left")
+        table = written(moved.select(REPO, "node_id", F.coalesce("up", "head").alias("head"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), F.col("up").isNotNull().alias("moved")))
+        if table.filter("moved").isEmpty():
+            break
+        far *= 2
+    # what still points into a run after as many steps as there are nodes is on or behind a cycle of single ways in
+    runs = written(table.join(every.withColumnRenamed("dst", "head"), [REPO, "head"], "left_anti").select(REPO, "node_id", "head", "dist"))
+    above = runs.select(REPO, F.col("node_id").alias("src"), "head", "dist")
+    rest = links.join(every, [REPO, "dst"], "left_anti").join(above, [REPO, "src"], "left")
+    joined = rest.groupBy(REPO, F.coalesce("head", "src").alias("src"), "dst").agg((F.min(F.coalesce("dist", F.lit(0))) + 1).alias("nearest"), (F.max(F.coalesce("dist", F.lit(0))) + 1).alias("farthest"))
+    return runs, written(joined)
+
+
+def topo_layers(nodes: DataFrame, edges: DataFrame, loops: bool = False) -> DataFrame:
+    """(repo_id, node_id, layer): Kahn layers; nodes on or behind cycles have layer -1. Edges of a node to itself count with `loops`.
+
+    The rounds run over the contracted graph until no node is free. A free
+    node's layer is the largest that the nodes before it have given it.
+    """
+    steps = written(edges.select(REPO, "src", "dst").filter(F.lit(loops) | (F.col("src") != F.col("dst"))).distinct())
+    runs, links = contracted(steps)
+    inner = steps.groupBy(REPO, F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(REPO, "node_id")
+    left = written(nodes.select(REPO, "node_id").distinct().join(inner, [REPO, "node_id"], "left_anti").withColumn("layer", F.lit(0).cast("long")))
+    done: list[DataFrame] = []
+    while True:
+        free = written(left.join(links.select(REPO, F.col("dst").alias("node_id")), [REPO, "node_id"], "left_anti"))
         if free.isEmpty():
             break
-        layers.append(free.withColumn("layer", F.lit(layer)))
-        left = written(left.join(free, [REPO, "node_id"], "left_anti"))
+        done.append(free)
+        if len(done) > LEVELS:
+            done = [written(union(done))]
+        gone = links.join(free.select(REPO, F.col("node_id").alias("src"), "layer"), [REPO, "src"])
+        given = gone.groupBy(REPO, F.col("dst").alias("node_id")).agg(F.max(F.col("layer") + F.col("farthest")).alias("given"))
+        left = written(left.join(free, [REPO, "node_id"], "left_anti").join(given, [REPO, "node_id"], "left").select(REPO, "node_id", F.greatest("layer", F.coalesce("given", "layer")).alias("layer")))
         links = written(links.join(free.withColumnRenamed("node_id", "src"), [REPO, "src"], "left_anti"))
-    return union([*layers, left.withColumn("layer", F.lit(-1))])
+    if not done:
+        return nodes.select(REPO, "node_id", F.lit(-1).alias("layer"))
+    heads = written(union(done))
+    on_runs = runs.join(heads.withColumnRenamed("node_id", "head"), [REPO, "head"]).select(REPO, "node_id", (F.col("layer") + F.col("dist")).alias("layer"))
+    known = union([heads, on_runs])
+    return nodes.select(REPO, "node_id").join(known, [REPO, "node_id"], "left").select(REPO, "node_id", F.coalesce("layer", F.lit(-1)).cast("int").alias("layer"))
+
+
+def nearest(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, node_id, depth): edges from the nearest seed (repo_id, node_id), over the contracted graph until nothing gets nearer."""
+    steps = written(edges.select(REPO, "src", "dst").filter("src <> dst").distinct())
+    runs, links = contracted(steps, seeds.select(REPO, "node_id"))
+    best = front = written(seeds.select(REPO, "node_id").distinct().withColumn("depth", F.lit(0).cast("long")))
+    while not front.isEmpty():
+        near = links.join(front.withColumnRenamed("node_id", "src"), [REPO, "src"]).groupBy(REPO, F.col("dst").alias("node_id")).agg(F.min(F.col("depth") + F.col("nearest")).alias("depth"))
+        old = best.withColumnRenamed("depth", "old")
+        front = written(near.join(old, [REPO, "node_id"], "left").filter("old IS NULL OR depth < old").select(REPO, "node_id", "depth"))
+        best = written(union([best, front]).groupBy(REPO, "node_id").agg(F.min("depth").alias("depth")))
+    on_runs = runs.join(best.withColumnRenamed("node_id", "head"), [REPO, "head"]).select(REPO, "node_id", (F.col("depth") + F.col("dist")).alias("depth"))
+    return union([best, on_runs]).withColumn("depth", F.col("depth").cast("int"))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -290,15 +348,15 @@ def _spread(links: DataFrame, a: str, b: str) -> DataFrame:
 
 def dag_share(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo_id, share): the share of nodes that are neither on a cycle nor lead into one."""
-    cyclic = cycle_nodes(nodes, edges).select(REPO, F.lit("c").alias("origin"), "node_id")
-    led = reach(cyclic, edges, 1000, backward=True).groupBy(REPO).agg(F.countDistinct("node_id").alias("n"))
+    back = edges.select(REPO, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    every = union([nodes.select(REPO, "node_id"), ends(edges)]).distinct()
+    led = topo_layers(every, back, loops=True).filter("layer < 0").groupBy(REPO).agg(F.count(F.lit(1)).alias("n"))
     return nodes.groupBy(REPO).agg(F.count(F.lit(1)).alias("nodes")).join(led, REPO, "left").select(REPO, F.round(1 - F.coalesce("n", F.lit(0)) / F.col("nodes"), 6).alias("share"))
 
 
 def execution_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo_id, node_id, depth): steps from the entry nodes; -1 where none leads to a node."""
-    seeds = entry_points(nodes, edges).select(REPO, F.lit("entry").alias("origin"), "node_id")
-    steps = reach(seeds, edges, 1000).select(REPO, "node_id", "depth")
+    steps = nearest(entry_points(nodes, edges), edges)
     return nodes.select(REPO, "node_id").join(steps, [REPO, "node_id"], "left").select(REPO, "node_id", F.coalesce("depth", F.lit(-1)).alias("depth"))
 
 

@@ -62,3 +62,41 @@ def test_whole_impacts_are_registered(spark):  # noqa: F811
 
     rows = QUERIES["f13_impact_counts_whole"](spark, "/root/testdata/sf0.001")
     assert {r[0] for r in rows.selectExpr("substring(origin, 1, 1)").distinct().collect()} == set("cops")
+
+
+def test_layers_of_deep_and_random_graphs(spark):  # noqa: F811
+    rng = random.Random(9)
+    deep = [(f"d{i:04}", f"d{i + 1:04}") for i in range(1100)]
+    names = [f"n{i}" for i in range(40)]
+    pairs = {(a, b) for a, b in ((rng.choice(names), rng.choice(names)) for _ in range(44))} | {("y", "y"), ("x", "y"), ("q", "r"), ("r", "q"), ("r", "t"), ("d1100", "z0"), ("z0", "z1"), ("z1", "z0"), ("m1", "m2"), ("m1", "m3"), ("m3", "m4"), ("m2", "m4")}
+    every = sorted({x for p in [*deep, *pairs] for x in p} | {"alone"})
+    pairs = [*deep, *pairs]
+    n, e = nodes(spark, **dict.fromkeys(every, "view")), edges(spark, *pairs)
+
+    def kahn(links):
+        into, ways, layer = dict.fromkeys(every, 0), {}, {}
+        for a, b in links:
+            into[b] += 1
+            ways.setdefault(a, []).append(b)
+        front = [v for v in every if not into[v]]
+        while front:
+            layer.update(dict.fromkeys(front, max(layer.values(), default=-1) + 1))
+            after = []
+            for b in (b for a in front for b in ways.get(a, [])):
+                into[b] -= 1
+                after += [] if into[b] else [b]
+            front = after
+        return layer
+
+    layers = kahn([(a, b) for a, b in pairs if a != b])
+    assert first(graph.topo_layers(n, e), "node_id", "layer") == [(v, layers.get(v, -1)) for v in every] and layers["d1100"] == 1100
+    ranks = dict(first(graph.longest_path_rank(n, e), "node_id", "rank"))
+    assert all(ranks[v] == d for v, d in layers.items()) and ranks["z0"] == 1101
+    assert first(graph.dag_share(n, e), "share") == [(round(len(kahn([(b, a) for a, b in pairs])) / len(every), 6),)]
+    starts, depth, ways, d = [v for v in every if v not in {b for _, b in pairs}], {}, {}, 0
+    for a, b in pairs:
+        ways.setdefault(a, []).append(b)
+    while starts:
+        depth.update(dict.fromkeys(starts, d))
+        d, starts = d + 1, sorted({b for a in starts for b in ways.get(a, [])} - set(depth))
+    assert first(graph.execution_order(n, e), "node_id", "depth") == [(v, depth.get(v, -1)) for v in every]
