@@ -1,7 +1,8 @@
 """Secret scan: a random forest removes the false positives of a broad pattern.
 
 A candidate is a long run of letters, digits and a few signs that holds a
-digit. Its features are its length and make-up, the likelihood of its character
+digit, any value assigned to a name that announces a secret, or a string in the
+format of an issuer. Its features are its length and make-up, the likelihood of its character
 transitions and the share of it that dictionary words cover (transitions and
 dictionary are counted over all texts), its path, and the words beside it. The
 forest is trained on labelled findings. Everything runs in DataFrame functions
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from reposcope.llm.common import NO_ID, checkpointed, read, real_id
 
-#: Candidates: at least 12 letters, digits, +, /, _ or - in a row, one digit among them.
+#: Long runs: at least 12 letters, digits, +, /, _ or - in a row, one digit among them.
 CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{12,}+"
 #: Characters of text kept on either side of a candidate.
 BESIDE = 48
@@ -34,6 +35,14 @@ THRESHOLD = 0.5
 ANNOUNCING = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer|credential|private)"
 EXAMPLES = r"(?i)(^|[/_.\-])(tests?|specs?|examples?|samples?|fixtures?|docs?|mocks?|vendor|dist)([/_.\-]|$)"
 
+#: Formats of issuers; digits need not be among them.
+ISSUER = r"(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9\-]{10,})"
+#: A name that announces a secret up to the value's quote; its parts are bounded, as it is looked for backward.
+_NAME = ANNOUNCING.replace("(?i)(", "(?i:") + r"[\w\-]{0,40}[\"'`]?\s{0,4}[:=]{1,2}>?\s{0,4}"
+#: Any value assigned to such a name: up to the closing quote, or unquoted without the punctuation at its end.
+ASSIGNED = "|".join([rf"(?<={q})(?<=[:=]>?\s{{0,4}}{q})(?<={_NAME}{q})[^{q}\n]+(?={q})" for q in "\"'`"] + [rf"(?<=[\s:=>])(?<=[:=]>?\s{{0,4}})(?<={_NAME})(?![:=>])[^\s\"'`,;]+?(?=[.)\]}}]*(?:[\s\"'`,;]|$))"])
+FOUND = rf"{ASSIGNED}|(?<![A-Za-z0-9+/_\-]){ISSUER}(?![A-Za-z0-9+/_\-])|{CANDIDATE}"
+
 FEATURES = ["length", "digits", "uppers", "hex", "changes", "kinds", "transitions", "coverage", "example_path", "depth", "announced", "assigned", "quoted", "words_before", "words_after"]
 
 
@@ -46,8 +55,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     path = F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(
         F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), path.alias("path"), F.col(f"`{text_col}`").cast("string").alias("text")
-    ).filter(F.col("text").rlike(CANDIDATE))
-    found = rows.select("id", "path", F.split("text", CANDIDATE, -1).alias("pieces"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("hits"))
+    ).filter(F.col("text").rlike(FOUND))
+    found = rows.select("id", "path", F.split("text", FOUND, -1).alias("pieces"), F.regexp_extract_all("text", F.lit(FOUND), F.lit(0)).alias("hits"))
     beside = F.transform(
         "hits",
         lambda h, i: F.struct(
@@ -112,7 +121,7 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
                 "hex": c.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double"),
                 "changes": count("candidate", r"(?<=[0-9])[A-Za-z]|(?<=[A-Za-z])[0-9]|(?<=[a-z])[A-Z]"),
                 "kinds": F.size(F.array_distinct(F.split(F.lower(c), ""))) / n,
-                "transitions": total / (n - 1),
+                "transitions": total / F.greatest(n - 1, F.lit(1)),
                 "coverage": F.coalesce(F.col("covered"), F.lit(0)) / n,
                 "example_path": F.col("path").rlike(EXAMPLES).cast("double"),
                 "depth": count("path", "/"),
@@ -130,11 +139,13 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
 def rule_labels(found: DataFrame) -> DataFrame:
     """`found` with label: findings labelled by issuer formats and assignments, null where neither tells.
 
-    1: a known issuer format, or assigned to an announcing name; 0: digits only,
+    1: a known issuer format, or assigned to an announcing name in quotes or as a long run with a digit; 0: digits only,
     or no assignment and no announcing word beside it.
     """
-    issuer = F.col("candidate").rlike(r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9\-]{10,})$")
-    announced = F.col("before").rlike(ANNOUNCING + r"[\w\-]*[\"']?\s*[:=]\s*[\"'`]?$")
+    issuer = F.col("candidate").rlike(f"^{ISSUER}$")
+    # an unquoted short or plain word after such a name may be prose, so only the forest judges it
+    sure = F.col("candidate").rlike(f"^{CANDIDATE}$") | F.col("before").rlike(r"[\"'`]$")
+    announced = F.col("before").rlike(ANNOUNCING + r"[\w\-]*[\"']?\s*[:=]\s*[\"'`]?$") & sure
     beside = F.col("before").rlike(ANNOUNCING) | F.col("after").rlike(ANNOUNCING) | F.col("before").rlike(r"[:=]\s*[\"'`]?$")
     return found.withColumn("label", F.when(issuer | announced, 1).when(F.col("candidate").rlike("^[0-9]+$") | ~beside, 0))
 
