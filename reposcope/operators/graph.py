@@ -284,9 +284,10 @@ def import_closure(pages: DataFrame, imports: DataFrame, depth: int = 5) -> Data
 
 
 def shared_components(closure: DataFrame) -> DataFrame:
-    """(repo_id, node_id, usage_count): files that several pages reach."""
-    used = closure.filter("depth > 0").groupBy(REPO, "node_id").agg(F.countDistinct("origin").alias("usage_count"))
-    return used.filter("usage_count > 1")
+    """(repo_id, node_id, usage_count, used_by): files that several pages reach, one row per page that does."""
+    pairs = closure.filter("depth > 0").select(REPO, "node_id", F.col("origin").alias("used_by")).distinct()
+    used = pairs.groupBy(REPO, "node_id").agg(F.count(F.lit(1)).alias("usage_count")).filter("usage_count > 1")
+    return pairs.join(used, [REPO, "node_id"]).select(REPO, "node_id", "usage_count", "used_by")
 
 
 def bypass_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:

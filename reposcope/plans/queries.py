@@ -310,7 +310,7 @@ register("g4_cycles", "nodes edges", graph.cycle_nodes, """WITH RECURSIVE r AS (
 SELECT x.repo_id, x.a AS node_id, min(x.b) AS cycle FROM r x JOIN r y ON x.repo_id = y.repo_id AND x.a = y.b AND x.b = y.a GROUP BY ALL""")
 _CLOSURE = f"""t AS (SELECT repo_id, path AS origin, path AS node_id, 0 AS d FROM ({_ROUTES}) UNION SELECT t.repo_id, t.origin, i.target, t.d + 1 FROM t JOIN imp i ON i.repo_id = t.repo_id AND i.path = t.node_id WHERE i.target IS NOT NULL AND t.d < 5)"""
 register("g6_import_closure", "modules", lambda m: graph.import_closure(paths.crawl_routes(m), link.import_edges(m)))
-register("f7_shared_components", "modules", lambda m: graph.shared_components(graph.import_closure(m.filter("path LIKE 'src/components/%'").select("repo_id", "path").distinct(), link.import_edges(m))))
+register("f7_shared_components", "modules", lambda m: graph.shared_components(graph.import_closure(paths.crawl_routes(m), link.import_edges(m))))
 register("g9_bypass_paths", "nodes edges", graph.bypass_paths, f"""WITH t AS ({_TYPED}), s2 AS (SELECT DISTINCT x.repo_id, x.src, y.dst, y.b FROM t x JOIN t y ON x.repo_id = y.repo_id AND x.dst = y.src WHERE x.a = 'view' AND x.b <> 'controller'),
 s3 AS (SELECT DISTINCT x.repo_id, x.src, y.dst, y.b FROM s2 x JOIN t y ON x.repo_id = y.repo_id AND x.dst = y.src WHERE x.b <> 'controller')
 SELECT DISTINCT repo_id, src, dst FROM (SELECT * FROM s2 UNION ALL SELECT * FROM s3) p WHERE b = 'database' AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.repo_id = p.repo_id AND e.src = p.src AND e.dst = p.dst)""")

@@ -2,7 +2,7 @@
 
 import random
 
-from test_reference import edges, first, nodes, spark  # noqa: F401
+from test_reference import edges, files, first, nodes, spark  # noqa: F401
 
 from reposcope.operators import graph
 
@@ -100,3 +100,13 @@ def test_layers_of_deep_and_random_graphs(spark):  # noqa: F811
         depth.update(dict.fromkeys(starts, d))
         d, starts = d + 1, sorted({b for a in starts for b in ways.get(a, [])} - set(depth))
     assert first(graph.execution_order(n, e), "node_id", "depth") == [(v, depth.get(v, -1)) for v in every]
+
+
+def test_shared_components_are_counted_by_pages(spark, monkeypatch):  # noqa: F811
+    from reposcope.plans import queries
+
+    card = 'import Card from "../../src/components/Card";'
+    table = files(spark, ("app/a/page.tsx", card), ("app/b/page.tsx", card), ("app/c/page.tsx", 'import x from "../../src/lone";'), ("src/components/Card.tsx", 'import B from "./Base";'), ("src/components/Other.tsx", 'import B from "./Base";'), ("src/components/Base.tsx", ""), ("src/lone.ts", ""))
+    monkeypatch.setattr(queries, "_table", lambda *_: table)
+    got = first(queries.QUERIES["f7_shared_components"](spark, ""), "node_id", "usage_count", "used_by")
+    assert got == [(f"src/components/{f}.tsx", 2, f"app/{p}/page.tsx") for f in ("Base", "Card") for p in "ab"]
