@@ -6,6 +6,7 @@ time, so that a Python worker never loops over single characters.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from collections.abc import Iterator
 from uuid import uuid4
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 NO_ID = 2**63 - 1
 
 #: Bytes of text that one numpy pass holds; a single longer text is one pass.
-PASS_BYTES = 2_000_000
+PASS_BYTES = 1 << 18
 
 #: ASCII white space, the separator set of most contracts (space, \t to \r).
 BLANK = " \t\n\x0b\f\r"
@@ -111,11 +112,12 @@ def written(df: DataFrame) -> DataFrame:
     return table
 
 
-def forget(table: DataFrame) -> None:
-    """Deletes what `written` wrote; the table can't be read any more."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*tables: DataFrame) -> None:
+    """Deletes what `written` wrote; the tables can't be read any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -171,24 +173,6 @@ def find_words(data: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[
     return starts, ends, np.searchsorted(starts, offs)
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i modulo 2^64 for i up to n; base is odd."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) <= n:
-        size = max(n + 1, 1 << 16)
-        inverse = pow(base, -1, 1 << 64)
-        up = np.full(size, base, np.uint64)
-        down = np.full(size, inverse, np.uint64)
-        up[0] = down[0] = 1
-        have = np.cumprod(up), np.cumprod(down)
-        if size <= 2 * PASS_BYTES:  # tables for one huge text are not kept
-            _powers[base] = have
-    return have
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * _MIX1
@@ -196,25 +180,63 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class SpanHash:
-    """Hash of any run of `values` in constant time, by prefix sums of a polynomial."""
+#: Words of more bytes are hashed by BLAKE2.
+LONG_WORD = 256
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
-    def __init__(self, values: np.ndarray, base: int):
-        n = len(values)
-        up, self.down = powers(base, n)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values.astype(np.uint64) * up[:n], out=self.sums[1:])
 
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.sums[ends] - self.sums[starts]) * self.down[starts]
-        return mixed(h + (ends - starts).astype(np.uint64))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, eight bytes at a time with a full mix after each.
 
+    Hashes of two seeds are independent of each other.
+    """
+    size = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from any place
+    start = np.uint64(int.from_bytes(hashlib.blake2b(b"word%d" % seed, digest_size=8).digest(), "little"))
+    hashes = mixed(size.astype(np.uint64) * _ODD + start)
+    open_, at = np.flatnonzero(size <= LONG_WORD), 0
+    while len(open_):
+        left = size[open_] - at
+        part = eight[starts[open_] + at]
+        short = left < 8
+        part[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        hashes[open_] = mixed((hashes[open_] ^ part) * _ODD + start)
+        open_, at = open_[left > 8], at + 8
+    for i in np.flatnonzero(size > LONG_WORD):
+        whole = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=b"%d" % seed)
+        hashes[i] = int.from_bytes(whole.digest(), "little")
+    return hashes
+
+
+def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of a run from those of its beginning and its end."""
+    return mixed(mixed(a * _ODD + _MIX1) + b * _MIX2)
+
+
+class Spans:
+    """Hash of any run of up to `longest` words, from those of all runs of 1, 2, 4, ... words.
+
+    A run is covered by two runs whose length is a power of two; every step mixes
+    all bits, so no arrangement of words cancels out as in a polynomial.
+    """
 
-BYTE_BASE, WORD_BASE, CHECK_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
-
+    def __init__(self, values: np.ndarray, longest: int):
+        self.levels, span = [values], 1
+        while 2 * span <= longest:
+            values = combined(values[: max(len(values) - span, 0)], values[span:])
+            self.levels.append(values)
+            span *= 2
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return SpanHash(data.astype(np.uint64) + np.uint64(1), BYTE_BASE).of(starts, ends)
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = ends - starts
+        level = np.frexp(size.astype(np.float64))[1] - 1
+        out = np.empty(len(size), np.uint64)
+        for k, values in enumerate(self.levels):
+            i = np.flatnonzero(level == k)
+            out[i] = combined(values[starts[i]], values[ends[i] - (1 << k)])
+        return mixed(out + size.astype(np.uint64))
 
 
 def byte_table(*ranges: tuple[int, int]) -> np.ndarray:
