@@ -18,18 +18,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     one = links.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
     both = written(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    step = written(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("u").alias("old"), F.least("u", "v").alias("label")))
-    while not step.filter("old <> label").isEmpty():
+    # the first step needs no join: a node's label is its smallest neighbour or itself
+    step = written(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label"), F.lit(True).alias("moved")))
+    while not step.filter("moved").isEmpty():
         labels, last = step.select("node", "label"), step
-        near = (
-            both.join(labels.select(F.col("node").alias("v"), "label"), "v")
-            .groupBy("u")
-            .agg(F.min("label").alias("near"))
-            .select(F.col("u").alias("node"), "near")
-        )
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        above = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        step = written(lower.join(above, "label").select("node", "old", F.least("label", "up").alias("label")))
+        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").select(F.col("u").alias("node"), "label")
+        # the labels of the neighbours and, from the label's own row, the label's label
+        told = near.unionByName(labels.select("node", "label"))
+        lower = told.groupBy("node").agg(F.min("label").alias("least"))
+        above = labels.select(F.col("node").alias("least"), F.col("label").alias("up"))
+        new = lower.join(above, "least").select("node", F.least("least", "up").alias("label"))
+        step = written(new.join(labels.withColumnRenamed("label", "old"), "node").select("node", "label", (F.col("label") != F.col("old")).alias("moved")))
         forget(last)
     forget(both)
     return step.select("node", "label")

@@ -4,7 +4,7 @@ Documents with the same shingle set are one node. A node is posted under each
 (coordinate, value) pair of its MinHash signature. A pair of nodes is a
 candidate if it collides in MATCHES or more of the COORDINATES; at the
 similarity threshold a true pair has fewer collisions with a chance of about
-1e-7. Two bounds keep the join small without losing such a pair:
+1e-6. Two bounds keep the join small without losing such a pair:
 
 - prefix: of a node's pairs, ordered from rare to frequent, all but MATCHES - 1
   suffice, since any MATCHES collisions include one of them. Values that no
@@ -14,7 +14,8 @@ similarity threshold a true pair has fewer collisions with a chance of about
   the members that are then still in different components are paired, so a
   group of copies costs rows in proportion to its size.
 
-Collisions are counted on whole signatures and links confirmed on full sets.
+Collisions are counted on whole signatures and links confirmed on full sets,
+made anew from the texts of the pair.
 Because pairs are skipped only inside one component, components are exact.
 """
 
@@ -26,17 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reposcope.llm.common import (
     LOWER,
     NO_ID,
     UNBLANK,
-    WORD_BASE,
-    SpanHash,
-    checkpointed,
+    Spans,
     find_words,
+    forget,
     keep_rows,
     keyed_text,
     passes,
@@ -51,11 +51,13 @@ from reposcope.llm.components import components
 
 #: Similarity from which documents are linked, in hundredths.
 SIMILAR = 80
-COORDINATES, MATCHES = 32, 12
+COORDINATES, MATCHES = 32, 14
 #: Bits of the bitmap by which rows are chosen before their texts are dealt.
 BITS = 1 << 21
 #: Rounds in which the members of a posting meet only its pivot.
-STAR_ROUNDS = 5
+STAR_ROUNDS = 2
+#: Longs of the parity bitmap of a set.
+PARITY_WORDS = 16
 
 _rng = np.random.default_rng(8)
 _FACTORS = _rng.integers(0, 2**63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,7 +72,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int) -> list[np.ndarr
     """
     data = LOWER[data]
     starts, ends, first = find_words(data, offs, UNBLANK)
-    spans = SpanHash(word_hashes(data, starts, ends), WORD_BASE)
+    spans = Spans(word_hashes(data, starts, ends), size)
     at = np.arange(max(len(starts) - size + 1, 0))
     every = spans.of(at, at + size)
     sets = []
@@ -127,8 +129,7 @@ def nodes_of(documents: DataFrame) -> DataFrame:
     """One row per different set: node (a number), id and fp of its smallest document, n, digest, sig."""
     rows = documents.filter("digest IS NOT NULL")
     found = rows.groupBy("digest").agg(F.min(F.struct("id", "fp")).alias("least"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"))
-    # numbers follow the checkpoint's partitions, so every read gives the same
-    return checkpointed(found.select("digest", "least.id", "least.fp", "n", "sig")).withColumn("node", F.monotonically_increasing_id())
+    return written(found.select(F.monotonically_increasing_id().alias("node"), "digest", "least.id", "least.fp", "n", "sig"))
 
 
 def postings(nodes: DataFrame, similar: int) -> DataFrame:
@@ -160,36 +161,99 @@ def _fits(similar: int) -> str:
     return f"least(n, m) * 100 >= greatest(n, m) * {similar}"
 
 
-def mixed_postings(posted: DataFrame, labels: DataFrame) -> DataFrame:
-    """`posted` with label, the component of each member, without postings of one component."""
-    labelled = posted.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def relabelled(posted: DataFrame, moved: DataFrame) -> DataFrame:
+    """`posted` with the labels that `moved` (node, label) gives, without postings of one component."""
+    moved = moved.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    labelled = posted.join(moved, "label", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
     mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     keyed = labelled.withColumn("key", F.bitwise_not("token")).join(mixed.select(F.bitwise_not("token").alias("key")), "key")
     return keyed.select("token", "node", "n", "weight", "label")
 
 
 def pivot_pairs(posted: DataFrame, similar: int, order: list) -> DataFrame:
-    """(a, b): each posting's members with its pivot, the last in `order`, unless one component holds both."""
+    """(a, b, la, lb): each posting's members with its pivot, the last in `order`, unless one component holds both."""
     pivot = F.max_by(F.struct("node", "n", "label"), F.struct(*order, F.col("node"))).alias("p")
-    pivots = posted.groupBy("token").agg(pivot).select(F.bitwise_not("token").alias("key"), F.col("p.node").alias("a"), F.col("p.n").alias("m"), F.col("p.label").alias("other"))
-    met = posted.withColumn("key", F.bitwise_not("token")).join(pivots, "key").filter(f"label <> other AND {_fits(similar)}")
-    return met.select("a", F.col("node").alias("b")).distinct()
+    pivots = posted.groupBy("token").agg(pivot).select(F.bitwise_not("token").alias("key"), F.col("p.node").alias("a"), F.col("p.n").alias("m"), F.col("p.label").alias("la"))
+    met = posted.withColumn("key", F.bitwise_not("token")).join(pivots, "key").filter(f"label <> la AND {_fits(similar)}")
+    return met.select("a", F.col("node").alias("b"), "la", F.col("label").alias("lb")).distinct()
 
 
-def crossing_pairs(posted: DataFrame, similar: int) -> DataFrame:
-    """(a, b): members of one posting that belong to different components."""
-    left = posted.select(F.bitwise_not("token").alias("key"), "node", "n", "label")
-    right = left.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-    pairs = left.join(right, "key").filter(f"node < b AND label <> other AND {_fits(similar)}")
-    return pairs.select(F.col("node").alias("a"), "b").distinct()
+def shingle_rows(found: DataFrame, size: int) -> DataFrame:
+    """(node, n, label, s): a row for each shingle of each text; `found` has node, label, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, label = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data, offs = text_buffers(batch.column(2))
+            for a, b in passes(offs):
+                made = shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], size)
+                sizes = np.array([len(s) for s in made])
+                columns = [np.repeat(x, sizes) for x in (node[a:b], sizes, label[a:b])]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.array(np.concatenate(made).view(np.int64))], ["node", "n", "label", "s"])
+
+    return found.select("node", "label", "text").mapInArrow(run, "node long, n long, label long, s long")
+
+
+def _parity(s: Column) -> list[Column]:
+    """PARITY_WORDS longs: a bit for each of 64 times as many classes of shingles, set if their number is odd."""
+    bit, word = F.expr("shiftleft(1L, cast(s & 63 AS INT))"), F.shiftright(s, 6).bitwiseAND(F.lit(PARITY_WORDS - 1))
+    return [F.coalesce(F.bit_xor(F.when(word == i, bit)), F.lit(0).cast("long")).alias(f"bits{i}") for i in range(PARITY_WORDS)]
+
+
+def crossing_pairs(posted: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, similar: int) -> DataFrame:
+    """(a, b, la, lb): nodes of open postings, of different components, whose sets can be similar enough.
+
+    A posting of boilerplate may hold very many nodes of which hardly two are
+    similar, so its members are not paired. The nodes are posted once more,
+    under the rarest shingles of their full sets. Similar sets share one of the
+    smaller set's n - ceil(2 s n / (1 + s)) + 1 rarest shingles, which is also
+    among the n - ceil(s n) + 1 rarest of the larger set, and the first that
+    they share leaves enough places behind it in both. A parity bitmap of each
+    set bounds the overlap further: sets differ in at least as many shingles as
+    their bitmaps differ in bits. Nothing is lost by these bounds.
+    """
+    open_ = posted.groupBy("node").agg(F.any_value("label").alias("label"))
+    docs = nodes.select("node", F.struct("id", "fp").alias("doc")).join(open_, "node")
+    found = docs.join(texts_of(docs.select("doc"), rows), "doc")
+    made = written(shingle_rows(found, size))
+    shared = made.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select(F.bitwise_not("s").alias("key"), "df")
+    mine = (
+        made.withColumn("key", F.bitwise_not("s"))
+        .join(shared, "key")
+        .groupBy("node", "n", "label")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("tokens"), *_parity(F.col("s")))
+    )
+    bits = [f"bits{i}" for i in range(PARITY_WORDS)]
+    probe = F.col("n") - F.ceil(F.col("n") * similar / 100) + 1
+    index = F.col("n") - F.ceil(F.col("n") * 2 * similar / (100 + similar)) + 1
+    # shingles that no other node has come first in the order, they only take places
+    alone = F.col("n") - F.size("tokens")
+    placed = (
+        mine.withColumn("alone", alone)
+        .filter(F.col("alone") < probe)
+        .select("node", "n", "label", "alone", *bits, index.alias("index"), F.posexplode(F.slice("tokens", F.lit(1), (probe - F.col("alone")).cast("int"))))
+        .select("node", "n", "label", "alone", *bits, "index", F.col("col.s").alias("s"), (F.col("alone") + F.col("pos")).alias("place"))
+    )
+    posts = written(placed)
+    mixed = posts.groupBy("s").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select(F.bitwise_not("s").alias("key"))
+    live = written(posts.withColumn("key", F.bitwise_not("s")).join(mixed, "key").drop("s"))
+    x = live.filter("place < index").select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("la"), F.col("place").alias("at"), F.col("alone").alias("ma"), *(F.col(c).alias(f"a_{c}") for c in bits))
+    y = live.select("key", F.col("node").alias("b"), "n", F.col("label").alias("lb"), "place", F.col("alone").alias("na"), *bits)
+    apart = " + ".join(["ma", "na", *(f"bit_count({c} ^ a_{c})" for c in bits)])
+    first = f"la <> lb AND (m < n OR m = n AND a < b) AND m * 100 >= n * {similar} AND least(m - at, n - place) * {100 + similar} >= (m + n) * {similar}"
+    fit = f"{first} AND (m + n - ({apart})) * {100 + similar} >= (m + n) * {2 * similar}"
+    pairs = written(x.join(y, "key").filter(fit).select("a", "b", "la", "lb").distinct())
+    forget(made, posts, live)
+    return pairs
 
 
 def colliding(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b, hits): pairs with MATCHES or more collisions of their whole signatures."""
-    left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
-    right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
+    """`pairs` with MATCHES or more collisions of their whole signatures, and the document (id, fp) of each side."""
+    left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.struct("id", "fp").alias("doc_a"))
+    right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.struct("id", "fp").alias("doc_b"))
     hits = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return pairs.join(left, "a").join(right, "b").select("a", "b", hits.alias("hits")).filter(F.col("hits") >= MATCHES)
+    found = pairs.join(left, "a").join(right, "b").withColumn("hits", hits)
+    return found.filter(F.col("hits") >= MATCHES).select("a", "b", "la", "lb", "doc_a", "doc_b", "hits")
 
 
 def likely_among(rows: DataFrame, needs: DataFrame) -> DataFrame:
@@ -206,78 +270,82 @@ def likely_among(rows: DataFrame, needs: DataFrame) -> DataFrame:
     return kept.select(*rows.columns)
 
 
-def node_sets(needs: DataFrame, documents: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """(node, shingles): the sets of the nodes in `needs` (id, fp, node).
+def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc, text): the texts of documents (id, fp), each once however often its row repeats."""
+    needs = docs.select("doc.*")
+    found = likely_among(rows, needs).groupBy("id", "fp").agg(F.any_value("text").alias("text"))
+    return found.select(F.struct("id", "fp").alias("doc"), "text")
 
-    The text of a node's smallest document is read again.
+
+def confirmed(pairs: DataFrame, rows: DataFrame, size: int, similar: int) -> DataFrame:
+    """(a, b, la, lb, linked): whether the full shingle sets of each pair are similar enough.
+
+    The texts of the compared documents are read again. The side that may be
+    the pivot of many is keyed anew, so that Spark can split it.
     """
-    times = documents.groupBy("id", "fp").agg(F.count(F.lit(1)).alias("times"))
-    wanted = checkpointed(needs.join(times, ["id", "fp"]))
-    found = likely_among(rows, wanted).join(wanted, ["id", "fp"]).select("node", "times", "text")
+    texts = texts_of(pairs.select(F.explode(F.array("doc_a", "doc_b")).alias("doc")), rows)
+    hub = pairs.select("a", "doc_a").distinct().join(texts.withColumnRenamed("doc", "doc_a"), "doc_a").select(F.bitwise_not("a").alias("key"), F.col("text").alias("ta"))
+    member = pairs.join(texts.withColumnRenamed("doc", "doc_b"), "doc_b").select("a", "b", "la", "lb", F.bitwise_not("a").alias("key"), F.col("text").alias("tb"))
+    both = member.join(hub, "key").select("a", "b", "la", "lb", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, np.zeros(0, np.uint64)  # rows of one hub follow each other
         for batch in batches:
-            data, offs = text_buffers(batch.column(2))
-            for a, b in passes(offs):
-                made = shingle_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], size)
-                columns = [*(batch.column(i).slice(a, b - a) for i in range(2)), pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "times", "shingles"])
-
-    made = checkpointed(found.mapInArrow(run, "node long, times long, shingles array<long>"))
-    return made.filter("times = 1").unionByName(made.filter("times > 1").dropDuplicates(["node"])).drop("times")
-
-
-def with_sets(sets: DataFrame | None, pairs: DataFrame, nodes: DataFrame, documents: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """`sets` and those of the nodes of `pairs` that it lacks."""
-    lacking = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    if sets is not None:
-        lacking = written(lacking.join(sets.select("node"), "node", "left_anti"))
-        if lacking.isEmpty():
-            return sets
-    made = node_sets(lacking.join(nodes.select("node", "id", "fp"), "node"), documents, rows, size)
-    return made if sets is None else sets.unionByName(made)
-
+            hubs = batch.column(0).to_numpy()
+            left, right = text_buffers(batch.column(4)), text_buffers(batch.column(5))
+            linked = []
+            for lo, hi in passes(right[1]):
+                made = shingle_sets(right[0][right[1][lo] : right[1][hi]], right[1][lo : hi + 1] - right[1][lo], size)
+                for i, y in zip(range(lo, hi), made):
+                    if hubs[i] != last:
+                        part = left[0][left[1][i] : left[1][i + 1]]
+                        last, x = hubs[i], shingle_sets(part, np.array([0, len(part)]), size)[0]
+                    same = len(np.intersect1d(x, y, assume_unique=True))
+                    linked.append(100 * same >= similar * (len(x) + len(y) - same))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(linked, pa.bool_())], ["a", "b", "la", "lb", "linked"])
 
-def confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """(a, b, linked): whether the full sets of each pair are similar enough; only the sets of the pairs travel."""
-    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).join(pairs.select("a").distinct(), "a", "left_semi")
-    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(pairs.select("a", "b"), "b")
-    both = y.join(x, "a").select("a", "b", F.size(F.array_intersect("x", "y")).alias("same"), (F.size("x") + F.size("y")).alias("all"))
-    return both.select("a", "b", (F.col("same") * 100 >= (F.col("all") - F.col("same")) * similar).alias("linked"))
+    return both.mapInArrow(run, "a long, b long, la long, lb long, linked boolean")
 
 
-def link_table(nodes: DataFrame, documents: DataFrame, rows: DataFrame, size: int, similar: int) -> DataFrame:
-    """(node, label): components of all links between nodes.
+def link_table(nodes: DataFrame, rows: DataFrame, size: int, similar: int) -> list[DataFrame]:
+    """Tables (node, label), to be followed one after the other, that lead each node to its component of all links.
 
     In the first round each posting's pivot is its heaviest member, in the next
     ones a member in the order of a hash; a node is compared with the pivot of
     most collisions. At the end every candidate that still joins two components
-    is compared, so none is left out.
+    is compared, so none is left out. Each round works on the components of
+    the one before, and deletes what that one has written.
     """
-    posted = written(postings(nodes, similar))
-    sets = None
-    open_ = posted.withColumn("label", F.col("node"))
-    checked = None
+    posted = written(postings(nodes, similar).withColumn("label", F.col("node")))
+    steps: list[DataFrame] = []
+    failed = None
     for k in range(STAR_ROUNDS + 1):
         if k < STAR_ROUNDS:
             order = [F.col("weight")] if not k else [F.xxhash64("node", F.lit(k))]
-            found = colliding(pivot_pairs(open_, similar, order), nodes)
-            chosen = found.groupBy("b").agg(F.max_by("a", F.struct("hits", "a")).alias("a")).select("a", "b")
+            found = colliding(pivot_pairs(posted, similar, order), nodes)
+            one = found.groupBy("b").agg(F.max_by(F.struct("a", "la", "lb", "doc_a", "doc_b"), F.struct("hits", "a")).alias("p"))
+            chosen = one.select("b", "p.*")
         else:
-            chosen = colliding(crossing_pairs(open_, similar), nodes).select("a", "b")
-        if checked is not None:
-            done = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            chosen = chosen.join(done, ["a", "b"], "left_anti")
+            crossing = crossing_pairs(posted, nodes, rows, size, similar)
+            chosen = colliding(crossing, nodes)
+        if failed is not None:
+            chosen = chosen.join(failed, ["a", "b"], "left_anti")
         chosen = written(chosen)
-        sets = with_sets(sets, chosen, nodes, documents, rows, size)
-        new = written(confirmed(chosen, sets, similar))
-        checked = new if checked is None else written(checked.unionByName(new))
-        labels = components(checked.filter("linked"))
+        checked = written(confirmed(chosen, rows, size, similar))
+        forget(chosen)
+        if k == STAR_ROUNDS:
+            forget(crossing)
+        moved = components(checked.filter("linked"), "la", "lb")
+        steps.append(moved)
         if k < STAR_ROUNDS:
-            open_ = written(mixed_postings(open_, labels))
-            if open_.isEmpty():
+            before, posted = posted, written(relabelled(posted, moved))
+            forget(before)
+            apart = checked.filter("NOT linked").select("a", "b")
+            failed = apart if failed is None else failed.unionByName(apart)
+            if posted.isEmpty():
                 break
-    return labels
+    forget(posted)
+    return steps
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: int = SIMILAR) -> DataFrame:
@@ -292,10 +360,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives no rows.
     """
     rows = with_fingerprint(keyed_text(docs, id_col, text_col))
-    documents = checkpointed(document_signatures(rows, shingle))
+    documents = written(document_signatures(rows, shingle))
     nodes = nodes_of(documents)
-    labels = link_table(nodes, documents, rows, shingle, similar)
-    named = nodes.select("digest", "node", "id", F.col("fp").alias("print")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = nodes.select("digest", F.col("node").alias("label"), "id", F.col("fp").alias("print"))
+    for step in link_table(nodes, rows, shingle, similar):
+        step = step.select(F.col("node").alias("old"), F.col("label").alias("new"))
+        named = named.join(step, named["label"] == step["old"], "left").withColumn("label", F.coalesce("new", "label")).drop("old", "new")
     least = named.groupBy("label").agg(F.min(F.struct("id", "print")).alias("component"))
     found = named.withColumn("key", F.bitwise_not("label")).join(least.select(F.bitwise_not("label").alias("key"), "component"), "key").select("digest", "component")
     out = documents.drop("sig").join(found, "digest", "left")
