@@ -1,12 +1,13 @@
-"""Exact dedup by a tree-merge of digest runs, in DataFrame operations only.
-
-Every input partition is a run of (digest, smallest id, rows). Runs are merged
-in binomial rounds: in a round, the runs whose numbers agree above the round's
-bits exchange their entries and become one run, each digest keeping the
-smallest identifier seen and the number of rows. A round is an aggregation on
-(run, digest): it combines on the map side first, so copies of one text leave
-a task as one entry, and a digest that a third of all rows share weighs one
-entry per task. After the last round one entry per digest is left.
+"""Exact dedup by a tree-merge of sorted digest runs, in DataFrame operations only.
+
+Input partitions are dealt to runs of (digest, check value, smallest id, rows),
+each sorted by digest. Runs are merged in binomial rounds: with a stride of 1, 2,
+4, ... run i takes in run i + stride by a sorted merge join on the digest; where
+both hold it the smaller identifier is retained and the rows add up. Entries
+meet only if digest and an independent check value agree, at every level. A run
+is spread over all tasks by digest, so no merge is the work of one; a digest
+that a third of all rows share is one entry of a run from the start, because
+partitions combine their rows first. After the last round one run is left.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposcope.llm.common import NO_ID, checkpointed, keep_rows, keyed_text, read, real_id
+from reposcope.llm.common import NO_ID, forget, keep_rows, keyed_text, read, real_id, written
 
-#: Runs at the leaves of the tree, and how many of them one round merges.
-RUNS, FAN_IN = 64, 8
+#: Runs at the leaves of the tree at most; input partitions share them.
+RUNS = 64
 
 
 def normalised(c):
@@ -35,24 +36,38 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def merge_runs(rows: DataFrame, runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
-    """One entry (sha, proof, keep, n) per text, merged through rounds of `fan_in` runs.
-
-    An entry is merged only with one that has the same digest and the same
-    check value; that is the verification at every level.
-    """
+def sorted_runs(rows: DataFrame, runs: int) -> DataFrame:
+    """(run, sha, proof, keep, n): the entries of each run, sorted by digest."""
     level = rows.select((F.spark_partition_id() % runs).alias("run"), "sha", "proof", F.col("id").alias("keep"), F.lit(1).cast("long").alias("n"))
     level = level.groupBy("run", "sha", "proof").agg(F.min("keep").alias("keep"), F.sum("n").alias("n"))
-    while runs > 1:
-        runs = -(-runs // fan_in)
-        level = (
-            level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-            .groupBy("run", "sha", "proof")
-            .agg(F.min("keep").alias("keep"), F.sum("n").alias("n"))
-        )
+    return written(level.sortWithinPartitions("run", "sha"))
+
+
+def merge_pairs(level: DataFrame, stride: int) -> DataFrame:
+    """The round in which run i takes in run i + stride."""
+    takes = level.filter(F.col("run") % (2 * stride) == 0)
+    gives = level.filter(F.col("run") % (2 * stride) == stride)
+    gives = gives.select((F.col("run") - stride).alias("run"), "sha", "proof", F.col("keep").alias("other"), F.col("n").alias("more"))
+    merged = takes.join(gives.hint("merge"), ["run", "sha", "proof"], "full_outer")
+    zero = F.lit(0).cast("long")
+    return merged.select("run", "sha", "proof", F.least("keep", "other").alias("keep"), (F.coalesce("n", zero) + F.coalesce("more", zero)).alias("n"))
+
+
+def merge_runs(rows: DataFrame, runs: int = RUNS) -> DataFrame:
+    """One entry (sha, proof, keep, n) per text, merged through the rounds of a binomial tree."""
+    level, stride = sorted_runs(rows, runs), 1
+    while stride < runs:
+        before, level = level, written(merge_pairs(level, stride).sortWithinPartitions("run", "sha"))
+        forget(before)
+        stride *= 2
     return level.drop("run")
 
 
+def leaves(rows: DataFrame) -> int:
+    """Runs for a table: a power of two, as many as it has partitions but RUNS at most."""
+    return min(RUNS, 1 << max(rows.rdd.getNumPartitions() - 1, 0).bit_length())
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -61,8 +76,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     null). Rows that repeat an id and its text are all marked kept and all
     counted; `drop_copies` leaves one of them. An empty table gives no rows.
     """
-    rows = checkpointed(digests(docs, id_col, text_col))
-    groups = merge_runs(rows)
+    rows = written(digests(docs, id_col, text_col))
+    groups = merge_runs(rows, leaves(rows))
     return rows.join(groups, ["sha", "proof"]).select(
         real_id("id").alias("doc_id"),
         real_id("keep").alias("keep_id"),
@@ -77,8 +92,8 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows that repeat both id and text are reduced to one of them.
     """
-    rows = checkpointed(digests(docs, id_col, text_col))
-    kept = merge_runs(rows).select("sha", "proof", F.col("keep").alias("id"))
+    rows = written(digests(docs, id_col, text_col))
+    kept = merge_runs(rows, leaves(rows)).select("sha", "proof", F.col("keep").alias("id"))
     stay = kept.join(rows.groupBy("sha", "proof", "id").agg(F.count(F.lit(1)).alias("times")), ["sha", "proof", "id"])
     text = normalised(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID))
