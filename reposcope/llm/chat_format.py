@@ -29,8 +29,8 @@ _REFERENCE = re.compile("&(amp|lt|#91);")
 _PLAIN = {"amp": "&", "lt": "<", "#91": "["}
 _TURN = re.compile(r"<s>\[INST\] (.*?) \[/INST\]\n(.*?)</s>", re.DOTALL)
 
-EXAMPLES = "conv_id long, example int, n_turns int, target int, text string, loss_start long, loss_end long"
-DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
+EXAMPLES = "conv_id long, lone long, example int, n_turns int, target int, text string, loss_start long, loss_end long, last boolean"
+SPANS = "conv_id long, lone long, example int, loss string, chars long, n_turns long, turns_sha256 string"
 
 
 def escaped(text: str) -> str:
@@ -69,53 +69,58 @@ def expanded(turns: list[tuple[str, str]]) -> Iterator[tuple[int, str, int, int]
 
 
 def conversations_of(rows: DataFrame) -> DataFrame:
-    """(conv_id, turns): the turns of each conversation in order.
+    """(conv_id, lone, turns): the turns of each conversation in order.
 
     Order is turn, then role, then text, nulls first; a null role or text
-    counts as empty. Turns with a null conv_id form one conversation with a
-    null id. A conversation is the unit of the result, so its turns meet in one
-    row; different conversations never do.
+    counts as empty. A turn with a null conv_id is a conversation of its own,
+    which `lone` numbers. A conversation is the unit of the result, so its turns
+    meet in one row; different conversations never do.
     """
     turn = F.struct(
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
+    keyed = rows.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("said"))
+    keyed = keyed.withColumn("lone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
     return (
-        rows.groupBy(F.col("conv_id").cast("long").alias("conv_id"))
-        .agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-        .select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+        keyed.groupBy("conv_id", "lone")
+        .agg(F.sort_array(F.collect_list("said")).alias("turns"))
+        .select("conv_id", "lone", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
     )
 
 
 def prefix_target_examples(rows: DataFrame) -> DataFrame:
-    """One row per assistant turn: conv_id, example, n_turns, target, text, loss_start, loss_end.
+    """One row per assistant turn: conv_id, lone, example, n_turns, target, text, loss_start, loss_end, last.
 
     The span counts code points of `text` and holds only the escaped reply.
-    A conversation whose last turn is not an assistant's closes with one more
-    example without a target. Repeated rows are turns of their own; an empty
-    table gives no rows; other columns of the table are not read.
+    `last` marks the longest example, which holds all turns: a conversation
+    whose last turn is not an assistant's closes with one more example without a
+    target. Repeated rows are turns of their own; an empty table gives no rows;
+    other columns of the table are not read. Examples leave a task as they are
+    made, so a long conversation takes no more memory than its longest one.
     """
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in range(9)]
+        held = 0
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            held = 0
-            for conv, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i in range(batch.num_rows):
+                conv, lone, turns = (batch.column(c)[i].as_py() for c in range(3))
                 said = [(t["role"], t["text"]) for t in turns]
                 for k, (target, text, start, end) in enumerate(expanded(said)):
                     n = target + 1 if target >= 0 else len(said)
-                    for column, value in zip(out, (conv, k, n, target, text, start, end)):
+                    for column, value in zip(out, (conv, lone, k, n, target, text, start, end, n == len(said))):
                         column.append(value)
                     held += len(text)
                     if held > 4_000_000:
                         yield _batch(out)
-                        out, held = [[] for _ in range(7)], 0
-            yield _batch(out)
+                        out, held = [[] for _ in range(9)], 0
+        yield _batch(out)
 
     def _batch(out: list[list]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], ["conv_id", "example", "n_turns", "target", "text", "loss_start", "loss_end"])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], [c.split()[0] for c in EXAMPLES.split(", ")])
 
     return conversations_of(rows).mapInArrow(expand, EXAMPLES)
 
@@ -124,25 +129,32 @@ def example_digests(examples: DataFrame) -> DataFrame:
     """What the formatted examples say when read back, one row per conversation.
 
     Turns come from the longest example; the loss text joins the unescaped
-    trainable spans in order; formatted_chars adds up all examples.
+    trainable spans in order; formatted_chars adds up all examples. Each example
+    is read where it is made: only its span and digest travel, so a conversation
+    costs as much as its replies, not as all its prefixes.
     """
-    per_conv = examples.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("example", "text", "loss_start", "loss_end"))).alias("examples")
-    )
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for conv, many in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                turns = read_back(many[-1]["text"])
-                loss = "".join(unescaped(e["text"][e["loss_start"] : e["loss_end"]]) for e in many)
-                said = "".join(f"{role}\n{text}\n" for role, text in turns)
-                rows.append((conv, len(turns), _sha(said), len(loss), _sha(loss), sum(len(e["text"]) for e in many), len(many)))
-            columns = list(zip(*rows)) if rows else [[]] * 7
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples"])
-
-    return per_conv.mapInArrow(digest, DIGESTS)
+            texts, starts, ends, last = (batch.column(c).to_pylist() for c in (5, 6, 7, 8))
+            turns = [read_back(t) if whole else None for t, whole in zip(texts, last)]
+            told = [t if t is None else _sha("".join(f"{role}\n{text}\n" for role, text in t)) for t in turns]
+            columns = [
+                *(batch.column(c) for c in range(3)),
+                pa.array([unescaped(t[a:b]) for t, a, b in zip(texts, starts, ends)], pa.string()),
+                pa.array([len(t) for t in texts], pa.int64()),
+                pa.array([t if t is None else len(t) for t in turns], pa.int64()),
+                pa.array(told, pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SPANS.split(", ")])
+
+    spans = examples.mapInArrow(read_spans, SPANS)
+    told = spans.groupBy("conv_id", "lone").agg(
+        F.max("n_turns").alias("n_turns"), F.max("turns_sha256").alias("turns_sha256"), F.sum("chars").alias("formatted_chars"),
+        F.count(F.lit(1)).alias("n_examples"), F.sort_array(F.collect_list(F.struct("example", "loss"))).alias("spans"),
+    )
+    loss = F.array_join(F.col("spans.loss"), "")
+    return told.select("conv_id", "n_turns", "turns_sha256", F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars", "n_examples")
 
 
 def _sha(text: str) -> str:
