@@ -136,18 +136,71 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
     )
 
 
-def rule_labels(found: DataFrame) -> DataFrame:
-    """`found` with label: findings labelled by issuer formats and assignments, null where neither tells.
-
-    1: a known issuer format, or assigned to an announcing name in quotes or as a long run with a digit; 0: digits only,
-    or no assignment and no announcing word beside it.
+#: Planted findings (label, path, text around {v}, value); {h} 40 hex digits, {m} 64, {b} base64, {u} a UUID, {n} 16 digits,
+#: {d} 6 digits, {w} and {x} words of the corpus, {l} 16 letters at random, {A} 16 capitals and digits, {g} 36 letters and digits.
+PLANTS = [
+    (1, "src/app.py", 'token = "{v}"', "{h}"), (1, "config/prod.env", "API_KEY={v}", "{b}"), (1, "deploy/values.yaml", "secret: {v}", "{m}"),
+    (1, "src/db/connect.js", "password: '{v}',", "{w}{d}{x}"), (1, "src/mail.php", "$pwd = '{v}';", "{l}"), (1, "src/a.py", 'set password = "{v}" now', "{l}"),
+    (1, "lib/aws.rb", "key {v} of", "AKIA{A}"), (1, "ci/run.sh", "clone with ghp_{v}", "{g}"), (1, "src/pay.ts", "sk_live_{v}", "{g}"),
+    (1, "", "use {v} to log in", "{h}"), (1, "notes.md", "Authorization: Bearer {v}", "{b}"), (1, "src/client.go", "auth({v})", "{b}"), (1, "", 'token = "{v}"', "{h}"),
+    (0, "", "card {v} paid", "{n}"), (0, "", "at {v} and", "{n}"), (0, "", "{v}", "{n}"), (0, "CHANGELOG", "commit {v} of build", "{h}"), (0, "package.lock", 'integrity "sha512-{v}"', "{b}"),
+    (0, "tests/x.py", "commit {v} of build", "{h}"), (0, "tests/login.py", 'password = "{v}"', "{w}{d}"), (0, "docs/setup.md", "token = {v}", "your_{w}_here"),
+    (0, "examples/app.py", 'api_key = "{v}"', "xxxxxxxxxxxx{d}"), (0, "src/form.js", 'password = "{v}"', "enter_{w}_{x}_2"), (0, "src/user.java", 'token = "{v}"', "get{w}Token{d}"),
+    (0, "src/db.sql", 'id = "{v}"', "{u}"), (0, "src/app.py", "import {v}", "src/{w}/{x}_v2/{w}"), (0, "", "file {v}.png", "{w}-{x}-{d}{d}"), (0, "", "sum {v}", "{m}"),
+    (0, "src/theme.css", "class={v}", "{w}-{x}-{d}"), (0, "src/config.ts", "secret: '{v}'", "process.env.{w}_{d}"),
+]
+
+
+def planted_findings(docs: DataFrame, words: DataFrame, per_plant: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Labelled findings (id, path, candidate, before, after, label, held_out): PLANTS among words of the corpus.
+
+    Positives are values that give access; the negatives look like them or
+    stand where they stand: placeholders, checksums, numbers, names. The text
+    around them is cut from `per_plant` documents, in the order of a hash. A
+    third is held out, by the document.
     """
-    issuer = F.col("candidate").rlike(f"^{ISSUER}$")
-    # an unquoted short or plain word after such a name may be prose, so only the forest judges it
-    sure = F.col("candidate").rlike(f"^{CANDIDATE}$") | F.col("before").rlike(r"[\"'`]$")
-    announced = F.col("before").rlike(ANNOUNCING + r"[\w\-]*[\"']?\s*[:=]\s*[\"'`]?$") & sure
-    beside = F.col("before").rlike(ANNOUNCING) | F.col("after").rlike(ANNOUNCING) | F.col("before").rlike(r"[:=]\s*[\"'`]?$")
-    return found.withColumn("label", F.when(issuer | announced, 1).when(F.col("candidate").rlike("^[0-9]+$") | ~beside, 0))
+    carriers = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.translate(F.left(F.col(f"`{text_col}`").cast("string"), F.lit(4000)), "\n=:\"'`", " ").alias("text"))
+    carriers = carriers.filter("id IS NOT NULL AND length(text) > 0").orderBy(F.xxhash64("id"), "id", "text").limit(per_plant)
+    common = words.orderBy(F.desc("n"), "word").limit(1000).agg(F.sort_array(F.collect_list("word")).alias("vocabulary"))
+    plants = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(x).alias(c) for c, x in zip(("label", "path", "around", "value"), plant)]) for k, plant in enumerate(PLANTS)])
+    rows = carriers.crossJoin(F.broadcast(common)).select("id", "text", "vocabulary", F.explode(plants).alias("p")).select("id", "text", "vocabulary", "p.*")
+
+    def number(salt: int) -> Column:
+        return F.pmod(F.xxhash64("id", "k", F.lit(salt)), F.lit(2**31))
+
+    def digest(salt: int) -> Column:
+        return F.sha2(F.concat_ws("/", "id", "k", F.lit(salt)), 256)
+
+    def word(salt: int) -> Column:
+        return F.coalesce(F.get("vocabulary", F.pmod(number(salt), F.greatest(F.size("vocabulary"), F.lit(1))).cast("int")), F.lit("name"))
+
+    mixed_case = F.translate(F.base64(F.unhex(digest(1))), "+/=", "aB7")
+    h = digest(2)
+    fills = {
+        "{h}": F.left(digest(3), F.lit(40)), "{m}": digest(4), "{b}": F.regexp_replace(F.base64(F.unhex(digest(5))), "=", ""), "{w}": word(6), "{x}": word(7),
+        "{u}": F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)),
+        "{n}": F.concat(F.lit("4"), F.lpad(number(8).cast("string"), 10, "7"), F.lpad((number(9) % 100000).cast("string"), 5, "3")),
+        "{d}": F.lpad((number(10) % 1000000).cast("string"), 6, "1"), "{l}": F.translate(F.left(digest(11), F.lit(16)), "0123456789", "qrstuvwxyz"),
+        "{A}": F.upper(F.left(digest(12), F.lit(16))), "{g}": F.left(mixed_case, F.lit(36)),
+    }
+    value = F.col("value")
+    for mark, fill in fills.items():
+        value = F.replace(value, F.lit(mark), fill)
+    at = F.pmod(number(13), F.greatest(F.length("text") - 100, F.lit(1))).cast("int") + 1
+    said = F.concat_ws(" ", F.substr("text", at, F.lit(50)), F.replace(F.col("around"), F.lit("{v}"), value), F.substr("text", at + 50, F.lit(50)))
+    made = rows.select((F.xxhash64("id", "k")).alias("plant"), "id", "label", "path", value.alias("value"), said.alias("text"))
+    found = candidates(made.select("plant", "text", "path"), "plant", "text", "path").withColumnRenamed("id", "plant").drop("path")
+    known = found.join(made.drop("text"), "plant").filter(F.col("candidate").contains(F.col("value")) | F.col("value").contains(F.col("candidate")))
+    return known.select("id", "path", "candidate", "before", "after", "label", (F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(3)) == 0).alias("held_out"))
+
+
+def verdicts(findings: DataFrame, words: DataFrame) -> dict[str, float]:
+    """Precision and recall on the held-out findings, with the forest and (all candidates reported) without it."""
+    shaped = checkpointed(features(checkpointed(findings), words))
+    scored = judged(shaped.filter("held_out"), train_forest(shaped.filter("NOT held_out")))
+    hit = (F.col("score") >= THRESHOLD).cast("int")
+    r = scored.agg(F.sum("label").alias("true"), F.count(F.lit(1)).alias("all"), F.sum(hit).alias("found"), F.sum(hit * F.col("label")).alias("right")).first()
+    return {"precision": r["right"] / max(r["found"], 1), "recall": r["right"] / max(r["true"], 1), "precision_without": r["true"] / max(r["all"], 1), "recall_without": 1.0}
 
 
 def train_forest(findings: DataFrame, sample: int = SAMPLE) -> RandomForestClassificationModel | None:
@@ -165,24 +218,27 @@ def train_forest(findings: DataFrame, sample: int = SAMPLE) -> RandomForestClass
     return forest.fit(vectors.select("x", "label"))
 
 
+def judged(found: DataFrame, forest: RandomForestClassificationModel | None) -> DataFrame:
+    """The columns of `found` and score; 0.5 without a forest."""
+    if forest is None:
+        return found.withColumn("score", F.lit(0.5))
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(found)
+    return forest.transform(vectors).withColumn("score", vector_to_array("probability")[1])
+
+
 def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """One row per candidate: doc_id, path, position, candidate, score, finding.
 
     `findings` are labelled candidates: path, candidate, before, after, label;
-    without them the scan's own candidates are labelled by rule. Without both
-    classes nothing can be learned and the rule decides alone (a score of 1, 0,
-    or 0.5 where it does not tell). Null ids stay null; an empty table gives no
-    rows; other columns of the table are not read.
+    without them `planted_findings` of this corpus are used. Without both
+    classes nothing can be learned and every candidate scores 0.5 and is
+    reported. Null ids stay null; an empty table gives no rows; other columns of
+    the table are not read.
     """
     words = checkpointed(corpus_words(docs, text_col))
-    found = checkpointed(features(checkpointed(candidates(docs, id_col, text_col, path_col)), words))
-    labelled = rule_labels(found) if findings is None else features(checkpointed(findings), words)
-    forest = train_forest(labelled)
-    if forest is None:
-        scored = rule_labels(found).withColumn("score", F.coalesce(F.col("label").cast("double"), F.lit(0.5)))
-    else:
-        vectors = VectorAssembler(inputCols=FEATURES, outputCol="x").transform(found)
-        scored = forest.transform(vectors).withColumn("score", vector_to_array("probability")[1])
+    found = features(checkpointed(candidates(docs, id_col, text_col, path_col)), words)
+    known = planted_findings(docs, words, id_col=id_col, text_col=text_col) if findings is None else findings
+    scored = judged(found, train_forest(features(checkpointed(known), words)))
     return scored.select(real_id("id").alias("doc_id"), "path", "position", "candidate", "score", (F.col("score") >= THRESHOLD).alias("finding"))
 
 
