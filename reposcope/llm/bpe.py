@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from reposcope.llm.common import keyed_text, read, real_id
+from reposcope.llm.common import column_index, keyed_text, read, real_id
 
 #: The word pattern of byte-level BPE; a fixed value.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -232,8 +232,12 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 
 def decoded(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """All columns of `rows` and decoded_text, the text of its array of ids (null: empty)."""
-    where = rows.columns.index(ids_col)
+    """All columns of `rows` and decoded_text, the text of its array of ids (null: empty).
+
+    A column of that name is replaced.
+    """
+    rows = rows.drop("decoded_text")
+    where = column_index(rows, ids_col)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

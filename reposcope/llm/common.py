@@ -82,6 +82,11 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
+def column_index(df: DataFrame, name: str) -> int:
+    """Where a table has a column; names are compared without case, as Spark does."""
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
 def keep_rows(docs: DataFrame, keys: dict[str, Column], stay: DataFrame) -> DataFrame:
     """The rows of `docs` whose keys are in `stay`, one of each; its columns unchanged.
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposcope.llm.common import ALNUM, LOWER, find_words, fresh, passes, read, text_buffers, word_hashes
+from reposcope.llm.common import ALNUM, LOWER, column_index, find_words, fresh, passes, read, text_buffers, word_hashes
 
 WINDOW = 10
 #: Words of a block of the shift table.
@@ -224,11 +224,12 @@ def with_hits(
     the window, but not none, is one window; a repeated item is found once; the
     words of an item without id are hit but the item is not listed. An empty
     benchmark hits nothing, an empty table gives no rows. `names` names the new
-    columns where the table has such columns already.
+    columns; columns that have these names are replaced.
     """
+    docs = docs.drop(*names)
     cover = fresh("cover", [*docs.columns, *names])
     n_words, n_hit, items = names
-    text = docs.columns.index(text_col)
+    text = column_index(docs, text_col)
     out = docs.withColumns({n_words: F.lit(0).cast("long"), cover: F.lit(b""), items: F.array().cast("array<string>")})
     for block in item_blocks(benchmark, item_col, item_text_col, block_bytes):
         out = searched(out, text, block, window)

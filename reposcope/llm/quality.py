@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposcope.llm.common import UNBLANK, find_words, passes, read, text_buffers, word_hashes
+from reposcope.llm.common import UNBLANK, column_index, find_words, passes, read, text_buffers, word_hashes
 from reposcope.llm.labelled import fit_logistic, held_out, labelled_sample, logistic
 
-#: Bounds of the training sample: rows of class 0 (bad) and 1 (good), characters of a text.
-SAMPLE, SAMPLE_CHARS = (2000, 2000), 20_000
-#: Rounds of training (relabelling between them), steps of a round, and L2 penalty.
-ROUNDS, STEPS, PENALTY = 3, 150, 1e-4
+#: Bounds of the training sample: rows of class 0 (bad) and 1 (good), characters and lines of a text.
+SAMPLE, SAMPLE_CHARS, SAMPLE_LINES = (2000, 2000), 20_000, 200
+#: Steps of the rounds of training (relabelling between them), and L2 penalty.
+STEPS, PENALTY = (150, 40, 40), 1e-4
 THRESHOLD = 0.5
 
 #: Byte classes whose shares are features; the rest of ASCII is in none of them.
@@ -173,8 +173,8 @@ def train(x: np.ndarray, sizes: np.ndarray, first: np.ndarray, good: np.ndarray)
     field = Field(np.zeros(wide.shape[1]), np.zeros((2, 2)), np.array([-1.0, 0.0]))
     is_first = np.zeros(len(x), bool)
     is_first[first[:-1]] = True
-    for _ in range(ROUNDS):
-        _climb(field, wide, first, y, is_first)
+    for steps in STEPS:
+        _climb(field, wide, first, y, is_first, steps)
         marginal = field.chains(wide, first)[0][:, 1]
         worst = np.maximum.reduceat(marginal, first[:-1])[of_text]
         y = ((~good[of_text]) & ((marginal > 0.5) | (marginal == worst))).astype(np.int64)
@@ -183,7 +183,7 @@ def train(x: np.ndarray, sizes: np.ndarray, first: np.ndarray, good: np.ndarray)
     return field
 
 
-def _climb(field: Field, wide: np.ndarray, first: np.ndarray, y: np.ndarray, is_first: np.ndarray) -> None:
+def _climb(field: Field, wide: np.ndarray, first: np.ndarray, y: np.ndarray, is_first: np.ndarray, steps: int) -> None:
     """Gradient steps (Adam) on the likelihood of the labels y."""
     inner = np.flatnonzero(~is_first)
     seen_pairs = np.zeros((2, 2))
@@ -191,7 +191,7 @@ def _climb(field: Field, wide: np.ndarray, first: np.ndarray, y: np.ndarray, is_
     seen = wide.T @ y
     size = len(field.unary)
     m, v = np.zeros(size + 4), np.zeros(size + 4)
-    for t in range(1, STEPS + 1):
+    for t in range(1, steps + 1):
         single, pair = field.chains(wide, first)
         g = np.concatenate([seen - wide.T @ single[:, 1], (seen_pairs - pair.sum(axis=0)).ravel()]) / len(y)
         g -= PENALTY * np.concatenate([field.unary, field.pairs.ravel()])
@@ -204,6 +204,7 @@ def _climb(field: Field, wide: np.ndarray, first: np.ndarray, y: np.ndarray, is_
 def learn_field(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Field | None:
     """A field learned from a bounded sample outside the held-out part; None without both classes."""
     sample = labelled_sample(docs, labels, label_col, SAMPLE, SAMPLE_CHARS, id_col, text_col)
+    sample = sample.filter(F.regexp_count("text", F.lit("\n")) < SAMPLE_LINES)  # so the driver gets a bounded number of lines
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,9 +230,11 @@ def quality(docs: DataFrame, field: Field | None, text_col: str = "text", score_
 
     A null or empty text is one empty line. Without a field every text scores
     0.5. Rows are scored one by one, so nulls elsewhere, repeated rows and
-    extra columns do not matter; an empty table gives no rows.
+    extra columns do not matter; a column that has the score's name is replaced, and
+    names are compared without case. An empty table gives no rows.
     """
-    where = docs.columns.index(text_col)
+    docs = docs.drop(score_col)
+    where = column_index(docs, text_col)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,8 @@ Entries and weights are learned from labelled documents: word beginnings that
 are closed (no extension is about as frequent) and more frequent in toxic
 documents, by a log-likelihood ratio that so many candidates would not reach by
 chance. Further rounds look only at toxic documents without an entry so far.
-Words of clean documents that begin like an entry become exceptions.
+Words of clean documents that begin like an entry become exceptions, and so do
+phrases of two words around a match that only clean documents hold.
 """
 
 from __future__ import annotations
@@ -30,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposcope.llm.common import checkpointed, fresh, read
+from reposcope.llm.common import checkpointed, column_index, fresh, read
 from reposcope.llm.labelled import fit_logistic, held_out, labelled_sample, logistic, without_copies
 
 #: Bounds of the sample that lexicon and weights are learned from: clean and toxic rows, characters of a text.
 SAMPLE, SAMPLE_CHARS = (4000, 2500), 20_000
-#: Shortest and longest word beginning that is counted.
+#: Shortest and longest word beginning that is counted; a longer entry can only be a whole word.
 SHORTEST, LONGEST = 4, 12
 #: Entries by chance that are tolerated, documents an entry needs, and rounds over documents not yet explained.
 CHANCE, LEAST_DOCS, ROUNDS = 0.5, 4, 3
@@ -43,8 +44,6 @@ CHANCE, LEAST_DOCS, ROUNDS = 0.5, 4, 3
 WORDS_MARGIN = 12.0
 #: How many times as frequent an entry is in toxic documents, at least.
 PURITY = 20
-#: Entries fetched at most, by log-likelihood ratio.
-ENTRIES = 20_000
 THRESHOLD = 0.7
 
 #: Letters of other scripts that look like Latin ones, and signs that stand for letters.
@@ -145,6 +144,23 @@ class Matcher:
         return math.log1p(total), math.log1p(1000 * total / (len(text) + 200))
 
 
+    def phrases(self, text: str) -> set[tuple[str, str]]:
+        """(phrase, word): each word of a text that matches by itself, with the word before and after it."""
+        text = folded(text)
+        words = [(w[0], w.start(), w.end()) for w in _WORD.finditer(text)]
+        known: dict[str, bool] = {}
+        found = set()
+        for i, (word, start, end) in enumerate(words):
+            if word not in known:
+                known[word] = self.features(word)[0] > 0
+            if known[word]:
+                if i and text[words[i - 1][2] : start] == " ":
+                    found.add((f"{words[i - 1][0]} {word}", word))
+                if i + 1 < len(words) and text[end : words[i + 1][1]] == " ":
+                    found.add((f"{word} {words[i + 1][0]}", word))
+        return found
+
+
 _matchers: dict[str, Matcher] = {}
 
 
@@ -225,14 +241,14 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
             counts.filter((F.col("bad") >= LEAST_DOCS) & (F.col("bad") * n_good > PURITY * F.col("good") * n_bad))
             .withColumn("g", F.greatest(by_docs, by_words - WORDS_MARGIN))
             .filter(F.col("g") >= least)
-            .orderBy(F.desc("g"), "entry")
-            .limit(ENTRIES)
-            .collect()
+            .collect()  # words of the bounded sample that pass the test
         )
         entries = _closed({r["entry"]: (r["bad"], r["good"]) for r in rows}, n_bad, n_good)
         if not entries:
             break
         lexicon = Lexicon({**entries, **lexicon.entries}, lexicon.exceptions | _exceptions(counts, entries))
+    if lexicon.entries:
+        lexicon = Lexicon(lexicon.entries, lexicon.exceptions | _phrases(sample, lexicon))
     points = _sample_features(sample, lexicon)
     if lexicon.entries:
         lexicon.weights = fit_logistic(points[:, :2], points[:, 2]).tolist()
@@ -265,12 +281,30 @@ def _exceptions(counts: DataFrame, entries: dict[str, float]) -> set[str]:
     if not starts:
         return set()
     words = counts.filter(F.col("entry").endswith(" ") & (F.col("bad") == 0) & (F.col("good") >= 2))
-    words = words.filter(F.substring("entry", 1, SHORTEST).isin(starts)).orderBy(F.desc("good"), "entry").limit(ENTRIES)
+    words = words.filter(F.substring("entry", 1, SHORTEST).isin(starts))
     plain = [e for e in entries if not e.endswith(" ")]
     found = (r["entry"].rstrip(" ") for r in words.collect())
     return {w for w in found if any(w.startswith(e) for e in plain)}
 
 
+def _phrases(sample: DataFrame, lexicon: Lexicon) -> set[str]:
+    """Phrases of a matched word and the word beside it, of two or more clean documents and no toxic one, where
+    the word itself occurs in toxic documents too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = matcher(lexicon)
+        for batch in batches:
+            found = [(phrase, word, label) for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for phrase, word in m.phrases(text)]
+            columns = list(zip(*found)) if found else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32()))], ["phrase", "word", "label"])
+
+    told = sample.mapInArrow(run, "phrase string, word string, label int")
+    bad = F.sum("label").alias("bad")
+    phrases = told.groupBy("phrase", "word").agg(bad, F.count(F.lit(1)).alias("n")).filter("bad = 0 AND n >= 2")
+    words = told.groupBy("word").agg(bad).filter("bad > 0").select("word")
+    return {r["phrase"] for r in phrases.join(words, "word").collect()}
+
+
 def _sample_features(sample: DataFrame, lexicon: Lexicon) -> np.ndarray:
     """(features, label) of the bounded sample's documents."""
 
@@ -287,9 +321,11 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", score_co
     """All columns of `docs` and the score, 0 to 1; a null text scores as an empty one.
 
     Rows are scored one by one, so nulls elsewhere, repeated rows and extra
-    columns do not matter; an empty table gives no rows.
+    columns do not matter; a column that has the score's name is replaced, and
+    names are compared without case. An empty table gives no rows.
     """
-    where = docs.columns.index(text_col)
+    docs = docs.drop(score_col)
+    where = column_index(docs, text_col)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
