@@ -68,7 +68,7 @@ def test_exact_groups(documents, rows, extra):
 
 def test_merge_of_many_runs(spark):
     rows = spark.range(0, 500, 1, 20).selectExpr("cast(id % 37 as string) AS sha", "id % 37 AS proof", "id")
-    got = exact_dedup.merge_runs(rows, runs=16, fan_in=2).collect()
+    got = exact_dedup.merge_runs(rows, runs=16).collect()
     assert ordered((r["sha"], r["keep"], r["n"]) for r in got) == ordered((str(k), k, len(range(k, 500, 37))) for k in range(37))
 
 
@@ -198,3 +198,94 @@ def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 20)] + [(30, 31), (40, 40), (None, 3)], "a long, b long")
     got = {r["node"]: r["label"] for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(21)}, 30: 30, 31: 30}
+
+
+def thue_morse(a, b, n=1024):
+    """Two different words that collide in every polynomial hash modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, b)[k] for k in bits), "".join((b, a)[k] for k in bits)
+
+
+def test_contrived_words_do_not_collide(documents):
+    x, y = thue_morse("a", "b")
+    rows = [(1, f"{x} " * 60), (2, f"{y} " * 60), (3, " ".join(f"{x} p{i}" for i in range(30))), (4, " ".join(f"{y} p{i}" for i in range(30)))]
+    long_a, long_b = thue_morse("left", "right")
+    rows += [(5, long_a.replace("left", "left ").replace("right", "right ")), (6, long_b.replace("left", "left ").replace("right", "right "))]
+    got = substring_dedup.dedup_substrings(documents(rows), with_text=False).collect()
+    assert ordered(got) == ordered(expected_substring(rows, 50))
+    near = minhash_dedup.near_groups(documents(rows), shingle=2).collect()
+    assert ordered(r[:4] for r in near) == ordered(expected_near(rows, 2))
+
+
+def test_very_long_texts(documents):
+    rng = random.Random(11)
+    text = prose(rng, 30_000, 5000)
+    rows = [(1, text), (2, f"start {text} end"), (3, "y" * 200_000), (4, f"{'y' * 200_000} z"), (5, text[:90_000]), (6, "\n".join([text[:60]] * 4000))]
+    rows += [(10 + i, f"{text[:60]}\n{i}") for i in range(5)]
+    assert ordered(exact_dedup.exact_groups(documents(rows)).collect()) == ordered(expected_exact(rows))
+    assert ordered(substring_dedup.dedup_substrings(documents(rows), with_text=False).collect()) == ordered(expected_substring(rows, 50))
+    assert ordered(line_dedup.dedup_lines(documents(rows)).collect()) == ordered(expected_lines(rows))
+    assert ordered(r[:4] for r in minhash_dedup.near_groups(documents(rows)).collect()) == ordered(expected_near(rows, 5))
+
+
+def test_paths_have_source_coordinates(documents):
+    """A passage is one path of its source document, and a run of it in a copy leads to the words there."""
+    from reposcope.llm.common import keyed_text
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    passage = prose(rng, 300, 10**6).split()
+    rows = [(3, " ".join(["s"] * 7 + passage)), (8, " ".join(prose(rng, 40, 10**6).split() + passage + ["t"])), (9, prose(rng, 200, 10**6))]
+    table = keyed_text(documents(rows)).select("id", F.hash("text").alias("fp"), "text")
+    found = substring_dedup.edge_table(table, 50, 12)
+    runs = [r for r in substring_dedup.path_runs(found, 50, 12).collect() if r["id"] == 8]
+    assert {(r["sid"], r["shift"]) for r in runs} == {(3, 7 - 40)}
+    assert max(r["last"] - r["first"] for r in runs) > 150
+    edges = substring_dedup.path_edges(found, 12).filter("sid = 3").select("begin", "end").distinct().collect()
+    assert len(edges) < len(found.filter("id = 3").collect()) / 2
+
+
+def test_levelled_runs_hold_each_hash_once(spark):
+    index = line_dedup.LevelledRuns(fan_in=3)
+    total = {}
+    for k in range(8):
+        rows = [(h, -h, 1 + h % 3, 100 * k + h) for h in range(k, 3 * k + 4)]
+        for h, _, n, last in rows:
+            old = total.get(h, (0, 0))
+            total[h] = (old[0] + n, max(old[1], last))
+        index.add(spark.createDataFrame(rows, "h1 long, h2 long, n long, last long"))
+        held = [r["h1"] for run in index.runs() for r in run.collect()]
+        assert sorted(held) == sorted(total), "a hash lies in one run only"
+    assert len(index.runs()) <= 4
+    assert {r["h1"]: (r["n"], r["last"]) for r in index.entries().collect()} == total
+
+
+def test_rounds_merge_by_stride(spark):
+    rows = spark.range(0, 64, 1, 8).selectExpr("cast(id % 5 as string) AS sha", "id % 5 AS proof", "id")
+    level = exact_dedup.sorted_runs(rows, 8)
+    assert {r["run"] for r in level.collect()} == set(range(8))
+    for stride, left in ((1, {0, 2, 4, 6}), (2, {0, 4}), (4, {0})):
+        level = exact_dedup.merge_pairs(level, stride)
+        assert {r["run"] for r in level.collect()} == left
+    assert ordered((r["sha"], r["keep"], r["n"]) for r in level.collect()) == ordered((str(k), k, len(range(k, 64, 5))) for k in range(5))
+    other = rows.withColumn("proof", rows["id"])  # equal digests of different texts stay apart
+    assert exact_dedup.merge_runs(other, 8).count() == 64
+
+
+def near_family():
+    """A template with many members of which hardly two are similar enough, and some that are."""
+    rng = random.Random(12)
+    base = prose(rng, 100, 10**6).split()
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for j in rng.sample(range(100), 12 if i % 10 else 3):
+            words[j] = f"e{i}x{j}" if i % 7 else f"e{j}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_near_family_with_common_template(documents):
+    rows = near_family()
+    got = minhash_dedup.near_groups(documents(rows), shingle=2).collect()
+    assert ordered(r[:4] for r in got) == ordered(expected_near(rows, 2))

@@ -81,7 +81,7 @@ def test_decontamination(spark, documents, block_bytes):
     docs += [(30 + k, f"{prose(rng, 9, 30)}, {t.upper() if t else ''}! {prose(rng, 700, 30)}") for k, (_, t) in enumerate(items)]
     docs += [(60, None), (61, ""), (None, items[3][1]), (5, items[3][1]), (5, items[3][1]), (62, "ÀB déjà 日本 x9")]
     table = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.with_hits(documents(docs, True).drop("items"), table, block_bytes=block_bytes).select("doc_id", "n_words", "n_hit", "items").collect()
+    got = decontamination.with_hits(documents(docs, True), table, block_bytes=block_bytes).select("doc_id", "n_words", "n_hit", "items").collect()
     assert ordered(got) == ordered(expected_hits(docs, items))
     kept = decontamination.drop_contaminated(documents(docs, True), table)
     assert ordered(kept.select("doc_id").collect()) == ordered((i,) for i, _, hit, _ in expected_hits(docs, items) if not hit)
@@ -104,12 +104,14 @@ def test_chat_round_trip(spark):
     table = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, example string")
     examples = chat_format.prefix_target_examples(table)
     got = {r["conv_id"]: r for r in chat_format.example_digests(examples).collect()}
-    for conv in (1, 2, 3, None):
+    for conv in (1, 2, 3):
         turns = sorted(((t if t is not None else -1, role or "", text or "") for c, t, role, text in rows if c == conv))
         said = "".join(f"{role}\n{text}\n" for _, role, text in turns)
         loss = "".join(text for _, role, text in turns if role == "assistant")
         assert got[conv]["turns_sha256"] == sha(said)
         assert (got[conv]["n_turns"], got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(turns), len(loss), sha(loss))
+    lone = [r for r in chat_format.example_digests(examples).collect() if r["conv_id"] is None]
+    assert sorted((r["n_turns"], r["loss_chars"]) for r in lone) == [(1, 0), (1, 1)]
     for e in examples.collect():
         turns = chat_format.read_back(e["text"])
         assert len(turns) == e["n_turns"]
@@ -146,7 +148,7 @@ def test_toxicity_learns_and_folds(spark, documents):
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     lexicon = toxicity.learn_lexicon(documents(docs, True), table)
     asked = docs + [(900, "you GRUMBLE"), (901, "you gr​umвӏe grуmble"), (902, "a 5narkfac3 there"), (903, ""), (904, None), (None, "calm words"), (905, "w1 " * 5000 + "grumble")]
-    rows = {r["doc_id"]: r for r in toxicity.toxicity(documents(asked, False), lexicon).collect()}
+    rows = {r["doc_id"]: r for r in toxicity.toxicity(documents(asked, True), lexicon).collect()}
     wrong = [i for i, _, t in labels if is_held_out(i) and (rows[i]["score"] >= toxicity.THRESHOLD) != bool(t)]
     assert not wrong
     assert rows[900]["score"] >= 0.7 and rows[902]["score"] >= 0.7 and rows[901]["score"] >= 0.7
@@ -169,7 +171,7 @@ def test_quality_learns(spark, documents):
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     field = quality.learn_field(documents(docs, True), table)
     asked = docs + [(903, ""), (904, None), (None, "\n\n\n"), (905, "Fine words. " * 4000), (906, "\n" * 3000)]
-    rows = quality.quality(documents(asked, False), field).collect()
+    rows = quality.quality(documents(asked, True), field).collect()
     assert len(rows) == len(asked) and all(0 <= r["score"] <= 1 for r in rows)
     score = {r["doc_id"]: r["score"] for r in rows}
     held = [(i, q) for i, q, _ in labels if is_held_out(i)]
@@ -246,3 +248,104 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in kept}
 
 
+def test_long_conversation(spark):
+    n = 3000
+    rows = spark.range(n).selectExpr("cast(5 AS BIGINT) AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "repeat(concat('t', id, ' '), 10) AS text")
+    got = chat_format.example_digests(chat_format.prefix_target_examples(rows)).first()
+    loss = "".join(f"t{i} " * 10 for i in range(1, n, 2))
+    assert (got["n_turns"], got["n_examples"], got["loss_sha256"]) == (n, n // 2, sha(loss))
+
+
+def slow_features(lexicon, text):
+    """Matches of a lexicon by trying every entry at every place."""
+    plain, text = toxicity._plain(text), toxicity.folded(text)
+    best, excused = {}, []
+    for start in range(len(text)):
+        if not toxicity._begins(plain, start):
+            continue
+        for entry, weight in [*lexicon.entries.items(), *((e, 0) for e in lexicon.exceptions)]:
+            bare = entry.rstrip(" ")
+            end = start + len(bare)
+            if text[start:end] != bare:
+                continue
+            closed = not toxicity._GOES_ON.match(plain, end)
+            if bare in lexicon.exceptions and closed:
+                excused.append((start, end))
+            elif weight and (closed or entry == bare):
+                best[start] = max(best.get(start, 0.0), weight)
+    total = sum(w for s, w in best.items() if not any(a <= s < b for a, b in excused))
+    return np.log1p(total), np.log1p(1000 * total / (len(text) + 200))
+
+
+def test_toxicity_against_brute_force():
+    rng = random.Random(14)
+    lexicon = toxicity.Lexicon({"grum": 3.0, "rude ": 2.0, "snark": 1.5, "snarkface": 4.0}, {"grummet", "rude awakening", "old snark"})
+    m = toxicity.Matcher(lexicon)
+    words = ["grum", "grummet", "grumble", "rude", "rudeness", "awakening", "old", "snark", "snarkface", "sn4rk", "RUDE", "rуde", "x", "5", "!!", "calm", "gr00m"]
+    for _ in range(300):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", ", ", "\n", ""]) for _ in range(rng.randrange(12)))
+        assert np.allclose(m.features(text), slow_features(lexicon, text)), text
+
+
+def test_exception_phrases_are_learned(spark, documents):
+    rng = random.Random(15)
+    docs, labels = [], []
+    for i in range(600):
+        toxic = i % 3 == 0
+        extra = "grumble off" if toxic else "grumble bee" if i % 97 == 1 else "calm"
+        docs.append((i, f"{prose(rng, 20)} {extra} {prose(rng, 10)}"))
+        labels.append((i, 1, int(toxic)))
+    lexicon = toxicity.learn_lexicon(documents(docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert "grumble bee" in lexicon.exceptions
+    rows = {r["doc_id"]: r["score"] for r in toxicity.toxicity(documents([(1, "a grumble bee here"), (2, "a grumble here")]), lexicon).collect()}
+    assert rows[1] < toxicity.THRESHOLD <= rows[2]
+
+
+def test_clashing_columns_are_replaced(spark, documents):
+    rows = spark.createDataFrame([(1, "calm", 5, "x", "y")], "doc_id long, Text string, Score int, N_hit string, decoded_text string")
+    scored = toxicity.toxicity(rows, toxicity.Lexicon({"grum": 1.0}))
+    assert scored.columns == ["doc_id", "Text", "N_hit", "decoded_text", "score"] and scored.first()["score"] < 0.7
+    assert quality.quality(rows, None).first()["score"] == 0.5
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontamination.with_hits(rows, none).first()["n_hit"] == 0
+    tokens = rows.selectExpr("array(1, 2) AS ids", "decoded_text")
+    assert bpe.decoded(tokens, bpe.tokenizer_path()).columns == ["ids", "decoded_text"]
+
+
+def test_forest_removes_false_positives(spark):
+    """On held-out planted findings the forest is far more precise than the pattern alone, and loses little."""
+    rng = random.Random(16)
+    docs = spark.createDataFrame([(i, prose(rng, 80, 300) + " " + " ".join(rng.choice(["account", "garden", "window", "letter"]) for _ in range(9))) for i in range(300)], "doc_id long, text string")
+    words = secrets.corpus_words(docs)
+    findings = secrets.planted_findings(docs, words)
+    told = secrets.verdicts(findings, words)
+    print(told)
+    assert told["precision"] > 0.9 > 0.65 > told["precision_without"] and told["recall"] > 0.9
+
+
+def test_features_against_brute_force(spark):
+    rows = [(1, 'set token = "Ab3dEfgh12xyz9" now', "tests/a/b.py"), (2, "letters " * 12 + "letters_9_letters", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words = secrets.corpus_words(docs)
+    got = {r["id"]: r for r in secrets.features(secrets.candidates(docs), words).collect()}
+    first = got[1]
+    assert first["candidate"] == "Ab3dEfgh12xyz9"
+    assert (first["length"], first["digits"], first["uppers"], first["hex"]) == (14, 4 / 14, 2 / 14, 0)
+    assert first["kinds"] == len(set("ab3defgh12xyz9")) / 14 and first["changes"] == 6
+    assert (first["example_path"], first["depth"], first["announced"], first["assigned"], first["quoted"]) == (1, 2, 1, 1, 1)
+    assert got[2]["coverage"] == 14 / 17 and got[1]["coverage"] == 0
+
+
+def test_pipeline_edges(spark, tmp_path):
+    import corpus_pipeline
+
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, score string, items string, id long, fp long"
+    rows = [(None, "a b", None, None, None, "s", "i", 1, 1), (None, "a b", None, None, None, "s", "i", 1, 1), (1, None, "en", "s", 0, None, None, 2, 2), (1, "", "en", "s", 0, None, None, 2, 2), (2, "one two", "en", "s", 7, None, None, 2, 2), (2, "one two", "en", "s", 7, None, None, 2, 2)]
+    for name, part in (("full", rows), ("empty", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(part, kinds).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    got = [r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/full").collect()]
+    assert sorted(got, key=str) == [1, 2, None]
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
