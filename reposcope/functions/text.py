@@ -8,15 +8,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def unmarked(text: Column) -> Column:
+    """A text without the control characters that `findings` and `positions` mark matches with."""
+    return F.regexp_replace(text, "[\x01-\x03]", "")
+
+
+def positions(files: DataFrame, pattern: str, source: str = "source") -> DataFrame:
+    """One row per match: the table's other columns, source without marks, match, at (characters before it) and line."""
+    keys = [c for c in files.columns if c != source]
+    whole = files.select(*keys, unmarked(F.col(source)).alias("source"))
+    marked = whole.withColumn("pieces", F.split(F.regexp_replace("source", pattern, "\x01$0\x02"), "\x01"))
+    sizes = F.transform("pieces", lambda x: F.length(x) - F.regexp_count(x, F.lit("\x02")))
+    before = F.aggregate(F.slice(sizes, F.lit(1), F.col("k")), F.lit(0), lambda a, x: a + x)
+    each = marked.select(*keys, "source", "pieces", F.posexplode("pieces").alias("k", "piece")).filter("k > 0").withColumn("at", before)
+    line = 1 + F.regexp_count(F.left("source", F.col("at")), F.lit("\n"))
+    return each.select(*keys, "source", F.substring_index("piece", "\x02", 1).alias("match"), "at", line.alias("line"))
+
+
+def positions_sql(pattern: str, table: str = "modules", keys: str = "repo_id, path", source: str = "source") -> str:
+    """The same positions for DuckDB."""
+    quoted = pattern.replace("'", "''")
+    return f"""(SELECT {keys}, src AS source, string_split(piece, chr(2))[1] AS match, spot, CAST(1 + length(regexp_replace(left(src, spot), '[^\n]', '', 'g')) AS INTEGER) AS line FROM (
+      SELECT {keys}, src, pieces[k] AS piece, CAST(list_sum(list_transform(pieces[:k - 1], lambda x: length(replace(x, chr(2), '')))) AS INTEGER) AS spot FROM (
+        SELECT {keys}, src, pieces, unnest(generate_series(2, len(pieces))) AS k FROM (
+          SELECT {keys}, {source} AS src, string_split(regexp_replace({source}, '{quoted}', chr(1) || '\0' || chr(2), 'g'), chr(1)) AS pieces FROM {table}))))"""
+
+
 def findings(files: DataFrame, pattern: str, groups: int = 1, source: str = "source") -> DataFrame:
     """One row per match: the table's other columns, line, and found, an array of the captured groups.
 
     Matches are marked in place by one replacement, so that splitting at line
     ends gives each match its line; the pass is linear in the text and needs no
-    shuffle. Captured groups must not span lines.
+    shuffle. Captured groups must not span lines. The control characters used as
+    marks are taken out of the text first, so that none can be forged.
     """
     marks = "\x03".join(f"${g}" for g in range(1, groups + 1))
-    lines = F.split(F.regexp_replace(F.col(source), pattern, f"\x01{marks}\x02$0"), "\n")
+    lines = F.split(F.regexp_replace(unmarked(F.col(source)), pattern, f"\x01{marks}\x02$0"), "\n")
     keys = [c for c in files.columns if c != source]
     marked = files.select(*keys, F.posexplode(lines).alias("at", "text"))
     hits = F.regexp_extract_all("text", F.lit("\x01([^\x02]*)\x02"), F.lit(1))

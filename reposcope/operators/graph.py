@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reposcope.functions.text import union
-from reposcope.sources.tables import written
+from reposcope.sources.tables import forget, written
 
 REPO = "repo_id"
 #: Levels of a loop kept as tables of their own before they are written as one.
@@ -138,7 +138,11 @@ def reach(seeds: DataFrame, edges: DataFrame, depth: int | None = None, backward
             break
         levels.append(front)
         if len(levels) > LEVELS:
-            levels = [written(union(levels))]
+            before, levels = levels, [written(union(levels))]
+            for old in before:
+                if old is not front:
+                    forget(old)
+    forget(step)
     return union(levels)
 
 
@@ -400,3 +404,112 @@ def issues(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         orphan_nodes(nodes, edges).select(REPO, F.lit("orphan").alias("kind"), F.lit("low").alias("severity"), "node_id"),
     ]
     return union(parts)
+
+
+def all_paths(pairs: DataFrame, edges: DataFrame, most: int = 10, depth: int = 50) -> DataFrame:
+    """(repo_id, origin, target, path): simple paths between pairs of nodes (repo_id, origin, target), the shortest and first `most`.
+
+    Only nodes that lie between the two, ahead of the one and behind the other,
+    are walked, so a path that can't arrive is never begun.
+    """
+    key = [REPO, "origin"]
+    asked = written(pairs.select(*key, "target").distinct())
+    step = written(edges.select(REPO, "src", "dst").distinct())
+    behind = reach(asked.select(REPO, F.col("target").alias("origin"), F.col("target").alias("node_id")).distinct(), step, depth, backward=True)
+    between = written(behind.select(REPO, F.col("origin").alias("target"), F.col("node_id").alias("dst")))
+    front = written(asked.withColumns({"node_id": F.col("origin"), "path": F.array("origin")}))
+    done = []
+    for _ in range(depth):
+        near = front.join(step.withColumnRenamed("src", "node_id"), [REPO, "node_id"]).filter(~F.array_contains("path", F.col("dst")))
+        near = near.join(between, [REPO, "target", "dst"], "left_semi").select(*key, "target", F.col("dst").alias("node_id"), F.array_append("path", F.col("dst")).alias("path"))
+        front = written(near)
+        if front.isEmpty():
+            break
+        done.append(front.filter("node_id = target"))
+        front = front.filter("node_id <> target")
+    if not done:
+        return asked.select(*key, "target", F.lit(None).cast("array<string>").alias("path")).limit(0)
+    ranked = union(done).withColumn("k", F.expr("row_number() OVER (PARTITION BY repo_id, origin, target ORDER BY size(path), path)"))
+    return ranked.filter(F.col("k") <= most).select(*key, "target", F.array_join("path", ">").alias("path"))
+
+
+def deep_chains(nodes: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
+    """(repo_id, node_id, depth): nodes below which calls and references go deeper than `most`; those on or before cycles are left out."""
+    calls = edges.filter("kind IN ('call', 'reference', 'query')").select(REPO, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    every = union([nodes.select(REPO, "node_id"), ends(calls)]).distinct()
+    deep = topo_layers(every, calls).join(nodes.select(REPO, "node_id"), [REPO, "node_id"], "left_semi")
+    return deep.filter(F.col("layer") > most).select(REPO, "node_id", F.col("layer").alias("depth"))
+
+
+def unvalidated_controllers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, node_id, path): controllers that a view reaches by one edge, or by two over a node that is no validation; the first such path."""
+    typed = with_types(nodes, edges).filter("dst_type <> 'validation'").select(REPO, "src", "dst", "src_type", "dst_type")
+    one = typed.filter("src_type = 'view' AND dst_type = 'controller'").select(REPO, F.col("dst").alias("node_id"), F.lit(1).alias("hops"), F.concat_ws(">", "src", "dst").alias("path"))
+    first = typed.filter("src_type = 'view'").select(REPO, "src", F.col("dst").alias("mid"))
+    second = typed.filter("dst_type = 'controller' AND src_type <> 'validation'").select(REPO, F.col("src").alias("mid"), "dst")
+    # the smallest view of each middle node is enough for the smallest path
+    two = first.groupBy(REPO, "mid").agg(F.min("src").alias("src")).join(second, [REPO, "mid"]).select(REPO, F.col("dst").alias("node_id"), F.lit(2).alias("hops"), F.concat_ws(">", "src", "mid", "dst").alias("path"))
+    best = union([one, two]).groupBy(REPO, "node_id").agg(F.min(F.struct("hops", "path")).alias("b"))
+    return best.select(REPO, "node_id", "b.path")
+
+
+def connected_set(asked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, origin, node_id): all nodes joined to an asked one (repo_id, node_id) by any path, direction ignored."""
+    labels = written(components(nodes, edges))
+    own = asked.select(REPO, F.col("node_id").alias("origin")).join(labels.withColumnRenamed("node_id", "origin"), [REPO, "origin"])
+    return own.join(labels, [REPO, "component"]).select(REPO, "origin", "node_id")
+
+
+def dead_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, node_id, lacks, nearest): nodes without a way in or out, and the x of the nearest column before or after them."""
+    columns = nodes.select(REPO, F.col("x").cast("long").alias("col")).distinct()
+    rows = union([entry_points(nodes, edges).select(REPO, "node_id", F.lit("in").alias("lacks")), exit_points(nodes, edges).select(REPO, "node_id", F.lit("out").alias("lacks"))])
+    placed = rows.join(nodes.select(REPO, "node_id", F.col("x").cast("long").alias("col")), [REPO, "node_id"])
+    w = "OVER (PARTITION BY repo_id ORDER BY col)"
+    beside = columns.select(REPO, "col", F.expr(f"lag(col) {w}").alias("before"), F.expr(f"lead(col) {w}").alias("after"))
+    near = F.when(F.col("lacks") == "in", F.col("before")).otherwise(F.col("after"))
+    return placed.join(beside, [REPO, "col"]).select(REPO, "node_id", "lacks", near.alias("nearest"))
+
+
+def bridges(edges: DataFrame, homes: DataFrame) -> DataFrame:
+    """(repo_id, src, dst, kind): the first edge of each pair of sections goes over a bridge node; the others stay."""
+    a = homes.select(REPO, F.col("node_id").alias("src"), F.col("section_id").alias("a"))
+    b = homes.select(REPO, F.col("node_id").alias("dst"), F.col("section_id").alias("b"))
+    crossing = edges.join(a, [REPO, "src"]).join(b, [REPO, "dst"]).filter("a <> b")
+    first = crossing.groupBy(REPO, "a", "b").agg(F.min(F.struct("src", "dst", "kind")).alias("e")).select(REPO, "e.*", F.concat_ws(":", F.lit("bridge"), "a", "b").alias("bridge"))
+    over = union([first.select(REPO, "src", F.col("bridge").alias("dst"), F.lit("bridge").alias("kind")), first.select(REPO, F.col("bridge").alias("src"), "dst", F.lit("bridge").alias("kind"))])
+    kept = edges.join(first.select(REPO, "src", "dst", "kind"), [REPO, "src", "dst", "kind"], "left_anti").select(REPO, "src", "dst", "kind")
+    return union([kept, over])
+
+
+# Controllers that sign users in, and the role that a route belongs to.
+SIGN_IN = r"(?i)/api/auth/(login|signin|authenticate)|/auth/login|/login|/signin"
+ROLES = [("manager", "(?i)manager|admin"), ("customer", "(?i)customer|user"), ("staff", "(?i)staff|employee")]
+
+
+def role_gateways(nodes: DataFrame, edges: DataFrame, sign_in: str = SIGN_IN, roles: list[tuple[str, str]] = ROLES) -> DataFrame:  # noqa: B006
+    """(repo_id, node_id, roles): controllers that sign users in and lead to views of two or more roles, joined by commas."""
+    doors = nodes.filter((F.col("type") == "controller") & F.col("label").rlike(sign_in)).select(REPO, F.col("node_id").alias("src"))
+    role = F.coalesce(*[F.when(F.col("label").rlike(p), r) for r, p in roles])
+    views = nodes.filter("type = 'view'").select(REPO, F.col("node_id").alias("dst"), role.alias("role")).filter("role IS NOT NULL")
+    led = edges.join(doors, [REPO, "src"]).join(views, [REPO, "dst"]).groupBy(REPO, F.col("src").alias("node_id")).agg(F.sort_array(F.collect_set("role")).alias("roles"))
+    return led.filter(F.size("roles") >= 2).select(REPO, "node_id", F.array_join("roles", ",").alias("roles"))
+
+
+def validate_graph(nodes: DataFrame, edges: DataFrame, sensitive: Column, guard: Column, depth: int = 10) -> DataFrame:
+    """(repo_id, kind, severity, node_id): cycles, deep chains, missing guards and missing validation as one table; errors make a graph invalid."""
+    parts = [
+        cycle_nodes(nodes, edges).select(REPO, F.lit("circular-dependency").alias("kind"), F.lit("error").alias("severity"), "node_id"),
+        deep_chains(nodes, edges, depth).select(REPO, F.lit("deep-call-chain").alias("kind"), F.lit("warning").alias("severity"), "node_id"),
+        gaps(nodes, edges, sensitive, guard).select(REPO, F.lit("missing-auth").alias("kind"), F.lit("error").alias("severity"), "node_id"),
+        gaps(nodes, edges, sensitive, F.col("type") == "validation").select(REPO, F.lit("missing-validation").alias("kind"), F.lit("warning").alias("severity"), "node_id"),
+    ]
+    return union(parts)
+
+
+def issues_by_node(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, node_id, kind, severity, role): each issue at its subject and at the nodes that the subject leads to (impacted)."""
+    own = found.select(REPO, "node_id", "kind", "severity", F.lit("subject").alias("role"))
+    ahead = edges.select(REPO, F.col("src").alias("node_id"), "dst").distinct()
+    led = found.join(ahead, [REPO, "node_id"]).select(REPO, F.col("dst").alias("node_id"), "kind", "severity", F.lit("impacted").alias("role"))
+    return union([own, led]).distinct()

@@ -107,10 +107,21 @@ def infer_foreign_keys(tables: DataFrame) -> DataFrame:
 
 
 def assign_section(nodes: DataFrame, sections: DataFrame) -> DataFrame:
-    """(repo_id, node_id, section_id): the first section, by id, whose box holds a node, borders included; null if none."""
-    inside = "n.repo_id = s.repo_id AND n.x BETWEEN s.x AND s.x + s.w AND n.y BETWEEN s.y AND s.y + s.h"
-    found = nodes.alias("n").join(sections.alias("s"), F.expr(inside), "left")
-    return found.groupBy(F.col("n.repo_id"), F.col("n.node_id")).agg(F.min("s.section_id").alias("section_id"))
+    """(repo_id, node_id, section_id): the first section, by id, whose box holds a node, borders included; null if none.
+
+    A grid of cells as large as the largest box is the second key: a box lies in
+    four cells at most, and a node meets only the boxes of its own cell.
+    """
+    w, h = sections.agg(F.max("w"), F.max("h")).first()
+    w, h = float(w or 0) or 1.0, float(h or 0) or 1.0
+    cell = lambda c, size: F.floor(c / F.lit(size))
+    boxes = sections.select("repo_id", "section_id", *[F.col(c).alias(f"box_{c}") for c in "xywh"])
+    boxes = boxes.withColumn("gx", F.explode(F.sequence(cell(F.col("box_x"), w), cell(F.col("box_x") + F.col("box_w"), w))))
+    boxes = boxes.withColumn("gy", F.explode(F.sequence(cell(F.col("box_y"), h), cell(F.col("box_y") + F.col("box_h"), h))))
+    points = nodes.select("repo_id", "node_id", "x", "y", cell(F.col("x"), w).alias("gx"), cell(F.col("y"), h).alias("gy"))
+    inside = F.expr("x BETWEEN box_x AND box_x + box_w AND y BETWEEN box_y AND box_y + box_h")
+    found = points.join(boxes, ["repo_id", "gx", "gy"], "left")
+    return found.groupBy("repo_id", "node_id").agg(F.min(F.when(inside, F.col("section_id"))).alias("section_id"))
 
 
 def section_bounds(members: DataFrame, pad: float = 40.0, width: float = 400.0, height: float = 300.0) -> DataFrame:

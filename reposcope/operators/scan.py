@@ -39,12 +39,13 @@ VALIDATIONS = {
     "custom": r"if\s*\(\s*!|throw\s+new\s+Error\s*\(",
 }
 DECISIONS = {
-    "ifs": r"\bif\s*\(", "else_ifs": r"\belse\s+if\s*\(", "fors": r"\bfor\s*\(", "whiles": r"\bwhile\s*\(", "cases": r"\bcase\s+",
+    "ifs": r"\bif\s*\(", "fors": r"\bfor\s*\(", "whiles": r"\bwhile\s*\(", "cases": r"\bcase\s+",
     "catches": r"\bcatch\s*\(", "ternaries": r"\?\s*[^:]+\s*:", "ands": r"&&", "ors": r"\|\|", "nullish": r"\?\?",
 }
 NOISE = [
     (r"(?m)//.*$", ""), (r"/\*[\s\S]*?\*/", ""), (r"(?m)--.*$", ""),
-    (r"'([^'\\]|\\.)*'", "''"), (r'"([^"\\]|\\.)*"', '""'), (r"`([^`\\]|\\.)*`", "``"),
+    # possessive loops over plain characters: Java would otherwise recurse once per character
+    (r"'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+'", "''"), (r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"', '""'), (r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`", "``"),
 ]
 DELEGATION = r"(?i)bull|redis|rabbitmq|amqp|sidekiq|celery|kafka|queue|worker|background.?task|edge.?function|serverless.?function"
 PAYMENT = r"(?i)stripe\.(charges|customers|payments|invoices)|paypal|braintree|square\.|payment.*process|charge.*create"
@@ -151,17 +152,17 @@ def env_variables(files: DataFrame) -> DataFrame:
 
 
 def complexity(files: DataFrame) -> DataFrame:
-    """(repo_id, path, decisions, complexity, level): decisions outside of comments and strings, plus one."""
-    clean = F.col("source")
+    """(repo_id, path, decisions, complexity, level): decisions outside of comments and strings, plus one.
+
+    An else-if is an if, so it is not counted apart.
+    """
+    code = F.col("source")
     for pattern, put in NOISE:
-        clean = F.regexp_replace(clean, pattern, put)
-    counts = files.select(*KEYS, clean.alias("clean")).select(*KEYS, *[count_matches(F.col("clean"), p).alias(k) for k, p in DECISIONS.items()])
-    # an else-if is counted as an if as well, so the ifs alone hold both
-    total = sum((F.col(k) for k in DECISIONS if k != "else_ifs"), F.lit(0))
-    rows = counts.select(*KEYS, total.alias("decisions"))
-    c = F.col("decisions") + 1
-    level = F.when(c <= 3, "low").when(c <= 7, "moderate").when(c <= 12, "high").otherwise("very-high")
-    return rows.select(*KEYS, "decisions", c.alias("complexity"), level.alias("level"))
+        code = F.regexp_replace(code, pattern, put)
+    decisions = sum((count_matches(F.col("code"), p) for p in DECISIONS.values()), F.lit(0))
+    counted = files.select(*KEYS, code.alias("code")).select(*KEYS, decisions.alias("decisions"))
+    level = F.when(F.col("decisions") < 3, "low").when(F.col("decisions") < 7, "moderate").when(F.col("decisions") < 12, "high").otherwise("very-high")
+    return counted.select(*KEYS, "decisions", (F.col("decisions") + 1).alias("complexity"), level.alias("level"))
 
 
 def bottlenecks(files: DataFrame) -> DataFrame:
@@ -241,3 +242,15 @@ def script_symbols(files: DataFrame) -> DataFrame:
 def schema_fields(files: DataFrame) -> DataFrame:
     """(repo_id, path, name, type): fields of validation schemas with their type's name."""
     return findings(files, SCHEMA_FIELD, 2).select(*KEYS, _found().alias("name"), _found(1).alias("type")).distinct()
+
+
+def delegation_libs(files: DataFrame) -> DataFrame:
+    """(repo_id, libs): the words of delegation libraries that a repository's files hold, joined by commas."""
+    words = files.select("repo_id", F.explode(F.regexp_extract_all("source", F.lit(DELEGATION), F.lit(0))).alias("lib"))
+    return words.groupBy("repo_id").agg(F.array_join(F.sort_array(F.collect_set("lib")), ",").alias("libs"))
+
+
+def complexity_estimate(sub: Column) -> Column:
+    """(complexity, level) of a node without a source text, by its subtitle."""
+    made = lambda n, level: F.struct(F.lit(n).alias("complexity"), F.lit(level).alias("level"))
+    return F.when(F.lower(sub).rlike("zod|yup|validation|schema"), made(3, "low")).when(F.lower(sub).rlike("controller|post|get|put|delete"), made(5, "moderate")).otherwise(made(1, "low"))

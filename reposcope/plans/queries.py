@@ -11,7 +11,7 @@ from reposcope.functions import paths
 from reposcope.functions.text import findings_sql, keep_first
 from reposcope.operators import graph, link, scan, schema
 from reposcope.sources.derived import TABLES, derived, stated
-from reposcope.sources.tables import graph_json, upsert
+from reposcope.sources.tables import cap_files, graph_lines, load_graph, upsert
 from reposcope.streaming import feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,8 +115,9 @@ SELECT e.repo_id, e.path, e.name, e.context, CAST(min(e.line) AS INTEGER) AS lin
 register("c15_scan_env_vars", "modules", scan.env_variables, _ENV)
 _CLEAN = "source"
 for _p, _put in scan.NOISE:
+    _p = _p.replace("*+", "*")  # RE2 is linear without possessive loops and does not know them
     _CLEAN = f"regexp_replace({_CLEAN}, '{_p.replace(chr(39), chr(39) * 2)}', '{_put.replace(chr(39), chr(39) * 2)}', 'g')"
-_COUNT = " + ".join(f"len(regexp_extract_all(c, '{p}'))" for k, p in scan.DECISIONS.items() if k != "else_ifs")
+_COUNT = " + ".join(f"len(regexp_extract_all(c, '{p}'))" for p in scan.DECISIONS.values())
 _COMPLEX = f"""SELECT repo_id, path, d AS decisions, d + 1 AS complexity, CASE WHEN d < 3 THEN 'low' WHEN d < 7 THEN 'moderate' WHEN d < 12 THEN 'high' ELSE 'very-high' END AS level
 FROM (SELECT repo_id, path, CAST({_COUNT} AS INTEGER) AS d FROM (SELECT repo_id, path, {_CLEAN} AS c FROM modules))"""
 register("c16_complexity", "modules", scan.complexity, _COMPLEX)
@@ -179,8 +180,9 @@ register("a4_upsert", "base head", lambda b, h: upsert(b, h, ["repo_id", "id"],
 
 # --- graphs -------------------------------------------------------------------
 
+_ENDS = "SELECT repo_id, src AS node_id FROM edges UNION SELECT repo_id, dst FROM edges"
 _TYPED = "SELECT e.repo_id, e.src, e.dst, e.kind, a.type AS a, b.type AS b FROM edges e JOIN nodes a ON e.repo_id = a.repo_id AND e.src = a.node_id JOIN nodes b ON e.repo_id = b.repo_id AND e.dst = b.node_id"
-register("d14_orphan_nodes", "nodes edges", graph.orphan_nodes, "SELECT repo_id, node_id, type FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.repo_id = n.repo_id AND e.src = n.node_id) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.repo_id = n.repo_id AND e.dst = n.node_id)")
+register("d14_orphan_nodes", "nodes edges", graph.orphan_nodes, f"SELECT n.repo_id, n.node_id, n.type FROM nodes n ANTI JOIN ({_ENDS}) e ON n.repo_id = e.repo_id AND n.node_id = e.node_id")
 register("d15_entry_points", "nodes edges", graph.entry_points, "SELECT repo_id, node_id, type FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.repo_id = n.repo_id AND e.dst = n.node_id)")
 register("d15_exit_points", "nodes edges", graph.exit_points, "SELECT repo_id, node_id, type FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.repo_id = n.repo_id AND e.src = n.node_id)")
 register("d16_valid_edges", "nodes edges", graph.valid_edges, f"SELECT repo_id, src, dst, kind FROM ({_TYPED})")
@@ -199,18 +201,20 @@ register("f18_node_counts", "nodes", lambda n: n.groupBy("repo_id").agg(F.count(
 register("f6_health", "nodes edges", graph.health, """SELECT n.repo_id, n.nodes, coalesce(o.orphans, 0) AS orphans, coalesce(g.unchecked, 0) AS unchecked,
 CAST(greatest(0.0, round(100 - (coalesce(o.orphans, 0) + coalesce(g.unchecked, 0)) / n.nodes * 50)) AS BIGINT) AS score
 FROM (SELECT repo_id, count(*) AS nodes FROM nodes GROUP BY ALL) n
-LEFT JOIN (SELECT repo_id, count(*) AS orphans FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.repo_id = n.repo_id AND e.src = n.node_id) AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.repo_id = n.repo_id AND e.dst = n.node_id) GROUP BY ALL) o USING (repo_id)
+LEFT JOIN (SELECT n.repo_id, count(*) AS orphans FROM nodes n ANTI JOIN (""" + _ENDS + """) e ON n.repo_id = e.repo_id AND n.node_id = e.node_id GROUP BY ALL) o USING (repo_id)
 LEFT JOIN (SELECT repo_id, count(DISTINCT dst) AS unchecked FROM (""" + _GAPS + """) GROUP BY ALL) g USING (repo_id)""")
 register("e5_sequence_edges", "nodes", lambda n: n.withColumn("next", F.expr("lead(node_id) OVER (PARTITION BY repo_id, type ORDER BY node_id)")).filter("next IS NOT NULL").select("repo_id", "type", F.col("node_id").alias("src"), F.col("next").alias("dst")), """
 SELECT repo_id, type, node_id AS src, next AS dst FROM (SELECT *, lead(node_id) OVER (PARTITION BY repo_id, type ORDER BY node_id) AS next FROM nodes) WHERE next IS NOT NULL""")
-register("g1_blast_radius", "nodes edges", lambda n, e: graph.blast_radius(n.filter("node_id LIKE 's%' OR node_id LIKE 'c%'").filter("x > 9000"), e), """WITH RECURSIVE o AS (SELECT repo_id, node_id AS origin FROM nodes WHERE (node_id LIKE 's%' OR node_id LIKE 'c%') AND x > 9000),
+# searches ask from every node of every type whose number is divisible by 50
+_ASKED = "cast(substring(node_id, 2) AS BIGINT) % 50 = 0"
+register("g1_blast_radius", "nodes edges", lambda n, e: graph.blast_radius(n.filter(_ASKED), e), """WITH RECURSIVE o AS (SELECT repo_id, node_id AS origin FROM nodes WHERE CAST(node_id[2:] AS BIGINT) % 50 = 0),
 fw AS (SELECT repo_id, origin, origin AS node_id, 0 AS d FROM o UNION SELECT f.repo_id, f.origin, e.dst, f.d + 1 FROM fw f JOIN edges e ON e.repo_id = f.repo_id AND e.src = f.node_id WHERE f.d < 50),
 f AS (SELECT repo_id, origin, node_id, min(d) AS d FROM fw GROUP BY ALL),
 bw AS (SELECT repo_id, origin, origin AS node_id, 0 AS d FROM o UNION SELECT b.repo_id, b.origin, e.src, b.d + 1 FROM bw b JOIN edges e ON e.repo_id = b.repo_id AND e.dst = b.node_id WHERE b.d < 50),
 b AS (SELECT repo_id, origin, node_id, min(d) AS d FROM bw GROUP BY ALL)
 SELECT repo_id, origin, node_id, CASE WHEN d = 1 THEN 'direct' ELSE 'transitive' END AS category, d AS depth FROM f WHERE d > 0
 UNION ALL SELECT repo_id, origin, node_id, 'orphaned-by-deletion', d FROM b WHERE d > 0 AND NOT EXISTS (SELECT 1 FROM f WHERE f.repo_id = b.repo_id AND f.origin = b.origin AND f.node_id = b.node_id)""")
-# the SQL of g1 and f13 states only a sample of origins; these run over all nodes
+# these ask from all nodes
 register("g1_blast_radius_whole", "nodes edges", graph.blast_radius)
 register("f13_impact_counts_whole", "nodes edges", lambda n, e: graph.blast_radius(n, e).groupBy("repo_id", "origin", "category").agg(F.count(F.lit(1)).alias("n")))
 register("g8_validation_gaps", "nodes edges", lambda n, e: graph.gaps(n, e, F.col("type") == "database", F.col("type") == "validation"), """WITH RECURSIVE g AS (SELECT repo_id, node_id, 0 AS d FROM nodes WHERE type = 'validation' UNION SELECT g.repo_id, e.dst, g.d + 1 FROM g JOIN edges e ON e.repo_id = g.repo_id AND e.src = g.node_id WHERE g.d < 5)
@@ -219,7 +223,8 @@ register("g7_auth_gaps", "nodes edges", lambda n, e: graph.gaps(n, e, F.col("typ
 SELECT repo_id, node_id, type FROM nodes n WHERE type = 'database' AND NOT EXISTS (SELECT 1 FROM g WHERE g.repo_id = n.repo_id AND g.node_id = n.node_id)""")
 register("g11_topo_layers", "nodes edges", graph.topo_layers)
 register("g13_components", "nodes edges", graph.components)
-register("a8_export_graph_json", "base head", lambda b, h: graph_json(b.select("repo_id", F.col("id").cast("string").alias("node_id"), F.col("shape").alias("type")), h.select("repo_id", F.col("label").alias("src"), F.col("shape").alias("dst"), F.lit("x").alias("kind")).distinct()).select("repo_id", F.length("json").alias("chars")))
+register("a8_export_graph_json", "nodes edges", graph_lines, """SELECT repo_id, 'node' AS kind, '{"node_id":"' || node_id || '","type":"' || type || '","label":"' || label || '"}' AS json FROM nodes
+UNION ALL SELECT repo_id, 'edge', '{"src":"' || src || '","dst":"' || dst || '","kind":"' || kind || '"}' FROM edges""")
 
 # --- schemas ------------------------------------------------------------------
 
@@ -289,8 +294,19 @@ SELECT a.repo_id, a.path, a.method, a.endpoint, s.path AS controller FROM ({_CAL
 
 # --- further graphs -----------------------------------------------------------
 
-register("a3_cap_files", "modules", lambda m: _files_once(m).withColumn("k", F.expr("row_number() OVER (PARTITION BY repo_id ORDER BY path)")).filter("k <= 20").select("repo_id", "path"), "SELECT repo_id, path FROM (SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS k FROM (SELECT DISTINCT repo_id, path FROM modules)) WHERE k <= 20")
-register("a7_load_graph", "nodes", lambda n: n.withColumn("k", F.expr("row_number() OVER (PARTITION BY repo_id ORDER BY x, node_id)")).filter("k <= 500").select("repo_id", "node_id"), "SELECT repo_id, node_id FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY x, node_id) AS k FROM nodes) WHERE k <= 500")
+register("a3_cap_files", "modules", cap_files, "SELECT repo_id, path FROM (SELECT repo_id, path, row_number() OVER (PARTITION BY repo_id ORDER BY path) AS k FROM (SELECT DISTINCT repo_id, path FROM modules)) WHERE k <= 100")
+
+
+def _loaded(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes and edges of a loaded graph as one table; the smaller number of an end is an edge's age."""
+    n = load_graph(nodes, "x", ["node_id"], 500).select("repo_id", F.lit("node").alias("kind"), F.col("node_id").alias("id"))
+    aged = edges.groupBy("repo_id", "src", "dst").agg(F.min("kind").alias("kind")).withColumn("age", F.expr("cast(substring(dst, 2) AS BIGINT)"))
+    e = load_graph(aged, "age", ["src", "dst"], 1000)
+    return n.unionByName(e.select("repo_id", F.lit("edge").alias("kind"), F.concat_ws(">", "src", "dst").alias("id")))
+
+
+register("a7_load_graph", "nodes edges", _loaded, """SELECT repo_id, 'node' AS kind, node_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY x, node_id) AS k FROM nodes) WHERE k <= 500
+UNION ALL SELECT repo_id, 'edge', src || '>' || dst FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY CAST(dst[2:] AS BIGINT), src, dst) AS k FROM (SELECT DISTINCT repo_id, src, dst FROM edges)) WHERE k <= 1000""")
 register("a10_remap_endpoints", "nodes edges", lambda n, e: graph.remap_endpoints(e, n.select("repo_id", F.col("node_id").alias("label"), F.concat("type", F.lit(":"), "node_id").alias("node_id"))), f"SELECT repo_id, a || ':' || src AS src, b || ':' || dst AS dst FROM ({_TYPED})")
 register("a11_cascade_delete", "nodes edges", lambda n, e: graph.cascade_delete(e, n.filter("y > 50")), "SELECT repo_id, src, dst, kind FROM edges e WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE n.y > 50 AND n.repo_id = e.repo_id AND n.node_id = e.src) AND NOT EXISTS (SELECT 1 FROM nodes n WHERE n.y > 50 AND n.repo_id = e.repo_id AND n.node_id = e.dst)")
 register("d20_portal_links", "nodes edges sections", lambda n, e, s: graph.portal_links(e, link.assign_section(n, s).filter("section_id IS NOT NULL")), """WITH h AS (SELECT n.repo_id, n.node_id, min(s.section_id) AS section_id FROM nodes n JOIN sections s ON n.repo_id = s.repo_id AND n.x BETWEEN s.x AND s.x + s.w AND n.y BETWEEN s.y AND s.y + s.h GROUP BY ALL)
@@ -302,9 +318,13 @@ register("f9_issue_stats", "nodes edges", lambda n, e: graph.issues(n, e).groupB
 SELECT repo_id, 'god-class' AS kind, severity FROM ({ORACLE_SQL_BODY['f4']}) UNION ALL SELECT repo_id, 'oversized-file', severity FROM ({ORACLE_SQL_BODY['f5']}) UNION ALL SELECT repo_id, 'view-to-db', 'high' FROM ({_TYPED}) WHERE a = 'view' AND b = 'database'
 UNION ALL SELECT repo_id, 'missing-validation', 'medium' FROM ({_GAPS}) UNION ALL SELECT repo_id, 'orphan', 'low' FROM ({ORACLE_SQL_BODY['d14']})) GROUP BY ALL""")
 register("f10_churn", "changes", lambda c: c.groupBy("repo_id", "change").agg(F.round(F.sum("value"), 2).alias("total"), F.count(F.lit(1)).alias("n")), "SELECT repo_id, change, round(sum(value), 2) AS total, count(*) AS n FROM changes GROUP BY ALL")
-register("g2_flow_trace", "nodes edges", lambda n, e: graph.flow_trace(n.filter("type = 'view' AND x > 9000"), n, e, 3), """WITH RECURSIVE t AS (SELECT repo_id, node_id AS origin, node_id, 0 AS d FROM nodes WHERE type = 'view' AND x > 9000 UNION SELECT t.repo_id, t.origin, e.dst, t.d + 1 FROM t JOIN edges e ON e.repo_id = t.repo_id AND e.src = t.node_id WHERE t.d < 3)
-SELECT t.repo_id, t.origin, t.node_id, min(t.d) AS depth, bool_and(s.src IS NULL) AS is_exit FROM t LEFT JOIN (SELECT DISTINCT repo_id, src FROM edges) s ON s.repo_id = t.repo_id AND s.src = t.node_id GROUP BY t.repo_id, t.origin, t.node_id""")
-# the SQL states only a sample of the trace; this is the whole of it
+register("g2_flow_trace", "nodes edges", lambda n, e: graph.flow_traces(n.filter(_ASKED), n, e), """WITH RECURSIVE v AS (SELECT e.repo_id, e.src, e.dst FROM edges e SEMI JOIN nodes a ON e.repo_id = a.repo_id AND e.src = a.node_id SEMI JOIN nodes b ON e.repo_id = b.repo_id AND e.dst = b.node_id),
+ways AS (SELECT repo_id, 'forward' AS direction, src AS a, dst AS b FROM v UNION SELECT repo_id, 'backward', dst, src FROM v),
+t AS (SELECT repo_id, node_id AS origin, direction, node_id, 0 AS d FROM nodes, (VALUES ('forward'), ('backward')) AS w(direction) WHERE CAST(node_id[2:] AS BIGINT) % 50 = 0
+  UNION SELECT t.repo_id, t.origin, t.direction, x.b, t.d + 1 FROM t JOIN ways x ON x.repo_id = t.repo_id AND x.direction = t.direction AND x.a = t.node_id WHERE t.d < 50),
+s AS (SELECT DISTINCT repo_id, 'forward' AS direction, src AS node_id FROM edges UNION SELECT DISTINCT repo_id, 'backward', dst FROM edges)
+SELECT t.repo_id, t.origin, t.direction, t.node_id, min(t.d) AS depth, bool_and(s.node_id IS NULL) AS is_exit FROM t LEFT JOIN s ON s.repo_id = t.repo_id AND s.direction = t.direction AND s.node_id = t.node_id GROUP BY t.repo_id, t.origin, t.direction, t.node_id""")
+# this asks from all nodes
 register("g2_flow_trace_whole", "nodes edges", lambda n, e: graph.flow_traces(n, n, e))
 register("g4_cycles", "nodes edges", graph.cycle_nodes, """WITH RECURSIVE r AS (SELECT DISTINCT repo_id, src AS a, dst AS b FROM edges WHERE kind = 'reference' UNION SELECT r.repo_id, r.a, e.dst FROM r JOIN edges e ON e.repo_id = r.repo_id AND e.src = r.b AND e.kind = 'reference')
 SELECT x.repo_id, x.a AS node_id, min(x.b) AS cycle FROM r x JOIN r y ON x.repo_id = y.repo_id AND x.a = y.b AND x.b = y.a GROUP BY ALL""")
@@ -318,7 +338,7 @@ register("g12_longest_path_rank", "nodes edges", graph.longest_path_rank)
 register("g14_dag_share", "nodes edges", graph.dag_share)
 register("g15_execution_order", "nodes edges", graph.execution_order, """WITH RECURSIVE t AS (SELECT repo_id, node_id, 0 AS d FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.repo_id = n.repo_id AND e.dst = n.node_id) UNION SELECT t.repo_id, e.dst, t.d + 1 FROM t JOIN edges e ON e.repo_id = t.repo_id AND e.src = t.node_id WHERE t.d < 200)
 SELECT n.repo_id, n.node_id, coalesce(min(t.d), -1) AS depth FROM nodes n LEFT JOIN t USING (repo_id, node_id) GROUP BY ALL""")
-register("f13_impact_counts", "nodes edges", lambda n, e: graph.blast_radius(n.filter("node_id LIKE 's%' OR node_id LIKE 'c%'").filter("x > 9000"), e).groupBy("repo_id", "origin", "category").agg(F.count(F.lit(1)).alias("n")), f"SELECT repo_id, origin, category, count(*) AS n FROM ({ORACLE_SQL_BODY['g1']}) GROUP BY ALL")
+register("f13_impact_counts", "nodes edges", lambda n, e: graph.blast_radius(n.filter(_ASKED), e).groupBy("repo_id", "origin", "category").agg(F.count(F.lit(1)).alias("n")), f"SELECT repo_id, origin, category, count(*) AS n FROM ({ORACLE_SQL_BODY['g1']}) GROUP BY ALL")
 register("f15_many_to_many", "modules", lambda m: schema.many_to_many(schema.schema_catalog(_ddl(m).withColumn("source", F.regexp_replace("source", "name VARCHAR", "post_id INTEGER REFERENCES posts(id), name VARCHAR")))), """WITH f AS (SELECT repo_id, path, min(source) AS source FROM modules WHERE path LIKE '%.sql' GROUP BY ALL), t AS (SELECT repo_id, path, regexp_extract(source, 'CREATE TABLE (\\w+)', 1) AS junction FROM f)
 SELECT repo_id, path, junction, 'posts' AS table_a, 'users' AS table_b FROM t WHERE junction NOT IN ('users', 'posts')""")
 register("h2_universal_type", "modules", lambda m: schema.schema_catalog(_ddl(m)).groupBy("repo_id", "raw_type", "type").agg(F.count(F.lit(1)).alias("n")), """WITH f AS (SELECT DISTINCT repo_id, path FROM modules WHERE path LIKE '%.sql')

@@ -90,6 +90,140 @@ app.post('/items/:id', save);
 while (true) { switch (x) { case 1: break; } }
 """
 
+SCREEN = """import Nav from "./nav{m}";
+export default function Screen{n}() {
+  if (!session) { redirect("/{t}/login"); }
+  const form = z.object({ name: z.string() });
+  return <div>
+    <Link href="/{t}/s{k}?tab=1">next</Link>
+    <a href='/{t}/s{m}'>home</a>
+    <button onClick={() => router.push("/{t}/s{m}")}>go</button>
+    <button onClick={() => open()}>open</button>
+  </div>;
+}
+"""
+WIZARD = """import { Order } from "../models/{t}-model";
+import { list } from "../services/order_{m}.service";
+import type { Row } from "@/lib/rows{m}";
+export function Wizard() {
+  navigate("/{t}/s{n}/"); navigate({ to: "/{t}/s{k}" });
+  if (pathname === "/{t}/s{m}x") { history.push('/users/s{m}'); }
+  const ok = Joi.object({}); yup.string();
+  return <form encType="multipart/form-data" onSubmit={async () => {
+    await fetch("/api/{t}/{n}"); prisma.{t}.create({});
+  }}><input type="file" /></form>;
+}
+"""
+WORKER = """import { queue } from "bullmq";
+import os from "os";
+import "../db/schema{m}.sql";
+queue.add("mail", {}); client.find({}); User.save();
+const a = supabase.from("user_{t}").select();
+if (errors) { throw errors; }
+schema.safeParse(x).validate();
+"""
+VERCEL = """{"functions": {"api/{t}.ts": {"memory": 512}}, "storage": "blob{m}"}"""
+TERRAFORM = """resource "aws_s3_bucket" "assets{m}" {
+  bucket = "assets-{t}"
+}
+resource "aws_lambda_function" "job{n}" {}
+resource "aws_cloudfront_distribution" "cdn{m}" {}
+"""
+SCREENS = f"""
+SELECT 'r' || CAST(p_partkey % 20 AS STRING) AS repo_id,
+  CASE kind WHEN 0 THEN 'app/' || t || '/s' || n || '/page.tsx' WHEN 1 THEN 'app/(flow)/' || t || '/[id]/w' || n || '/page.tsx' WHEN 2 THEN 'pages/' || t || '/s' || n || '.tsx'
+    WHEN 3 THEN 'src/handlers/' || t || '_handler' || n || '.ts' WHEN 4 THEN 'app' || m || '/vercel.json' ELSE 'infra/' || t || n || '.tf' END AS path,
+  CASE kind WHEN 0 THEN {template(SCREEN)} WHEN 1 THEN {template(WIZARD)} WHEN 2 THEN {template(SCREEN)} WHEN 3 THEN {template(WORKER)} WHEN 4 THEN {template(VERCEL)} ELSE {template(TERRAFORM)} END AS source
+FROM (
+  SELECT p_partkey, CAST(floor(p_partkey / 20) AS BIGINT) % 6 AS kind, CAST(CAST(floor(p_partkey / 120) AS BIGINT) AS STRING) AS n,
+    CAST(CAST(floor(p_partkey / 120) AS BIGINT) % 5 AS STRING) AS m, CAST(CAST(floor(p_partkey / 120) AS BIGINT) + 1 AS STRING) AS k,
+    CASE p_partkey % 3 WHEN 0 THEN 'users' WHEN 1 THEN 'posts' ELSE 'orders' END AS t
+  FROM part
+) AS p
+"""
+
+PYTHON = """import os
+from app.{t} import Base
+class Service{n}(Base, Mixin{m}):
+    def load(self, key):
+        return self.clean(key)
+    @cached
+    async def clean(self, key):
+        return helper(key) + print(key)
+def helper(x):
+    # def hidden(y):
+    return Service{n}(x)
+"""
+PHP = """<?php
+use Order{m};
+Route::get('/{t}/{n}', [Ctrl{n}::class, 'index']);
+class Ctrl{n} extends Controller {
+    public function index($id) {
+        $this->show($id);
+        self::find($id); Other::find($id);
+    }
+    public static function find($id) { return $id; }
+    private function show($id) {
+        return Ctrl{n}::find($id);
+    }
+}
+"""
+JAVA = """import java.util.List;
+@RestController
+public class Api{n} extends Base{m}<Order> implements Closeable {
+    @GetMapping("/{t}/{n}")
+    public List<Order> list(String q) {
+        if (q == null) { return find(q); }
+    }
+    @PostMapping
+    private Order save(Order o) throws IOException {
+    }
+}
+"""
+GO = """package main
+import "fmt"
+type Store{n} struct {
+}
+func (s *Store{n}) Get(id string) string {
+	return s.find(id)
+}
+func main() {
+}
+"""
+CLANG = """#include <stdio.h>
+struct node{m} {
+  int id;
+};
+static int count_{t}(struct node *n) {
+  while (n) { n = next(n); }
+}
+"""
+CPP = """#include "base{m}.h"
+class Shape{n} : public Base{m}, private Util {
+  void draw(int x) override {
+  }
+};
+"""
+CSHARP = """using System.Linq;
+public class Items{n} : ControllerBase, IItems {
+    [HttpGet("{t}/{n}")]
+    public async Task<Item> Get(int id) {
+    }
+    [HttpDelete]
+    public void Drop(int id) {
+    }
+}
+"""
+CODE = f"""
+SELECT 'r' || CAST(p_partkey % 20 AS STRING) AS repo_id, 'src/' || t || '/file' || n || CASE kind WHEN 0 THEN '.py' WHEN 1 THEN '.php' WHEN 2 THEN '.java' WHEN 3 THEN '.go' WHEN 4 THEN '.c' WHEN 5 THEN '.cpp' ELSE '.cs' END AS path,
+  CASE kind WHEN 0 THEN {template(PYTHON)} WHEN 1 THEN {template(PHP)} WHEN 2 THEN {template(JAVA)} WHEN 3 THEN {template(GO)} WHEN 4 THEN {template(CLANG)} WHEN 5 THEN {template(CPP)} ELSE {template(CSHARP)} END AS source
+FROM (
+  SELECT p_partkey, CAST(floor(p_partkey / 20) AS BIGINT) % 7 AS kind, CAST(CAST(floor(p_partkey / 140) AS BIGINT) AS STRING) AS n, CAST(CAST(floor(p_partkey / 140) AS BIGINT) % 4 AS STRING) AS m,
+    CASE p_partkey % 3 WHEN 0 THEN 'users' WHEN 1 THEN 'posts' ELSE 'orders' END AS t
+  FROM part
+) AS p
+"""
+
 MODULES = f"""
 SELECT 'r' || CAST(p_partkey % 20 AS STRING) AS repo_id,
   CASE kind WHEN 0 THEN 'app/(main)/' || t || '/n' || n || '/page.tsx' WHEN 1 THEN 'app/' || t || '/[id]/form' || m || '.tsx'
@@ -124,6 +258,7 @@ EDGES = f"""
 SELECT 'r' || CAST(o_custkey % 10 AS STRING) AS repo_id, 'c' || CAST(o_custkey AS STRING) AS src, 'o' || CAST(o_orderkey AS STRING) AS dst, 'call' AS kind FROM orders
 UNION ALL SELECT DISTINCT repo_id, 'o' || CAST(o AS STRING), 'p' || CAST(p AS STRING), 'query' FROM ({_LINKS}) AS l1
 UNION ALL SELECT DISTINCT repo_id, 's' || CAST(s AS STRING), 's' || CAST((s * 7 + 3) % 100 AS STRING), 'reference' FROM ({_LINKS}) AS l2
+UNION ALL SELECT DISTINCT repo_id, 's' || CAST(s AS STRING), 'p' || CAST(p AS STRING), 'query' FROM ({_LINKS}) AS l3 WHERE s % 5 = 3 AND p % 20 = 0
 UNION ALL SELECT 'r' || CAST(c_custkey % 10 AS STRING), 'c' || CAST(c_custkey AS STRING), 's' || CAST(c_custkey % 100 AS STRING), 'validate' FROM customer WHERE c_acctbal > 5000
 UNION ALL SELECT DISTINCT 'r' || CAST(o_custkey % 10 AS STRING), 'c' || CAST(o_custkey AS STRING), 'p' || CAST(l_partkey AS STRING), 'query'
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 49
@@ -144,6 +279,9 @@ FROM events"""
 #: Derived table: its SQL and the driver's tables that it reads.
 TABLES = {
     "modules": (MODULES, ["part"]),
+    "screens": (SCREENS, ["part"]),
+    "code": (CODE, ["part"]),
+    "sources": (f"{MODULES} UNION ALL {SCREENS}", ["part"]),
     "nodes": (NODES, ["customer", "orders", "lineitem"]),
     "edges": (EDGES, ["customer", "orders", "lineitem"]),
     "base": (BASE, ["orders"]),

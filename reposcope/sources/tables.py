@@ -29,6 +29,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(table: DataFrame) -> None:
+    """Deletes the files of a table that `written` has made; it can't be read any more."""
+    spark = table.sparkSession
+    for file in table.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_modules(spark: SparkSession, folder: str, repo_id: str) -> DataFrame:
     """(repo_id, path, source) of all files below a folder."""
     files = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
@@ -48,6 +56,54 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) ->
     return old.join(first, keys, "left_anti").unionByName(first.select(*old.columns))
 
 
+def cap_files(files: DataFrame, most: int = 100) -> DataFrame:
+    """(repo_id, path): the first files of each repository by path; Spark cuts each task's part before the shuffle."""
+    once = files.select("repo_id", "path").distinct()
+    return once.withColumn("k", F.expr("row_number() OVER (PARTITION BY repo_id ORDER BY path)")).filter(F.col("k") <= most).drop("k")
+
+
+def load_graph(rows: DataFrame, age: str, key: list[str], most: int) -> DataFrame:
+    """The oldest rows of each repository, `most` at most; nodes and edges alike."""
+    order = ", ".join([age, *key])
+    return rows.withColumn("k", F.expr(f"row_number() OVER (PARTITION BY repo_id ORDER BY {order})")).filter(F.col("k") <= most).drop("k")
+
+
+# What a file's path says of its node, in order: part of the path, subtitle, shape.
+FILE_KINDS = [
+    ("/api/|/routes/", "Endpoint · Route", "rectangle"), ("component|Component", "UI · Component", "pill"), ("hook|use", "Hook · Logic", "hexagon"), ("util|lib", "Utility · Helper", "parallelogram"),
+    (r"test|\.spec\.", "Test · Coverage", "diamond"), (r"\.s?css$", "Style · CSS", "document"), (r"\.md$", "Docs · Markdown", "rectangle"),
+]
+
+
+def file_nodes(files: DataFrame) -> DataFrame:
+    """(repo_id, label, sub, shape): a node for each file name of a repository, of the first path that has it."""
+    pick = lambda i, other: F.coalesce(*[F.when(F.col("path").rlike(k[0]), F.lit(k[i])) for k in FILE_KINDS], F.lit(other))
+    rows = files.select("repo_id", F.substring_index("path", "/", -1).alias("label"), "path", pick(1, "File · Source").alias("sub"), pick(2, "rectangle").alias("shape"))
+    return keep_first(rows, ["repo_id", "label"], ["path"]).select("repo_id", "label", "sub", "shape")
+
+
+def graph_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, kind, json): a JSON line for each node and edge, so that no row holds a whole repository."""
+    n = nodes.select("repo_id", F.lit("node").alias("kind"), F.to_json(F.struct("node_id", "type", "label")).alias("json"))
+    return n.unionByName(edges.select("repo_id", F.lit("edge").alias("kind"), F.to_json(F.struct("src", "dst", F.col("kind").alias("kind"))).alias("json")))
+
+
+def export_graph(nodes: DataFrame, edges: DataFrame, folder: str, blocks: int = 200) -> None:
+    """Writes `graph_lines` by repository, a large one in several files that different tasks write."""
+    lines = graph_lines(nodes, edges).withColumn("block", F.pmod(F.xxhash64("json"), F.lit(blocks)))
+    lines.repartition("repo_id", "block").drop("block").write.partitionBy("repo_id", "kind").mode("overwrite").text(folder)
+
+
+def read_graph(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of (repo_id, kind, json) lines; lines that are no such JSON are left out."""
+
+    def part(kind: str, shape: str, key: str) -> DataFrame:
+        read = lines.filter(F.col("kind") == kind).select("repo_id", F.from_json("json", shape).alias("g"))
+        return read.select("repo_id", "g.*").filter(F.col(key).isNotNull())
+
+    return part("node", "node_id STRING, type STRING, label STRING", "node_id"), part("edge", "src STRING, dst STRING, kind STRING", "src")
+
+
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo_id, json): one document of nodes and edges per repository."""
     n = nodes.groupBy("repo_id").agg(F.sort_array(F.collect_list(F.struct("node_id", "type"))).alias("nodes"))

@@ -54,3 +54,17 @@ def presence(pings: DataFrame, seconds: float = 10.0) -> DataFrame:
     newest = pings.groupBy("project_id").agg(F.max("ts").alias("newest"))
     fresh = F.col("newest").cast("timestamp").cast("double") - F.col("ts").cast("timestamp").cast("double") <= seconds
     return last.join(newest, "project_id").filter((F.col("kind") != "leave") & fresh).select("project_id", "user_id", "kind", "ts")
+
+
+def subscription_state(events: DataFrame) -> DataFrame:
+    """(user_id, tier, status, ts): the state of each subscription after its billing events (user_id, kind, status, ts, event_id), in order.
+
+    The latest event that says a tier and the latest that says a status count;
+    other kinds change nothing.
+    """
+    said = F.when(F.col("status").isin("active", "trialing"), "active").when(F.col("status") == "past_due", "past_due").otherwise("canceled")
+    status = F.when(F.col("kind").isin("checkout.session.completed", "invoice.paid"), "active").when(F.col("kind") == "customer.subscription.updated", said).when(F.col("kind") == "customer.subscription.deleted", "canceled")
+    tier = F.when(F.col("kind") == "checkout.session.completed", "pro").when(F.col("kind") == "customer.subscription.updated", F.when(said == "canceled", "free").otherwise("pro")).when(F.col("kind") == "customer.subscription.deleted", "free")
+    rows = events.select("user_id", "ts", "event_id", status.alias("status"), tier.alias("tier")).filter("status IS NOT NULL")
+    order = F.struct("ts", "event_id")
+    return rows.groupBy("user_id").agg(F.max_by("tier", F.when(F.col("tier").isNotNull(), order)).alias("tier"), F.max_by("status", order).alias("status"), F.max("ts").alias("ts"))
