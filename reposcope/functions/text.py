@@ -28,10 +28,10 @@ def positions(files: DataFrame, pattern: str, source: str = "source") -> DataFra
 def positions_sql(pattern: str, table: str = "modules", keys: str = "repo_id, path", source: str = "source") -> str:
     """The same positions for DuckDB."""
     quoted = pattern.replace("'", "''")
-    return f"""(SELECT {keys}, src AS source, string_split(piece, chr(2))[1] AS match, spot, CAST(1 + length(regexp_replace(left(src, spot), '[^\n]', '', 'g')) AS INTEGER) AS line FROM (
+    return f"""(SELECT {keys}, src AS source, string_split(piece, chr(2))[1] AS match, spot, CAST(1 + length(regexp_replace(left(src, spot), '[^\\n]', '', 'g')) AS INTEGER) AS line FROM (
       SELECT {keys}, src, pieces[k] AS piece, CAST(list_sum(list_transform(pieces[:k - 1], lambda x: length(replace(x, chr(2), '')))) AS INTEGER) AS spot FROM (
         SELECT {keys}, src, pieces, unnest(generate_series(2, len(pieces))) AS k FROM (
-          SELECT {keys}, {source} AS src, string_split(regexp_replace({source}, '{quoted}', chr(1) || '\0' || chr(2), 'g'), chr(1)) AS pieces FROM {table}))))"""
+          SELECT {keys}, {source} AS src, string_split(regexp_replace({source}, '{quoted}', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS pieces FROM {table}))))"""
 
 
 def findings(files: DataFrame, pattern: str, groups: int = 1, source: str = "source") -> DataFrame:
