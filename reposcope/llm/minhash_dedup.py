@@ -56,6 +56,8 @@ COORDINATES, MATCHES = 32, 14
 BITS = 1 << 21
 #: Rounds in which the members of a posting meet only its pivot.
 STAR_ROUNDS = 2
+#: Nodes of a posting that are paired with each other; those of larger ones meet by their rarest shingles.
+CROWD = 64
 #: Longs of the parity bitmap of a set.
 PARITY_WORDS = 16
 
@@ -203,16 +205,21 @@ def _parity(s: Column) -> list[Column]:
 def crossing_pairs(posted: DataFrame, nodes: DataFrame, rows: DataFrame, size: int, similar: int) -> DataFrame:
     """(a, b, la, lb): nodes of open postings, of different components, whose sets can be similar enough.
 
-    A posting of boilerplate may hold very many nodes of which hardly two are
-    similar, so its members are not paired. The nodes are posted once more,
-    under the rarest shingles of their full sets. Similar sets share one of the
+    The members of a posting of up to CROWD nodes are paired. A posting of
+    boilerplate may hold very many nodes of which hardly two are similar, so
+    those of a larger one are not paired but posted once more, under the rarest shingles of their full sets. Similar sets share one of the
     smaller set's n - ceil(2 s n / (1 + s)) + 1 rarest shingles, which is also
     among the n - ceil(s n) + 1 rarest of the larger set, and the first that
     they share leaves enough places behind it in both. A parity bitmap of each
     set bounds the overlap further: sets differ in at least as many shingles as
     their bitmaps differ in bits. Nothing is lost by these bounds.
     """
-    open_ = posted.groupBy("node").agg(F.any_value("label").alias("label"))
+    crowds = posted.groupBy("token").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > CROWD).select(F.bitwise_not("token").alias("key"))
+    keyed = written(posted.withColumn("key", F.bitwise_not("token")).join(crowds.withColumn("crowd", F.lit(True)), "key", "left"))
+    small = keyed.filter("crowd IS NULL").select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("lb"))
+    paired = keyed.filter("crowd IS NULL").select("key", F.col("node").alias("a"), "n", F.col("label").alias("la")).join(small, "key")
+    paired = paired.filter(f"a < b AND la <> lb AND {_fits(similar)}").select("a", "b", "la", "lb").distinct()
+    open_ = keyed.filter("crowd").groupBy("node").agg(F.any_value("label").alias("label"))
     docs = nodes.select("node", F.struct("id", "fp").alias("doc")).join(open_, "node")
     found = docs.join(texts_of(docs.select("doc"), rows), "doc")
     made = written(shingle_rows(found, size))
@@ -242,8 +249,10 @@ def crossing_pairs(posted: DataFrame, nodes: DataFrame, rows: DataFrame, size: i
     apart = " + ".join(["ma", "na", *(f"bit_count({c} ^ a_{c})" for c in bits)])
     first = f"la <> lb AND (m < n OR m = n AND a < b) AND m * 100 >= n * {similar} AND least(m - at, n - place) * {100 + similar} >= (m + n) * {similar}"
     fit = f"{first} AND (m + n - ({apart})) * {100 + similar} >= (m + n) * {2 * similar}"
-    pairs = written(x.join(y, "key").filter(fit).select("a", "b", "la", "lb").distinct())
-    forget(made, posts, live)
+    found = x.join(y, "key").filter(fit)
+    ordered = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("la")).otherwise(F.col("lb")).alias("la"), F.when(F.col("a") < F.col("b"), F.col("lb")).otherwise(F.col("la")).alias("lb"))
+    pairs = written(ordered.unionByName(paired).distinct())
+    forget(made, posts, live, keyed)
     return pairs
 
 
