@@ -96,7 +96,7 @@ export default function Screen{n}() {
   const form = z.object({ name: z.string() });
   return <div>
     <Link href="/{t}/s{k}?tab=1">next</Link>
-    <a href='/{t}/s{m}'>home</a> <a href="/{t}/9{m}/w{n}">one</a>
+    <a href='/{t}/s{m}'>home</a> <a href="/users/9{m}/w{n}">one</a>
     <button onClick={() => router.push("/{t}/s{m}")}>go</button>
     <button onClick={() => open()}>open</button>
   </div>;
