@@ -55,22 +55,40 @@ def is_dynamic(segment: Column) -> Column:
     return segment.rlike(r"\[(\.\.\.)?\w+\]")
 
 
+# Which files serve routes, which names of them stand for one, which folders never do.
+SERVER_FILES = r"(?:^|/)(?:routes?|server|backend|api|controllers?)/|(?:^|/)(?:server|app|main)\.(?:js|ts)$"
+NO_SERVER_FILES = r"^src/|(?:^|/)(?:lib|utils|components|hooks|config|types)/"
+SERVER_NAMES = ["server", "app", "main", "router", "routes", "index"]
+NO_ROUTE_FOLDERS = [
+    "node_modules", "lib", "utils", "components", "hooks", "config", "public", "static", "assets", "styles", "types", "interfaces",
+    "constants", "middleware", "services", "store", "context", "providers",
+]
+
+
 def crawl_routes(files: DataFrame) -> DataFrame:
     """(repo_id, route, path, pattern, dynamic): the routes that paths stand for, one per route, the first path.
 
     App pages come first, then the pages folder without its API and special
-    files, then src/index, then folders with an index file of their own.
+    files, then src/index, then server files by their names, then folders with an
+    index file of their own.
     """
     p = F.col("path")
     app = F.regexp_extract(p, r"(?:^|/)app/(.+)/page" + SCRIPT, 1)
     pages = F.regexp_extract(p, r"(?:^|/)pages/(.+)" + SCRIPT, 1)
+    server_name, folder = F.regexp_extract(p, r"([^/]*)\.(?:js|ts)$", 1), F.regexp_extract(p, r"(.+)/index" + SCRIPT, 1)
+    server = p.rlike(SERVER_FILES) & ~p.rlike(NO_SERVER_FILES) & p.rlike(r"\.(js|ts)$")
     kind = (
         F.when(app != "", F.struct(app.alias("segment"), F.lit("app-router").alias("pattern")))
         .when(p.rlike(r"(?:^|/)app/page" + SCRIPT), F.struct(F.lit("").alias("segment"), F.lit("app-router").alias("pattern")))
         .when((pages != "") & ~pages.rlike(r"^(api/|_)|^(404|500)$"), F.struct(pages.alias("segment"), F.lit("pages-router").alias("pattern")))
-        .when((pages == "") & p.rlike(r"(?:^|/)src/index" + SCRIPT), F.struct(F.lit("").alias("segment"), F.lit("vite-index").alias("pattern")))
+        .when(pages != "", None)
+        .when(p.rlike(r"(?:^|/)src/index" + SCRIPT), F.struct(F.lit("").alias("segment"), F.lit("vite-index").alias("pattern")))
+        .when(server & server_name.isin(SERVER_NAMES), F.struct(F.when(server_name == "index", "").otherwise(F.concat(F.lit("api/"), server_name)).alias("segment"), F.lit("app-router").alias("pattern")))
+        .when(server, None)
+        .when((folder != "") & ~F.arrays_overlap(F.split(folder, "/"), F.lit(NO_ROUTE_FOLDERS)) & ~F.substring_index(folder, "/", -1).contains("."), F.struct(folder.alias("segment"), F.lit("vite-index").alias("pattern")))
     )
-    found = files.select("repo_id", "path", kind.alias("k")).filter("k IS NOT NULL")
+    # a generator, so that the chain is not copied into every use of its result
+    found = files.select("repo_id", "path", F.explode(F.array_compact(F.array(kind))).alias("k"))
     rows = found.select("repo_id", normalize_route(F.col("k.segment")).alias("route"), "path", "k.pattern", is_dynamic(F.col("k.segment")).alias("dynamic"))
     return keep_first(rows, ["repo_id", "route"], ["path"])
 

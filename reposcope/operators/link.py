@@ -155,11 +155,14 @@ def route_of_link(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", normalize_route(F.regexp_replace("route", "^/", "")).alias("route")).distinct()
 
 
-def match_routes(candidates: DataFrame, routes: DataFrame) -> DataFrame:
+def match_routes(candidates: DataFrame, routes: DataFrame, inside: bool = False) -> DataFrame:
     """(repo_id, candidate, route, rung): the route that a string means: itself (1), a pattern it fits (2), or its longest prefix (3).
 
+    With `inside` also the longest route of three characters or more that it holds anywhere (4).
     Candidates meet patterns of their own segment count, and prefixes by an
-    explode of the candidate's folders, so no candidate meets all routes.
+    explode of the candidate's folders, so no candidate meets all routes. Routes
+    begin with a slash, so those inside of a candidate are looked up by its
+    pieces from each slash on, and only for candidates without another route.
     """
     c = candidates.select("repo_id", "candidate").distinct()
     r = routes.select("repo_id", "route").distinct().filter("route <> '/'")
@@ -170,7 +173,14 @@ def match_routes(candidates: DataFrame, routes: DataFrame) -> DataFrame:
     parts = F.split("candidate", "/")
     folders = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     below = c.filter(F.size(parts) > 1).withColumn("route", F.explode(folders)).join(r, ["repo_id", "route"]).withColumn("rung", F.lit(3))
-    every = union([x.select("repo_id", "candidate", "route", "rung", (-F.length("route")).alias("short")) for x in (exact, fitting, below)])
+    found = [exact, fitting, below]
+    if inside:
+        matched = union([x.select("repo_id", "candidate") for x in found]).distinct()
+        left = c.join(matched, ["repo_id", "candidate"], "left_anti").withColumn("at", F.explode(F.sequence(F.lit(1), F.length("candidate"))))
+        tails = left.select("repo_id", "candidate", F.expr("substring(candidate, at)").alias("tail")).filter("tail LIKE '/%' AND length(tail) >= 3")
+        pieces = F.transform(F.sequence(F.lit(3), F.length("tail")), lambda n: F.left("tail", n))
+        found.append(tails.select("repo_id", "candidate", F.explode(pieces).alias("route")).distinct().join(r, ["repo_id", "route"]).withColumn("rung", F.lit(4)))
+    every = union([x.select("repo_id", "candidate", "route", "rung", (-F.length("route")).alias("short")) for x in found])
     return keep_first(every, ["repo_id", "candidate"], ["rung", "short", "route"]).select("repo_id", "candidate", "route", "rung")
 
 

@@ -49,6 +49,8 @@ NOISE = [
 ]
 DELEGATION = r"(?i)bull|redis|rabbitmq|amqp|sidekiq|celery|kafka|queue|worker|background.?task|edge.?function|serverless.?function"
 PAYMENT = r"(?i)stripe\.(charges|customers|payments|invoices)|paypal|braintree|square\.|payment.*process|charge.*create"
+MAIL = r"(?i)sendgrid|mailgun|postmark|ses\.send|nodemailer|resend|brevo|smtp.*send"
+ASYNC_LOOP = r"for\s*\(.*await|for await|\.map\s*\(\s*async|\.forEach\s*\(\s*async|Promise\.all|\.map\(.*await"
 #: Database operations and what one of them counts: 1 or 2 a file, or each match (0).
 DB_OPERATIONS = [
     (r"await\s+\w+\.insert", 1), (r"await\s+\w+\.update", 1), (r"await\s+\w+\.delete", 1), (r"await\s+\w+\.create", 1), (r"await\s+\w+\.save", 1),
@@ -61,6 +63,9 @@ CRUD = {
     "UPDATE": r"\.\s*update\s*\(|\.updateOne\s*\(|\.updateMany\s*\(|\.patch\s*\(|\.put\s*\(|\.upsert\s*\(",
     "DELETE": r"\.\s*delete\s*\(|\.deleteOne\s*\(|\.deleteMany\s*\(|\.remove\s*\(|\.destroy\s*\(",
 }
+#: Exported verbs of an API file, asked in this order where no call tells what it does.
+CRUD_VERBS = {"CREATE": "post", "READ": "get", "UPDATE": "(?:put|patch)", "DELETE": "delete"}
+EXPORTED_VERB = r"export\s+async\s+function\s+{}\b"
 
 
 def _found(k: int = 0) -> Column:
@@ -166,29 +171,35 @@ def complexity(files: DataFrame) -> DataFrame:
 
 
 def bottlenecks(files: DataFrame) -> DataFrame:
-    """(repo_id, path, kind, severity, operations): files with chained database work or payments and no delegation."""
+    """(repo_id, path, kind, severity, operations): files without delegation that chain database work, take payments,
+    send mail beside database work, or loop over awaited calls with more than two database operations."""
     s = F.col("source")
     n = sum((count_matches(s, p) if w == 0 else F.when(s.rlike(p), w).otherwise(0) for p, w in DB_OPERATIONS), F.lit(0))
-    rows = files.filter(~s.rlike(DELEGATION)).select(*KEYS, n.alias("operations"), s.rlike(PAYMENT).alias("pays"))
+    rows = files.filter(~s.rlike(DELEGATION)).select(*KEYS, n.alias("operations"), s.rlike(PAYMENT).alias("pays"), s.rlike(MAIL).alias("mails"), s.rlike(ASYNC_LOOP).alias("loops"))
     found = F.array_compact(
         F.array(
             F.when(F.col("operations") >= 3, F.struct(F.lit("sync_db_chain").alias("kind"), F.when(F.col("operations") >= 5, "high").otherwise("medium").alias("severity"))),
             F.when(F.col("pays"), F.struct(F.lit("sync_payment").alias("kind"), F.lit("high").alias("severity"))),
+            F.when(F.col("mails") & (F.col("operations") > 0), F.struct(F.lit("sync_email").alias("kind"), F.lit("medium").alias("severity"))),
+            F.when(F.col("loops") & (F.col("operations") > 2), F.struct(F.lit("sync_heavy_loop").alias("kind"), F.lit("medium").alias("severity"))),
         )
     )
     return rows.select(*KEYS, "operations", F.explode(found).alias("f")).select(*KEYS, "f.kind", "f.severity", "operations").distinct()
 
 
 def crud_type(files: DataFrame) -> DataFrame:
-    """(repo_id, path, crud): what an API file does to its data, by its calls."""
-    has = {k: F.col("source").rlike(p) for k, p in CRUD.items()}
+    """(repo_id, path, crud): what an API file does to its data, by the calls in its lower-cased text, else by its exported verbs."""
+    text = F.lower("source")
+    has = {k: text.rlike(p) for k, p in CRUD.items()}
     kind = (
         F.when(has["READ"] & ~has["CREATE"] & ~has["UPDATE"], "READ")
         .when(has["UPDATE"] & ~has["CREATE"], "UPDATE")
         .when(has["CREATE"], "CREATE")
         .when(has["DELETE"] & ~has["READ"], "DELETE")
-        .otherwise("API")
     )
+    for crud, verb in CRUD_VERBS.items():
+        kind = kind.when(text.rlike(EXPORTED_VERB.format(verb)), crud)
+    kind = kind.otherwise("API")
     return files.filter(F.col("path").contains("/api/")).select(*KEYS, kind.alias("crud")).distinct()
 
 

@@ -146,9 +146,26 @@ def schema_catalog(files: DataFrame) -> DataFrame:
     return ddl.mapInPandas(run, CATALOG).withColumn("type", universal_type(F.col("raw_type")))
 
 
+def cardinality(is_unique: Column) -> Column:
+    """What a referring column stands for: one-to-one if it is unique, else one-to-many."""
+    return F.when(is_unique, "one-to-one").otherwise("one-to-many")
+
+
+def reference_map(keys: DataFrame, tables: DataFrame) -> DataFrame:
+    """(repo_id, table_name, name, ref): what each referring column of a repository's tables refers to, as "table.column".
+
+    Keys whose table or target is not among the tables (repo_id, table_name) are left out; of several targets
+    of one column the first by name stays. Null columns refer to nothing.
+    """
+    known = tables.select("repo_id", "table_name").distinct()
+    kept = keys.filter("src_column IS NOT NULL AND dst_column IS NOT NULL").join(known.withColumnRenamed("table_name", "src"), ["repo_id", "src"], "left_semi")
+    kept = kept.join(known.withColumnRenamed("table_name", "dst"), ["repo_id", "dst"], "left_semi")
+    return kept.groupBy("repo_id", F.col("src").alias("table_name"), F.col("src_column").alias("name")).agg(F.min(F.concat_ws(".", "dst", "dst_column")).alias("ref"))
+
+
 def foreign_keys(catalog: DataFrame) -> DataFrame:
     """(repo_id, path, src, src_column, dst, dst_column, cardinality) of the columns that refer to a table."""
-    kind = F.when(F.col("is_unique"), "one-to-one").otherwise("one-to-many")
+    kind = cardinality(F.col("is_unique"))
     return catalog.filter("ref_table IS NOT NULL").select("repo_id", "path", F.col("table_name").alias("src"), F.col("name").alias("src_column"), F.col("ref_table").alias("dst"), F.col("ref_column").alias("dst_column"), kind.alias("cardinality"))
 
 

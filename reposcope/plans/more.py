@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reposcope.functions import paths
-from reposcope.functions.text import findings_sql, positions_sql
-from reposcope.operators import code, graph, link, match, navigation, scan
+from reposcope.functions.text import findings_sql, keep_first, positions_sql
+from reposcope.operators import code, graph, infra, link, match, navigation, scan, schema
 from reposcope.plans.queries import _ENV, _ROUTES, _SERVED, _TYPED, ORACLE_SQL_BODY, _tidy, register
 from reposcope.sources.tables import file_nodes, filter_source_files, graph_lines, read_graph, upsert, written
 from reposcope.streaming import feed
@@ -306,3 +306,50 @@ def _billing(changes: DataFrame) -> DataFrame:
 register("k4_subscription_state", "changes", lambda c: feed.subscription_state(_billing(c)).select("user_id", "tier", "status"), """WITH b AS (SELECT node_id AS user_id, ts, event_id, event_id % 5 AS k, CASE change WHEN 'added' THEN 'active' WHEN 'deleted' THEN 'past_due' ELSE 'canceled' END AS s FROM changes WHERE event_id % 5 < 4),
 r AS (SELECT user_id, ts, event_id, CASE k WHEN 1 THEN s WHEN 2 THEN 'canceled' ELSE 'active' END AS status, CASE k WHEN 0 THEN 'pro' WHEN 1 THEN CASE WHEN s = 'canceled' THEN 'free' ELSE 'pro' END WHEN 2 THEN 'free' END AS tier FROM b)
 SELECT user_id, max_by(tier, (ts, event_id)) FILTER (tier IS NOT NULL) AS tier, max_by(status, (ts, event_id)) AS status FROM r GROUP BY user_id""")
+
+# --- deployment, snippets, keys -------------------------------------------------
+
+_has_res = lambda path, text: f"regexp_matches(lower(path), {_q(path)}) AND regexp_matches(source, {_q(text)})"
+_RES = " UNION ".join(f"SELECT repo_id, path, '{kind}' AS type, '{provider}' AS provider, '{name}' AS name FROM sources WHERE {_has_res(path, text)}" for path, text, kind, provider, name in infra.RESOURCES)
+_SUPABASE = f"(contains(lower(path), 'supabase') OR contains(source, '{infra.SUPABASE_CLIENT}'))"
+register("c29_infra_resources", "sources", infra.infra_resources, f"""{_RES}
+UNION SELECT repo_id, path, 'storage', 'supabase', 'Supabase Storage' FROM sources WHERE {_SUPABASE} AND regexp_matches(source, {_q(infra.SUPABASE_STORAGE)})
+UNION SELECT repo_id, path, 'function', 'supabase', 'Supabase Edge Function' FROM sources WHERE {_SUPABASE} AND regexp_matches(lower(path), '/functions/.*\\.ts$')
+UNION SELECT repo_id, path, 'storage', 'aws', 'S3: ' || unnest(regexp_extract_all(source, {_q(infra.BUCKET)}, 1)) FROM sources WHERE regexp_matches(lower(path), {_q(infra.AWS_FILES)})""")
+_TARGET_CASE = lambda i: "CASE " + " ".join(f"WHEN regexp_matches(lower(path), {_q(t[0])}) THEN '{t[i]}'" for t in infra.TARGETS) + " END"
+register("c29_deployment_targets", "sources", infra.deployment_targets, f"""SELECT repo_id, path, provider, name FROM (
+SELECT repo_id, path, {_TARGET_CASE(1)} AS provider, {_TARGET_CASE(2)} AS name, row_number() OVER (PARTITION BY repo_id ORDER BY NOT contains(lower(path), 'vercel.json'), path) AS k
+FROM sources WHERE {_TARGET_CASE(1)} IS NOT NULL) WHERE k = 1""")
+
+
+def _file_nodes(m: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each file once, and as a node: of the table that it creates, of its validation, of its route, or a view."""
+    once = keep_first(m, ["repo_id", "path"], ["source"])
+    table = F.nullif(F.regexp_extract("source", scan.CREATE_TABLE, 1), F.lit(""))
+    kind = F.when(table.isNotNull(), "database").when(F.col("path").contains("/api/"), "controller").when(F.col("source").rlike(r"\b(z|yup)\.object"), "validation").otherwise("view")
+    return once, once.select("repo_id", "path", kind.alias("type"), F.coalesce(table, "path").alias("label"))
+
+
+_part = lambda p: f"nullif(regexp_extract(source, {_q(p)}), '')"
+_table_part = lambda a, b: f"nullif(regexp_extract(source, {_q(a)} || label || {_q(b)}), '')"
+register("c33_code_snippet", "sources", lambda m: infra.snippets(*_file_nodes(m)), f"""WITH f AS (SELECT repo_id, path, min(source) AS source FROM sources GROUP BY ALL),
+n AS (SELECT *, regexp_extract(source, {_q(scan.CREATE_TABLE)}, 1) AS made FROM f), t AS (SELECT repo_id, path, source, CASE WHEN made <> '' THEN 'database' WHEN contains(path, '/api/') THEN 'controller' WHEN regexp_matches(source, '\\b(z|yup)\\.object') THEN 'validation' ELSE 'view' END AS type,
+  CASE WHEN made <> '' THEN made ELSE path END AS label FROM n)
+SELECT repo_id, path, type, label, coalesce(CASE type WHEN 'controller' THEN coalesce({_part(infra.METHOD_PART)}, {_part(infra.HANDLER_PART)}) WHEN 'validation' THEN coalesce({_part(infra.ZOD_PART)}, {_part(infra.YUP_PART)})
+  WHEN 'database' THEN coalesce({', '.join(_table_part(a, b) for a, b in infra.TABLE_PARTS)}) END,
+  CASE WHEN length(source) > {infra.SNIPPET} THEN left(source, {infra.SNIPPET}) || chr(10) || chr(10) || '// ... (truncated)' ELSE source END) AS snippet FROM t""")
+_catalog = lambda m: schema.schema_catalog(keep_first(m.filter(F.col("path").endswith(".sql")), ["repo_id", "path"], ["source"]))
+_LINES = f"""SELECT repo_id, path, regexp_extract(source, {_q(scan.CREATE_TABLE)}, 1) AS table_name, unnest(string_split(source, chr(10))) AS line FROM (SELECT repo_id, path, min(source) AS source FROM modules WHERE path LIKE '%.sql' GROUP BY ALL)"""
+_REF = "(\\w+) \\w+.* REFERENCES (\\w+)\\((\\w+)\\)"
+register("f16_cardinality", "modules", lambda m: _catalog(m).filter("ref_table IS NOT NULL").select("repo_id", "path", "table_name", "name", schema.cardinality(F.col("is_unique")).alias("cardinality")), f"""
+SELECT repo_id, path, table_name, regexp_extract(line, '{_REF}', 1) AS name, CASE WHEN contains(line, 'UNIQUE') THEN 'one-to-one' ELSE 'one-to-many' END AS cardinality FROM ({_LINES}) WHERE regexp_matches(line, '{_REF}')""")
+
+
+def _reference_map(m: DataFrame) -> DataFrame:
+    found = written(_catalog(m))
+    return schema.reference_map(schema.foreign_keys(found), found)
+
+
+register("d28_fk_reference_map", "modules", _reference_map, f"""WITH l AS ({_LINES}), k AS (SELECT DISTINCT repo_id, table_name FROM l)
+SELECT repo_id, table_name, regexp_extract(line, '{_REF}', 1) AS name, min(regexp_extract(line, '{_REF}', 2) || '.' || regexp_extract(line, '{_REF}', 3)) AS ref
+FROM l SEMI JOIN k ON k.repo_id = l.repo_id AND k.table_name = regexp_extract(line, '{_REF}', 2) WHERE regexp_matches(line, '{_REF}') GROUP BY ALL""")

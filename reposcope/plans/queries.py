@@ -122,14 +122,17 @@ _COMPLEX = f"""SELECT repo_id, path, d AS decisions, d + 1 AS complexity, CASE W
 FROM (SELECT repo_id, path, CAST({_COUNT} AS INTEGER) AS d FROM (SELECT repo_id, path, {_CLEAN} AS c FROM modules))"""
 register("c16_complexity", "modules", scan.complexity, _COMPLEX)
 _OPS = " + ".join(f"len(regexp_extract_all(source, '{p}'))" if w == 0 else f"CASE WHEN regexp_matches(source, '{p}') THEN {w} ELSE 0 END" for p, w in scan.DB_OPERATIONS)
-register("c18_bottlenecks", "modules", scan.bottlenecks, f"""WITH o AS (SELECT repo_id, path, CAST({_OPS} AS INTEGER) AS operations, regexp_matches(source, '{scan.PAYMENT}') AS pays FROM modules WHERE NOT regexp_matches(source, '{scan.DELEGATION}'))
+register("c18_bottlenecks", "modules", scan.bottlenecks, f"""WITH o AS (SELECT repo_id, path, CAST({_OPS} AS INTEGER) AS operations, regexp_matches(source, '{scan.PAYMENT}') AS pays, regexp_matches(source, '{scan.MAIL}') AS mails, regexp_matches(source, '{scan.ASYNC_LOOP}') AS loops FROM modules WHERE NOT regexp_matches(source, '{scan.DELEGATION}'))
 SELECT DISTINCT repo_id, path, 'sync_db_chain' AS kind, CASE WHEN operations >= 5 THEN 'high' ELSE 'medium' END AS severity, operations FROM o WHERE operations >= 3
-UNION SELECT DISTINCT repo_id, path, 'sync_payment', 'high', operations FROM o WHERE pays""")
+UNION SELECT DISTINCT repo_id, path, 'sync_payment', 'high', operations FROM o WHERE pays
+UNION SELECT DISTINCT repo_id, path, 'sync_email', 'medium', operations FROM o WHERE mails AND operations > 0
+UNION SELECT DISTINCT repo_id, path, 'sync_heavy_loop', 'medium', operations FROM o WHERE loops AND operations > 2""")
 register("c19_token_stats", "documents", lambda d: scan.token_stats(d, "doc_id", "text"), """SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z_][0-9A-Za-z_]*')) AS BIGINT) AS words,
 CAST(len(regexp_extract_all(text, '\\b[0-9]+')) AS BIGINT) AS numbers, CAST(len(regexp_extract_all(text, '[-+*/%=<>!&|^~?:]')) AS BIGINT) AS operators FROM documents""")
 _HAS = {k: f"regexp_matches(source, '{p}')" for k, p in scan.CRUD.items()}
-register("c25_crud_type", "modules", scan.crud_type, f"""SELECT DISTINCT repo_id, path, CASE WHEN r AND NOT c AND NOT u THEN 'READ' WHEN u AND NOT c THEN 'UPDATE' WHEN c THEN 'CREATE' WHEN d AND NOT r THEN 'DELETE' ELSE 'API' END AS crud
-FROM (SELECT repo_id, path, {_HAS['CREATE']} AS c, {_HAS['READ']} AS r, {_HAS['UPDATE']} AS u, {_HAS['DELETE']} AS d FROM modules WHERE contains(path, '/api/'))""")
+_VERB_CASES = " ".join(f"WHEN regexp_matches(source, '{scan.EXPORTED_VERB.format(v)}') THEN '{k}'" for k, v in scan.CRUD_VERBS.items())
+register("c25_crud_type", "modules", scan.crud_type, f"""SELECT DISTINCT repo_id, path, CASE WHEN r AND NOT c AND NOT u THEN 'READ' WHEN u AND NOT c THEN 'UPDATE' WHEN c THEN 'CREATE' WHEN d AND NOT r THEN 'DELETE' {_VERB_CASES} ELSE 'API' END AS crud
+FROM (SELECT repo_id, path, {_HAS['CREATE']} AS c, {_HAS['READ']} AS r, {_HAS['UPDATE']} AS u, {_HAS['DELETE']} AS d, source FROM (SELECT repo_id, path, lower(source) AS source FROM modules WHERE contains(path, '/api/')))""")
 register("c28_package_deps", "modules", scan.package_dependencies, """WITH p AS (SELECT repo_id, path, source::JSON AS j FROM modules WHERE regexp_matches(path, '(^|/)package\\.json$'))
 SELECT DISTINCT repo_id, path, unnest(json_keys(j, '$.dependencies')) AS dependency, false AS dev FROM p UNION SELECT DISTINCT repo_id, path, unnest(json_keys(j, '$.devDependencies')), true FROM p""")
 _SERVED = f"""SELECT repo_id, route, min(path) AS path, min_by(methods, path) AS methods FROM (
@@ -284,10 +287,10 @@ register("c31_schema_fields", "modules", scan.schema_fields, f"SELECT DISTINCT r
 register("d17_unused_exports", "modules", lambda m: link.unused_exports(scan.scan_exports(m), scan.findings(m, r"import\s*\{\s*(\w+)").select("repo_id", F.get("found", F.lit(0)).alias("name")).distinct()), f"""
 SELECT DISTINCT e.repo_id, e.path, e.name FROM ({ORACLE_SQL_BODY['c3']}) e WHERE NOT EXISTS (SELECT 1 FROM {findings_sql(r"import\s*\{\s*(\w+)")} i WHERE i.repo_id = e.repo_id AND i.found1 = e.name)""")
 _STRINGS = f"SELECT DISTINCT repo_id, found1 AS candidate FROM {findings_sql(scan.ROUTE_STRING)} WHERE NOT regexp_matches(found1, '(?i)\\.[a-z0-9]{{2,5}}$') AND NOT starts_with(found1, '//') AND length(found1) <= 100"
-register("d6_match_routes", "modules", lambda m: link.match_routes(scan.scan_route_strings(m).withColumnRenamed("route", "candidate"), paths.crawl_routes(m).select("repo_id", "route").unionByName(scan.controllers(m).select("repo_id", "route")).unionByName(scan.scan_express_routes(m).select("repo_id", "route"))), f"""
+register("d6_match_routes", "modules", lambda m: link.match_routes(scan.scan_route_strings(m).withColumnRenamed("route", "candidate"), paths.crawl_routes(m).select("repo_id", "route").unionByName(scan.controllers(m).select("repo_id", "route")).unionByName(scan.scan_express_routes(m).select("repo_id", "route")), inside=True), f"""
 WITH c AS ({_STRINGS}), r AS (SELECT DISTINCT repo_id, route FROM (SELECT repo_id, route FROM ({_ROUTES}) UNION ALL SELECT repo_id, route FROM ({_SERVED}) UNION ALL SELECT repo_id, found2 FROM {findings_sql(scan.EXPRESS, 2)}) WHERE route <> '/'),
 m AS (SELECT c.repo_id, c.candidate, r.route, CASE WHEN r.route = c.candidate THEN 1 WHEN contains(r.route, ':') AND len(string_split(r.route, '/')) = len(string_split(c.candidate, '/')) AND regexp_matches(c.candidate, '^' || regexp_replace(r.route, ':\\w+', '[^/]+', 'g') || '$') THEN 2
-  WHEN starts_with(c.candidate, r.route || '/') THEN 3 END AS rung FROM c JOIN r USING (repo_id))
+  WHEN starts_with(c.candidate, r.route || '/') THEN 3 WHEN length(r.route) >= 3 AND starts_with(r.route, '/') AND contains(c.candidate, r.route) THEN 4 END AS rung FROM c JOIN r USING (repo_id))
 SELECT repo_id, candidate, route, CAST(rung AS INTEGER) AS rung FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, candidate ORDER BY rung, length(route) DESC, route) AS k FROM m WHERE rung IS NOT NULL) WHERE k = 1""")
 register("d4_calls_to_controllers", "modules", lambda m: scan.scan_api_calls(m).withColumn("route", F.regexp_replace("endpoint", "(.)/+$", "$1")).join(scan.controllers(m).select("repo_id", "route", F.col("path").alias("controller")), ["repo_id", "route"], "left").select("repo_id", "path", "method", "endpoint", "controller"), f"""
 SELECT a.repo_id, a.path, a.method, a.endpoint, s.path AS controller FROM ({_CALLS}) a LEFT JOIN ({_SERVED}) s ON a.repo_id = s.repo_id AND regexp_replace(a.endpoint, '(.)/+$', '\\1') = s.route""")
