@@ -187,9 +187,8 @@ def bottlenecks(files: DataFrame) -> DataFrame:
     return rows.select(*KEYS, "operations", F.explode(found).alias("f")).select(*KEYS, "f.kind", "f.severity", "operations").distinct()
 
 
-def crud_type(files: DataFrame) -> DataFrame:
-    """(repo_id, path, crud): what an API file does to its data, by the calls in its lower-cased text, else by its exported verbs."""
-    text = F.lower("source")
+def crud_kind(text: Column) -> Column:
+    """What an API file does to its data, by the calls in its lower-cased text, else by its exported verbs."""
     has = {k: text.rlike(p) for k, p in CRUD.items()}
     kind = (
         F.when(has["READ"] & ~has["CREATE"] & ~has["UPDATE"], "READ")
@@ -199,8 +198,12 @@ def crud_type(files: DataFrame) -> DataFrame:
     )
     for crud, verb in CRUD_VERBS.items():
         kind = kind.when(text.rlike(EXPORTED_VERB.format(verb)), crud)
-    kind = kind.otherwise("API")
-    return files.filter(F.col("path").contains("/api/")).select(*KEYS, kind.alias("crud")).distinct()
+    return kind.otherwise("API")
+
+
+def crud_type(files: DataFrame) -> DataFrame:
+    """(repo_id, path, crud): the CRUD kind of each API file."""
+    return files.filter(F.col("path").contains("/api/")).select(*KEYS, crud_kind(F.lower("source")).alias("crud")).distinct()
 
 
 def package_dependencies(files: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from reposcope.functions import paths
 from reposcope.functions.text import findings_sql, keep_first, positions_sql
-from reposcope.operators import code, graph, infra, link, match, navigation, scan, schema
-from reposcope.plans.queries import _ENV, _ROUTES, _SERVED, _TYPED, ORACLE_SQL_BODY, _tidy, register
+from reposcope.operators import code, graph, infra, journey, link, match, navigation, parse, scan, schema
+from reposcope.plans.queries import _ENV, _HAS, _ROUTES, _SERVED, _TYPED, _VERB_CASES, ORACLE_SQL_BODY, _tidy, register
 from reposcope.sources.tables import file_nodes, filter_source_files, graph_lines, read_graph, upsert, written
 from reposcope.streaming import feed
 
@@ -353,3 +353,57 @@ def _reference_map(m: DataFrame) -> DataFrame:
 register("d28_fk_reference_map", "modules", _reference_map, f"""WITH l AS ({_LINES}), k AS (SELECT DISTINCT repo_id, table_name FROM l)
 SELECT repo_id, table_name, regexp_extract(line, '{_REF}', 1) AS name, min(regexp_extract(line, '{_REF}', 2) || '.' || regexp_extract(line, '{_REF}', 3)) AS ref
 FROM l SEMI JOIN k ON k.repo_id = l.repo_id AND k.table_name = regexp_extract(line, '{_REF}', 2) WHERE regexp_matches(line, '{_REF}') GROUP BY ALL""")
+
+# --- journeys -----------------------------------------------------------------
+
+
+def _signals(files: DataFrame) -> DataFrame:
+    """Journey signals with their lists as texts."""
+    stores = F.transform("stores", lambda s: F.concat_ws("|", s.trigger, s.label, s.edge))
+    return journey.journey_signals(files).withColumns({"decisions": F.array_join("decisions", ","), "services": F.array_join("services", ","), "stores": F.array_join(stores, ",")})
+
+
+def _signal_sql(in_path: str | None, in_text: str | None, packages: list[str]) -> str:
+    signs = [f"regexp_matches(path, {_q(in_path)})"] if in_path else []
+    signs += [f"regexp_matches(source, {_q(in_text)})"] if in_text else []
+    signs += [f"list_has_any(packages, {packages})"] if packages else []
+    return f"({' OR '.join(signs)})"
+
+
+_PACKAGES = " || ".join(f"coalesce(json_keys(CASE WHEN path LIKE '%package.json' AND json_valid(raw) THEN raw::JSON END, '$.{k}'), [])" for k in ("dependencies", "devDependencies"))
+_CRUD_CASE = f"""CASE WHEN NOT api THEN 'API' WHEN {_HAS['READ']} AND NOT {_HAS['CREATE']} AND NOT {_HAS['UPDATE']} THEN 'READ' WHEN {_HAS['UPDATE']} AND NOT {_HAS['CREATE']} THEN 'UPDATE'
+  WHEN {_HAS['CREATE']} THEN 'CREATE' WHEN {_HAS['DELETE']} AND NOT {_HAS['READ']} THEN 'DELETE' {_VERB_CASES} ELSE 'API' END"""
+_LAYOUT = f"""CASE WHEN regexp_matches(path, {_q(journey.LAYOUT)}) THEN list_transform(list_filter(list_transform(regexp_extract_all(raw, {_q(journey.LAYOUT_IMPORT)}, 1),
+  lambda x: regexp_replace(regexp_replace(x, '^\\./', ''), '^\\.\\./', '')), lambda x: NOT regexp_matches(x, {_q(journey.NO_ROUTES)})), lambda x: '/' || x) ELSE [] END"""
+_PAGE = [f"regexp_extract(path, {_q(p)}, 1)" for p in (journey.APP_PAGE, journey.PAGES_PAGE)]
+_STORES = ", ".join(
+    f"CASE WHEN {f"contains(words, '{subject}')" if subject else 'auth'} AND (regexp_matches(words, '{action}'){f" OR crud = '{crud}'" if crud else ''}) THEN '{trigger}|{label}|{edge}' END"
+    for trigger, label, edge, subject, action, crud in journey.STORES
+)
+register("c26_journey_signals", "sources", _signals, f"""WITH m AS (SELECT DISTINCT repo_id, path, coalesce(source, '') AS raw, lower(coalesce(source, '')) AS source FROM sources),
+p AS (SELECT *, {_PACKAGES} AS packages, source || chr(10) || lower(path) AS words FROM m),
+f AS (SELECT *, {', '.join(f'{_signal_sql(*signs)} AS {name}' for name, signs in journey.SIGNALS.items())}, {_LAYOUT} AS layout,
+  list_sort(list_filter([{', '.join(f"CASE WHEN regexp_matches(source, {_q(p)}) THEN '{k}' END" for k, p in journey.SERVICES.items())}], lambda x: x IS NOT NULL)) AS services FROM p),
+c AS (SELECT *, {_CRUD_CASE} AS crud FROM f), s AS (SELECT *, list_filter([{_STORES}], lambda x: x IS NOT NULL) AS found FROM c)
+SELECT DISTINCT repo_id, path, {', '.join(journey.SIGNALS)}, len(services) > 0 AS external_service, crud,
+  CASE WHEN {_PAGE[0]} <> '' THEN '/' || {_PAGE[0]} WHEN {_PAGE[1]} <> '' AND NOT regexp_matches({_PAGE[1]}, {_q(journey.NO_PAGES)}) THEN '/' || regexp_replace({_PAGE[1]}, '[\\[\\]]', ':', 'g') ELSE layout[1] END AS route,
+  array_to_string(list_sort(list_distinct({' || '.join(f'regexp_extract_all(source, {_q(p)}, 1)' for p in journey.LEADS)} || layout)), ',') AS decisions, array_to_string(services, ',') AS services,
+  CASE WHEN len(found) = 0 AND crud = 'CREATE' THEN '{'|'.join(journey.PLAIN_STORE)}' ELSE array_to_string(found, ',') END AS stores FROM s""")
+
+
+def _parsed(files: DataFrame) -> DataFrame:
+    """Nodes, edges and their counts in one table."""
+    nodes, edges = parse.deterministic_parse(files)
+    counts = parse.parse_stats(nodes, edges)
+    parts = [nodes.select("repo_id", "type", "key", "label"), edges.select("repo_id", "type", "src", "dst"), counts.select("repo_id", "type", F.lit("count"), F.col("n").cast("string"))]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+_ROUTE_PAGES = _on(ORACLE_SQL_BODY["b7"], "sources").replace("FROM screens", "FROM sources")
+_API = " , ".join(f"nullif(regexp_extract(path, {_q(p)}, 1), '')" for p in (parse.APP_API, parse.PAGES_API))
+register("g23_deterministic_parse", "sources", _parsed, f"""WITH r AS ({_ROUTE_PAGES}), v AS (SELECT repo_id, path, max(kind) AS kind FROM ({_on(ORACLE_SQL_BODY['c6'], 'sources')}) WHERE regexp_matches(path, {_q(parse.PAGE_FOLDERS)}) GROUP BY ALL),
+l AS ({_on(_LINES, 'sources')}), c AS (SELECT DISTINCT repo_id, '/' || regexp_replace(coalesce({_API}), '\\[\\[?\\w+\\]?\\]', ':param', 'g') AS route FROM sources WHERE coalesce({_API}) IS NOT NULL),
+p AS (SELECT repo_id, 'route' AS type, route AS key, label FROM r UNION ALL SELECT repo_id, 'controller', route, route FROM c UNION ALL SELECT repo_id, 'validation', path, kind FROM v
+  UNION ALL SELECT DISTINCT repo_id, 'table', table_name, table_name FROM l UNION ALL SELECT repo_id, 'validates', route, path FROM r JOIN v USING (repo_id, path)
+  UNION ALL SELECT DISTINCT repo_id, CASE WHEN contains(line, 'UNIQUE') THEN 'one-to-one' ELSE 'one-to-many' END, table_name, regexp_extract(line, '{_REF}', 2) FROM l WHERE regexp_matches(line, '{_REF}'))
+SELECT * FROM p UNION ALL SELECT repo_id, type, 'count', CAST(count(*) AS VARCHAR) FROM p GROUP BY ALL""")
