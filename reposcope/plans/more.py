@@ -322,7 +322,7 @@ SELECT repo_id, path, {_TARGET_CASE(1)} AS provider, {_TARGET_CASE(2)} AS name,
 FROM sources WHERE {_TARGET_CASE(1)} IS NOT NULL) WHERE k = 1""")
 
 
-def _file_nodes(m: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _snippet_nodes(m: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Each file once, and as a node: of the table that it creates, of its validation, of its route, or a view."""
     once = keep_first(m, ["repo_id", "path"], ["source"])
     table = F.nullif(F.regexp_extract("source", scan.CREATE_TABLE, 1), F.lit(""))
@@ -332,7 +332,7 @@ def _file_nodes(m: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 _part = lambda p: f"nullif(regexp_extract(source, {_q(p)}), '')"
 _table_part = lambda a, b: f"nullif(regexp_extract(source, {_q(a)} || label || {_q(b)}), '')"
-register("c33_code_snippet", "sources", lambda m: infra.snippets(*_file_nodes(m)), f"""WITH f AS (SELECT repo_id, path, min(source) AS source FROM sources GROUP BY ALL),
+register("c33_code_snippet", "sources", lambda m: infra.snippets(*_snippet_nodes(m)), f"""WITH f AS (SELECT repo_id, path, min(source) AS source FROM sources GROUP BY ALL),
 n AS (SELECT *, regexp_extract(source, {_q(scan.CREATE_TABLE)}, 1) AS made FROM f), t AS (SELECT repo_id, path, source, CASE WHEN made <> '' THEN 'database' WHEN contains(path, '/api/') THEN 'controller' WHEN regexp_matches(source, '\\b(z|yup)\\.object') THEN 'validation' ELSE 'view' END AS type,
   CASE WHEN made <> '' THEN made ELSE path END AS label FROM n)
 SELECT repo_id, path, type, label, coalesce(CASE type WHEN 'controller' THEN coalesce({_part(infra.METHOD_PART)}, {_part(infra.HANDLER_PART)}) WHEN 'validation' THEN coalesce({_part(infra.ZOD_PART)}, {_part(infra.YUP_PART)})
