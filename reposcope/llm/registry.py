@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from reposcope.llm import bpe, chat_format, decontamination, exact_dedup, line_dedup, minhash_dedup, quality, secrets, substring_dedup, toxicity
+from reposcope.llm import bpe, chat_format, decontamination, exact_dedup, filter_audit, line_dedup, minhash_dedup, quality, secrets, sharding, substring_dedup, token_alignment, toxicity
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_minhash_near_dedup": minhash_dedup.op8_minhash_near_dedup,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_chat_formatting": chat_format.op10_chat_formatting,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_sharding": sharding.op12_sharding,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 ORACLE_SQL = {
     "op1_substring_dedup": substring_dedup.OP1_SQL,
@@ -25,4 +28,6 @@ ORACLE_SQL = {
     "op6_benchmark_decontamination": decontamination.OP6_SQL,
     "op8_minhash_near_dedup": minhash_dedup.OP8_SQL,
     "op10_chat_formatting": chat_format.OP10_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
+    "op12_sharding": sharding.OP12_SQL,
 }
