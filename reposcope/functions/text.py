@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,16 +15,46 @@ def unmarked(text: Column) -> Column:
     return F.regexp_replace(text, "[\x01-\x03]", "")
 
 
-def positions(files: DataFrame, pattern: str, source: str = "source") -> DataFrame:
-    """One row per match: the table's other columns, source without marks, match, at (characters before it) and line."""
+def positions(files: DataFrame, pattern: str, source: str = "source", before: int = 0, after: int = 0) -> DataFrame:
+    """One row per match: the table's other columns, match, at (characters before it), line, lead and rest.
+
+    lead is up to `before` characters that end where the match begins, rest up to
+    `after` characters from there on. Spark marks the matches in place by one
+    replacement; a running count over the marked text then gives every match
+    its place, line and surroundings, so that a row holds no more of the text than
+    these and a file costs time and memory in proportion to its length.
+    """
     keys = [c for c in files.columns if c != source]
-    whole = files.select(*keys, unmarked(F.col(source)).alias("source"))
-    marked = whole.withColumn("pieces", F.split(F.regexp_replace("source", pattern, "\x01$0\x02"), "\x01"))
-    sizes = F.transform("pieces", lambda x: F.length(x) - F.regexp_count(x, F.lit("\x02")))
-    before = F.aggregate(F.slice(sizes, F.lit(1), F.col("k")), F.lit(0), lambda a, x: a + x)
-    each = marked.select(*keys, "source", "pieces", F.posexplode("pieces").alias("k", "piece")).filter("k > 0").withColumn("at", before)
-    line = 1 + F.regexp_count(F.left("source", F.col("at")), F.lit("\n"))
-    return each.select(*keys, "source", F.substring_index("piece", "\x02", 1).alias("match"), "at", line.alias("line"))
+    marked = F.regexp_replace(unmarked(F.col(source)), pattern, "\x01$0\x02")
+    rows = files.select(*[F.col(k) for k in keys], marked.alias("text_marked")).filter(F.contains("text_marked", F.lit("\x01")))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in files.select(*keys).schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(len(keys)).to_pylist()):
+                yield from matched(batch.slice(i, 1), text)
+
+    def matched(row: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+        pieces = text.split("\x01")
+        plain = "".join(pieces).replace("\x02", "")
+        at, line, out = len(pieces[0]), 1 + pieces[0].count("\n"), []
+        for piece in pieces[1:]:
+            match, _, rest = piece.partition("\x02")
+            out.append((match, at, line, plain[max(at - before, 0) : at], plain[at : at + after]))
+            if len(out) == 10_000:
+                yield batch_of(row, out)
+                out = []
+            at += len(match) + len(rest)
+            line += piece.count("\n")
+        if out:
+            yield batch_of(row, out)
+
+    def batch_of(row: pa.RecordBatch, out: list[tuple]) -> pa.RecordBatch:
+        same = pa.array([0] * len(out))
+        found = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()))]
+        return pa.RecordBatch.from_arrays([*(row.column(k).take(same) for k in range(len(keys))), *found], [*keys, "match", "at", "line", "lead", "rest"])
+
+    return rows.mapInArrow(run, f"{kinds}match string, at int, line int, lead string, rest string")
 
 
 def positions_sql(pattern: str, table: str = "modules", keys: str = "repo_id, path", source: str = "source") -> str:

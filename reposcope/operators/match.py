@@ -1,7 +1,8 @@
 """Matches of texts that contain each other: labels, paths, tables, models.
 
-A text that contains another contains its first three characters, so the two
-meet by these as a key, and no row meets all rows of its repository.
+Texts are searched for all needles of their repository at once (see
+`functions.contain`), so no row meets all rows of its repository and no text is
+moved.
 """
 
 from __future__ import annotations
@@ -9,24 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reposcope.functions.contain import contained
 from reposcope.functions.paths import classify_file, node_label
 from reposcope.functions.text import union
 from reposcope.operators.scan import scan_http_calls, scan_table_names
 
-#: Characters that make the key.
-KEY = 3
-
 
 def contains_join(whole: DataFrame, text: str, part: DataFrame, piece: str) -> DataFrame:
-    """Rows of `whole` with those of `part` of the same repository whose piece its text contains; empty pieces match nothing."""
-
-    def pieces(size: int):
-        return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(text, i, F.lit(size)))
-
-    grams = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in range(1, KEY + 1)])))
-    keyed = whole.filter(F.length(text) > 0).withColumn("gram", F.explode(grams))
-    small = part.filter(F.length(piece) > 0).withColumn("gram", F.left(piece, F.lit(KEY)))
-    return keyed.join(small, ["repo_id", "gram"]).filter(F.expr(f"contains(`{text}`, `{piece}`)")).drop("gram")
+    """The columns of `whole` but its text, with the rows of `part` of the same repository whose piece the text contains; empty pieces match nothing."""
+    return contained(whole, text, part, piece).join(part, ["repo_id", piece])
 
 
 def plain(column: str):
@@ -42,7 +34,7 @@ def resolve_import_contains(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(repo_id, specifier, target): the first file whose path contains a relative or @/ specifier; null if none."""
     asked = imports.filter(F.col("specifier").rlike(r"^(\.|@/)")).select("repo_id", "specifier").distinct()
     asked = asked.withColumn("piece", F.regexp_replace(F.regexp_replace("specifier", r"\./", ""), "@/", ""))
-    found = contains_join(files.select("repo_id", "path").distinct(), "path", asked, "piece").groupBy("repo_id", "specifier").agg(F.min("path").alias("target"))
+    found = contains_join(files.select("repo_id", "path", F.col("path").alias("where")).distinct(), "where", asked, "piece").groupBy("repo_id", "specifier").agg(F.min("path").alias("target"))
     return asked.select("repo_id", "specifier").join(found, ["repo_id", "specifier"], "left")
 
 

@@ -45,6 +45,8 @@ REFERENCES = [
     ("fuzzy", 0.85, r"(?:redirect|redirectToRoute)\s*\(\s*[\"'`]([^\"'`]+)[\"'`]"),
     ("inferred", 0.4, r"[\"'`](/[\w\-/:.\[\]]+)[\"'`]"),
 ]
+#: Characters on both sides of where a reference begins that are its context.
+CONTEXT_CHARS = 50
 ROUTE_SIGNS = r"^/[\w\-/:.\[\]{}()*?+]*$"
 PAGE_FILES = r"(?:^|/)app/(?:.*/)?page\.(?:tsx|ts|js|jsx)$"
 #: Share of common characters from which two routes are alike.
@@ -55,9 +57,8 @@ def scan_interactions(files: DataFrame) -> DataFrame:
     """(repo_id, path, kind, target, line): links, pushes and handlers with their targets, once per line."""
     parts = [findings(files, p).select(*KEYS, F.lit(k).alias("kind"), F.get("found", F.lit(0)).alias("target"), "line") for k, p in INTERACTIONS]
     for kind, pattern, target, otherwise in HANDLERS:
-        after = F.substr("source", F.col("at") + 1, F.lit(HANDLER_CHARS))
-        found = F.coalesce(F.nullif(F.regexp_extract(after, target, 1), F.lit("")), F.lit(otherwise))
-        parts.append(positions(files, pattern).select(*KEYS, F.lit(kind).alias("kind"), found.alias("target"), "line"))
+        found = F.coalesce(F.nullif(F.regexp_extract("rest", target, 1), F.lit("")), F.lit(otherwise))
+        parts.append(positions(files, pattern, after=HANDLER_CHARS).select(*KEYS, F.lit(kind).alias("kind"), found.alias("target"), "line"))
     return union(parts).distinct()
 
 
@@ -110,9 +111,8 @@ def scan_route_refs(files: DataFrame) -> DataFrame:
     """(repo_id, path, type, literal, confidence, line, context): strings that look like routes, by ten weighted patterns."""
     parts = []
     for kind, weight, pattern in REFERENCES:
-        found = positions(files, pattern)
-        start = F.greatest(F.col("at") - 50, F.lit(0))
-        context = F.trim(F.regexp_replace(F.substr("source", start + 1, F.col("at") + 50 - start), r"\s+", " "))
+        found = positions(files, pattern, before=CONTEXT_CHARS, after=CONTEXT_CHARS)
+        context = F.trim(F.regexp_replace(F.concat("lead", "rest"), r"\s+", " "))
         parts.append(found.select(*KEYS, F.lit(kind).alias("type"), F.regexp_extract("match", pattern, 1).alias("literal"), F.lit(weight).alias("confidence"), "line", context.alias("context")))
     s = F.col("literal")
     like = s.rlike(ROUTE_SIGNS) & (F.length(s) <= 100) & ~s.startswith("/data:") & (s.startswith("/api/") | ~s.rlike(r"\.[a-z]{2,4}$"))
