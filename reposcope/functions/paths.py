@@ -233,9 +233,3 @@ def url_params(route: Column, url: Column) -> Column:
     each = F.transform(F.split(route, "/"), lambda x, i: F.struct(F.regexp_extract(x, r"^:(\w+)", 1).alias("name"), F.get(parts, i).alias("value")))
     kept = F.filter(each, lambda p: p["name"] != "")
     return F.map_from_arrays(kept["name"], kept["value"])
-
-
-def sorted_routes(routes: DataFrame) -> DataFrame:
-    """(repo_id, route, position): static routes first, then those with parameters, then catch-alls, each by name."""
-    rank = F.when(F.col("route").contains("*"), 2).when(F.col("route").contains(":"), 1).otherwise(0)
-    return routes.distinct().withColumn("rank", rank).withColumn("position", F.expr("row_number() OVER (PARTITION BY repo_id ORDER BY rank, route)")).select("repo_id", "route", "position")

@@ -185,9 +185,12 @@ MODELS = [
 ]
 
 
-def imported_models(files: DataFrame) -> DataFrame:
-    """(repo_id, path, model): the models that a file imports or calls, with blanks for dashes and underscores."""
-    low = F.lower("source")
+def model_names(low: Column) -> Column:
+    """The models that a text in lower case imports or calls, with blanks for dashes and underscores, each once in the order of the rules and the text."""
     every = F.flatten(F.array(*[F.array_except(F.regexp_extract_all(low, F.lit(p), F.lit(1)), F.array(*[F.lit(x) for x in none]).cast("array<string>")) for p, none in MODELS]))
-    names = F.array_distinct(F.transform(every, lambda x: F.trim(F.translate(x, "-_", "  "))))
-    return files.select(*KEYS, F.explode(names).alias("model")).filter("model <> ''").distinct()
+    return F.filter(F.array_distinct(F.transform(every, lambda x: F.trim(F.translate(x, "-_", "  ")))), lambda x: x != "")
+
+
+def imported_models(files: DataFrame) -> DataFrame:
+    """(repo_id, path, model): the models that a file imports or calls."""
+    return files.select(*KEYS, F.explode(model_names(F.lower("source"))).alias("model")).distinct()

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reposcope.functions.text import union
+from reposcope.operators.sequence import following
 from reposcope.sources.tables import forget, written
 
 REPO = "repo_id"
@@ -465,10 +466,9 @@ def dead_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     columns = nodes.select(REPO, F.col("x").cast("long").alias("col")).distinct()
     rows = union([entry_points(nodes, edges).select(REPO, "node_id", F.lit("in").alias("lacks")), exit_points(nodes, edges).select(REPO, "node_id", F.lit("out").alias("lacks"))])
     placed = rows.join(nodes.select(REPO, "node_id", F.col("x").cast("long").alias("col")), [REPO, "node_id"])
-    w = "OVER (PARTITION BY repo_id ORDER BY col)"
-    beside = columns.select(REPO, "col", F.expr(f"lag(col) {w}").alias("before"), F.expr(f"lead(col) {w}").alias("after"))
-    near = F.when(F.col("lacks") == "in", F.col("before")).otherwise(F.col("after"))
-    return placed.join(beside, [REPO, "col"]).select(REPO, "node_id", "lacks", near.alias("nearest"))
+    after = written(following(columns, [REPO], ["col"], "col", "nearest"))
+    beside = after.withColumn("lacks", F.lit("out")).unionByName(after.select(REPO, F.col("nearest").alias("col"), F.col("col").alias("nearest"), F.lit("in").alias("lacks")))
+    return placed.join(beside, [REPO, "col", "lacks"], "left").select(REPO, "node_id", "lacks", "nearest")
 
 
 def bridges(edges: DataFrame, homes: DataFrame) -> DataFrame:

@@ -68,11 +68,16 @@ def _store(trigger: str, label: str, edge: str) -> Column:
 
 
 def journey_signals(files: DataFrame) -> DataFrame:
-    """(repo_id, path, one flag per signal, external_service, crud, route, decisions, services, stores) of each file.
+    """(repo_id, path, one flag per signal, external_service, crud, route, decisions, services, stores) of each file, once."""
+    return signal_rows(files).select(*KEYS, *SIGNALS, "external_service", "crud", "route", "decisions", "services", "stores").distinct()
+
+
+def signal_rows(files: DataFrame) -> DataFrame:
+    """Per row of `files`: repo_id, path, the signals, packages of a package.json, and t, the text in lower case.
 
     `decisions` are the targets a file leads to, `services` the external services it names, both sorted; `stores` holds
-    (trigger, label, edge) of what it stores. A null text counts as empty; equal rows count once. All is computed in
-    one pass over the text, which is dropped before the rows meet.
+    (trigger, label, edge) of what it stores. A null text counts as empty. All is computed in one pass over the text,
+    which whoever asks drops before the rows meet.
     """
     rows = files.select(*KEYS, F.coalesce("path", F.lit("")).alias("p"), F.coalesce("source", F.lit("")).alias("s")).withColumn("t", F.lower("s"))
     rows = rows.withColumn("packages", _packages(F.col("p"), F.col("s"))).withColumn("words", F.concat_ws("\n", "t", F.lower("p")))
@@ -102,4 +107,4 @@ def journey_signals(files: DataFrame) -> DataFrame:
     plain = F.when(F.col("crud") == "CREATE", F.array(_store(*PLAIN_STORE)))
     rows = rows.withColumn("stores", F.array_compact(F.array(*stores)))
     rows = rows.withColumn("stores", F.when(F.size("stores") == 0, F.coalesce(plain, F.col("stores"))).otherwise(F.col("stores")))
-    return rows.select(*KEYS, *SIGNALS, "external_service", "crud", route.alias("route"), leads.alias("decisions"), "services", "stores").distinct()
+    return rows.select(*KEYS, *SIGNALS, "external_service", "crud", route.alias("route"), leads.alias("decisions"), "services", "stores", "packages", "t")

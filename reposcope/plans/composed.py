@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from reposcope.functions.text import positions_sql
-from reposcope.operators import catalog, scan
-from reposcope.plans.more import _on, _q
-from reposcope.plans.queries import _SERVED, register
+from reposcope.operators import catalog, code, scan
+from reposcope.operators import journey_graph as jg
+from reposcope.plans.more import _LAYOUT, _PAGE, _on, _q
+from reposcope.plans.queries import _SERVED, ORACLE_SQL_BODY, register
 
 # --- endpoint catalog -----------------------------------------------------------
 
@@ -34,3 +35,118 @@ g AS (SELECT repo_id, path, string_agg(name || ':' || type || CASE WHEN required
 SELECT m.repo_id, method, route, method || ' ' || route AS name, m.path, schema_path, CASE WHEN g.fields IS NOT NULL THEN 'schema' WHEN method IN ('POST', 'PUT', 'PATCH') THEN 'default' ELSE 'none' END AS body, coalesce(g.fields, '') AS fields
 FROM m LEFT JOIN g ON g.repo_id = m.repo_id AND g.path = m.schema_path
 UNION ALL SELECT repo_id, 'POST', route, 'HANDLER ' || route, path, NULL, 'login', 'email:string!,password:string!' FROM n WHERE method = 'HANDLER'""")
+
+
+# --- journey graph ----------------------------------------------------------------
+
+_signals, _tail = ORACLE_SQL_BODY["c26"].rsplit("SELECT DISTINCT repo_id, path,", 1)
+_route = _tail[_tail.index("CASE WHEN") : _tail.index(" AS route")]
+_leads = _tail[_tail.index("list_sort(list_distinct(") : _tail.index(", ',') AS decisions")]
+_ordered = lambda x: f"list_filter({x}, lambda m, i: list_position({x}, m) = i)"
+_named = " || ".join(f"list_filter(regexp_extract_all(source, {_q(p)}, 1), lambda m: m NOT IN ({', '.join(repr(n) for n in none) or repr('')}))" for p, none in code.MODELS)
+_null = {"crud": "NULL::VARCHAR", "models": "NULL::VARCHAR[]", "targets": "NULL::VARCHAR[]", "trigger": "NULL::VARCHAR", "edge": "NULL::VARCHAR"}
+
+
+def _made(kind: str, label: str, own: bool, **more: str) -> str:
+    return "{'type': '" + kind + "', 'label': " + label + f", 'own': {own}, " + ", ".join(f"'{k}': {more.get(k, v)}" for k, v in _null.items()) + "}"
+
+
+def _if(ask: str, node: str) -> str:
+    return f"CASE WHEN {ask} THEN [{node}] ELSE [] END"
+
+
+_stem = lambda other: f"coalesce(nullif(regexp_replace(string_split(path, '/')[-1], '\\.\\w+$', ''), ''), '{other}')"
+_pick = lambda table: "CASE " + " ".join(f"WHEN contains(d, '{w}') THEN '{v}'" for w, v in table) + " END"
+_of_package = " || ".join(
+    [_if(f"({_pick(t)}) IS NOT NULL", _made(k, _pick(t), False)) for k, t in (("database", jg.DATABASES), ("cache", jg.CACHES))]
+    + [_if(f"contains(d, '{w}')", _made("external_service", f"'External: {v}'", False)) for w, v in jg.EXTERNALS]
+    + [_if(" OR ".join(f"contains(d, '{w}')" for w in jg.OAUTH_PACKAGES), _made("auth", f"'{jg.OAUTH}'", True)), _if(f"({_pick(jg.SERVICES)}) IS NOT NULL", _made("service", _pick(jg.SERVICES), False))]
+)
+_pieces = " || ".join(
+    [
+        _if("auth", _made("auth", "coalesce('Auth: ' || route, 'Auth Login')", True)), _if("logout", _made("logout", "'Logout'", True)), _if("validation", _made("validation", f"'Validate: ' || {_stem('validate')}", True)),
+        _if("len(decisions) > 0 AND route IS NOT NULL", _made("decision", "'Choose: ' || route", True, targets="decisions")),
+        _if("api", _made("action", f"crud || ': ' || coalesce(route, {_stem('API Action')})", True, crud="crud", models="models")),
+        f"flatten(list_transform(list_filter(packages, lambda d: {' OR '.join(f"contains(d, '{p}')" for p in jg.PACKAGES)}), lambda d: {_of_package}))",
+        _if("middleware", _made("middleware", f"'Auth Guard: ' || {_stem('middleware')}", False)),
+        "list_transform(services, lambda x: " + _made("external_service", "'External: ' || upper(x[1]) || x[2:]", False) + ")",
+        _if("background_service", _made("service", f"'Service: ' || {_stem('service')}", False)), _if("error_handler", _made("error_handler", f"'Error Handler: ' || {_stem('error')}", False)), _if("cache", _made("cache", f"'Cache: ' || {_stem('cache')}", False)),
+        "list_transform(stores, lambda x: " + _made("database", "string_split(x, '|')[2]", False, trigger="string_split(x, '|')[1]", edge="string_split(x, '|')[3]") + ")",
+        _if("database AND NOT api", _made("database", f"'DB: ' || {_stem('Database')}", False)),
+        _if("route IS NOT NULL AND NOT landing AND NOT auth AND NOT logout AND NOT api", _made("page", "route", False)),
+    ]
+)
+_section = "CASE " + " ".join(f"WHEN {sign} THEN '{name}'" for sign, name in jg.FILE_SECTIONS) + " WHEN route IS NOT NULL THEN 'entry' ELSE 'misc' END"
+_fixed = lambda kind, label, phase, place, table: f"SELECT repo_id, '{kind}::{label}', '{kind}', '{label}', '', NULL, {phase}, {place}, {', '.join(_null.values())} FROM {table}"
+_kinds = ["auth", "logout", "validation", "action", "database", "page", "middleware", "error_handler", "cache"]
+_ends = ", ".join(f"arg_{a}(node_id, (path, place)) FILTER (type = '{k}' AND phase = 1) AS {n}_{k}" for k in _kinds for n, a in (("first", "min"), ("last", "max")))
+_by_type = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in jg.TYPE_SECTIONS.items()) + " ELSE 'misc' END"
+_label_of = lambda c: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in jg.SECTION_LABELS.items()) + " END"
+_tree = f"kind NOT IN ({', '.join(repr(k) for k in jg.CONVERGING)}) AND NOT regexp_matches(kind, {_q(jg.CONVERGING_CRUD)})"
+_here = "coalesce(last_database, last_action, last_walk, entered)"
+
+
+def _edge(stage: str, src: str, dst: str, kind: str, rows: str, sub: str = "'0'", of_file: bool = True) -> str:
+    where = "path, place" if of_file else "'' AS path, 0 AS place"
+    return f"SELECT repo_id, {src} AS src, {dst} AS dst, {kind} AS kind, {stage} AS stage, {where}, {sub} AS sub FROM {rows}"
+
+
+def _chain(stage: int, kind: str, label: str) -> str:
+    return _edge(str(stage), "node_id", "next", f"'{label}'", f"(SELECT *, lead(node_id) OVER (PARTITION BY repo_id ORDER BY path, place) AS next FROM n WHERE phase = 1 AND type = '{kind}')")
+
+
+_each = lambda kind: f"(SELECT n.*, a.* EXCLUDE repo_id FROM n JOIN a USING (repo_id) WHERE phase = 1 AND type = '{kind}')"
+_woven = "\nUNION ALL ".join(
+    [
+        _edge("10", "'start::Start'", "'page::Landing Page'", "'open app'", "a", of_file=False), _edge("20", "'page::Landing Page'", "node_id", "'needs login'", _each("auth")),
+        _edge("20", "'page::Landing Page'", "first_page", "'browse'", "a WHERE first_auth IS NULL", of_file=False), _edge("30", "asks", "node_id", "'check'", "v"), _edge("30", "node_id", "asks", "'fail → retry'", "v", "'1'"),
+        _edge("40", "entered", "first_walk", "'browse'", "a", of_file=False), _edge("50", "node_id", "dst", "'yes'", "l", "lpad(CAST(i AS VARCHAR), 9, '0')"), _edge("60 + paged", "node_id", "next", "'navigate'", "w"),
+        _edge("70", "last_walk", "first_action", "'flow'", "a", of_file=False), _edge("80", "node_id", "first_action", "'select'", _each("decision")), _edge("80", "node_id", "first_action", "'select'", _each("page"), "'1'"),
+        _chain(90, "action", "next"), _edge("100", "node_id", "dst", "crud || ' → ' || model", "u", "dst_order"), _edge("100", "node_id", "first_database", "'query'", f"{_each('action')} x ANTI JOIN u USING (repo_id, node_id)"),
+        _edge("110", "coalesce(CASE WHEN trigger = 'update profile' THEN first_update ELSE first_create END, first_action)", "node_id", "edge", f"{_each('database')} WHERE trigger IS NOT NULL"),
+        _chain(120, "middleware", "chain"), _edge("130", "node_id", "first_action", "'guard'", _each("middleware")), _edge("140", "first_auth", "first_middleware", "'protected by'", "a", of_file=False),
+        _edge("150", "coalesce(first_action, first_walk)", "node_id", "CASE WHEN first_action IS NOT NULL THEN 'call external' ELSE 'integrate' END", _each("external_service")),
+        _edge("160", "first_action", "node_id", "'enqueue'", _each("service")), _edge("160", "node_id", "CASE WHEN bus THEN 'service::Service Bus' ELSE first_database END", "CASE WHEN bus THEN 'publish' ELSE 'process' END", _each("service"), "'1'"),
+        _edge("170", "'service::Service Bus'", "first_database", "'process'", "a WHERE bus", of_file=False), _edge("180", "first_action", "node_id", "'catch error'", _each("error_handler")), _edge("180", "node_id", "first_database", "'log'", _each("error_handler"), "'1'"),
+        _chain(190, "cache", "chain"), _edge("200", "first_action", "first_cache", "'check cache'", "a", of_file=False), _edge("200", "first_cache", "first_database", "'cache miss'", "a", "'1'", False), _chain(210, "database", "relate"),
+        _edge("220", "first_walk", "node_id", "'submit'", "iv"), _edge("220", "node_id", f"coalesce(first_action, first_logout, {_here})", "'valid'", "iv", "'1'"), _edge("220", "node_id", "first_error_handler", "'invalid → error'", "iv", "'2'"),
+        _edge("230", _here, "first_logout", "'session end'", "a WHERE first_logout IS NOT NULL", of_file=False), _edge("240", f"coalesce(first_logout, {_here})", "'end::Loop'", "'complete'", "a", of_file=False),
+        _edge("250", "'end::Loop'", "'page::Landing Page'", "'restart'", "a", of_file=False),
+    ]
+)
+_JOURNEY = f"""{_signals}, g AS (SELECT DISTINCT * FROM (SELECT repo_id, path, {', '.join(jg.journey.SIGNALS)}, len(services) > 0 AS external_service, crud, {_route} AS route, {_leads} AS decisions, services,
+  CASE WHEN len(found) = 0 AND crud = 'CREATE' THEN ['{'|'.join(jg.journey.PLAIN_STORE)}'] ELSE found END AS stores, packages, list_transform({_named}, lambda m: trim(translate(m, '-_', '  '))) AS raw_models FROM s)),
+h AS (SELECT *, {_ordered("raw_models")} AS models FROM g),
+k AS (SELECT repo_id, path, {_section} AS section, {_pieces} AS pieces FROM h),
+e0 AS (SELECT repo_id, path, section, generate_subscripts(pieces, 1) - 1 AS place, unnest(pieces) AS x FROM k),
+e1 AS (SELECT DISTINCT repo_id, path, section, place, x.* FROM e0),
+e2 AS (SELECT *, row_number() OVER (PARTITION BY repo_id, type, label, CASE WHEN own THEN path ELSE '' END ORDER BY path, place) AS nth,
+  type = 'auth' AND label = '{jg.OAUTH}' AND (path, place) > min(CASE WHEN type = 'auth' THEN (path, place) END) OVER (PARTITION BY repo_id) AS late FROM e1),
+n1 AS (SELECT repo_id, type || ':' || label || CASE WHEN own THEN '@' || path ELSE '' END AS node_id, type, label, path, section, 1 AS phase, place, crud, models, targets, trigger, edge FROM e2 WHERE nth = 1 AND NOT coalesce(late, false)),
+rp AS (SELECT DISTINCT repo_id FROM sources), bu AS (SELECT repo_id FROM n1 GROUP BY repo_id HAVING count(*) FILTER (type = 'service') > 1 AND count(*) FILTER (type = 'database') > 0),
+n AS (SELECT * FROM n1 UNION ALL {_fixed('start', 'Start', 0, 0, 'rp')} UNION ALL {_fixed('page', 'Landing Page', 0, 1, 'rp')} UNION ALL {_fixed('service', 'Service Bus', 2, 0, 'bu')} UNION ALL {_fixed('end', 'Loop', 3, 0, 'rp')}),
+a0 AS (SELECT repo_id, {_ends}, arg_min(node_id, (path, place)) FILTER (type = 'action' AND crud = 'CREATE') AS first_create, arg_min(node_id, (path, place)) FILTER (type = 'action' AND crud = 'UPDATE') AS first_update,
+  arg_min(node_id, (type = 'page', path, place)) FILTER (phase = 1 AND type IN ('decision', 'page')) AS first_walk, arg_max(node_id, (type = 'page', path, place)) FILTER (phase = 1 AND type IN ('decision', 'page')) AS last_walk, bool_or(phase = 2) AS bus FROM n GROUP BY repo_id),
+a AS (SELECT *, coalesce(CASE WHEN first_auth IS NOT NULL THEN coalesce(last_validation, last_auth) END, first_page, 'page::Landing Page') AS entered FROM a0),
+oa AS (SELECT repo_id, path, arg_min(node_id, place) AS own_auth FROM n WHERE type = 'auth' GROUP BY ALL),
+v AS (SELECT * FROM (SELECT x.*, coalesce(oa.own_auth, x.first_auth) AS asks FROM {_each('validation')} x LEFT JOIN oa USING (repo_id, path)) WHERE asks IS NOT NULL),
+iv AS (SELECT * FROM {_each('validation')} x ANTI JOIN oa USING (repo_id, path) WHERE first_walk IS NOT NULL),
+l AS (SELECT t.repo_id, t.node_id, t.path, t.place, t.i, p.node_id AS dst FROM (SELECT repo_id, node_id, path, place, generate_subscripts(targets, 1) - 1 AS i, unnest(targets) AS label FROM n WHERE type = 'decision') t JOIN n p ON p.repo_id = t.repo_id AND p.type = 'page' AND p.phase = 1 AND p.label = t.label),
+w AS (SELECT *, lead(node_id) OVER (PARTITION BY repo_id ORDER BY paged, path, place) AS next FROM (SELECT repo_id, node_id, path, place, CAST(type = 'page' AS INTEGER) AS paged FROM n WHERE phase = 1 AND type IN ('decision', 'page')) x ANTI JOIN (SELECT repo_id, dst AS node_id FROM l) y USING (repo_id, node_id)),
+u AS (SELECT repo_id, node_id, path, place, crud, dst, dst_order, arg_min(model, spot) AS model FROM (SELECT x.*, d.node_id AS dst, d.path || '|' || lpad(CAST(d.place AS VARCHAR), 9, '0') AS dst_order FROM
+  (SELECT repo_id, node_id, path, place, crud, generate_subscripts(models, 1) AS spot, unnest(models) AS model FROM n WHERE type = 'action') x JOIN n d ON d.repo_id = x.repo_id AND d.type = 'database' AND x.model <> ''
+  AND (contains(lower(d.label), x.model) OR contains(x.model, regexp_replace(lower(d.label), '^db:\\s*', '')))) GROUP BY ALL),
+q0 AS ({_woven}), q AS (SELECT * EXCLUDE nth FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, src, dst, kind ORDER BY stage, path, place, sub) AS nth FROM q0 WHERE src IS NOT NULL AND dst IS NOT NULL) WHERE nth = 1),
+pl AS (SELECT *, CASE WHEN type IN ('start', 'end', 'logout') THEN {_by_type} ELSE coalesce(section, {_by_type}) END AS home, CASE WHEN node_id = 'page::Landing Page' THEN 1 ELSE CASE type {' '.join(f"WHEN '{k}' THEN {x}" for k, (x, _) in jg.TYPES.items())} END END AS col FROM n),
+cr AS (SELECT q.*, x.home AS sh, y.home AS dh, least(x.col, y.col) + 1 AS bcol FROM q JOIN pl x ON x.repo_id = q.repo_id AND x.node_id = q.src JOIN pl y ON y.repo_id = q.repo_id AND y.node_id = q.dst
+  WHERE {_tree} AND src <> dst AND sh <> dh AND sh <> 'entry' AND dh <> 'entry' AND x.type NOT IN ('start', 'end') AND y.type NOT IN ('start', 'end')),
+br AS (SELECT *, 'bridge:' || sh || ':' || dh AS bridge FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, sh, dh ORDER BY stage, path, place, sub, src, dst, kind) AS nth FROM cr) WHERE nth = 1),
+an AS (SELECT repo_id, node_id, type, label, col, phase, path, place FROM pl UNION ALL SELECT repo_id, bridge, 'bridge', {_label_of('sh')} || ' → ' || {_label_of('dh')}, bcol, 4, lpad(CAST(stage AS VARCHAR), 3, '0') || '|' || path || '|' || lpad(CAST(place AS VARCHAR), 9, '0') || '|' || sub, 0 FROM br),
+be AS (SELECT repo_id, src, dst, kind FROM q ANTI JOIN br USING (repo_id, src, dst, kind) UNION ALL SELECT repo_id, src, bridge, 'next section' FROM br UNION ALL SELECT repo_id, bridge, dst, 'next section' FROM br),
+hd AS (SELECT repo_id, col, arg_min(node_id, (phase, path, place)) AS head, bool_or(type = 'end') AS is_end FROM an WHERE type <> 'bridge' GROUP BY ALL),
+ae AS (SELECT * FROM be UNION SELECT x.repo_id, coalesce((SELECT arg_max(head, hd.col) FROM hd WHERE hd.repo_id = x.repo_id AND hd.col < x.col), 'start::Start'), x.node_id, 'flow' FROM an x ANTI JOIN (SELECT repo_id, dst AS node_id FROM be WHERE {_tree}) t USING (repo_id, node_id) WHERE type NOT IN ('bridge', 'start')
+  UNION SELECT x.repo_id, x.node_id, coalesce((SELECT arg_min(head, hd.col) FROM hd WHERE hd.repo_id = x.repo_id AND hd.col > x.col AND NOT is_end), 'end::Loop'), 'flow' FROM an x ANTI JOIN (SELECT repo_id, src AS node_id FROM be WHERE {_tree}) t USING (repo_id, node_id) WHERE type NOT IN ('bridge', 'end'))
+"""
+register("g16_journey_nodes", "sources", lambda m: jg.journey_graph(m)[0], f"""{_JOURNEY} SELECT repo_id, node_id, type, label, CASE type {' '.join(f"WHEN '{k}' THEN '{x}'" for k, (_, x) in jg.TYPES.items())} END AS shape, CAST(col AS INTEGER) AS col,
+  CAST(row_number() OVER (PARTITION BY repo_id, col ORDER BY phase, path, place, node_id) - 1 AS INTEGER) AS row, CASE WHEN phase = 1 THEN path END AS path FROM an""")
+register("g16_journey_graph", "sources", lambda m: jg.journey_graph(m)[1], f"{_JOURNEY} SELECT repo_id, src, dst, kind FROM ae")

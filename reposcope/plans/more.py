@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reposcope.functions import paths
 from reposcope.functions.text import findings_sql, keep_first, positions_sql
-from reposcope.operators import code, graph, infra, journey, link, match, navigation, parse, scan, schema
+from reposcope.operators import code, graph, infra, journey, link, match, navigation, parse, scan, schema, sequence
 from reposcope.plans.queries import _ENV, _HAS, _ROUTES, _SERVED, _TYPED, _VERB_CASES, ORACLE_SQL_BODY, _tidy, register
 from reposcope.sources.tables import file_nodes, filter_source_files, graph_lines, read_graph, upsert, written
 from reposcope.streaming import feed
@@ -74,7 +74,7 @@ _SROUTES = _on(_ROUTES, "screens")
 register("b16_url_params", "screens", _urls, f"""WITH u AS (SELECT DISTINCT repo_id, literal AS url FROM ({_REFS})), r AS (SELECT repo_id, route FROM ({_SROUTES}) WHERE contains(route, ':'))
 SELECT repo_id, route, url, '{{' || array_to_string(list_filter(list_transform(generate_series(1, len(string_split(route, '/'))), lambda i: CASE WHEN starts_with(string_split(route, '/')[i], ':') THEN '"' || string_split(route, '/')[i][2:] || '":"' || string_split(url, '/')[i] || '"' END), lambda x: x IS NOT NULL), ',') || '}}' AS params
 FROM u JOIN r USING (repo_id) WHERE regexp_matches(url, '^' || regexp_replace(route, ':\\w+', '[^/]+', 'g') || '$')""")
-register("e2_sort_routes", "modules", lambda m: paths.sorted_routes(scan.scan_express_routes(m).select("repo_id", "route").unionByName(paths.crawl_routes(m).select("repo_id", "route"))), f"""
+register("e2_sort_routes", "modules", lambda m: sequence.sorted_routes(scan.scan_express_routes(m).select("repo_id", "route").unionByName(paths.crawl_routes(m).select("repo_id", "route"))), f"""
 SELECT repo_id, route, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY CASE WHEN contains(route, '*') THEN 2 WHEN contains(route, ':') THEN 1 ELSE 0 END, route) AS INTEGER) AS position FROM (
   SELECT DISTINCT repo_id, found2 AS route FROM {findings_sql(scan.EXPRESS, 2)} UNION SELECT repo_id, route FROM ({_ROUTES}))""")
 

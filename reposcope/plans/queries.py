@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reposcope.functions import paths
 from reposcope.functions.text import findings_sql, keep_first
-from reposcope.operators import graph, link, scan, schema
+from reposcope.operators import graph, link, scan, schema, sequence
 from reposcope.sources.derived import TABLES, derived, stated
 from reposcope.sources.tables import cap_files, graph_lines, load_graph, upsert
 from reposcope.streaming import feed
@@ -206,7 +206,7 @@ CAST(greatest(0.0, round(100 - (coalesce(o.orphans, 0) + coalesce(g.unchecked, 0
 FROM (SELECT repo_id, count(*) AS nodes FROM nodes GROUP BY ALL) n
 LEFT JOIN (SELECT n.repo_id, count(*) AS orphans FROM nodes n ANTI JOIN (""" + _ENDS + """) e ON n.repo_id = e.repo_id AND n.node_id = e.node_id GROUP BY ALL) o USING (repo_id)
 LEFT JOIN (SELECT repo_id, count(DISTINCT dst) AS unchecked FROM (""" + _GAPS + """) GROUP BY ALL) g USING (repo_id)""")
-register("e5_sequence_edges", "nodes", lambda n: n.withColumn("next", F.expr("lead(node_id) OVER (PARTITION BY repo_id, type ORDER BY node_id)")).filter("next IS NOT NULL").select("repo_id", "type", F.col("node_id").alias("src"), F.col("next").alias("dst")), """
+register("e5_sequence_edges", "nodes", lambda n: sequence.following(n, ["repo_id", "type"], ["node_id"], "node_id", "dst").withColumnRenamed("node_id", "src"), """
 SELECT repo_id, type, node_id AS src, next AS dst FROM (SELECT *, lead(node_id) OVER (PARTITION BY repo_id, type ORDER BY node_id) AS next FROM nodes) WHERE next IS NOT NULL""")
 # searches ask from every node of every type whose number is divisible by 50
 _ASKED = "cast(substring(node_id, 2) AS BIGINT) % 50 = 0"
@@ -316,7 +316,7 @@ register("d20_portal_links", "nodes edges sections", lambda n, e, s: graph.porta
 SELECT e.repo_id, e.src, e.dst, a.section_id AS src_section, b.section_id AS dst_section FROM edges e JOIN h a ON e.repo_id = a.repo_id AND e.src = a.node_id JOIN h b ON e.repo_id = b.repo_id AND e.dst = b.node_id WHERE a.section_id <> b.section_id""")
 register("d26_merge_reference_edges", "edges", lambda e: e.filter("kind <> 'reference'").select("repo_id", "src", "dst").unionByName(e.filter("kind = 'reference'").select("repo_id", "src", "dst").join(e.filter("kind <> 'reference'").select("repo_id", "src", "dst"), ["repo_id", "src", "dst"], "left_anti")), "SELECT repo_id, src, dst FROM edges WHERE kind <> 'reference' UNION ALL SELECT repo_id, src, dst FROM edges e WHERE kind = 'reference' AND NOT EXISTS (SELECT 1 FROM edges b WHERE b.kind <> 'reference' AND b.repo_id = e.repo_id AND b.src = e.src AND b.dst = e.dst)")
 register("e1_keep_first", "edges", lambda e: keep_first(e, ["repo_id", "src"], ["dst", "kind"]), "SELECT repo_id, src, dst, kind FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, src ORDER BY dst, kind) AS k FROM edges) WHERE k = 1")
-register("e4_lane_positions", "nodes", lambda n: n.select("repo_id", "type", "node_id", F.expr("row_number() OVER (PARTITION BY repo_id, type ORDER BY y, x, node_id)").alias("position")), "SELECT repo_id, type, node_id, CAST(row_number() OVER (PARTITION BY repo_id, type ORDER BY y, x, node_id) AS INTEGER) AS position FROM nodes")
+register("e4_lane_positions", "nodes", lambda n: sequence.ranked(n, ["repo_id", "type"], ["y", "x", "node_id"], "position").select("repo_id", "type", "node_id", "position"), "SELECT repo_id, type, node_id, CAST(row_number() OVER (PARTITION BY repo_id, type ORDER BY y, x, node_id) AS INTEGER) AS position FROM nodes")
 register("f9_issue_stats", "nodes edges", lambda n, e: graph.issues(n, e).groupBy("repo_id", "kind", "severity").agg(F.count(F.lit(1)).alias("n")), f"""SELECT repo_id, kind, severity, count(*) AS n FROM (
 SELECT repo_id, 'god-class' AS kind, severity FROM ({ORACLE_SQL_BODY['f4']}) UNION ALL SELECT repo_id, 'oversized-file', severity FROM ({ORACLE_SQL_BODY['f5']}) UNION ALL SELECT repo_id, 'view-to-db', 'high' FROM ({_TYPED}) WHERE a = 'view' AND b = 'database'
 UNION ALL SELECT repo_id, 'missing-validation', 'medium' FROM ({_GAPS}) UNION ALL SELECT repo_id, 'orphan', 'low' FROM ({ORACLE_SQL_BODY['d14']})) GROUP BY ALL""")
