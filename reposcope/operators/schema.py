@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +26,17 @@ NATIVE = {
     "mysql": {"INTEGER": "INT", "TEXT": "TEXT", "REAL": "DOUBLE", "NUMERIC": "DECIMAL(10,2)", "BLOB": "LONGBLOB", "BOOLEAN": "TINYINT(1)", "TIMESTAMP": "DATETIME", "JSON": "JSON", "UUID": "CHAR(36)"},
     "sqlite": {"INTEGER": "INTEGER", "BOOLEAN": "INTEGER", "TEXT": "TEXT", "JSON": "TEXT", "UUID": "TEXT", "TIMESTAMP": "TEXT", "REAL": "REAL", "NUMERIC": "REAL", "BLOB": "BLOB"},
 }
-CATALOG = "repo_id string, path string, table_name string, pos int, name string, raw_type string, pk boolean, is_unique boolean, nullable boolean, ref_table string, ref_column string, auto_increment boolean"
-
-_CREATE = re.compile(r"CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?([`\"\[]?[\w.]+[`\"\]]?)\s*\(", re.IGNORECASE)
-_REFERENCES = re.compile(r"REFERENCES\s+[`\"\[]?(\w+)[`\"\]]?\s*(?:\(\s*[`\"\[]?(\w+)[`\"\]]?\s*\))?", re.IGNORECASE)
-_TABLE_LEVEL = re.compile(r"(?:CONSTRAINT\s+\S+\s+)?(PRIMARY\s+KEY|UNIQUE|FOREIGN\s+KEY|CHECK|KEY|INDEX)\b[^(]*(?:\(([^)]*)\))?", re.IGNORECASE)
-_ALTER = re.compile(r"ALTER\s+TABLE\s+[`\"\[]?(\w+)[`\"\]]?\s+ADD\s+(?:CONSTRAINT\s+\S+\s+)?FOREIGN\s+KEY\s*\(([^)]*)\)\s*(REFERENCES[^;]*)", re.IGNORECASE)
-_COLUMN = re.compile(r"([`\"\[]?\w+[`\"\]]?)\s+(\w+(?:\s+PRECISION)?(?:\s*\([^)]*\))?)(.*)", re.IGNORECASE | re.DOTALL)
+_TABLES = "table_no int, table_name string, engine string, clauses array<struct<clause: string, flat: string>>"
+# one alternative a token: comments, literals, quoted names, words and numbers, signs
+_TOKEN = re.compile(r"(--[^\n]*|\#[^\n]*|/\*.*?(?:\*/|\Z))|('(?:[^']|'')*(?:'|\Z))|(\"(?:[^\"]|\"\")*\"|`[^`]*`|\[\w[^\]]*\])|(\w+)|\S", re.DOTALL)
+_CREATE = re.compile(r'CREATE (?:GLOBAL |LOCAL )?(?:TEMP |TEMPORARY |UNLOGGED )?TABLE (?:IF NOT EXISTS )?(?:(?:"[^"]*"|\w+) \. )*("[^"]*"|\w+)', re.IGNORECASE)
+_ALTER = re.compile(r'ALTER TABLE (?:ONLY )?(?:(?:"[^"]*"|\w+) \. )*("[^"]*"|\w+) ADD (.*)', re.IGNORECASE)
+_ENGINE = re.compile(r"\bENGINE (?:= )?(\w+)", re.IGNORECASE)
+#: A name in a clause, whose tokens are parted by blanks and whose quoted names stand in double quotes.
+_NAME = r'("[^"]*"|\w+)'
+_LEVEL = rf"(?i)^(?:CONSTRAINT {_NAME} )?(?:PRIMARY KEY|FOREIGN KEY|UNIQUE|CHECK|EXCLUDE)(?: KEY| INDEX)?(?: {_NAME})? \(.*|^(?:FULLTEXT |SPATIAL )?(?:KEY|INDEX)(?: {_NAME})? \( (?:\"|[A-Za-z_]).*"
+_KEYS = rf"(?i)^(?:CONSTRAINT {_NAME} )?({{}})(?: KEY| INDEX)?(?: {_NAME})? \( ((?:[^()]|\([^()]*\))*)\)"
+_REFERENCES = rf"(?i)\bREFERENCES (?:{_NAME} \. )*{_NAME}(?: \( {_NAME})?"
 
 
 def sql_dialect(ddl: Column) -> Column:
@@ -53,97 +57,131 @@ def native_type(universal: Column, dialect: str) -> Column:
     return F.coalesce(F.try_element_at(table, F.upper(universal)), F.lit("TEXT"))
 
 
-def _plain(name: str) -> str:
-    return name.strip().strip("`\"[]")
-
-
-def _pieces(body: str) -> Iterator[str]:
-    """The parts of a table body between commas outside of parentheses and quotes."""
-    depth, quote, start = 0, "", 0
-    for i, c in enumerate(body):
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "'\"":
-            quote = c
-        elif c in "()":
-            depth += 1 if c == "(" else -1
-        elif c == "," and not depth:
-            yield body[start:i].strip()
-            start = i + 1
-    yield body[start:].strip()
-
-
-def _body(text: str, at: int) -> str:
-    """The text after an opening parenthesis up to the one that closes it, or to the end."""
-    depth = 1
-    for i in range(at, len(text)):
-        depth += {"(": 1, ")": -1}.get(text[i], 0)
-        if not depth:
-            return text[at:i]
-    return text[at:]
-
-
-def parse_ddl(ddl: str) -> list[dict]:
-    """The columns of all tables that a DDL text creates, with keys set by column, table and ALTER clauses."""
-    text = re.sub(r"/\*.*?\*/", " ", ddl, flags=re.DOTALL)
-    text = re.sub(r"(--|#)[^\n]*", " ", text)
+# --- clauses ---------------------------------------------------------------------
+
+
+def _statements(ddl: str) -> Iterator[list[str]]:
+    """The tokens of each statement, without comments; literals are emptied, quoted names put in double quotes."""
+    held: list[str] = []
+    for m in _TOKEN.finditer(ddl):
+        comment, literal, quoted, _ = m.groups()
+        if comment:
+            continue
+        token = "''" if literal else '"' + m[0][1:-1].replace('"', "") + '"' if quoted else m[0]
+        if token == ";":
+            yield held
+            held = []
+        else:
+            held.append(token)
+    yield held
+
+
+def _clauses(tokens: list[str]) -> tuple[list[dict], str]:
+    """The clauses between the first brackets, parted at the commas that lie in no further ones, and what follows.
+
+    A clause has all its tokens, and flat those outside of brackets.
+    """
+    depth, out, clause, flat = 0, [], [], []
+    for i, t in enumerate(tokens):
+        if t == ")":
+            depth -= 1
+        if not depth and t == ")" or depth == 1 and t == ",":
+            if clause:
+                out.append({"clause": " ".join(clause), "flat": " ".join(flat)})
+            clause, flat = [], []
+            if not depth:
+                return out, " ".join(tokens[i + 1 :])
+        elif depth:
+            clause.append(t)
+            if depth == 1 and t not in "()":
+                flat.append(t)
+        if t == "(":
+            depth += 1
+    if clause:
+        out.append({"clause": " ".join(clause), "flat": " ".join(flat)})
+    return out, ""
+
+
+def ddl_tables(ddl: str) -> list[dict]:
+    """The tables that a text creates, in order, with their clauses and those that ALTER statements add to the first table of a name."""
     out: list[dict] = []
-    tables: dict[str, dict[str, dict]] = {}
-    for m in _CREATE.finditer(text):
-        table = _plain(m[1])
-        columns = tables.setdefault(table, {})
-        for piece in _pieces(_body(text, m.end())):
-            level = _TABLE_LEVEL.match(piece)
-            if level:
-                kind = " ".join(level[1].upper().split())
-                for name in map(_plain, (level[2] or "").split(",")):
-                    if name in columns:
-                        _apply(columns[name], kind, piece)
-                continue
-            c = _COLUMN.match(piece)
-            if not c:
-                continue
-            rest = c[3].upper()
-            ref = _REFERENCES.search(c[3])
-            row = {
-                "table_name": table, "pos": len(columns), "name": _plain(c[1]), "raw_type": c[2].strip(), "pk": "PRIMARY KEY" in rest,
-                "is_unique": "UNIQUE" in rest, "nullable": "NOT NULL" not in rest and "PRIMARY KEY" not in rest,
-                "ref_table": ref[1] if ref else None, "ref_column": (ref[2] or "id") if ref else None,
-                "auto_increment": "SERIAL" in c[2].upper() or "AUTO_INCREMENT" in rest or "AUTOINCREMENT" in rest,
-            }
-            columns[row["name"]] = row
-            out.append(row)
-    for m in _ALTER.finditer(text):
-        for name in map(_plain, m[2].split(",")):
-            if name in tables.get(m[1], {}):
-                _apply(tables[m[1]][name], "FOREIGN KEY", m[3])
+    for tokens in _statements(ddl):
+        # other statements may stand before without an end
+        starts = [i for i, t in enumerate(tokens[:-1]) if t.upper() == "CREATE" or t.upper() == "ALTER" and tokens[i + 1].upper() == "TABLE"]
+        for a, b in zip(starts, [*starts[1:], len(tokens)]):
+            part = tokens[a:b]
+            opened = part.index("(") if "(" in part else len(part)
+            made = _CREATE.fullmatch(" ".join(part[:opened]))
+            added = None if made else _ALTER.fullmatch(" ".join(part))
+            if made and opened < len(part):
+                clauses, rest = _clauses(part[opened:])
+                engine = _ENGINE.search(rest)
+                out.append({"table_no": len(out), "table_name": made[1].strip('"'), "engine": engine and engine[1], "clauses": clauses})
+            elif added:
+                table = next((t for t in out if t["table_name"] == added[1].strip('"')), None)
+                if table:
+                    table["clauses"].append({"clause": added[2], "flat": "ADD"})
     return out
 
 
-def _apply(column: dict, kind: str, clause: str) -> None:
-    if kind == "PRIMARY KEY":
-        column["pk"], column["nullable"] = True, False
-    elif kind == "UNIQUE":
-        column["is_unique"] = True
-    elif kind == "FOREIGN KEY" and (ref := _REFERENCES.search(clause)):
-        column["ref_table"], column["ref_column"] = ref[1], ref[2] or "id"
+# --- catalogs ----------------------------------------------------------------------
+
+
+def _unquoted(name: Column) -> Column:
+    return F.regexp_replace(name, '"', "")
+
+
+def _named(clause: Column, kind: str) -> Column:
+    """The columns that a table-level clause of a kind names."""
+    inside = F.regexp_extract(clause, _KEYS.format(kind), 4)
+    return F.transform(F.split(inside, " , "), lambda x: _unquoted(F.regexp_extract(x, f"^ ?{_NAME}", 1)))
+
+
+def _reference(text: Column) -> Column:
+    """(table, column) after REFERENCES, or null; a column that isn't named is id."""
+    table = F.nullif(_unquoted(F.regexp_extract(text, _REFERENCES, 2)), F.lit(""))
+    column = F.coalesce(F.nullif(_unquoted(F.regexp_extract(text, _REFERENCES, 3)), F.lit("")), F.lit("id"))
+    return F.when(table.isNotNull(), F.struct(table.alias("table"), column.alias("column")))
 
 
 def schema_catalog(files: DataFrame) -> DataFrame:
-    """One row per column of every table created in the files (repo_id, path, source); see CATALOG.
+    """One row per column of every table created in the files (repo_id, path, source).
 
-    Nested parentheses need a small parser, which runs per file without a
-    shuffle. The universal type is added by a lookup.
+    repo_id, path, table_no, table_name, engine, dialect, pos, name, raw_type, type, pk, is_unique, nullable, ref_table,
+    ref_column, auto_increment. Clauses of the table and ALTER statements count
+    for the columns that they name. A null text, or one that creates no table,
+    gives no rows. A small tokeniser parts texts into clauses, for brackets
+    nest; what the clauses say is read by Spark, table by table, without a shuffle.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in CATALOG.split(", ")]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"repo_id": r.repo_id, "path": r.path, **c} for r in batch.itertuples() for c in parse_ddl(r.source or "")]
-            yield pd.DataFrame(rows, columns=names)
-
-    ddl = files.filter(F.col("source").rlike(r"(?i)CREATE\s+TABLE")).select("repo_id", "path", "source")
-    return ddl.mapInPandas(run, CATALOG).withColumn("type", universal_type(F.col("raw_type")))
+            rows = [{**same, **t} for same in batch.to_pylist() for t in ddl_tables(same.pop("source"))]
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    clause = pa.struct([("clause", pa.string()), ("flat", pa.string())])
+    arrow = pa.schema([("repo_id", pa.string()), ("path", pa.string()), ("dialect", pa.string()), ("table_no", pa.int32()), ("table_name", pa.string()), ("engine", pa.string()), ("clauses", pa.list_(clause))])
+    ddl = files.filter(F.col("source").rlike(r"(?i)CREATE\s[\s\w]*TABLE")).select("repo_id", "path", "source", sql_dialect(F.col("source")).alias("dialect"))
+    tables = ddl.mapInArrow(run, f"repo_id string, path string, dialect string, {_TABLES}")
+    column = rf"(?i)^{_NAME} (\w+(?: PRECISION\b| VARYING\b)?)(?: (\([^()]*\)))?"
+    is_level = lambda c: c["clause"].rlike(_LEVEL) | (c["flat"] == "ADD")
+    tables = tables.withColumns({"columns": F.filter("clauses", lambda c: ~is_level(c) & c["clause"].rlike(column)), "levels": F.transform(F.filter("clauses", is_level), lambda c: c["clause"])})
+    keyed = lambda kind: F.flatten(F.transform("levels", lambda c: _named(c, kind)))
+    referring = F.flatten(F.transform("levels", lambda c: F.transform(_named(c, "FOREIGN KEY"), lambda n: F.struct(n.alias("name"), _reference(c).alias("ref")))))
+    tables = tables.withColumns({"primary": keyed("PRIMARY KEY"), "alone": keyed("UNIQUE"), "referring": F.filter(referring, lambda r: r["ref"].isNotNull())})
+    each = tables.select("repo_id", "path", "table_no", "table_name", "engine", "dialect", "primary", "alone", "referring", F.posexplode("columns").alias("pos", "c"))
+    has = lambda words: F.col("c.flat").rlike(rf'(?i)(?:^| ){words}(?: |$)')
+    name = _unquoted(F.regexp_extract("c.clause", column, 1))
+    raw = F.concat(F.regexp_extract("c.clause", column, 2), F.regexp_replace(F.regexp_replace(F.regexp_extract("c.clause", column, 3), " ", ""), ",", ", "))
+    each = each.withColumns({"name": name, "raw_type": raw})
+    last = F.element_at(F.concat(F.array(_reference(F.col("c.clause"))), F.transform(F.filter("referring", lambda r: r["name"] == F.col("name")), lambda r: r["ref"])), -1)
+    pk = has("PRIMARY KEY") | F.array_contains("primary", F.col("name"))
+    each = each.withColumns({"type": universal_type(F.col("raw_type")), "pk": pk, "ref": last})
+    counted = has("AUTO_INCREMENT") | has("AUTOINCREMENT") | (F.col("dialect") == "sqlite") & (F.col("type") == "INTEGER") & has("PRIMARY KEY") | (F.col("dialect") == "postgresql") & F.contains(F.upper("raw_type"), F.lit("SERIAL"))
+    return each.select(
+        "repo_id", "path", "table_no", "table_name", "engine", "dialect", "pos", "name", "raw_type", "type", "pk", (has("UNIQUE") | F.array_contains("alone", F.col("name"))).alias("is_unique"),
+        (~has("NOT NULL") & ~F.col("pk")).alias("nullable"), F.col("ref.table").alias("ref_table"), F.col("ref.column").alias("ref_column"), counted.alias("auto_increment"),
+    )
 
 
 def cardinality(is_unique: Column) -> Column:

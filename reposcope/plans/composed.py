@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from reposcope.functions.text import positions_sql
-from reposcope.operators import catalog, code, scan
+from reposcope.operators import catalog, code, scan, schema
 from reposcope.operators import journey_graph as jg
 from reposcope.plans.more import _LAYOUT, _PAGE, _on, _q
 from reposcope.plans.queries import _SERVED, ORACLE_SQL_BODY, register
@@ -150,3 +150,25 @@ ae AS (SELECT * FROM be UNION SELECT x.repo_id, coalesce((SELECT arg_max(head, h
 register("g16_journey_nodes", "sources", lambda m: jg.journey_graph(m)[0], f"""{_JOURNEY} SELECT repo_id, node_id, type, label, CASE type {' '.join(f"WHEN '{k}' THEN '{x}'" for k, (_, x) in jg.TYPES.items())} END AS shape, CAST(col AS INTEGER) AS col,
   CAST(row_number() OVER (PARTITION BY repo_id, col ORDER BY phase, path, place, node_id) - 1 AS INTEGER) AS row, CASE WHEN phase = 1 THEN path END AS path FROM an""")
 register("g16_journey_graph", "sources", lambda m: jg.journey_graph(m)[1], f"{_JOURNEY} SELECT repo_id, src, dst, kind FROM ae")
+
+
+# --- schemas of several dialects ----------------------------------------------------
+
+_raw = "upper(regexp_extract(body, '^\\w+', 0))"
+_universal = "CASE " + " ".join(f"WHEN {_raw} IN ({', '.join(repr(n) for n in names)}) THEN '{kind}'" for kind, names in schema.UNIVERSAL.items()) + f" ELSE {_raw} END"
+_CATALOG = f"""WITH d AS ({_on(ORACLE_SQL_BODY['h1'], 'ddl_files')}), f AS (SELECT x.*, d.dialect, regexp_extract(chr(10) || source, '\nCREATE TABLE `?(\w+)', 1) AS table_name, nullif(regexp_extract(source, 'ENGINE=(\w+)', 1), '') AS engine,
+  regexp_extract(source, 'UNIQUE KEY `\w+` \(`(\w+)', 1) AS alone, regexp_extract(source, 'FOREIGN KEY \(`?(\w+)', 1) AS referring, regexp_extract(source, 'FOREIGN KEY \S+ REFERENCES `?(\w+)', 1) AS target, regexp_extract(source, 'FOREIGN KEY \S+ REFERENCES \S+? ?\(`?(\w+)', 1) AS target_column
+  FROM ddl_files x JOIN d USING (repo_id, path)),
+l AS (SELECT *, generate_subscripts(string_split(source, chr(10)), 1) AS i, unnest(string_split(source, chr(10))) AS line FROM f),
+c AS (SELECT * EXCLUDE (source, i, line), CAST(row_number() OVER (PARTITION BY repo_id, path ORDER BY i) - 1 AS INTEGER) AS pos, regexp_extract(line, '^  `?(\w+)', 1) AS name, regexp_replace(regexp_extract(line, '^  `?\w+`? (.*)$', 1), '#.*', '') AS body FROM l WHERE regexp_matches(line, '^  `?\w+`? ') AND NOT regexp_matches(line, '^  (UNIQUE|CONSTRAINT)')),
+k AS (SELECT repo_id, path, table_name, engine, dialect, pos, name, replace(regexp_extract(body, '^\w+(\([^)]*\))?', 0), ' ', '') AS raw_type, {_universal} AS type, contains(body, 'PRIMARY KEY') AS pk, contains(body, ' UNIQUE') OR alone = name AS is_unique, NOT contains(body, 'NOT NULL') AND NOT contains(body, 'PRIMARY KEY') AS nullable,
+  CASE WHEN referring = name THEN target ELSE nullif(regexp_extract(body, 'REFERENCES (\w+)', 1), '') END AS ref_table, CASE WHEN referring = name THEN target_column ELSE nullif(regexp_extract(body, 'REFERENCES \w+\((\w+)', 1), '') END AS ref_column,
+  regexp_matches(body, 'AUTO_?INCREMENT') OR dialect = 'postgresql' AND contains(body, 'SERIAL') AS auto_increment FROM c)
+"""
+register("h3_schema_catalog_dialects", "ddl_files", lambda d: schema.schema_catalog(d).drop("table_no"), f"{_CATALOG} SELECT * FROM k")
+register("d25_fk_edges_dialects", "ddl_files", lambda d: schema.foreign_keys(schema.schema_catalog(d)), f"{_CATALOG} SELECT repo_id, path, table_name AS src, name AS src_column, ref_table AS dst, ref_column AS dst_column, CASE WHEN is_unique THEN 'one-to-one' ELSE 'one-to-many' END AS cardinality FROM k WHERE ref_table IS NOT NULL")
+_translated = "CASE upper(type) " + " ".join(f"WHEN '{u}' THEN '{t}'" for u, t in schema.NATIVE["sqlite"].items()) + " ELSE 'TEXT' END"
+_quoted = "chr(34) || {} || chr(34)"
+register("a9_export_ddl_dialects", "ddl_files", lambda d: schema.export_ddl(schema.schema_catalog(d), "sqlite").select("repo_id", "path", "table_name", "ddl"), f"""{_CATALOG}
+SELECT repo_id, path, table_name, 'CREATE TABLE ' || {_quoted.format('table_name')} || ' (' || chr(10) || string_agg('  ' || {_quoted.format('name')} || ' ' || {_translated} || CASE WHEN pk THEN ' PRIMARY KEY' WHEN nullable THEN '' ELSE ' NOT NULL' END || CASE WHEN is_unique AND NOT pk THEN ' UNIQUE' ELSE '' END
+  || CASE WHEN ref_table IS NOT NULL THEN ' REFERENCES ' || {_quoted.format('ref_table')} || '(' || {_quoted.format('ref_column')} || ')' ELSE '' END, ',' || chr(10) ORDER BY pos) || chr(10) || ');' AS ddl FROM k GROUP BY repo_id, path, table_name""")

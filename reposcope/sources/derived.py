@@ -240,6 +240,41 @@ FROM (
 ) AS p
 """
 
+POSTGRES = """-- table of {t}; CREATE TABLE hidden (x INT);
+CREATE TABLE {t}_{n} (
+  id SERIAL PRIMARY KEY,
+  key TEXT DEFAULT ')',
+  index_no INTEGER NOT NULL,
+  note TEXT DEFAULT '--x, (',
+  owner_id INTEGER UNIQUE REFERENCES users(id)
+);
+"""
+MYSQL = """CREATE TABLE `{t}_{n}` (
+  `id` INT AUTO_INCREMENT PRIMARY KEY,
+  `email` VARCHAR(255) NOT NULL, # a comment, with (
+  `parent` BIGINT,
+  `price` DECIMAL(10, 2),
+  UNIQUE KEY `u{m}` (`email`),
+  CONSTRAINT `fk{m}` FOREIGN KEY (`parent`) REFERENCES `users{m}` (`no`)
+) ENGINE=InnoDB;
+"""
+SQLITE = """CREATE TABLE {t}_{n} (
+  id INTEGER PRIMARY KEY AUTOINCREMENT,
+  kind TEXT UNIQUE,
+  user_id INTEGER
+);
+ALTER TABLE {t}_{n} ADD CONSTRAINT fk{m} FOREIGN KEY (user_id) REFERENCES people{m}(id);
+"""
+DDL_FILES = f"""
+SELECT 'r' || CAST(p_partkey % 20 AS STRING) AS repo_id, 'db/' || t || n || '.sql' AS path,
+  CASE kind WHEN 0 THEN {template(POSTGRES)} WHEN 1 THEN {template(MYSQL)} ELSE {template(SQLITE)} END AS source
+FROM (
+  SELECT p_partkey, CAST(floor(p_partkey / 20) AS BIGINT) % 3 AS kind, CAST(CAST(floor(p_partkey / 20) AS BIGINT) AS STRING) AS n, CAST(p_partkey % 7 AS STRING) AS m,
+    CASE p_partkey % 4 WHEN 0 THEN 'users' WHEN 1 THEN 'posts' WHEN 2 THEN 'orders' ELSE 'tags' END AS t
+  FROM part
+) AS p
+"""
+
 _LINKS = """
 SELECT DISTINCT 'r' || CAST(o_custkey % 10 AS STRING) AS repo_id, o_orderkey AS o, l_partkey AS p, l_suppkey AS s
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -282,6 +317,7 @@ TABLES = {
     "screens": (SCREENS, ["part"]),
     "code": (CODE, ["part"]),
     "sources": (f"{MODULES} UNION ALL {SCREENS}", ["part"]),
+    "ddl_files": (DDL_FILES, ["part"]),
     "nodes": (NODES, ["customer", "orders", "lineitem"]),
     "edges": (EDGES, ["customer", "orders", "lineitem"]),
     "base": (BASE, ["orders"]),
