@@ -177,7 +177,7 @@ def schema_catalog(files: DataFrame) -> DataFrame:
     last = F.element_at(F.concat(F.array(_reference(F.col("c.clause"))), F.transform(F.filter("referring", lambda r: r["name"] == F.col("name")), lambda r: r["ref"])), -1)
     pk = has("PRIMARY KEY") | F.array_contains("primary", F.col("name"))
     each = each.withColumns({"type": universal_type(F.col("raw_type")), "pk": pk, "ref": last})
-    counted = has("AUTO_INCREMENT") | has("AUTOINCREMENT") | (F.col("dialect") == "sqlite") & (F.col("type") == "INTEGER") & has("PRIMARY KEY") | (F.col("dialect") == "postgresql") & F.contains(F.upper("raw_type"), F.lit("SERIAL"))
+    counted = has("AUTO_INCREMENT") | has("AUTOINCREMENT") | (F.col("dialect") == "sqlite") & (F.col("type") == "INTEGER") & has("PRIMARY KEY") | F.contains(F.upper("raw_type"), F.lit("SERIAL"))
     return each.select(
         "repo_id", "path", "table_no", "table_name", "engine", "dialect", "pos", "name", "raw_type", "type", "pk", (has("UNIQUE") | F.array_contains("alone", F.col("name"))).alias("is_unique"),
         (~has("NOT NULL") & ~F.col("pk")).alias("nullable"), F.col("ref.table").alias("ref_table"), F.col("ref.column").alias("ref_column"), counted.alias("auto_increment"),

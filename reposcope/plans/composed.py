@@ -156,13 +156,13 @@ register("g16_journey_graph", "sources", lambda m: jg.journey_graph(m)[1], f"{_J
 
 _raw = "upper(regexp_extract(body, '^\\w+', 0))"
 _universal = "CASE " + " ".join(f"WHEN {_raw} IN ({', '.join(repr(n) for n in names)}) THEN '{kind}'" for kind, names in schema.UNIVERSAL.items()) + f" ELSE {_raw} END"
-_CATALOG = f"""WITH d AS ({_on(ORACLE_SQL_BODY['h1'], 'ddl_files')}), f AS (SELECT x.*, d.dialect, regexp_extract(chr(10) || source, '\nCREATE TABLE `?(\w+)', 1) AS table_name, nullif(regexp_extract(source, 'ENGINE=(\w+)', 1), '') AS engine,
-  regexp_extract(source, 'UNIQUE KEY `\w+` \(`(\w+)', 1) AS alone, regexp_extract(source, 'FOREIGN KEY \(`?(\w+)', 1) AS referring, regexp_extract(source, 'FOREIGN KEY \S+ REFERENCES `?(\w+)', 1) AS target, regexp_extract(source, 'FOREIGN KEY \S+ REFERENCES \S+? ?\(`?(\w+)', 1) AS target_column
+_CATALOG = f"""WITH d AS ({_on(ORACLE_SQL_BODY['h1'], 'ddl_files')}), f AS (SELECT x.*, d.dialect, regexp_extract(chr(10) || source, '\\nCREATE TABLE `?(\\w+)', 1) AS table_name, nullif(regexp_extract(source, 'ENGINE=(\\w+)', 1), '') AS engine,
+  regexp_extract(source, 'UNIQUE KEY `\\w+` \\(`(\\w+)', 1) AS alone, regexp_extract(source, 'FOREIGN KEY \\(`?(\\w+)', 1) AS referring, regexp_extract(source, 'FOREIGN KEY \\S+ REFERENCES `?(\\w+)', 1) AS target, regexp_extract(source, 'FOREIGN KEY \\S+ REFERENCES \\S+? ?\\(`?(\\w+)', 1) AS target_column
   FROM ddl_files x JOIN d USING (repo_id, path)),
 l AS (SELECT *, generate_subscripts(string_split(source, chr(10)), 1) AS i, unnest(string_split(source, chr(10))) AS line FROM f),
-c AS (SELECT * EXCLUDE (source, i, line), CAST(row_number() OVER (PARTITION BY repo_id, path ORDER BY i) - 1 AS INTEGER) AS pos, regexp_extract(line, '^  `?(\w+)', 1) AS name, regexp_replace(regexp_extract(line, '^  `?\w+`? (.*)$', 1), '#.*', '') AS body FROM l WHERE regexp_matches(line, '^  `?\w+`? ') AND NOT regexp_matches(line, '^  (UNIQUE|CONSTRAINT)')),
-k AS (SELECT repo_id, path, table_name, engine, dialect, pos, name, replace(regexp_extract(body, '^\w+(\([^)]*\))?', 0), ' ', '') AS raw_type, {_universal} AS type, contains(body, 'PRIMARY KEY') AS pk, contains(body, ' UNIQUE') OR alone = name AS is_unique, NOT contains(body, 'NOT NULL') AND NOT contains(body, 'PRIMARY KEY') AS nullable,
-  CASE WHEN referring = name THEN target ELSE nullif(regexp_extract(body, 'REFERENCES (\w+)', 1), '') END AS ref_table, CASE WHEN referring = name THEN target_column ELSE nullif(regexp_extract(body, 'REFERENCES \w+\((\w+)', 1), '') END AS ref_column,
+c AS (SELECT * EXCLUDE (source, i, line), CAST(row_number() OVER (PARTITION BY repo_id, path ORDER BY i) - 1 AS INTEGER) AS pos, regexp_extract(line, '^  `?(\\w+)', 1) AS name, regexp_replace(regexp_extract(line, '^  `?\\w+`? (.*)$', 1), '#.*', '') AS body FROM l WHERE regexp_matches(line, '^  `?\\w+`? ') AND NOT regexp_matches(line, '^  (UNIQUE|CONSTRAINT)')),
+k AS (SELECT repo_id, path, table_name, engine, dialect, pos, name, regexp_extract(body, '^\\w+(\\([^)]*\\))?', 0) AS raw_type, {_universal} AS type, contains(body, 'PRIMARY KEY') AS pk, contains(body, ' UNIQUE') OR alone = name AS is_unique, NOT contains(body, 'NOT NULL') AND NOT contains(body, 'PRIMARY KEY') AS nullable,
+  CASE WHEN referring = name THEN target ELSE nullif(regexp_extract(body, 'REFERENCES (\\w+)', 1), '') END AS ref_table, CASE WHEN referring = name THEN target_column ELSE nullif(regexp_extract(body, 'REFERENCES \\w+\\((\\w+)', 1), '') END AS ref_column,
   regexp_matches(body, 'AUTO_?INCREMENT') OR dialect = 'postgresql' AND contains(body, 'SERIAL') AS auto_increment FROM c)
 """
 register("h3_schema_catalog_dialects", "ddl_files", lambda d: schema.schema_catalog(d).drop("table_no"), f"{_CATALOG} SELECT * FROM k")
