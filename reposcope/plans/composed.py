@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reposcope.functions.text import positions_sql
 from reposcope.operators import catalog, code, scan, schema
 from reposcope.operators import journey_graph as jg
 from reposcope.plans.more import _LAYOUT, _PAGE, _on, _q
-from reposcope.plans.queries import _SERVED, ORACLE_SQL_BODY, register
+from reposcope.plans.queries import _SERVED, ORACLE_SQL_BODY, QUERIES, register
+from reposcope.streaming import presence
 
 # --- endpoint catalog -----------------------------------------------------------
 
@@ -172,3 +174,38 @@ _quoted = "chr(34) || {} || chr(34)"
 register("a9_export_ddl_dialects", "ddl_files", lambda d: schema.export_ddl(schema.schema_catalog(d), "sqlite").select("repo_id", "path", "table_name", "ddl"), f"""{_CATALOG}
 SELECT repo_id, path, table_name, 'CREATE TABLE ' || {_quoted.format('table_name')} || ' (' || chr(10) || string_agg('  ' || {_quoted.format('name')} || ' ' || {_translated} || CASE WHEN pk THEN ' PRIMARY KEY' WHEN nullable THEN '' ELSE ' NOT NULL' END || CASE WHEN is_unique AND NOT pk THEN ' UNIQUE' ELSE '' END
   || CASE WHEN ref_table IS NOT NULL THEN ' REFERENCES ' || {_quoted.format('ref_table')} || '(' || {_quoted.format('ref_column')} || ')' ELSE '' END, ',' || chr(10) ORDER BY pos) || chr(10) || ');' AS ddl FROM k GROUP BY repo_id, path, table_name""")
+
+
+# --- presence ---------------------------------------------------------------------------
+
+#: How late an event may come in the registered stream, and after how long without one a user is gone.
+_LATE, _STALE = 600, 30000.0
+
+
+def _pings(events: DataFrame) -> DataFrame:
+    """Events as pings: errors as leaves, all others as signs of life."""
+    return events.select(F.concat(F.lit("r"), F.col("user_id") % 10).alias("project_id"), F.concat(F.lit("n"), "user_id").alias("user_id"), F.when(F.col("event_type") == "error", "leave").otherwise("move").alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+def _presence_batch(events: DataFrame) -> DataFrame:
+    clock = events.agg((F.max(F.col("ts").cast("timestamp")) - F.expr(f"INTERVAL {_LATE} SECONDS")).alias("clock"))
+    pings = _pings(events).crossJoin(F.broadcast(clock))  # one row
+    return presence.presence_events(pings, F.col("clock"), _STALE).select("project_id", "user_id", "event", F.unix_micros("ts").alias("micros"))
+
+
+def _presence_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table read as a stream, to its end."""
+    path = f"{sf_dir}/events.parquet"
+    # a pattern may stand for one file as well as for a folder of them
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")
+    return presence.told_so_far(_pings(stream), f"{_LATE} seconds", _STALE).select("project_id", "user_id", "event", F.unix_micros("ts").alias("micros"))
+
+
+_PRESENCE = f"""WITH p AS (SELECT 'r' || CAST(user_id % 10 AS VARCHAR) AS project_id, 'n' || CAST(user_id AS VARCHAR) AS user_id, CASE WHEN event_type = 'error' THEN 'leave' ELSE 'move' END AS kind, epoch_us(ts) AS at_us FROM events),
+c AS (SELECT max((at_us // 1000) * 1000) - {_LATE} * 1000000 AS clock FROM p), w AS (SELECT p.*, clock, lag(at_us) OVER u AS before, lag(kind) OVER u AS was, lead(at_us) OVER u IS NULL AS newest FROM p, c WHERE at_us <= clock WINDOW u AS (PARTITION BY project_id, user_id ORDER BY at_us, kind)),
+s AS (SELECT *, coalesce(was = 'move' AND at_us - before <= {int(_STALE * 1_000_000)}, false) AS alive FROM w)
+SELECT project_id, user_id, 'expire' AS event, before + {int(_STALE * 1_000_000)} AS micros FROM s WHERE was = 'move' AND NOT alive UNION ALL SELECT project_id, user_id, 'leave', at_us FROM s WHERE kind = 'leave' AND alive
+UNION ALL SELECT project_id, user_id, 'join', at_us FROM s WHERE kind = 'move' AND NOT alive UNION ALL SELECT project_id, user_id, 'expire', at_us + {int(_STALE * 1_000_000)} FROM s WHERE newest AND kind = 'move' AND clock - at_us > {int(_STALE * 1_000_000)}"""
+register("k3_presence_events", "events", _presence_batch, _PRESENCE)
+register("k3_presence_stream", "", lambda: None, _PRESENCE)
+QUERIES["k3_presence_stream"] = _presence_stream
