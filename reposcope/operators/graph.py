@@ -310,34 +310,95 @@ def bypass_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def cycle_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(repo_id, node_id, cycle): nodes on a cycle, with the smallest node of their strongly connected component.
 
-    Nodes without a way in or out are peeled first. In the rest the smallest
-    node ahead and behind is spread until nothing changes; where both agree the
-    component is found and leaves, and the remaining nodes start again.
+    Nodes without a way in or out are taken off and unbranched runs are replaced
+    by one edge, in turns, which a chain or a tree of n nodes stands only a
+    logarithmic number of times; rings drop out as a whole. In what is left the
+    smallest node ahead and behind is spread until nothing changes; where both
+    agree the component is found and leaves, and the rest starts again. In the
+    end the nodes of a run are on a cycle if both its ends are on the same one.
     """
     links = written(edges.filter("src <> dst").select(REPO, "src", "dst").distinct())
-    loops = edges.filter("src = dst").select(REPO, F.col("src").alias("node_id"), F.col("src").alias("cycle")).distinct()
-    done = [loops]
+    loops = edges.filter("src = dst").select(REPO, F.col("src").alias("node_id")).distinct()
+    found: list[DataFrame] = []
+    levels: list[tuple[DataFrame, DataFrame]] = []
     while True:
-        while True:
-            kept = links.join(links.select(REPO, F.col("dst").alias("src")).distinct(), [REPO, "src"], "left_semi")
-            kept = written(kept.join(links.select(REPO, F.col("src").alias("dst")).distinct(), [REPO, "dst"], "left_semi").select(REPO, "src", "dst"))
-            same = kept.count() == links.count()
-            links = kept
-            if same:
-                break
-        if links.isEmpty():
+        kept = links.join(links.select(REPO, F.col("dst").alias("src")).distinct(), [REPO, "src"], "left_semi")
+        kept = written(kept.join(links.select(REPO, F.col("src").alias("dst")).distinct(), [REPO, "dst"], "left_semi").select(REPO, "src", "dst"))
+        left = kept.count()
+        raked = left < links.count()
+        forget(links)
+        links = kept
+        if not left:
             break
-        forward, backward = _spread(links, "src", "dst"), _spread(links, "dst", "src")
-        both = written(forward.join(backward.withColumnRenamed("least", "behind"), [REPO, "node_id"]))
-        done.append(both.filter("least = behind").select(REPO, "node_id", F.col("least").alias("cycle")))
-        out = both.filter("least = behind").select(REPO, "node_id")
-        links = links.join(out.withColumnRenamed("node_id", "src"), [REPO, "src"], "left_anti")
-        links = written(links.join(out.withColumnRenamed("node_id", "dst"), [REPO, "dst"], "left_anti").select(REPO, "src", "dst"))
-    every = union(done)
-    sizes = every.groupBy(REPO, "cycle").agg(F.count(F.lit(1)).alias("n"))
-    own = loops.select(REPO, "node_id", F.lit(True).alias("loop"))
-    found = every.join(sizes, [REPO, "cycle"]).join(own, [REPO, "node_id"], "left").filter("n > 1 OR loop")
-    return found.select(REPO, "node_id", "cycle").distinct()
+        inner = _unbranched(links)
+        if inner is not None:
+            runs, rings = _runs(links, inner)
+            found.append(rings)
+            levels.append((runs, runs.filter("a = b").select(REPO, F.col("a").alias("node_id")).distinct()))
+            on_runs = inner.select(REPO, "node_id")
+            rest = links.join(on_runs.withColumnRenamed("node_id", "src"), [REPO, "src"], "left_anti").join(on_runs.withColumnRenamed("node_id", "dst"), [REPO, "dst"], "left_anti")
+            kept = written(rest.select(REPO, "src", "dst").unionByName(runs.filter("a <> b").select(REPO, F.col("a").alias("src"), F.col("b").alias("dst"))).distinct())
+            forget(links)
+            links = kept
+        elif not raked:
+            forward, backward = _spread(links, "src", "dst"), _spread(links, "dst", "src")
+            both = written(forward.join(backward.withColumnRenamed("least", "behind"), [REPO, "node_id"]))
+            found.append(both.filter("least = behind").select(REPO, "node_id", F.col("least").alias("cycle")))
+            out = both.filter("least = behind").select(REPO, "node_id")
+            kept = links.join(out.withColumnRenamed("node_id", "src"), [REPO, "src"], "left_anti")
+            kept = written(kept.join(out.withColumnRenamed("node_id", "dst"), [REPO, "dst"], "left_anti").select(REPO, "src", "dst"))
+            forget(links)
+            links = kept
+    known = written(union(found)) if found else None
+    for runs, turns in reversed(levels):
+        alone = turns.join(known.select(REPO, "node_id"), [REPO, "node_id"], "left_anti").withColumn("cycle", F.col("node_id"))
+        known = known.unionByName(alone)
+        a = known.select(REPO, F.col("node_id").alias("a"), "cycle")
+        b = known.select(REPO, F.col("node_id").alias("b"), F.col("cycle").alias("other"))
+        known = written(known.unionByName(runs.join(a, [REPO, "a"]).join(b, [REPO, "b"]).filter("cycle = other").select(REPO, "node_id", "cycle")))
+    own = loops.withColumn("loop", F.lit(True))
+    if known is None:
+        return loops.select(REPO, "node_id", F.col("node_id").alias("cycle"))
+    every = known.unionByName(loops.join(known.select(REPO, "node_id"), [REPO, "node_id"], "left_anti").withColumn("cycle", F.col("node_id"))).distinct()
+    # components were named by the smallest node that was left at their time
+    sizes = every.groupBy(REPO, "cycle").agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("least"))
+    kept = every.join(sizes, [REPO, "cycle"]).join(own, [REPO, "node_id"], "left").filter("n > 1 OR loop")
+    return kept.select(REPO, "node_id", F.col("least").alias("cycle"))
+
+
+def _unbranched(links: DataFrame) -> DataFrame | None:
+    """(repo_id, node_id, next): nodes with one way in and one way out, or None if there are none."""
+    out = links.groupBy(REPO, F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("next")).filter("n = 1").drop("n")
+    one = links.groupBy(REPO, F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(REPO, "node_id")
+    inner = written(out.join(one, [REPO, "node_id"], "left_semi"))
+    return None if inner.isEmpty() else inner
+
+
+def _runs(links: DataFrame, inner: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(repo_id, node_id, a, b), the nodes of unbranched runs and the branching nodes at their ends, and (repo_id, node_id, cycle), those of rings.
+
+    Every inner node follows its pointer, which doubles its reach each round, to
+    the last node of its run. On a ring it never arrives; when the smallest node
+    seen changes nowhere any more, it is the ring's.
+    """
+    target = inner.select(REPO, F.col("node_id").alias("next"), F.lit(True).alias("goes_on"))
+    at = inner.join(target, [REPO, "next"], "left")
+    ends_here = F.col("goes_on").isNull()
+    at = at.select(REPO, "node_id", F.when(~ends_here, F.col("next")).alias("ptr"), F.when(ends_here, F.col("node_id")).alias("last"), F.when(ends_here, F.col("next")).alias("b"), F.col("node_id").alias("least"), (~ends_here).alias("moved"))
+    at = written(at)
+    while not at.filter("moved").isEmpty():
+        seen = at.select(REPO, F.col("node_id").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("last").alias("last2"), F.col("b").alias("b2"), F.col("least").alias("least2"))
+        on = F.col("ptr").isNotNull()
+        moved = on & (F.col("ptr2").isNull() | (F.col("least2") < F.col("least")))
+        new = at.drop("moved").join(seen, [REPO, "ptr"], "left")
+        new = written(new.select(REPO, "node_id", F.when(on, F.col("ptr2")).alias("ptr"), F.coalesce("last", "last2").alias("last"), F.coalesce("b", "b2").alias("b"), F.least("least", F.coalesce("least2", "least")).alias("least"), moved.alias("moved")))
+        forget(at)
+        at = new
+    rings = at.filter("ptr IS NOT NULL").select(REPO, "node_id", F.col("least").alias("cycle"))
+    arrived = at.filter("ptr IS NULL").select(REPO, "node_id", "last", "b")
+    heads = links.join(inner.select(REPO, F.col("node_id").alias("src")), [REPO, "src"], "left_anti").select(REPO, F.col("src").alias("a"), F.col("dst").alias("node_id"))
+    heads = heads.join(arrived, [REPO, "node_id"]).select(REPO, "last", "a")
+    return written(arrived.join(heads, [REPO, "last"]).select(REPO, "node_id", "a", "b")), rings
 
 
 def _spread(links: DataFrame, a: str, b: str) -> DataFrame:
