@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reposcope.functions.text import positions_sql
-from reposcope.operators import catalog, code, scan, schema
+from reposcope.functions import paths
+from reposcope.functions.text import findings_sql, positions_sql
+from reposcope.operators import catalog, code, link, reading, scan, schema
 from reposcope.operators import journey_graph as jg
-from reposcope.plans.more import _LAYOUT, _PAGE, _on, _q
+from reposcope.plans.more import _GATES, _INTER, _SROUTES, _TO, _on, _q
 from reposcope.plans.queries import _SERVED, ORACLE_SQL_BODY, QUERIES, register
 from reposcope.streaming import presence
 
@@ -209,3 +210,44 @@ UNION ALL SELECT project_id, user_id, 'join', at_us FROM s WHERE kind = 'move' A
 register("k3_presence_events", "events", _presence_batch, _PRESENCE)
 register("k3_presence_stream", "", lambda: None, _PRESENCE)
 QUERIES["k3_presence_stream"] = _presence_stream
+
+
+# --- pages read with their imports ---------------------------------------------------------
+
+_walks = lambda sql: sql.replace("screens", "walks").replace("FROM modules", "FROM walks")
+_by_rank = " UNION ALL ".join(f"SELECT repo_id, path, {k} AS k, found1 AS specifier, CAST(line AS INTEGER) AS line FROM {findings_sql(p, 1, 'walks')}" for k, p in enumerate((scan.IMPORT, scan.REQUIRE)))
+_extension = "CASE " + " ".join(f"WHEN ends_with(path, '.{e}') THEN {i}" for i, e in enumerate(link.EXTENSIONS)) + " END"
+# imports of this table begin with ./ or @/ and name a file without its extension
+_READ = f"""im AS (SELECT repo_id, path, specifier, min((k, line)) AS at_line, CASE WHEN starts_with(specifier, '@/') THEN 'src/' || specifier[3:] ELSE regexp_replace(path, '[^/]*$', '') || specifier[3:] END AS stem FROM ({_by_rank}) WHERE regexp_matches(specifier, '^(\\./|@/)') GROUP BY ALL),
+st AS (SELECT repo_id, regexp_replace(path, '\\.[^.]*$', '') AS stem, min_by(path, {_extension}) AS target FROM walks WHERE {_extension} IS NOT NULL GROUP BY ALL),
+ed AS (SELECT im.repo_id, im.path, st.target, row_number() OVER (PARTITION BY im.repo_id, im.path ORDER BY at_line, specifier) AS nth FROM im JOIN st USING (repo_id, stem)),
+ln AS (SELECT DISTINCT repo_id, path, 1 + length(source) - length(replace(source, chr(10), '')) AS lines FROM walks WHERE source <> ''),
+pg AS (SELECT repo_id, path AS page_path, route AS page FROM ({_walks(_SROUTES)})),
+wk AS (SELECT repo_id, page_path, page_path AS path, [0] AS way, [page_path] AS seen FROM pg UNION ALL SELECT wk.repo_id, wk.page_path, ed.target, list_append(way, ed.nth), list_append(seen, ed.target) FROM wk JOIN ed ON ed.repo_id = wk.repo_id AND ed.path = wk.path WHERE len(way) <= {reading.DEPTH} AND NOT list_contains(seen, ed.target)),
+rd AS (SELECT repo_id, page_path, path, CAST(row_number() OVER w - 1 AS INTEGER) AS position, CAST(coalesce(sum(lines + 1) OVER (PARTITION BY repo_id, page_path ORDER BY way ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS "offset"
+  FROM (SELECT repo_id, page_path, path, min(way) AS way FROM wk GROUP BY ALL) JOIN ln USING (repo_id, path) WINDOW w AS (PARTITION BY repo_id, page_path ORDER BY way))"""
+
+
+def _orders(files: DataFrame) -> DataFrame:
+    return reading.reading_order(files, paths.crawl_routes(files).select("repo_id", "path"))
+
+
+register("g6_reading_order", "walks", _orders, f"WITH RECURSIVE {_READ} SELECT * FROM rd")
+_said = "CASE by_kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in reading.LABELS.items()) + " END"
+_here = "page_path || ':' || by_kind || ':' || target || ':' || line"
+_PAGES_READ = f"""WITH RECURSIVE {_READ}, ev AS (SELECT DISTINCT i.repo_id, r.page_path, pg.page, i.kind AS by_kind, i.target, i.line + r."offset" AS line FROM ({_walks(_INTER)}) i JOIN rd r USING (repo_id, path) JOIN pg USING (repo_id, page_path)),
+ld AS (SELECT ev.*, nullif(t.route, ev.page) AS route FROM ev LEFT JOIN ({_walks(_TO)}) t USING (repo_id, target)),
+gt AS (SELECT g.repo_id, r.page_path, g.rank, g.kind AS gate, g.label AS gate_label, g.line + r."offset" AS gate_line FROM ({_walks(_GATES)}) g JOIN rd r USING (repo_id, path)),
+ga AS (SELECT * FROM (SELECT ld.*, gate_label, gate_line, row_number() OVER (PARTITION BY ld.repo_id, ld.page_path, by_kind, target, ld.line ORDER BY rank, gate_line, gate, gate_label) AS nth FROM ld JOIN gt USING (repo_id, page_path) WHERE route IS NOT NULL AND gate_line < line) WHERE nth = 1),
+op AS (SELECT * FROM ld ANTI JOIN ga USING (repo_id, page_path, by_kind, target, line)),
+sg AS (SELECT DISTINCT s.repo_id, r.page_path, pg.page, s.candidate FROM (SELECT DISTINCT repo_id, path, found1 AS candidate FROM {findings_sql(scan.ROUTE_STRING, 1, 'walks')} WHERE NOT regexp_matches(found1, '(?i)\\.[a-z0-9]{{2,5}}$') AND NOT starts_with(found1, '//') AND length(found1) <= 100) s JOIN rd r USING (repo_id, path) JOIN pg USING (repo_id, page_path)
+  ANTI JOIN (SELECT repo_id, page_path FROM ev WHERE by_kind IN ('link', 'router-push')) l ON l.repo_id = s.repo_id AND l.page_path = r.page_path ANTI JOIN (SELECT repo_id, page_path, target FROM ev) x ON x.repo_id = s.repo_id AND x.page_path = r.page_path AND x.target = s.candidate),
+mt AS (SELECT sg.*, p.page AS route, row_number() OVER (PARTITION BY sg.repo_id, sg.page_path, sg.candidate ORDER BY CASE WHEN p.page = candidate THEN 1 ELSE 3 END, length(p.page) DESC, p.page) AS nth FROM sg JOIN pg p ON p.repo_id = sg.repo_id AND p.page <> '/' AND (p.page = candidate OR starts_with(candidate, p.page || '/')))
+"""
+register("g20_page_graph", "walks", lambda m: reading.page_graph(m)[1], f"""{_PAGES_READ}
+SELECT repo_id, 'page:' || page AS src, 'gate:' || {_here} AS dst, 'action' AS kind, CASE WHEN by_kind LIKE 'on-%' THEN 'Submit' ELSE {_said} END AS label FROM ga UNION SELECT repo_id, 'gate:' || {_here}, 'page:' || route, 'success', 'Success Path' FROM ga UNION SELECT repo_id, 'gate:' || {_here}, 'error:' || {_here}, 'failure', 'Failure Path' FROM ga
+UNION SELECT repo_id, 'page:' || page, 'action:' || {_here}, 'action', {_said} FROM op WHERE by_kind LIKE 'on-%' UNION SELECT repo_id, 'action:' || {_here}, 'page:' || route, 'navigation', 'Navigate' FROM op WHERE by_kind LIKE 'on-%' AND route IS NOT NULL
+UNION SELECT repo_id, 'page:' || page, 'page:' || route, 'navigation', {_said} FROM op WHERE by_kind NOT LIKE 'on-%' AND route IS NOT NULL UNION SELECT repo_id, 'page:' || page, 'page:' || route, 'reference', 'Reference' FROM mt WHERE nth = 1 AND route <> page""")
+register("g20_page_nodes", "walks", lambda m: reading.page_graph(m)[0], f"""{_PAGES_READ}
+SELECT repo_id, 'page:' || page AS node_id, 'page' AS type, page AS label, CAST(NULL AS INTEGER) AS line FROM pg UNION SELECT repo_id, 'gate:' || {_here}, 'validation', gate_label, gate_line FROM ga UNION SELECT repo_id, 'error:' || {_here}, 'action', 'Error Response', gate_line FROM ga
+UNION SELECT repo_id, 'action:' || {_here}, 'action', CASE by_kind WHEN 'on-click' THEN 'Trigger Action' ELSE 'Trigger Redirection' END, line FROM op WHERE by_kind LIKE 'on-%'""")

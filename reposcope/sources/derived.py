@@ -275,6 +275,36 @@ FROM (
 ) AS p
 """
 
+WALK_PAGE = """import A from "./a";
+import S from "@/shared/s{m}";
+export default function Page() { return <A/>; }
+{l}
+"""
+WALK_CHILD = """import S from "@/shared/s{h}";
+import B from "./b";
+const ok = z.object({ name: z.string() });
+<button onClick={() => router.push("/p{m}")}>go</button>
+"""
+WALK_LEAF = """import A from "./a";
+{l}
+const other = "/p{m}";
+"""
+WALK_SHARED = """{i}
+export const f = () => { if (!user) { return null; } };
+<form onSubmit={() => fetch("/api/p{m}")}></form>
+"""
+# every third page and every second leaf has a link; a shared file imports the next one unless its number leaves 2 by 3
+WALKS = f"""
+SELECT repo_id, CASE kind WHEN 0 THEN 'app/p' || n || '/page.tsx' WHEN 1 THEN 'app/p' || n || '/a.tsx' WHEN 2 THEN 'app/p' || n || '/b.tsx' ELSE 'src/shared/s' || n || '.tsx' END AS path,
+  CASE kind WHEN 0 THEN {template(WALK_PAGE)} WHEN 1 THEN {template(WALK_CHILD)} WHEN 2 THEN {template(WALK_LEAF)} ELSE {template(WALK_SHARED)} END AS source
+FROM (
+  SELECT repo_id, kind, CAST(num AS STRING) AS n, CAST(num % 7 AS STRING) AS m, CAST(num % 5 AS STRING) AS h,
+    CASE WHEN kind = 0 AND num % 3 = 0 OR kind = 2 AND num % 2 = 1 THEN '<Link href="/p' || CAST(num + 1 AS STRING) || '?x=1">next</Link>' ELSE '' END AS l,
+    CASE WHEN num % 3 <> 2 THEN 'import N from "./s' || CAST(num + 1 AS STRING) || '";' ELSE '' END AS i
+  FROM (SELECT 'r' || CAST(p_partkey % 20 AS STRING) AS repo_id, CAST(floor(p_partkey / 20) AS BIGINT) % 4 AS kind, CAST(floor(p_partkey / 80) AS BIGINT) AS num FROM part) AS p
+) AS q
+"""
+
 _LINKS = """
 SELECT DISTINCT 'r' || CAST(o_custkey % 10 AS STRING) AS repo_id, o_orderkey AS o, l_partkey AS p, l_suppkey AS s
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -318,6 +348,7 @@ TABLES = {
     "code": (CODE, ["part"]),
     "sources": (f"{MODULES} UNION ALL {SCREENS}", ["part"]),
     "ddl_files": (DDL_FILES, ["part"]),
+    "walks": (WALKS, ["part"]),
     "nodes": (NODES, ["customer", "orders", "lineitem"]),
     "edges": (EDGES, ["customer", "orders", "lineitem"]),
     "base": (BASE, ["orders"]),
