@@ -160,6 +160,67 @@ def blast_radius(origins: DataFrame, edges: DataFrame, depth: int | None = None)
     return union([ahead.withColumn("category", kind), behind.withColumn("category", F.lit("orphaned-by-deletion"))]).filter("depth > 0").select(REPO, "origin", "node_id", "category", "depth")
 
 
+def reach_paths(seeds: DataFrame, edges: DataFrame, backward: bool = False) -> DataFrame:
+    """(repo_id, origin, node_id, depth, path): what each seed (repo_id, origin, node_id) reaches, and the way there.
+
+    As in `reach` a level keeps only what no level before it has. Of the nodes
+    that a node is reached from in as few edges the smallest counts; the way to
+    it, nodes joined by >, goes on. Seeds have depth 0.
+    """
+    a, b = ("dst", "src") if backward else ("src", "dst")
+    step = written(edges.select(REPO, F.col(a).alias("node_id"), F.col(b).alias("next")).distinct())
+    key = [REPO, "origin", "node_id"]
+    front = written(seeds.select(*key).distinct().withColumns({"depth": F.lit(0), "path": F.col("node_id")}))
+    levels = [front]
+    for d in count(1):
+        near = front.join(step, [REPO, "node_id"]).groupBy(REPO, "origin", F.col("next").alias("to")).agg(F.min(F.struct("node_id", "path")).getField("path").alias("way"))
+        near = near.select(REPO, "origin", F.col("to").alias("node_id"), F.lit(d).alias("depth"), F.concat_ws(">", "way", "to").alias("path"))
+        front = written(near.join(union(levels).select(*key), key, "left_anti").select(*key, "depth", "path"))
+        if front.isEmpty():
+            break
+        levels.append(front)
+        if len(levels) > LEVELS:
+            before, levels = levels, [written(union(levels))]
+            for old in before:
+                if old is not front:
+                    forget(old)
+    forget(step)
+    return union(levels)
+
+
+def impacts(origins: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, origin, node_id, category, depth, path, is_route): `blast_radius` with the way to each node.
+
+    The way behind an origin begins at it as well. is_route tells whether the
+    node lies ahead and is a page or a controller by its shape.
+    """
+    seeds = origins.select(REPO, F.col("node_id").alias("origin"), "node_id")
+    ahead = written(reach_paths(seeds, edges))
+    behind = reach_paths(seeds, edges, backward=True).join(ahead.select(REPO, "origin", "node_id"), [REPO, "origin", "node_id"], "left_anti")
+    kind = F.when(F.col("depth") == 1, "direct").otherwise("transitive")
+    found = union([ahead.withColumn("category", kind), behind.withColumn("category", F.lit("orphaned-by-deletion"))]).filter("depth > 0")
+    routes = nodes.filter("shape IN ('pill', 'rectangle')").select(REPO, "node_id", F.lit(True).alias("shown")).distinct()
+    is_route = F.coalesce("shown", F.lit(False)) & (F.col("category") != "orphaned-by-deletion")
+    return found.join(routes, [REPO, "node_id"], "left").select(REPO, "origin", "node_id", "category", "depth", "path", is_route.alias("is_route"))
+
+
+def broken_edges(origins: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, origin, src, dst, kind): the edges that an origin's deletion breaks, those that begin or end at it."""
+    own = origins.select(REPO, F.col("node_id").alias("origin")).distinct()
+    parts = [edges.join(own.withColumn(end, F.col("origin")), [REPO, end]) for end in ("src", "dst")]
+    return union([p.select(REPO, "origin", "src", "dst", "kind") for p in parts]).distinct()
+
+
+def deletion_summary(origins: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, origin, impacted, routes, services, broken): how many nodes, of them pages and controllers, and edges an origin's deletion concerns."""
+    shapes = nodes.groupBy(REPO, "node_id").agg(F.min("shape").alias("shape"))
+    found = blast_radius(origins, edges).join(shapes, [REPO, "node_id"], "left").groupBy(REPO, "origin")
+    counts = found.agg(F.count(F.lit(1)).alias("impacted"), F.count_if(F.col("shape") == "pill").alias("routes"), F.count_if(F.col("shape") == "rectangle").alias("services"))
+    broken = broken_edges(origins, edges).groupBy(REPO, "origin").agg(F.count(F.lit(1)).alias("broken"))
+    every = origins.select(REPO, F.col("node_id").alias("origin")).distinct().join(counts, [REPO, "origin"], "left").join(broken, [REPO, "origin"], "left")
+    return every.fillna(0, ["impacted", "routes", "services", "broken"])
+
+
 def gaps(nodes: DataFrame, edges: DataFrame, sensitive: Column, guard: Column, hops: int = 5) -> DataFrame:
     """Sensitive nodes without a guard among the nodes from which up to `hops` edges lead to them, themselves included.
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from reposcope.functions import paths
 from reposcope.functions.text import findings_sql, positions_sql
-from reposcope.operators import catalog, code, link, reading, scan, schema
+from reposcope.operators import catalog, code, graph, link, reading, scan, schema
 from reposcope.operators import journey_graph as jg
 from reposcope.plans.more import _GATES, _INTER, _SROUTES, _TO, _on, _q
-from reposcope.plans.queries import _SERVED, ORACLE_SQL_BODY, QUERIES, register
+from reposcope.plans.queries import _ASKED, _SERVED, ORACLE_SQL_BODY, QUERIES, register
 from reposcope.streaming import presence
 
 # --- endpoint catalog -----------------------------------------------------------
@@ -251,3 +251,27 @@ UNION SELECT repo_id, 'page:' || page, 'page:' || route, 'navigation', {_said} F
 register("g20_page_nodes", "walks", lambda m: reading.page_graph(m)[0], f"""{_PAGES_READ}
 SELECT repo_id, 'page:' || page AS node_id, 'page' AS type, page AS label, CAST(NULL AS INTEGER) AS line FROM pg UNION SELECT repo_id, 'gate:' || {_here}, 'validation', gate_label, gate_line FROM ga UNION SELECT repo_id, 'error:' || {_here}, 'action', 'Error Response', gate_line FROM ga
 UNION SELECT repo_id, 'action:' || {_here}, 'action', CASE by_kind WHEN 'on-click' THEN 'Trigger Action' ELSE 'Trigger Redirection' END, line FROM op WHERE by_kind LIKE 'on-%'""")
+
+
+# --- deletions, from every node whose number is divisible by 50 --------------------------------
+
+_radius = ORACLE_SQL_BODY["g1"]
+_origins = "o AS (SELECT repo_id, node_id AS origin FROM nodes WHERE CAST(node_id[2:] AS BIGINT) % 50 = 0)"
+
+
+def _way(name: str, a: str, b: str) -> str:
+    """CTEs of the depths from the origins along the edges, of the smallest node before each, and of the ways."""
+    return f"""{name}d AS (SELECT repo_id, origin, origin AS node_id, 0 AS d FROM o UNION SELECT x.repo_id, x.origin, e.{b}, x.d + 1 FROM {name}d x JOIN edges e ON e.repo_id = x.repo_id AND e.{a} = x.node_id WHERE x.d < 50),
+{name}m AS (SELECT repo_id, origin, node_id, min(d) AS d FROM {name}d GROUP BY ALL),
+{name}p AS (SELECT y.repo_id, y.origin, y.node_id, y.d, min(x.node_id) AS before FROM {name}m y JOIN edges e ON e.repo_id = y.repo_id AND e.{b} = y.node_id JOIN {name}m x ON x.repo_id = y.repo_id AND x.origin = y.origin AND x.node_id = e.{a} AND x.d = y.d - 1 GROUP BY ALL),
+{name}w AS (SELECT repo_id, origin, origin AS node_id, 0 AS d, origin AS path FROM o UNION ALL SELECT y.repo_id, y.origin, y.node_id, y.d, w.path || '>' || y.node_id FROM {name}w w JOIN {name}p y ON y.repo_id = w.repo_id AND y.origin = w.origin AND y.before = w.node_id)"""
+
+
+_BROKEN = "SELECT DISTINCT o.repo_id, o.origin, e.src, e.dst, e.kind FROM o JOIN edges e ON e.repo_id = o.repo_id AND (e.src = o.origin OR e.dst = o.origin)"
+register("g1_impact_paths", "nodes edges", lambda n, e: graph.impacts(n.filter(_ASKED), n, e), f"""WITH RECURSIVE {_origins}, {_way('f', 'src', 'dst')}, {_way('b', 'dst', 'src')}
+SELECT f.repo_id, f.origin, f.node_id, CASE WHEN d = 1 THEN 'direct' ELSE 'transitive' END AS category, d AS depth, path, coalesce(n.shape IN ('pill', 'rectangle'), false) AS is_route FROM fw f LEFT JOIN nodes n ON n.repo_id = f.repo_id AND n.node_id = f.node_id WHERE d > 0
+UNION ALL SELECT b.repo_id, b.origin, b.node_id, 'orphaned-by-deletion', d, path, false FROM bw b ANTI JOIN fw f USING (repo_id, origin, node_id) WHERE d > 0""")
+register("g1_broken_edges", "nodes edges", lambda n, e: graph.broken_edges(n.filter(_ASKED), e), f"WITH {_origins} {_BROKEN}")
+register("f13_deletion_summary", "nodes edges", lambda n, e: graph.deletion_summary(n.filter(_ASKED), n, e), f"""WITH RECURSIVE {_origins}, i AS ({_radius}), b AS (SELECT repo_id, origin, count(*) AS broken FROM ({_BROKEN}) GROUP BY ALL),
+c AS (SELECT i.repo_id, i.origin, count(*) AS impacted, count(*) FILTER (n.shape = 'pill') AS routes, count(*) FILTER (n.shape = 'rectangle') AS services FROM i LEFT JOIN nodes n ON n.repo_id = i.repo_id AND n.node_id = i.node_id GROUP BY ALL)
+SELECT o.repo_id, o.origin, coalesce(impacted, 0) AS impacted, coalesce(routes, 0) AS routes, coalesce(services, 0) AS services, coalesce(broken, 0) AS broken FROM o LEFT JOIN c USING (repo_id, origin) LEFT JOIN b USING (repo_id, origin)""")
