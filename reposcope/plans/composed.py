@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from reposcope.operators import catalog, code, graph, link, reading, scan, schem
 from reposcope.operators import journey_graph as jg
 from reposcope.plans.more import _GATES, _INTER, _SROUTES, _TO, _on, _q
 from reposcope.plans.queries import _ASKED, _SERVED, ORACLE_SQL_BODY, QUERIES, register
-from reposcope.streaming import presence
+from reposcope.sources.tables import shared_folder
+from reposcope.streaming import presence, recompute
 
 # --- endpoint catalog -----------------------------------------------------------
 
@@ -275,3 +278,44 @@ register("g1_broken_edges", "nodes edges", lambda n, e: graph.broken_edges(n.fil
 register("f13_deletion_summary", "nodes edges", lambda n, e: graph.deletion_summary(n.filter(_ASKED), n, e), f"""WITH RECURSIVE {_origins}, i AS ({_radius}), b AS (SELECT repo_id, origin, count(*) AS broken FROM ({_BROKEN}) GROUP BY ALL),
 c AS (SELECT i.repo_id, i.origin, count(*) AS impacted, count(*) FILTER (n.shape = 'pill') AS routes, count(*) FILTER (n.shape = 'rectangle') AS services FROM i LEFT JOIN nodes n ON n.repo_id = i.repo_id AND n.node_id = i.node_id GROUP BY ALL)
 SELECT o.repo_id, o.origin, coalesce(impacted, 0) AS impacted, coalesce(routes, 0) AS routes, coalesce(services, 0) AS services, coalesce(broken, 0) AS broken FROM o LEFT JOIN c USING (repo_id, origin) LEFT JOIN b USING (repo_id, origin)""")
+
+
+# --- pushes and recomputed repositories ----------------------------------------------------------
+
+
+def _pushed(changes: DataFrame) -> DataFrame:
+    """Mutations of ten events a push and three a commit, on the nodes of every fourth file and some others."""
+    file = F.struct("event_id", F.struct("path", "change").alias("f"))
+    commits = changes.groupBy("repo_id", F.expr("event_id div 10").alias("push"), F.expr("event_id div 3").alias("c")).agg(F.sort_array(F.collect_list(file)).alias("files"))
+    ordered = commits.groupBy("repo_id", "push").agg(F.sort_array(F.collect_list(F.struct("c", F.transform("files", lambda x: x["f"]).alias("files")))).alias("cs"))
+    pushes = ordered.select("repo_id", F.col("push").alias("event_id"), F.transform("cs", lambda x: F.struct(x["files"].alias("files"))).alias("commits"))
+    users = changes.select("repo_id", F.expr("cast(substring(node_id, 2) AS BIGINT)").alias("u")).distinct().filter("u % 4 = 0")
+    nodes = users.select("repo_id", F.concat(F.lit("n"), "u").alias("node_id"), F.concat(F.lit("File"), "u").alias("label"))
+    return recompute.commit_mutations(recompute.pushed_files(pushes), nodes).withColumn("node_id", F.when(F.col("action") != "add", F.col("node_id")))
+
+
+register("k1_commit_mutations", "changes", _pushed, """WITH p AS (SELECT *, event_id // 10 AS push, event_id // 3 AS c, lower(path) AS w, string_split(string_split(lower(path), '/')[-1], '.')[1] AS stem FROM changes),
+q AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY repo_id, push ORDER BY c) - 1 AS INTEGER) AS commit_no, CAST(row_number() OVER (PARTITION BY repo_id, push, c ORDER BY event_id) - 1 AS INTEGER) AS file_no FROM p),
+n AS (SELECT DISTINCT repo_id, node_id, 'File' || node_id[2:] AS label FROM changes WHERE CAST(node_id[2:] AS BIGINT) % 4 = 0),
+k AS (SELECT f.repo_id, f.w, min(n.node_id) AS node_id FROM (SELECT DISTINCT repo_id, w, stem FROM q) f JOIN n ON n.repo_id = f.repo_id AND (contains(lower(n.label), f.stem) OR contains(f.w, lower(n.label))) GROUP BY ALL)
+SELECT q.repo_id, push AS event_id, commit_no, file_no, CASE change WHEN 'added' THEN 'add' WHEN 'deleted' THEN 'delete' ELSE 'update' END AS action, CASE WHEN change <> 'added' THEN k.node_id END AS node_id,
+  CASE WHEN change = 'added' THEN m.label ELSE n.label END AS label
+FROM q LEFT JOIN k USING (repo_id, w) LEFT JOIN n ON n.repo_id = q.repo_id AND n.node_id = k.node_id JOIN (SELECT event_id AS e, label FROM (""" + ORACLE_SQL_BODY["k1"] + """)) m ON m.e = q.event_id WHERE change = 'added' OR k.node_id IS NOT NULL""")
+
+
+def _recomputed(files: DataFrame) -> DataFrame:
+    """Imports of all repositories after pages of some are deleted and utilities rewritten, computed again for those only."""
+    spark, folder = files.sparkSession, f"{shared_folder(files.sparkSession)}/recomputed/{uuid4().hex}"
+    every = files.groupBy("repo_id", "path").agg(F.min("source").alias("source"))
+    jobs = {"imports": link.import_edges}
+    at = lambda rows, k: rows.select("repo_id", "path", "source", F.lit(k).alias("ts"), F.lit(k).alias("event_id"))
+    recompute.recompute(spark, folder, at(every, 0), jobs)
+    some = every.filter("repo_id IN ('r1', 'r2', 'r3')")
+    pages = some.filter("path LIKE '%page.tsx'").withColumn("source", F.lit(None).cast("string"))
+    tools = some.filter("path LIKE 'src/lib/%'").withColumn("source", F.concat(F.lit('import { x } from "@/components/Card1";\n'), "source"))
+    recompute.recompute(spark, folder, at(pages.unionByName(tools), 1), jobs)
+    return recompute.read_repositories(spark, f"{folder}/imports", link.import_edges(files).schema)
+
+
+_CHANGED = """(SELECT repo_id, path, CASE WHEN repo_id IN ('r1', 'r2', 'r3') AND path LIKE 'src/lib/%' THEN 'import { x } from "@/components/Card1";' || chr(10) || source ELSE source END AS source FROM (SELECT repo_id, path, min(source) AS source FROM modules GROUP BY ALL) WHERE NOT (repo_id IN ('r1', 'r2', 'r3') AND path LIKE '%page.tsx'))"""
+register("k5_recomputed_imports", "modules", _recomputed, ORACLE_SQL_BODY["d2"].replace("FROM modules", f"FROM {_CHANGED}"))
