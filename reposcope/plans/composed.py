@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reposcope.functions import paths
 from reposcope.functions.text import findings_sql, positions_sql
-from reposcope.operators import catalog, code, graph, link, reading, scan, schema
+from reposcope.operators import catalog, code, graph, lexical, link, reading, scan, schema
 from reposcope.operators import journey_graph as jg
 from reposcope.plans.more import _GATES, _INTER, _SROUTES, _TO, _on, _q
 from reposcope.plans.queries import _ASKED, _SERVED, ORACLE_SQL_BODY, QUERIES, register
@@ -319,3 +319,31 @@ def _recomputed(files: DataFrame) -> DataFrame:
 
 _CHANGED = """(SELECT repo_id, path, CASE WHEN repo_id IN ('r1', 'r2', 'r3') AND path LIKE 'src/lib/%' THEN 'import { x } from "@/components/Card1";' || chr(10) || source ELSE source END AS source FROM (SELECT repo_id, path, min(source) AS source FROM modules GROUP BY ALL) WHERE NOT (repo_id IN ('r1', 'r2', 'r3') AND path LIKE '%page.tsx'))"""
 register("k5_recomputed_imports", "modules", _recomputed, ORACLE_SQL_BODY["d2"].replace("FROM modules", f"FROM {_CHANGED}"))
+
+
+# --- token classes ---------------------------------------------------------------------------------
+
+
+def _letters(pattern: str, keywords: list[str], word: str, comments: list[str]) -> str:
+    """The letters of a text's token classes for DuckDB."""
+    listed = ", ".join(f"'{k}'" for k in keywords)
+    starts = " OR ".join(f"starts_with(t, '{c}')" for c in comments)
+    signs = ", ".join(f"'{p}'" for p in lexical.PUNCTUATION)
+    kinds = f"""CASE WHEN {starts} THEN 'c' WHEN t[1] IN (chr(39), '"', '`') THEN 's' WHEN regexp_matches(t, '^\\.?[0-9]') THEN 'n'
+      WHEN regexp_matches(t, '^[a-zA-Z_$]') THEN CASE WHEN {word} IN ({listed}) THEN 'k' ELSE 'i' END WHEN t IN ('{{', '}}') THEN 'b' WHEN t IN ({signs}) THEN 'p' ELSE 'o' END"""
+    return f"array_to_string(list_transform(regexp_extract_all(coalesce(source, ''), {_q(pattern)}), lambda t: {kinds}), '')"
+
+
+def _classes(table: str) -> str:
+    sql = f"(regexp_matches(trim(coalesce(source, '')), {_q(lexical.SQL_SIGNS[0])}) OR regexp_matches(coalesce(source, ''), {_q(lexical.SQL_SIGNS[1])}))"
+    both = f"CASE WHEN {sql} THEN {_letters(lexical.SQL_TOKEN, lexical.SQL_KEYWORDS, 'upper(t)', ['//', '/*', '--'])} ELSE {_letters(lexical.JS_TOKEN, lexical.JS_KEYWORDS, 't', ['//', '/*'])} END"
+    counts = ", ".join(f"CAST(length(letters) - length(replace(letters, '{k}', '')) AS BIGINT) AS {name}" for name, k in lexical.CLASSES.items())
+    return f"SELECT repo_id, path, language, {counts} FROM (SELECT repo_id, path, CASE WHEN {sql} THEN 'sql' ELSE 'javascript' END AS language, {both} AS letters FROM {table})"
+
+
+def _token_classes(files: DataFrame) -> DataFrame:
+    return lexical.token_classes(files, ["repo_id", "path"])
+
+
+register("c19_token_classes", "sources", _token_classes, _classes("sources"))
+register("c19_token_classes_sql", "ddl_files", _token_classes, _classes("ddl_files"))
