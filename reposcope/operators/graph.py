@@ -343,6 +343,27 @@ def flow_traces(origins: DataFrame, nodes: DataFrame, edges: DataFrame, depth: i
     return found.join(last, [REPO, "node_id", "direction"], "left").select(REPO, "origin", "direction", "node_id", "depth", F.coalesce("is_exit", F.lit(False)).alias("is_exit"))
 
 
+def leads_to_cycle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, node_id): nodes from which a cycle can be reached, those on one included; one search back from all cycles together."""
+    on = cycle_nodes(nodes, edges).select(REPO, "node_id").distinct()
+    back = edges.select(REPO, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return nearest(written(on), back).select(REPO, "node_id")
+
+
+def flow_summary(origins: DataFrame, nodes: DataFrame, edges: DataFrame, types: list[str] | None = None, depth: int = 50) -> DataFrame:
+    """(repo_id, origin, direction, steps, exits, max_depth, has_cycles): what `flow_traces` finds from each origin, and whether a cycle lies ahead of it.
+
+    With `types` only nodes of these types are listed and passed; cycles are
+    looked for on all edges.
+    """
+    kept = nodes.filter(F.col("type").isin(types)) if types else nodes
+    asked = origins.select(REPO, "node_id").join(kept.select(REPO, "node_id").distinct(), [REPO, "node_id"], "left_semi")
+    found = flow_traces(asked, kept, edges, depth).groupBy(REPO, "origin", "direction")
+    counts = found.agg(F.count(F.lit(1)).alias("steps"), F.count_if("is_exit").alias("exits"), F.max("depth").alias("max_depth"))
+    round_ = leads_to_cycle(nodes, edges).select(REPO, F.col("node_id").alias("origin"), F.lit(True).alias("cyclic"))
+    return counts.join(round_, [REPO, "origin"], "left").select(REPO, "origin", "direction", "steps", "exits", "max_depth", F.coalesce("cyclic", F.lit(False)).alias("has_cycles"))
+
+
 def import_closure(pages: DataFrame, imports: DataFrame, depth: int = 5) -> DataFrame:
     """(repo_id, origin, node_id, depth): files that each page (repo_id, path) reaches by resolved imports."""
     edges = imports.filter("target IS NOT NULL").select(REPO, F.col("path").alias("src"), F.col("target").alias("dst"))
@@ -503,6 +524,12 @@ def cascade_delete(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return out.join(gone.select(REPO, F.col("node_id").alias("dst")), [REPO, "dst"], "left_anti").select(REPO, "src", "dst", "kind")
 
 
+def delete_sections(homes: DataFrame, gone: DataFrame) -> DataFrame:
+    """(repo_id, node_id, section_id): `homes` after the deletion of sections (repo_id, section_id); their members stay and have none."""
+    deleted = gone.select(REPO, "section_id", F.lit(True).alias("deleted")).distinct()
+    return homes.join(deleted, [REPO, "section_id"], "left").select(REPO, "node_id", F.when(F.col("deleted").isNull(), F.col("section_id")).alias("section_id"))
+
+
 def remap_endpoints(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with their ends replaced through (repo_id, label, node_id); those with an unknown end go."""
     a = ids.select(REPO, F.col("label").alias("src"), F.col("node_id").alias("new_src"))

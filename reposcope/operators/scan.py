@@ -156,6 +156,23 @@ def env_variables(files: DataFrame) -> DataFrame:
     return every.join(optional, [*KEYS, "name"], "left").select(*KEYS, "name", "context", "line", F.col("optional").isNull().alias("required"))
 
 
+# Names of settings with the prefix of a framework, and names that are asked for by a call.
+CONFIG_KEYS = [r"(?i)(?:NEXT_PUBLIC|VITE_|REACT_APP_|NUXT_ENV_|GATSBY_)([A-Za-z_][A-Za-z0-9_]*)", r"(?i)getenv\s*\(\s*['\"`]([A-Za-z_][A-Za-z0-9_]*)['\"`]\s*\)"]
+
+
+def env_scan(files: DataFrame) -> DataFrame:
+    """(repo_id, path, name, context, line, required): each name of the environment once per file, by the first context that has it.
+
+    Contexts are process.env, import.meta.env and config-key, in this order. A
+    name with a default anywhere in the file is not required.
+    """
+    ranked = [(0, "process.env", ENV, ""), (1, "import.meta.env", META_ENV, "VITE_"), *[(2 + k, "config-key", p, "") for k, p in enumerate(CONFIG_KEYS)]]
+    parts = [findings(files, p).select(*KEYS, F.concat(F.lit(prefix), _found()).alias("name"), F.lit(k).alias("rank"), F.lit(context).alias("context"), "line") for k, context, p, prefix in ranked]
+    once = keep_first(union(parts), [*KEYS, "name"], ["rank", "line", "context"])
+    optional = findings(files, ENV_DEFAULT).select(*KEYS, _found().alias("name")).distinct().withColumn("optional", F.lit(True))
+    return once.join(optional, [*KEYS, "name"], "left").select(*KEYS, "name", "context", "line", F.col("optional").isNull().alias("required"))
+
+
 def complexity(files: DataFrame) -> DataFrame:
     """(repo_id, path, decisions, complexity, level): decisions outside of comments and strings, plus one.
 

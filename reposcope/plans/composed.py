@@ -347,3 +347,27 @@ def _token_classes(files: DataFrame) -> DataFrame:
 
 register("c19_token_classes", "sources", _token_classes, _classes("sources"))
 register("c19_token_classes_sql", "ddl_files", _token_classes, _classes("ddl_files"))
+
+
+# --- settings, sections, flows ------------------------------------------------------------------------
+
+_NAMES = " UNION ALL ".join(
+    f"SELECT repo_id, path, '{prefix}' || found1 AS name, {k} AS rank, '{context}' AS context, line FROM {findings_sql(p, 1, 'code_and_sources')}"
+    for k, (context, p, prefix) in enumerate([("process.env", scan.ENV, ""), ("import.meta.env", scan.META_ENV, "VITE_"), *[("config-key", p, "") for p in scan.CONFIG_KEYS]])
+)
+register("c15_env_scan", "sources code", lambda a, b: scan.env_scan(a.unionByName(b)), f"""WITH code_and_sources AS (SELECT * FROM sources UNION ALL SELECT * FROM code), x AS ({_NAMES}), o AS (SELECT DISTINCT repo_id, path, found1 AS name FROM {findings_sql(scan.ENV_DEFAULT, 1, 'code_and_sources')})
+SELECT x.repo_id, x.path, x.name, context, CAST(line AS INTEGER) AS line, o.name IS NULL AS required FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, path, name ORDER BY rank, line, context) AS nth FROM x) x LEFT JOIN o USING (repo_id, path, name) WHERE nth = 1""")
+
+
+def _homes_left(nodes: DataFrame, sections: DataFrame) -> DataFrame:
+    return graph.delete_sections(link.assign_section(nodes, sections), sections.filter("section_id LIKE '%1'"))
+
+
+register("a11_delete_sections", "nodes sections", _homes_left, f"SELECT repo_id, node_id, CASE WHEN section_id NOT LIKE '%1' THEN section_id END AS section_id FROM ({ORACLE_SQL_BODY['d22']})")
+_steps = ORACLE_SQL_BODY["g2"]
+_around = f"""cy AS (SELECT DISTINCT repo_id, node_id FROM ({ORACLE_SQL_BODY['g4']})), bk AS (SELECT repo_id, node_id FROM cy UNION SELECT e.repo_id, e.src FROM bk JOIN edges e ON e.repo_id = bk.repo_id AND e.dst = bk.node_id)"""
+register("g2_flow_summary", "nodes edges", lambda n, e: graph.flow_summary(n.filter(_ASKED), n, e), f"""WITH RECURSIVE {_around}, tr AS ({_steps})
+SELECT tr.repo_id, origin, direction, count(*) AS steps, count(*) FILTER (is_exit) AS exits, max(depth) AS max_depth, bool_or(bk.node_id IS NOT NULL) AS has_cycles FROM tr LEFT JOIN bk ON bk.repo_id = tr.repo_id AND bk.node_id = tr.origin GROUP BY ALL""")
+_some = "(SELECT * FROM nodes WHERE type IN ('view', 'controller'))"
+register("g2_flow_summary_of_types", "nodes edges", lambda n, e: graph.flow_summary(n.filter(_ASKED), n, e, ["view", "controller"]), f"""WITH RECURSIVE {_around}, tr AS ({_steps.replace('JOIN nodes a', f'JOIN {_some} a').replace('JOIN nodes b', f'JOIN {_some} b').replace('FROM nodes,', f'FROM {_some} AS nodes,')})
+SELECT tr.repo_id, origin, direction, count(*) AS steps, count(*) FILTER (is_exit) AS exits, max(depth) AS max_depth, bool_or(bk.node_id IS NOT NULL) AS has_cycles FROM tr LEFT JOIN bk ON bk.repo_id = tr.repo_id AND bk.node_id = tr.origin GROUP BY ALL""")
