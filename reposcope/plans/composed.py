@@ -12,7 +12,8 @@ from reposcope.functions.text import findings_sql, positions_sql
 from reposcope.operators import catalog, code, graph, lexical, link, reading, scan, schema
 from reposcope.operators import journey_graph as jg
 from reposcope.plans.more import _GATES, _INTER, _SROUTES, _TO, _on, _q
-from reposcope.plans.queries import _ASKED, _SERVED, ORACLE_SQL_BODY, QUERIES, register
+from reposcope.plans.queries import _ASKED, _ROUTES, _SERVED, ORACLE_SQL, ORACLE_SQL_BODY, QUERIES, register
+from reposcope.sources.derived import stated
 from reposcope.sources.tables import shared_folder
 from reposcope.streaming import presence, recompute
 
@@ -371,3 +372,22 @@ SELECT tr.repo_id, origin, direction, count(*) AS steps, count(*) FILTER (is_exi
 _some = "(SELECT * FROM nodes WHERE type IN ('view', 'controller'))"
 register("g2_flow_summary_of_types", "nodes edges", lambda n, e: graph.flow_summary(n.filter(_ASKED), n, e, ["view", "controller"]), f"""WITH RECURSIVE {_around}, tr AS ({_steps.replace('JOIN nodes a', f'JOIN {_some} a').replace('JOIN nodes b', f'JOIN {_some} b').replace('FROM nodes,', f'FROM {_some} AS nodes,')})
 SELECT tr.repo_id, origin, direction, count(*) AS steps, count(*) FILTER (is_exit) AS exits, max(depth) AS max_depth, bool_or(bk.node_id IS NOT NULL) AS has_cycles FROM tr LEFT JOIN bk ON bk.repo_id = tr.repo_id AND bk.node_id = tr.origin GROUP BY ALL""")
+
+
+# --- SQL of queries registered elsewhere -----------------------------------------------------------------
+
+_imported = f"""imp AS MATERIALIZED (SELECT DISTINCT repo_id, path, target FROM ({ORACLE_SQL_BODY['d2']}) WHERE target IS NOT NULL),
+t AS (SELECT repo_id, path AS origin, path AS node_id, 0 AS d FROM ({_ROUTES}) UNION SELECT t.repo_id, t.origin, i.target, t.d + 1 FROM t JOIN imp i ON i.repo_id = t.repo_id AND i.path = t.node_id WHERE t.d < 5),
+m AS (SELECT repo_id, origin, node_id, min(d) AS depth FROM t GROUP BY ALL)"""
+ORACLE_SQL["g6_import_closure"] = stated(f"WITH RECURSIVE {_imported} SELECT repo_id, origin, node_id, depth FROM m")
+ORACLE_SQL["f7_shared_components"] = stated(f"""WITH RECURSIVE {_imported}, u AS (SELECT repo_id, node_id, count(DISTINCT origin) AS usage_count FROM m WHERE depth > 0 GROUP BY ALL HAVING count(DISTINCT origin) > 1)
+SELECT DISTINCT m.repo_id, m.node_id, u.usage_count, m.origin AS used_by FROM m JOIN u USING (repo_id, node_id) WHERE m.depth > 0""")
+# paths of any length are enumerated by their length only, and only among nodes that no cycle leads to
+_layers = f"""cy AS (SELECT DISTINCT repo_id, node_id FROM ({ORACLE_SQL_BODY['g4']})), bh AS (SELECT repo_id, node_id FROM cy UNION SELECT e.repo_id, e.dst FROM bh JOIN edges e ON e.repo_id = bh.repo_id AND e.src = bh.node_id),
+fr AS (SELECT DISTINCT e.repo_id, e.src, e.dst FROM edges e ANTI JOIN bh ON bh.repo_id = e.repo_id AND bh.node_id = e.dst WHERE e.src <> e.dst),
+ly AS (SELECT n.repo_id, n.node_id, 0 AS d FROM nodes n ANTI JOIN (SELECT repo_id, dst AS node_id FROM edges WHERE src <> dst) e USING (repo_id, node_id) UNION SELECT ly.repo_id, fr.dst, ly.d + 1 FROM ly JOIN fr ON fr.repo_id = ly.repo_id AND fr.src = ly.node_id),
+la AS (SELECT n.repo_id, n.node_id, coalesce(max(ly.d), -1) AS layer FROM (SELECT DISTINCT repo_id, node_id FROM nodes) n LEFT JOIN ly USING (repo_id, node_id) GROUP BY ALL)"""
+ORACLE_SQL["g11_topo_layers"] = stated(f"WITH RECURSIVE {_layers} SELECT repo_id, node_id, layer FROM la")
+ORACLE_SQL["g12_longest_path_rank"] = stated(f"""WITH RECURSIVE {_layers}, gv AS (SELECT e.repo_id, e.dst AS node_id, max(la.layer) + 1 AS r FROM edges e JOIN la ON la.repo_id = e.repo_id AND la.node_id = e.src WHERE la.layer >= 0 GROUP BY ALL)
+SELECT la.repo_id, la.node_id, CASE WHEN layer >= 0 THEN layer ELSE coalesce(gv.r, 0) END AS rank FROM la LEFT JOIN gv USING (repo_id, node_id)""")
+ORACLE_SQL["g14_dag_share"] = stated(f"WITH RECURSIVE {_around}, c AS (SELECT repo_id, count(*) AS n FROM bk GROUP BY ALL) SELECT x.repo_id, round(1 - coalesce(c.n, 0) / x.nodes, 6) AS share FROM (SELECT repo_id, count(*) AS nodes FROM nodes GROUP BY ALL) x LEFT JOIN c USING (repo_id)")
