@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
@@ -37,10 +38,31 @@ def forget(table: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def read_modules(spark: SparkSession, folder: str, repo_id: str) -> DataFrame:
-    """(repo_id, path, source) of all files below a folder."""
-    files = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True)
-    return files.select(F.lit(repo_id).alias("repo_id"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("source"))
+#: Bytes of a file from which it is reported and not read.
+MOST_BYTES = 1 << 20
+
+
+def read_modules(spark: SparkSession, folder: str, repo_id: str | None = None, most: int = MOST_BYTES) -> DataFrame:
+    """(repo_id, path, source, problem) of all files below a folder, with paths relative to it.
+
+    Without a repo_id the first folder of a path is the repository and left out
+    of the path. Files of over `most` bytes (too large) and those that are no
+    UTF-8 (not text) are rows with a problem and without a source. Large files
+    are told by their size and not opened; Spark packs the others into splits of
+    spark.sql.files.maxPartitionBytes. Files without
+    a byte and those whose names begin with _ or . are left out, as Spark does.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    root = re.sub(r"/+$", "", folder) + "/"
+    below = F.substr("path", F.locate(root, "path") + len(root))
+    first = F.substring_index("below", "/", 1)
+    own = [F.lit(repo_id).alias("repo_id"), F.col("below").alias("path")] if repo_id is not None else [first.alias("repo_id"), F.substr("below", F.length(first) + 2).alias("path")]
+    text = F.col("content").cast("string")
+    valid = F.is_valid_utf8(text)
+    nothing = F.lit(None).cast("string")
+    small = files.filter(F.col("length") <= most).withColumn("below", below).select(*own, F.when(valid, text).alias("source"), F.when(~valid, "not text").alias("problem"))
+    large = files.filter(F.col("length") > most).withColumn("below", below).select(*own, nothing.alias("source"), F.lit("too large").alias("problem"))
+    return small.unionByName(large)
 
 
 def filter_source_files(files: DataFrame, extensions: list[str], include: str | None = None, exclude: str | None = None) -> DataFrame:
