@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reposcope.llm.bpe import encoded, tokenizer_path
-from reposcope.llm.common import forget, read, written
+from reposcope.llm.common import forget, read, small_batches, written
 from reposcope.llm.decontamination import drop_contaminated
 from reposcope.llm.exact_dedup import drop_copies
 from reposcope.llm.minhash_dedup import drop_near_copies
@@ -37,8 +37,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of token ids and decoded text."""
-    return encoded(docs, tokenizer_path(), with_ids=False)
+    """doc_id, n_tokens and digests of token ids and decoded text, a table in the shared folder."""
+    with small_batches(spark):
+        return written(encoded(docs, tokenizer_path(), with_ids=False))
 
 
 STAGES = [

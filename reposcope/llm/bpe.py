@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ from reposcope.llm.common import column_index, keyed_text, read, real_id
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words that a Python worker keeps, and the longest it keeps, in characters.
 KEPT_WORDS, KEPT_CHARS = 400_000, 40
+#: Texts of a batch that are Python strings at a time.
+LISTED = 500
 #: Characters of text whose words are gathered before a call of the merge rounds.
 GATHER_CHARS = 2_000_000
 
@@ -140,11 +142,11 @@ class Merges:
 
 
 class Encoder:
-    """Encodes texts, keeping the ids of frequent words."""
+    """Encodes texts, keeping the ids of frequent words as the bytes of 32-bit numbers, which take less memory than tuples of numbers."""
 
     def __init__(self, merges: Merges):
         self.merges = merges
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
         self.pattern = regex.compile(WORD_PATTERN)
         cut = "|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True)))
         self.cut = regex.compile(f"({cut})") if cut else None
@@ -158,7 +160,7 @@ class Encoder:
             out += [part] if part in self.merges.special else self.pattern.findall(part)
         return out
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         held: list[list[str]] = []
         chars = 0
@@ -172,20 +174,17 @@ class Encoder:
 
     def _flush(self, held: list[list[str]]) -> Iterator[np.ndarray]:
         new = {w for pieces in held for w in pieces}.difference(self.words)
-        fresh: dict[str, tuple[int, ...]] = {}
+        fresh: dict[str, bytes] = {}
         if new:
             special = self.merges.special
             plain = [w for w in new if w not in special]
             for w, ids in zip(plain, self.merges.encode_words([w.encode("utf-8", "replace") for w in plain])):
-                fresh[w] = tuple(ids.tolist())
-            fresh |= {w: (special[w],) for w in new if w in special}
-        known = self.words if not fresh else {**fresh}
+                fresh[w] = ids.astype(np.int32).tobytes()
+            fresh |= {w: np.array([special[w]], np.int32).tobytes() for w in new if w in special}
         table = self.words
         for pieces in held:
-            ids: list[int] = []
-            for w in pieces:
-                ids += table[w] if w in table else known[w]
-            yield np.array(ids, np.int64)
+            ids = b"".join([table[w] if w in table else fresh[w] for w in pieces])
+            yield np.frombuffer(ids, np.int32).astype(np.int64)
         if len(table) + len(fresh) > KEPT_WORDS:
             table.clear()
         table.update((w, ids) for w, ids in fresh.items() if len(w) <= KEPT_CHARS)
@@ -214,7 +213,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = (text for a in range(0, batch.num_rows, LISTED) for text in batch.column(1).slice(a, LISTED).to_pylist())
             counts, id_shas, text_shas, all_ids = [], [], [], []
             for ids in coder.encode(texts):
                 counts.append(len(ids))

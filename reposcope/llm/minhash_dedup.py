@@ -42,6 +42,7 @@ from reposcope.llm.common import (
     passes,
     read,
     real_id,
+    small_batches,
     text_buffers,
     with_fingerprint,
     word_hashes,
@@ -140,7 +141,9 @@ def postings(nodes: DataFrame, similar: int) -> DataFrame:
     weight adds up how often the node's values occur, which is most for the
     text that others were copied from.
 
-    A set so small that only an equal one is similar is not posted.
+    A set so small that only an equal one is similar is not posted. Spark sizes
+    an exploded table like the one before it, so the counts of the values must
+    not be broadcast by that size.
     """
     least = math.ceil(similar / (100 - similar))
     values = F.transform("sig", lambda v, c: F.shiftleft(c.cast("long"), 32).bitwiseOR(v.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
@@ -148,7 +151,7 @@ def postings(nodes: DataFrame, similar: int) -> DataFrame:
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select(F.bitwise_not("token").alias("key"), "df")
     mine = (
         tokens.select("node", "n", F.bitwise_not("token").alias("key"))
-        .join(shared, "key")
+        .join(shared.hint("merge"), "key")
         .groupBy("node")
         .agg(F.any_value("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", F.bitwise_not("key").alias("token")))).alias("tokens"))
         .filter(F.size("tokens") >= MATCHES)
@@ -222,7 +225,8 @@ def crossing_pairs(posted: DataFrame, nodes: DataFrame, rows: DataFrame, size: i
     open_ = keyed.filter("crowd").groupBy("node").agg(F.any_value("label").alias("label"))
     docs = nodes.select("node", F.struct("id", "fp").alias("doc")).join(open_, "node")
     found = docs.join(texts_of(docs.select("doc"), rows), "doc")
-    made = written(shingle_rows(found, size))
+    with small_batches(rows.sparkSession):
+        made = written(shingle_rows(found, size))
     shared = made.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select(F.bitwise_not("s").alias("key"), "df")
     mine = (
         made.withColumn("key", F.bitwise_not("s"))
@@ -257,11 +261,14 @@ def crossing_pairs(posted: DataFrame, nodes: DataFrame, rows: DataFrame, size: i
 
 
 def colliding(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """`pairs` with MATCHES or more collisions of their whole signatures, and the document (id, fp) of each side."""
+    """`pairs` with MATCHES or more collisions of their whole signatures, and the document (id, fp) of each side.
+
+    Spark takes an array for one element, so the signatures must not be broadcast by its size either.
+    """
     left = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa"), F.struct("id", "fp").alias("doc_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb"), F.struct("id", "fp").alias("doc_b"))
     hits = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    found = pairs.join(left, "a").join(right, "b").withColumn("hits", hits)
+    found = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").withColumn("hits", hits)
     return found.filter(F.col("hits") >= MATCHES).select("a", "b", "la", "lb", "doc_a", "doc_b", "hits")
 
 
@@ -340,7 +347,8 @@ def link_table(nodes: DataFrame, rows: DataFrame, size: int, similar: int) -> li
         if failed is not None:
             chosen = chosen.join(failed, ["a", "b"], "left_anti")
         chosen = written(chosen)
-        checked = written(confirmed(chosen, rows, size, similar))
+        with small_batches(rows.sparkSession):
+            checked = written(confirmed(chosen, rows, size, similar))
         forget(chosen)
         if k == STAR_ROUNDS:
             forget(crossing)
@@ -369,7 +377,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives no rows.
     """
     rows = with_fingerprint(keyed_text(docs, id_col, text_col))
-    documents = written(document_signatures(rows, shingle))
+    with small_batches(rows.sparkSession):
+        documents = written(document_signatures(rows, shingle))
     nodes = nodes_of(documents)
     named = nodes.select("digest", F.col("node").alias("label"), "id", F.col("fp").alias("print"))
     for step in link_table(nodes, rows, shingle, similar):
