@@ -46,3 +46,16 @@ def test_repeated_rows_long_texts_and_empty_tables(spark):  # noqa: F811
     found = journey.journey_signals(made).filter("repo_id = 'r1'").collect()
     assert len(found) == 1 and found[0].auth
     assert journey.journey_signals(made.limit(0)).count() == 0
+
+
+def test_signs_are_asked_only_where_their_letters_are(spark):  # noqa: F811
+    from pyspark.sql import functions as F
+
+    from reposcope.functions.text import matches
+
+    texts = ["", "a|b", "xab", "lo  gin", "fo(o", "z.  object(", "q{", "bulk.", "bull.", "aab", "ac"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in [r"a\|b|xa", r"lo\s*gin|fo\(o", r"z\.\s*(?:object|x)\s*\(|bull\.", r"[|a]b|q\{", r"a+b|ab?c", r"\w+\.|try\s*\{"]:
+        assert rows.filter(matches(F.col("t"), pattern) != F.col("t").rlike(pattern)).count() == 0
+    plan = journey.journey_signals(files(spark, ("a.ts", "x")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE sendgrid" not in plan and "Contains(" in plan
