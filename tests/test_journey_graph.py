@@ -3,6 +3,7 @@
 import pytest
 from test_reference import spark  # noqa: F401
 
+from reposcope.operators import journey_graph as jg
 from reposcope.operators.journey_graph import journey_graph
 
 LOGIN = ("app/login/page.tsx", "export default function Login() { return signIn() }")
@@ -119,3 +120,13 @@ def test_decisions_branch_to_pages(journeys):
     choice = "decision:Choose: /a@app/a/page.tsx"
     assert led >= {(choice, "page:/c", "yes"), (choice, "page:/d", "yes"), (choice, "page:/a", "navigate"), ("page:/a", "page:/b", "navigate"), ("page::Landing Page", "page:/a", "browse"), ("page:/a", choice, "browse")}
     assert not any(b in ("page:/c", "page:/d") and k == "navigate" for _, b, k in led)
+
+
+def test_nodes_need_not_meet_every_action_with_every_database(spark):  # noqa: F811
+    made = [(f"app/api/a{k}/route.ts", "export async function POST(r) { supabase.from('order').insert(r) }") for k in range(30)]
+    made += [(f"lib/order{k}.ts", "const schema = 1") for k in range(30)]
+    nodes, edges = jg.journey_graph(spark.createDataFrame([("r", p, s) for p, s in made], "repo_id string, path string, source string"))
+    # the actions share the stores of orders and of posts, the first of which their model names as well
+    assert edges.filter("kind = 'CREATE → order'").count() == 30 * 31 and nodes.filter("type = 'database'").count() == 32
+    _, actions, found = jg.woven(jg.journey_nodes(spark.createDataFrame([("r", p, s) for p, s in made], "repo_id string, path string, source string")))
+    assert (actions.count(), found.count()) == (30, 31)
