@@ -14,7 +14,7 @@ from reposcope.operators import journey_graph as jg
 from reposcope.plans.more import _GATES, _INTER, _SROUTES, _TO, _on, _q
 from reposcope.plans.queries import _ASKED, _ROUTES, _SERVED, ORACLE_SQL, ORACLE_SQL_BODY, QUERIES, register
 from reposcope.sources.derived import stated
-from reposcope.sources.tables import read_modules, shared_folder
+from reposcope.sources.tables import read_modules, shared_folder, write_modules
 from reposcope.streaming import presence, recompute
 
 # --- endpoint catalog -----------------------------------------------------------
@@ -397,14 +397,11 @@ ORACLE_SQL["g14_dag_share"] = stated(f"WITH RECURSIVE {_around}, c AS (SELECT re
 
 
 def _tree(files: DataFrame) -> DataFrame:
-    """The files written as a tree, a folder for each repository and path, and read back as it is found there."""
+    """The files written as a tree, a folder for each repository, and read back as it is found there."""
     spark, folder = files.sparkSession, f"{shared_folder(files.sparkSession)}/trees/{uuid4().hex}"
-    once = files.groupBy("repo_id", F.col("path").alias("file")).agg(F.min("source").alias("source"))
-    ended = F.regexp_replace("source", "\n$", "")  # the writer ends each text by a line end
-    once.select("repo_id", "file", ended.alias("value")).repartition("repo_id", "file").write.partitionBy("repo_id", "file").text(folder)
-    found = read_modules(spark, folder)
-    name = F.url_decode(F.regexp_extract("path", "^file=([^/]*)/", 1))
-    return found.select(F.regexp_replace("repo_id", "^repo_id=", "").alias("repo_id"), name.alias("path"), "source", "problem")
+    once = files.groupBy("repo_id", "path").agg(F.min("source").alias("source"))
+    write_modules(once.withColumn("source", F.when(F.endswith("source", F.lit("\n")), F.col("source")).otherwise(F.concat("source", F.lit("\n")))), folder)
+    return read_modules(spark, folder)
 
 
 register("a1_read_modules", "modules", _tree, "SELECT repo_id, path, CASE WHEN ends_with(min(source), chr(10)) THEN min(source) ELSE min(source) || chr(10) END AS source, CAST(NULL AS VARCHAR) AS problem FROM modules GROUP BY repo_id, path")

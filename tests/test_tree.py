@@ -1,8 +1,9 @@
 """File trees as tables."""
 
-from test_reference import spark  # noqa: F401
+import pytest
+from test_reference import files, first, spark  # noqa: F401
 
-from reposcope.sources.tables import read_modules
+from reposcope.sources.tables import read_modules, write_modules
 
 
 def test_tree(spark, tmp_path):  # noqa: F811
@@ -17,3 +18,23 @@ def test_tree(spark, tmp_path):  # noqa: F811
     want = [(p.split("/", 1)[0], p.split("/", 1)[1], None if "big" in p else t, "too large" if "big" in p else None) for p, t in texts.items()] + [("two", "bad.bin", None, "not text")]
     assert got == sorted(want)
     assert {r["path"] for r in read_modules(spark, f"{tmp_path}/root", "r").filter("repo_id = 'r' AND problem IS NULL").collect()} == set(texts)
+
+
+def test_written_tree_has_one_file_for_each_text_where_its_path_says(spark, tmp_path):  # noqa: F811
+    paths = ["app/(main)/a b/page.tsx", "app/x/[id]/form%2F.tsx", "lib/é=1.ts", "top.sql"]
+    rows = [(r, p, f"{p}\n2 {r}") for r in ("one", "two") for p in paths]
+    write_modules(spark.createDataFrame(rows, "repo_id string, path string, source string"), f"{tmp_path}/tree")
+    # no folder, mark or checksum beside the files: each cost a process or more for a single text
+    assert {str(f.relative_to(tmp_path / "tree")): f.read_text() for f in (tmp_path / "tree").rglob("*") if f.is_file()} == {f"{r}/{p}": s for r, p, s in rows}
+    got = read_modules(spark, f"{tmp_path}/tree").collect()
+    assert sorted((r["repo_id"], r["path"], r["source"]) for r in got) == sorted(rows)
+    with pytest.raises(Exception, match="no path inside"):
+        write_modules(spark.createDataFrame([("one", "../out.ts", "x")], "repo_id string, path string, source string"), f"{tmp_path}/tree")
+
+
+def test_registered_tree_equals_its_texts(spark):  # noqa: F811
+    from reposcope.plans.composed import _tree
+
+    table = files(spark, ("a/b.ts", "x"), ("a/b.ts", "w\n"), ("c.ts", "y\n\n"))
+    got = first(_tree(table), "path", "source", "problem")
+    assert got == [("a/b.ts", "w\n", None), ("c.ts", "y\n\n", None)]
