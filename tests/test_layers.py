@@ -65,3 +65,19 @@ def test_flow_summary_looks_for_cycles_by_taking_free_nodes_off(spark, monkeypat
         ("c4", "forward", 3, 0, 2, True), ("c4", "backward", 1, 1, 0, True), ("p9", "forward", 1, 1, 0, False), ("p9", "backward", 8, 2, 4, False),
     ])
     assert len(tables) < 35
+
+
+def test_paths_search_only_what_lies_ahead_of_an_origin(spark, monkeypatch):  # noqa: F811
+    # 500 nodes lead to the target, three of them lie between
+    pairs = [("a", "m1"), ("a", "m2"), ("m1", "z"), ("m2", "z"), ("m2", "m1"), ("z", "a")] + [(f"x{k}", "z") for k in range(500)]
+    write, rows = graph.written, []
+
+    def counted(df):
+        table = write(df)
+        rows.append(table.count())
+        return table
+
+    monkeypatch.setattr(graph, "written", counted)
+    asked = spark.createDataFrame([(r, "a", "z") for r in ("r1", "r2")], "repo_id string, origin string, target string")
+    assert first(graph.all_paths(asked, edges(spark, *pairs), depth=6), "path") == [("a>m1>z",), ("a>m2>m1>z",), ("a>m2>z",)]
+    assert max(rows) < 30
