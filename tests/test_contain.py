@@ -63,3 +63,15 @@ def test_many_positions_of_a_large_file(spark):  # noqa: F811
     row = navigation.scan_route_refs(made).filter("line = 15000 AND type = 'explicit'").collect()[0]
     at = source.index('<a href="/users/14999/')
     assert row["literal"] == "/users/14999/settings" and row["context"] == re.sub(r"\s+", " ", source[at - 50 : at + 50]).strip()
+
+
+def test_views_of_one_label_meet_a_file_as_one(spark, monkeypatch):  # noqa: F811
+    views = [("r1", f"/orders/v{i:03}", "/orders") for i in range(200)] + [("r1", "/users/a", "/users"), ("r1", "/none", None), ("r9", "/orders/z", "/orders")]
+    sent = files(spark, *[(f"app/orders/f{i}.tsx", "new FormData()") for i in range(30)], ("app/users/orders.tsx", "FormData"), ("app/users/x.tsx", "text"), ("app/users/y.tsx", "x.upload("))
+    met, join = [], match.contains_join
+    monkeypatch.setattr(match, "contains_join", lambda *a: met.append(join(*a)) or met[-1])
+    made = spark.createDataFrame(views, "repo_id string, node_id string, label string")
+    got = match.upload_edges(sent, made, spark.createDataFrame([("r1", "d2"), ("r1", "d1")], "repo_id string, node_id string"))
+    assert sorted((r["src"], r["dst"]) for r in got.collect()) == [("/orders/v000", "d1"), ("/users/a", "d1")]
+    # a row for each file and label, not for each file and view
+    assert met[0].filter("repo_id = 'r1'").count() == 30 + 2 + 1
