@@ -3,6 +3,7 @@
 import pytest
 from test_reference import files, first, spark  # noqa: F401
 
+from reposcope.sources import tables
 from reposcope.sources.tables import read_modules, write_modules
 
 
@@ -38,3 +39,17 @@ def test_registered_tree_equals_its_texts(spark):  # noqa: F811
     table = files(spark, ("a/b.ts", "x"), ("a/b.ts", "w\n"), ("c.ts", "y\n\n"))
     got = first(_tree(table), "path", "source", "problem")
     assert got == [("a/b.ts", "w\n", None), ("c.ts", "y\n\n", None)]
+
+
+def test_folders_are_listed_by_tasks_and_not_by_the_driver(spark, tmp_path, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(tables, "FILES", 3)
+    texts = {f"r{r}/a{i}/b c/{'/'.join('de'[:i % 3])}/f{i}.ts": f"{r} {i}" for r in (1, 2) for i in range(12)} | {f"r1/flat/g{i}.ts": str(i) for i in range(9)}
+    for path, text in texts.items():
+        (tmp_path / "tree" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / path).write_text(text)
+    (tmp_path / "tree" / "r1" / ".git").mkdir()
+    (tmp_path / "tree" / "r1" / ".git" / "x.ts").write_text("no")
+    got = read_modules(spark, f"{tmp_path}/tree")
+    assert {f"{r['repo_id']}/{r['path']}": r["source"] for r in got.collect()} == {str(tables.re.sub("/+", "/", p)): t for p, t in texts.items()} and got.count() == len(texts)
+    # Spark's reader holds every file's status on the driver
+    assert not [f for f in got.inputFiles() if f.endswith(".ts")]
