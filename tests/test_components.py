@@ -65,3 +65,10 @@ def test_rounds_read_what_is_left(spark, monkeypatch):  # noqa: F811
     want = [(v, "c0000" if v[0] == "c" else f"a{v[1:]}") for v in names]
     assert first(graph.components(n, e), "node_id", "component") == want
     assert sum(sizes) < 8 * n.count()
+
+
+def test_nodes_that_come_twice(spark):  # noqa: F811
+    names, pairs = some()
+    n = nodes(spark, **dict.fromkeys(names, "view"))
+    got = first(graph.components(n.unionByName(n.filter("node_id = 'n55'")), edges(spark, *pairs)), "node_id", "component")
+    assert sorted(set(got)) == joined(names, pairs) and got.count(("n55", dict(got)["n55"])) > 1
